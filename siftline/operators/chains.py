@@ -41,7 +41,7 @@ def attack_chains(events: DataFrame, order: Sequence[str] = ("seq",), min_stages
     appeared = F.array_sort(
         F.array_compact(
             F.array(*[
-                F.when(F.col(f"_first_{s}").isNotNull(), F.struct(F.col(f"_first_{s}"), F.lit(s).alias("stage")))
+                F.when(F.col(f"_first_{s}").isNotNull(), F.struct(F.col(f"_first_{s}").alias("at"), F.lit(s).alias("stage")))
                 for s in first
             ])
         )

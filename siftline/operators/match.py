@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re._constants as rc  # the standard library's own reading of a pattern
 import re._parser as rp
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.evaluate import once
 from ..functions.formats import parse_security_line
 from ..packs import fields as field_pack
 from ..packs import lines_v2, lines_v3, signatures, timeline, unified
@@ -156,12 +157,11 @@ def match_rules(
     off = set(disabled)
     active = [r for r in rules if r.rule_id not in off]
     with_fields = any(set(r.patterns) - {"raw"} for r in active)
-    parsed = lines.withColumn("_p", parse_security_line(F.col(raw), lenient_prefix)).withColumn(
-        "_low", F.lower(F.col(raw))
-    )
+    parse = parse_security_line(F.col(raw), lenient_prefix)
+    parsed = lines.withColumn("_low", F.lower(F.col(raw)))
     texts = {"raw": (F.col(raw), F.col("_low"))}
     if with_fields:
-        parsed = parsed.withColumn(
+        parsed = once(parsed, "_p", parse).withColumn(
             "_req",
             F.coalesce(F.nullif(F.col("_p.request"), F.lit("")), F.nullif(F.col("_p.message"), F.lit("")), F.col(raw)),
         ).withColumn("_lreq", F.lower("_req"))
@@ -173,14 +173,16 @@ def match_rules(
     branches = []
     for i, rule in enumerate(active):
         test = _condition(rule, texts)
-        once = test & ~earlier[rule.rule_id] if rule.rule_id in earlier else test
+        fires = test & ~earlier[rule.rule_id] if rule.rule_id in earlier else test
         earlier[rule.rule_id] = earlier[rule.rule_id] | test if rule.rule_id in earlier else test
-        branches.append(F.when(once, F.lit(i)))
+        branches.append(F.when(fires, F.lit(i)))
     found = F.array_compact(F.array(*branches))
     table = rule_table(lines.sparkSession, active)
+    matched = parsed.withColumn("ord", F.explode(found))
+    if not with_fields:
+        matched = once(matched, "_p", parse)  # only lines that hit are parsed
     return (
-        parsed.withColumn("ord", F.explode(found))
-        .withColumns(
+        matched.withColumns(
             {
                 "source_ip": F.col("_p.source_ip"),
                 "hostname": F.col("_p.hostname"),
@@ -201,23 +203,20 @@ def match_incident_rules(lines: DataFrame, rules: Sequence[Rule] | None = None,
     """
     rules = list(pack_v2() if rules is None else rules)
     low = lines.withColumn("_low", F.lower(F.col(raw)))
-    branches = []
+    found = F.array(
+        *[F.when(hits(F.col(raw), F.col("_low"), r.patterns["raw"]), F.lit(i)) for i, r in enumerate(rules)]
+    )
+    sources = []
     for i, rule in enumerate(rules):
-        pattern = rule.patterns["raw"]
-        groups = re_groups(pattern)
-        values = [F.regexp_extract(F.col(raw), ignoring_case(pattern), g) for g in range(1, groups + 1)]
-        ip = F.coalesce(*[F.when(v.rlike(r"^[\d.]+$"), v) for v in values], F.lit(None).cast("string"))
-        branches.append(
-            F.when(
-                hits(F.col(raw), F.col("_low"), pattern),
-                F.struct(F.lit(i).alias("ord"), ip.alias("source_ip")),
-            )
-        )
+        pattern = ignoring_case(rule.patterns["raw"])
+        for g in range(1, re_groups(rule.patterns["raw"]) + 1):
+            value = F.regexp_extract(F.col(raw), pattern, g)
+            sources.append(F.when((F.col("ord") == i) & value.rlike(r"^[\d.]+$"), value))
     table = rule_table(lines.sparkSession, rules)
     return (
-        low.withColumn("_hit", F.explode(F.array_compact(F.array(*branches))))
-        .withColumns({"ord": F.col("_hit.ord"), "source_ip": F.col("_hit.source_ip")})
-        .drop("_hit", "_low")
+        low.withColumn("ord", F.explode(F.array_compact(found)))
+        .withColumn("source_ip", F.coalesce(*sources, F.lit(None).cast("string")))
+        .drop("_low")
         .join(F.broadcast(table), "ord")
     )
 
@@ -226,38 +225,27 @@ def re_groups(pattern: str) -> int:
     return rp.parse(pattern).state.groups - 1
 
 
-def first_match(
-    lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str = "raw",
-    make: Callable[[Column, Column, str], Column] = hits,
-) -> DataFrame:
+def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str = "raw") -> DataFrame:
     """Add attack_type, threat_level, matched_pattern and captured of the first pattern that hits.
 
     ``captured`` is the first capture group of this pattern. All four are null when nothing hits.
     """
     low = lines.withColumn("_low", F.lower(F.col(raw)))
-    hit = F.coalesce(
-        *[
-            F.when(
-                make(F.col(raw), F.col("_low"), pattern),
-                F.struct(
-                    F.lit(kind).alias("attack_type"),
-                    F.lit(level).alias("threat_level"),
-                    F.lit(pattern).alias("matched_pattern"),
-                    (
-                        F.regexp_extract(F.col(raw), ignoring_case(pattern), 1)
-                        if re_groups(pattern)
-                        else F.lit(None).cast("string")
-                    ).alias("captured"),
-                ),
-            )
-            for kind, level, pattern in pack
-        ]
+    number = F.coalesce(*[F.when(hits(F.col(raw), F.col("_low"), p), F.lit(i)) for i, (_, _, p) in enumerate(pack)])
+    table = lines.sparkSession.createDataFrame(
+        [(i, *row) for i, row in enumerate(pack)],
+        "_ord int, attack_type string, threat_level string, matched_pattern string",
     )
-    return (
-        low.withColumn("_hit", hit)
-        .withColumns({n: F.col(f"_hit.{n}") for n in ("attack_type", "threat_level", "matched_pattern", "captured")})
-        .drop("_hit", "_low")
+    captured = F.coalesce(
+        *[
+            F.when(F.col("_ord") == i, F.regexp_extract(F.col(raw), ignoring_case(p), 1))
+            for i, (_, _, p) in enumerate(pack)
+            if re_groups(p)
+        ],
+        F.lit(None).cast("string"),
     )
+    numbered = once(low, "_ord", number)
+    return numbered.join(F.broadcast(table), "_ord", "left").withColumn("captured", captured).drop("_ord", "_low")
 
 
 def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw") -> DataFrame:

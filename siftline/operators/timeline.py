@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats
+from ..functions.evaluate import once
 from .events import with_windows_events
 from .match import first_match, first_match_pack
 
@@ -48,8 +49,8 @@ def timeline_events(
 
     A line without a rule hit is an INFO event of type unknown. ``timeline_order`` keeps the line order.
     """
-    parsed = lines.withColumn("_p", parsed_columns(F.col("raw"), log_type, year, pack == "timeline")).filter(
-        F.col("_p").isNotNull()
+    parsed = once(
+        lines, "_p", parsed_columns(F.col("raw"), log_type, year, pack == "timeline"), drop_nulls=True
     )
     flat = parsed.withColumns(
         {

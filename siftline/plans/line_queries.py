@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
+from ..functions.evaluate import once
 from ..operators import keys
 from ..operators.sequences import dense_position
 from ..packs.dimensions import PRIVATE_RANGES
@@ -120,7 +121,7 @@ define("f_access", ("v_access",), f"""SELECT stream_id, seq, raw, regexp_extract
     status, size, user_agent FROM (SELECT *, regexp_split_to_array(request, '\s+') AS w, len(regexp_split_to_array(request, '\s+')) AS n FROM f_access)""")
 def access_parse(spark, sf_dir):
     p = formats.parse_access(F.col("raw"))
-    rows = views.access_lines(spark, sf_dir).withColumn("p", p).filter(F.col("p").isNotNull())
+    rows = once(views.access_lines(spark, sf_dir), "p", p, drop_nulls=True)
     return rows.select(
         "stream_id", "seq", "p.ip", F.substring(F.col("p.ts").cast("string"), 1, 19).alias("ts"), "p.request", "p.method",
         "p.path", "p.protocol", F.col("p.status").cast("bigint").alias("status"), "p.size", "p.user_agent",
@@ -134,8 +135,8 @@ SYSLOG = q(formats.SYSLOG)
     '%Y-%m-%d %H:%M:%S') AS ts, regexp_extract(raw, {SYSLOG}, 2) AS host, regexp_extract(raw, {SYSLOG}, 3) AS message
     FROM v_auth WHERE regexp_matches(raw, {SYSLOG})""")
 def syslog_parse(spark, sf_dir):
-    rows = views.auth_lines(spark, sf_dir).withColumn("p", formats.parse_syslog(F.col("raw"), YEAR))
-    return rows.filter(F.col("p").isNotNull()).select(
+    rows = once(views.auth_lines(spark, sf_dir), "p", formats.parse_syslog(F.col("raw"), YEAR), drop_nulls=True)
+    return rows.select(
         "stream_id", "seq", F.substring(F.col("p.ts").cast("string"), 1, 19).alias("ts"), "p.host", "p.message"
     )
 
@@ -147,8 +148,8 @@ WINDOWS = q(formats.WINDOWS)
     regexp_extract(raw, {WINDOWS}, 2) AS level, regexp_extract(raw, {WINDOWS}, 3)::BIGINT AS event_id,
     regexp_extract(raw, {WINDOWS}, 4) AS message FROM v_win WHERE regexp_matches(raw, {WINDOWS})""")
 def windows_parse(spark, sf_dir):
-    rows = views.windows_lines(spark, sf_dir).withColumn("p", formats.parse_windows(F.col("raw")))
-    return rows.filter(F.col("p").isNotNull()).select(
+    rows = once(views.windows_lines(spark, sf_dir), "p", formats.parse_windows(F.col("raw")), drop_nulls=True)
+    return rows.select(
         "stream_id", "seq", F.substring(F.col("p.ts").cast("string"), 1, 19).alias("ts"), "p.level",
         F.col("p.event_id").cast("bigint").alias("event_id"), "p.message",
     )
@@ -161,8 +162,8 @@ TOMCAT = q(formats.TOMCAT)
     regexp_extract(raw, {TOMCAT}, 2) AS thread, regexp_extract(raw, {TOMCAT}, 3) AS level,
     regexp_extract(raw, {TOMCAT}, 4) AS message FROM v_tomcat WHERE regexp_matches(raw, {TOMCAT})""")
 def tomcat_parse(spark, sf_dir):
-    rows = views.tomcat_lines(spark, sf_dir).withColumn("p", formats.parse_tomcat(F.col("raw")))
-    return rows.filter(F.col("p").isNotNull()).select(
+    rows = once(views.tomcat_lines(spark, sf_dir), "p", formats.parse_tomcat(F.col("raw")), drop_nulls=True)
+    return rows.select(
         "stream_id", "seq", F.substring(F.col("p.ts").cast("string"), 1, 19).alias("ts"), "p.thread", "p.level", "p.message"
     )
 
@@ -182,7 +183,7 @@ define("f_sec", ("v_sec",), rf"""SELECT stream_id, seq, raw,
 
 @query("security_parse", ["f_sec"], "SELECT stream_id, seq, ts_text, source_ip, hostname, request, message, event_id FROM f_sec")
 def security_parse(spark, sf_dir):
-    rows = views.mixed_lines(spark, sf_dir).withColumn("p", formats.parse_security_line(F.col("raw")))
+    rows = once(views.mixed_lines(spark, sf_dir), "p", formats.parse_security_line(F.col("raw")))
     return rows.select(
         "stream_id", "seq", "p.ts_text", "p.source_ip", "p.hostname", "p.request", "p.message", "p.event_id"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def once(df: DataFrame, name: str, value: Column, drop_nulls: bool = False) -> D
     """
     array = F.array(value)
     return df.withColumn(name, F.explode(F.array_compact(array) if drop_nulls else array))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

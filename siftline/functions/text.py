@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .evaluate import let
+
 # Level words, timestamp layouts, parameter and identifier patterns, length limit.
 LEVEL_WORD = r"(?i)\b(INFO|ERROR|WARN|WARNING|DEBUG|CRITICAL|FATAL)\b"
 ISO_TIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"
@@ -54,7 +56,10 @@ def log_key(raw: Column) -> Column:
     The level is hidden behind a placeholder while numbers, paths and ``k=v`` parts are replaced, and
     put back at the end. A long line with an event id and a level is shortened around the level word.
     """
-    word = F.regexp_extract(raw, LEVEL_WORD, 1)
+    return let(F.regexp_extract(raw, LEVEL_WORD, 1), lambda word: _key_with_level(raw, word))
+
+
+def _key_with_level(raw: Column, word: Column) -> Column:
     name = F.upper(word)
     mark = F.concat(F.lit("__LEVEL_"), name, F.lit("__"))
     at = F.instr(raw, word)
@@ -71,22 +76,25 @@ def log_key(raw: Column) -> Column:
         (r"(?U)\w+=\*", "*=*"),
     ):
         text = F.regexp_replace(text, pattern, replacement)
-    restored = F.when(word == "", text).otherwise(F.replace(text, mark, name))
-    event = F.regexp_extract(text, r"(?U)EventID[=:](\S+)", 1)
-    start = F.instr(restored, name)
-    shortened = F.concat(
-        F.substring(restored, F.lit(1), start - 1), F.lit(" "), name, F.lit(" EventID="), event, F.lit(" "),
-        F.substring(restored, start, F.lit(EVENT_PREVIEW)), F.lit("..."),
-    )
-    cut = F.concat(F.substring(text, 1, KEY_LIMIT), F.lit("..."))
-    cut = F.when(word == "", cut).otherwise(F.replace(cut, mark, name))
-    result = (
-        F.when(F.length(text) <= KEY_LIMIT, restored)
-        .when(event == "", cut)
-        .when((word != "") & (start > 1), shortened)
-        .otherwise(restored)
-    )
-    return strip(result)
+
+    def restore(value: Column) -> Column:
+        return F.when(word == "", value).otherwise(F.replace(value, mark, name))
+
+    def finish(text: Column) -> Column:
+        event = F.regexp_extract(text, r"(?U)EventID[=:](\S+)", 1)
+        start = F.instr(restore(text), name)
+        shortened = F.concat(
+            F.substring(restore(text), F.lit(1), start - 1), F.lit(" "), name, F.lit(" EventID="), event, F.lit(" "),
+            F.substring(restore(text), start, F.lit(EVENT_PREVIEW)), F.lit("..."),
+        )
+        return strip(
+            F.when(F.length(text) <= KEY_LIMIT, restore(text))
+            .when(event == "", restore(F.concat(F.substring(text, 1, KEY_LIMIT), F.lit("..."))))
+            .when((word != "") & (start > 1), shortened)
+            .otherwise(restore(text))
+        )
+
+    return let(text, finish)
 
 
 def parameters(raw: Column) -> Column:

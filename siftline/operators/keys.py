@@ -7,12 +7,14 @@ so training is one partial aggregation and an update is a union and a sum.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.evaluate import once
 from ..session import materialize
 from .joins import lookup
 from .sequences import CHUNK_ROWS, dense_position, last_known, previous, windowed
@@ -21,17 +23,23 @@ WINDOW = 10
 TOP_G = 5
 
 
-def parse_lines(lines: DataFrame, given_ts: str | None = None) -> DataFrame:
-    """Add ts, level, log_key and params to (stream_id, seq, raw). ``given_ts`` wins over the line's time."""
+def parse_lines(
+    lines: DataFrame, given_ts: str | None = None, parts: Sequence[str] = ("ts", "level", "log_key", "params")
+) -> DataFrame:
+    """Add ts, level, log_key and params (or fewer) to (stream_id, seq, raw).
+
+    ``given_ts`` names a column whose time wins over the line's own. Every part is computed once per line,
+    whatever later steps do with it.
+    """
     ts = text.timestamp(F.col("raw"))
-    return lines.withColumns(
-        {
-            "ts": F.coalesce(F.col(given_ts), ts) if given_ts else ts,
-            "level": text.level(F.col("raw")),
-            "log_key": text.log_key(F.col("raw")),
-            "params": text.parameters(F.col("raw")),
-        }
-    )
+    make = {
+        "ts": F.coalesce(F.col(given_ts), ts) if given_ts else ts,
+        "level": text.level(F.col("raw")),
+        "log_key": text.log_key(F.col("raw")),
+        "params": text.parameters(F.col("raw")),
+    }
+    parsed = once(lines, "_line", F.struct(*[make[p].alias(p) for p in parts]))
+    return parsed.withColumns({p: F.col(f"_line.{p}") for p in parts}).drop("_line")
 
 
 def with_time_delta(parsed: DataFrame, prepend: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

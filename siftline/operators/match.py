@@ -19,7 +19,7 @@ from ..functions.formats import parse_security_line
 from ..packs import fields as field_pack
 from ..packs import lines_v2, lines_v3, signatures, timeline, unified
 
-MIN_GUARD = 3
+MIN_GUARD = 2
 MAX_GUARDS = 12
 
 

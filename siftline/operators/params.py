@@ -108,14 +108,7 @@ def as_arrays(stats: DataFrame) -> DataFrame:
     return (
         folded.groupBy("log_key")
         .agg(sorted_rows.alias("_a"))
-        .select(
-            "log_key", F.size("_a").alias("dim"),
-            *[
-                F.transform("_a", lambda r, c=c: r[c]).alias(names[c])
-                for c in stats.columns
-                if c in names
-            ],
-        )
+        .select("log_key", F.size("_a").alias("dim"), *[F.col(f"_a.{c}").alias(names[c]) for c in stats.columns if c in names])
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import line_queries, rule_queries  # noqa: F401
+from . import line_queries, model_queries, rule_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -70,7 +70,7 @@ define("p_list", ("p_first",), """SELECT stream_id, seq, string_agg(printf('%.3f
 
 @query("params", ["p_list"], "SELECT stream_id, seq, params, n_params FROM p_list")
 def params(spark, sf_dir):
-    lines = views.mixed_lines(spark, sf_dir).select("stream_id", "seq", text.parameters(F.col("raw")).alias("p"))
+    lines = once(views.mixed_lines(spark, sf_dir), "p", text.parameters(F.col("raw")))
     return lines.filter(F.size("p") > 0).select(
         "stream_id", "seq",
         F.array_join(F.transform("p", lambda v: F.format_string("%.3f", v)), ",").alias("params"),
@@ -89,7 +89,7 @@ def line_times(spark, sf_dir):
     (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS time_delta
     FROM (SELECT stream_id, seq, substr(raw, 1, 19)::TIMESTAMP AS ts FROM v_app)""")
 def time_delta(spark, sf_dir):
-    parsed = keys.parse_lines(views.app_lines(spark, sf_dir))
+    parsed = keys.parse_lines(views.app_lines(spark, sf_dir), parts=["ts"])
     return keys.with_time_delta(parsed, prepend=False).select("stream_id", "seq", "time_delta")
 
 

@@ -228,7 +228,7 @@ define("m_docs", (), hits_sql("(SELECT doc_id, text AS raw FROM documents)", [pa
 @query("rules_documents", ["m_docs", "r_v3"], "SELECT doc_id, rule_id FROM m_docs JOIN r_v3 USING (ord)")
 def rules_documents(spark, sf_dir):
     """Line rules over whole texts."""
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    documents = views.table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("text", "raw")
     return match.match_rules(documents, match.pack_v3()).select("doc_id", "rule_id")
 
 

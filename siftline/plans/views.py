@@ -43,9 +43,21 @@ LOOKUP_TEXT = (
     "", " block_id: blk_{u}", " instance id: i-{u},", " id: 00000000-0000-0000-0000-{u12}", " instance_id:vm{u} block id b{u}",
 )
 
+EVENT_COLUMNS = ("event_id", "ts", "user_id")
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A given table, reduced to the named columns.
+
+    A table of fewer files than there are cores would leave cores idle during pattern matching, so its
+    rows are dealt out first. Tables of many files are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not columns:
+        return df
+    df = df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _texts(values) -> Column:
@@ -74,7 +86,7 @@ def _ip() -> Column:
 
 def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application lines per user: (stream_id, seq, raw, event_type)."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")  # numbered by stream below, which deals the rows out anyway
     raw = F.concat(
         _stamp(), F.lit(" "), _level(), F.lit(" "), F.col("event_type"), F.lit(" user_id="),
         F.col("user_id").cast("string"), F.lit(" took "), F.format_string("%.2f", F.col("value")), F.lit(" seconds"),
@@ -94,7 +106,7 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick([str(s) for s in STATUS], e), F.lit(" "), (e % 5000 + 100).cast("string"), F.lit(' "-" "'),
         _pick(AGENTS, e), F.lit('"'),
     )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", *EVENT_COLUMNS).select(
         F.concat(F.lit("web"), (F.col("user_id") % 4).cast("string")).alias("stream_id"), e.alias("seq"), raw.alias("raw")
     )
 
@@ -110,7 +122,7 @@ def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(_texts(MONTHS), F.month("ts")), F.lit(" "), F.substring(day, 9, 2), F.lit(" "),
         F.substring(day, 12, 8), F.lit(" "), host, F.lit(" "), message,
     )
-    return table(spark, sf_dir, "events").select(host.alias("stream_id"), e.alias("seq"), raw.alias("raw"))
+    return table(spark, sf_dir, "events", *EVENT_COLUMNS).select(host.alias("stream_id"), e.alias("seq"), raw.alias("raw"))
 
 
 def windows_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +132,7 @@ def windows_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _stamp("o_orderdate"), F.lit(".000 "), level, F.lit(" EventID="), _pick([str(i) for i in EVENT_IDS], key),
         F.lit(" The account of customer "), F.col("o_custkey").cast("string"), F.lit(" was processed"),
     )
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").select(
         F.concat(F.lit("dc"), (key % 16).cast("string")).alias("stream_id"), key.alias("seq"), raw.alias("raw")
     )
 
@@ -132,7 +144,7 @@ def tomcat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 10).cast("string"), F.lit("] "), _level(), F.lit(" Servlet "), F.col("event_type"),
         F.lit(" served in "), (e % 700).cast("string"), F.lit(" ms"),
     )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", *EVENT_COLUMNS, "event_type").select(
         F.concat(F.lit("tc"), (F.col("user_id") % 4).cast("string")).alias("stream_id"), e.alias("seq"), raw.alias("raw")
     )
 
@@ -145,7 +157,7 @@ def bulk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" - - [01/Jan/2024:00:00:00 +0000] \"GET "), _pick(PATHS, i), F.lit(' HTTP/1.1" '),
         _pick([str(s) for s in STATUS], i), F.lit(" "), (i % 5000 + 100).cast("string"), F.lit(' "-" "'), _pick(AGENTS, i), F.lit('"'),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").select(
         F.concat(F.lit("bulk"), (F.col("l_suppkey") % 8).cast("string")).alias("stream_id"),
         F.col("l_orderkey").alias("seq"), raw.alias("raw"),
     )
@@ -179,7 +191,7 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files: (path, content); some contents end with program text."""
     p = F.col("page_id")
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages", "page_id", "html").select(
         F.concat(F.lit("/site/p"), p.cast("string"), F.lit("."), _pick(SUFFIXES, p)).alias("path"),
         F.concat(F.col("html"), F.lit("\n"), _pick(CONTENT, F.floor(p / 3))).alias("content"),
     )

@@ -8,6 +8,7 @@ from ..operators import evaluate, keys, params
 from ..session import materialize
 from ..sources import text as lines_source
 from . import views
+from . import line_queries  # noqa: F401  (defines the check steps used here)
 from .registry import query
 from .views import define
 
@@ -71,9 +72,9 @@ define("a_truth", ("a_done",), "SELECT *, anomaly_type <> 'normal' AS is_anomaly
 
 def parsed_app(spark, sf_dir):
     """Parsed application lines with the time delta as first parameter and the train/test part; stored."""
-    parsed = keys.with_time_delta(keys.parse_lines(views.app_lines(spark, sf_dir)))
-    split = lines_source.positional_split(parsed.drop("raw", "level"))
-    return materialize(split, "parsed")
+    split = lines_source.positional_split(views.app_lines(spark, sf_dir))
+    parsed = keys.with_time_delta(keys.parse_lines(split, parts=["ts", "log_key", "params"]))
+    return materialize(parsed.drop("raw"), "parsed")
 
 
 def key_model(parsed):
@@ -102,8 +103,8 @@ def short(column):
 
 @query("vocabulary", ["a_vocab"], "SELECT log_key, idx FROM a_vocab")
 def vocabulary(spark, sf_dir):
-    parsed = keys.parse_lines(views.app_lines(spark, sf_dir), parts=["log_key"])
-    return keys.vocabulary(lines_source.positional_split(parsed).filter("part = 'train'"))
+    train = lines_source.positional_split(views.app_lines(spark, sf_dir)).filter("part = 'train'")
+    return keys.vocabulary(keys.parse_lines(train, parts=["log_key"]))
 
 
 @query("windows", ["a_hist"], "SELECT stream_id, seq, array_to_string(hist, ' > ') AS hist, log_key AS label FROM a_hist WHERE hist IS NOT NULL")
@@ -114,7 +115,8 @@ def windows(spark, sf_dir):
 
 @query("next_key_model", ["a_counts"], "SELECT length::BIGINT AS length, array_to_string(hist, ' > ') AS hist, label, n FROM a_counts")
 def next_key_model(spark, sf_dir):
-    parsed = lines_source.positional_split(keys.parse_lines(views.app_lines(spark, sf_dir), parts=["log_key"])).filter("part = 'train'")
+    train = lines_source.positional_split(views.app_lines(spark, sf_dir)).filter("part = 'train'")
+    parsed = keys.parse_lines(train, parts=["log_key"])
     counts = keys.count_windows(keys.training_windows(parsed, WINDOW))
     return counts.select(F.col("length").cast("bigint").alias("length"), short("hist").alias("hist"), "label", "n")
 
@@ -194,12 +196,12 @@ def param_stats(spark, sf_dir):
     )
 
 
-@query("param_ar1", ["a_reg"], "SELECT log_key, pos::BIGINT AS pos, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM a_reg")
+@query("param_ar1", ["a_reg"], "SELECT log_key, pos::BIGINT AS pos, round(slope, 6) + 0.0::DOUBLE AS slope, round(intercept, 6) + 0.0::DOUBLE AS intercept FROM a_reg")
 def param_ar1(spark, sf_dir):
     table = params.train(parsed_app(spark, sf_dir).filter("part = 'train'"), WINDOW).table
     return table.select("log_key", F.posexplode(F.arrays_zip("slopes", "intercepts")).alias("pos", "z")).select(
-        "log_key", F.col("pos").cast("bigint").alias("pos"), F.round("z.slopes", 6).alias("slope"),
-        F.round("z.intercepts", 6).alias("intercept"),
+        "log_key", F.col("pos").cast("bigint").alias("pos"), (F.round("z.slopes", 6) + F.lit(0.0)).alias("slope"),
+        (F.round("z.intercepts", 6) + F.lit(0.0)).alias("intercept"),
     )
 
 

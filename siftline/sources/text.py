@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..operators.joins import lookup
-from ..operators.sequences import chunk_of
+from ..operators.sequences import chunk_of, dense_position
+from ..session import materialize
 
 LINE_CHUNK = 200_000
 
@@ -26,7 +27,7 @@ def with_line_numbers(scanned: DataFrame) -> DataFrame:
     before = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        lookup(scanned, offsets, split, "inner")
+        lookup(scanned, materialize(offsets, "splits"), split, "inner")
         .withColumn("seq", F.col("_offset") + F.col("_row") - F.col("_first") + 1)
         .drop("_block", "_row", "_first", "_offset")
     )
@@ -82,8 +83,6 @@ def read_tree(spark: SparkSession, path: str, recursive: bool = True, skip_comme
 
 def renumber(lines: DataFrame) -> DataFrame:
     """Dense ``seq`` again after lines were dropped, in the same order."""
-    from ..operators.sequences import dense_position
-
     old = lines.withColumnRenamed("seq", "_line")
     return dense_position(old, ["stream_id"], ["_line"], chunk_of(F.col("_line"), LINE_CHUNK)).drop("_line")
 
@@ -119,7 +118,7 @@ def head(lines: DataFrame, count: int) -> DataFrame:
 
 def tail(lines: DataFrame, count: int) -> DataFrame:
     """The last lines of every stream; only its length is aggregated, no stream is sorted."""
-    lengths = lines.groupBy("stream_id").agg(F.max("seq").alias("_last"))
+    lengths = materialize(lines.groupBy("stream_id").agg(F.max("seq").alias("_last")), "lengths")
     return lookup(lines, lengths, ["stream_id"], "inner").filter(F.col("seq") > F.col("_last") - count).drop("_last")
 
 
@@ -131,7 +130,7 @@ def first_files(lines: DataFrame, count: int) -> DataFrame:
 
 def positional_split(lines: DataFrame, share: float = 0.8) -> DataFrame:
     """Add ``part``: ``train`` for the first ``share`` of every stream, else ``test``."""
-    lengths = lines.groupBy("stream_id").agg(F.max("seq").alias("_n"))
+    lengths = materialize(lines.groupBy("stream_id").agg(F.max("seq").alias("_n")), "lengths")
     return (
         lookup(lines, lengths, ["stream_id"])
         .withColumn("part", F.when(F.col("seq") <= F.floor(F.col("_n") * share), "train").otherwise("test"))
@@ -195,7 +194,7 @@ def with_type(lines: DataFrame, unified: bool = False) -> DataFrame:
     files = lines.select("stream_id").distinct().join(found, "stream_id", "left").select(
         "stream_id", F.coalesce(formats.file_type_by_name(name, unified), hint, F.lit(fallback)).alias("log_type")
     )
-    return lookup(lines, files, ["stream_id"])
+    return lookup(lines, materialize(files, "file-types"), ["stream_id"])
 
 
 def read_auto(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import line_queries, model_queries, rule_queries, workflow_queries  # noqa: F401
+from . import file_queries, line_queries, model_queries, rule_queries, workflow_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

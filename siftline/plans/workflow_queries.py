@@ -66,7 +66,7 @@ def transitions(spark, sf_dir):
 
 
 @query("workflow_nodes", ["w_edges"], """SELECT workflow_id, log_key, first_at, first_at = min(first_at) OVER (PARTITION BY workflow_id) AS is_start FROM (
-    SELECT workflow_id, log_key, min(at) AS first_at FROM (SELECT workflow_id, src AS log_key, first_seq AS at FROM w_edges UNION ALL SELECT workflow_id, dst, first_seq + 1 FROM w_edges) GROUP BY ALL)""")
+    SELECT workflow_id, log_key, min(p) AS first_at FROM (SELECT workflow_id, src AS log_key, first_seq AS p FROM w_edges UNION ALL SELECT workflow_id, dst, first_seq + 1 FROM w_edges) GROUP BY ALL)""")
 def workflow_nodes(spark, sf_dir):
     return workflow.node_table(stored_edges(spark, sf_dir))
 
@@ -113,17 +113,17 @@ def path_check(spark, sf_dir):
 
 define("k_words", ("k_mixed",), r"""SELECT log_key, list_distinct(list_filter(regexp_split_to_array(lower(log_key), '\s+'), lambda w: w <> '')) AS words FROM (SELECT DISTINCT log_key FROM k_mixed)""")
 define("k_sim", ("k_words",), """SELECT a.log_key, b.log_key AS similar_key, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::DOUBLE AS similarity
-    FROM k_words a, k_words b WHERE NOT starts_with(a.log_key, '*') AND starts_with(b.log_key, '*')""")
+    FROM k_words a, k_words b WHERE contains(a.log_key, 'ERROR') AND NOT contains(b.log_key, 'ERROR')""")
 
 
 @query("similar_key", ["k_sim"], """SELECT log_key, similar_key, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY log_key ORDER BY similarity DESC, similar_key) AS r FROM k_sim WHERE similarity >= 0.3)
     WHERE r = 1""")
 def similar_key(spark, sf_dir):
-    """The templates that start with a word, each with the most similar template that starts with a number."""
+    """The error templates, each with the most similar other template."""
     parsed = keys.parse_lines(views.mixed_lines(spark, sf_dir), parts=["log_key"])
     distinct = materialize(parsed.select("log_key").distinct(), "templates")
-    dated = F.col("log_key").startswith("*")
-    found = workflow.similar_keys(distinct.filter(~dated), distinct.filter(dated))
+    error = F.col("log_key").contains("ERROR")
+    found = workflow.similar_keys(distinct.filter(error), distinct.filter(~error))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -197,7 +197,25 @@ def task_workflows(spark, sf_dir):
 
 
 
-@query("diagnosis")
+define("g_step", ("a_done",), "SELECT *, lag(log_key) OVER (PARTITION BY stream_id ORDER BY seq) AS prev FROM a_done")
+define("g_edges", ("g_step",), "SELECT stream_id AS wf, prev AS src, log_key AS dst, min(seq) - 1 AS first_seq FROM g_step WHERE part = 'train' AND prev IS NOT NULL GROUP BY ALL")
+define("g_nodes", ("g_edges",), "SELECT wf, k, min(p) AS p FROM (SELECT wf, src AS k, first_seq AS p FROM g_edges UNION ALL SELECT wf, dst, first_seq + 1 FROM g_edges) GROUP BY ALL")
+define("g_size", ("g_nodes",), "SELECT wf, count(*) AS steps, arg_min(k, p) AS start FROM g_nodes GROUP BY wf")
+define("g_home", ("g_nodes",), "SELECT k, min(wf) AS home FROM g_nodes GROUP BY k")
+define("g_loop", ("g_edges",), """WITH RECURSIVE r AS (SELECT wf, src, dst FROM g_edges UNION SELECT r.wf, r.src, e.dst FROM r JOIN g_edges e ON r.wf = e.wf AND r.dst = e.src)
+    SELECT DISTINCT wf, src FROM r WHERE src = dst""")
+define("g_succ", ("g_edges",), """SELECT wf, src, string_agg(substr(dst, 1, 50), ', ' ORDER BY r) AS e FROM (SELECT *, row_number() OVER (PARTITION BY wf, src ORDER BY first_seq, dst) AS r FROM g_edges)
+    WHERE r <= 3 GROUP BY ALL""")
+define("g_found", ("g_step", "g_home", "g_edges", "g_loop"), """SELECT s.stream_id, s.seq, s.log_key, s.prev, h.home AS wf, CASE WHEN s.prev IS NOT NULL AND e.src IS NULL AND l.src IS NULL THEN 'invalid_transition' END AS problem
+    FROM g_step s JOIN g_home h ON h.k = s.log_key LEFT JOIN g_edges e ON e.wf = h.home AND e.src = s.prev AND e.dst = s.log_key LEFT JOIN g_loop l ON l.wf = h.home AND l.src = s.prev
+    WHERE s.anomaly_type <> 'normal'""")
+
+
+@query("diagnosis", ["g_found", "g_size", "g_succ"], """SELECT f.stream_id, f.seq, f.wf AS workflow_id, f.problem, concat_ws(' | ',
+    CASE WHEN problem IS NOT NULL THEN 'invalid step: ' || substr(prev, 1, 50) || ' -> ' || substr(log_key, 1, 50) END,
+    'expected next: ' || CASE WHEN problem IS NULL THEN a.e ELSE coalesce(b.e, c.e) END, 'workflow with ' || steps::VARCHAR || ' steps') AS diagnosis
+    FROM g_found f JOIN g_size z USING (wf) LEFT JOIN g_succ a ON a.wf = f.wf AND a.src = f.log_key LEFT JOIN g_succ b ON b.wf = f.wf AND b.src = f.prev
+    LEFT JOIN g_succ c ON c.wf = f.wf AND c.src = z.start""")
 def diagnosis(spark, sf_dir):
     """Anomalies explained by the workflows of the users' training lines."""
     found = model_queries.detected_app(spark, sf_dir)

@@ -238,10 +238,12 @@ def detect_keys(parsed: DataFrame, model: KeyModel, chunk_rows: int = CHUNK_ROWS
     predictions. The decision is made once per distinct (history, template) and then looked up, so that
     a frequent history costs no more than a rare one.
     """
-    rows = with_history(parsed, model.window, chunk_rows)
-    pairs = materialize(
-        rows.groupBy("hist", "log_key").agg(F.count(F.lit(1)).alias("n")), "pairs"
-    )
+    return decide_keys(with_history(parsed, model.window, chunk_rows), model)
+
+
+def decide_keys(rows: DataFrame, model: KeyModel) -> DataFrame:
+    """The decision of ``detect_keys`` for rows that have ``hist`` already."""
+    pairs = materialize(rows.groupBy("hist", "log_key").agg(F.count(F.lit(1)).alias("n")), "pairs")
     answers = materialize(predict(model, pairs.select("hist").filter(F.col("hist").isNotNull()).distinct()), "answers")
     known = model.vocab.select("log_key", F.lit(True).alias("_known"))
     inside = F.exists("predictions", lambda p: p["key"] == F.col("log_key"))

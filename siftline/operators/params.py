@@ -185,15 +185,20 @@ def detect_params(keyed: DataFrame, model: ParamModel, chunk_rows: int = CHUNK_R
     good = keyed.filter(~F.col("key_anomaly") & (F.size("params") > 0)).select(
         "stream_id", "seq", "log_key", "params"
     )
-    ready = with_previous(good, chunk_rows).filter(F.col("nth") > model.window)
+    scored = score_vectors(with_previous(good, chunk_rows), model)
+    return keyed.join(scored, ["stream_id", "seq"], "left").withColumn(
+        "param_anomaly", F.coalesce(F.col("mse") > F.col("mse_threshold"), F.lit(False))
+    )
+
+
+def score_vectors(followed: DataFrame, model: ParamModel) -> DataFrame:
+    """(stream_id, seq, mse, mse_threshold) of vectors with enough history; reads params, prev and nth."""
+    ready = followed.filter(F.col("nth") > model.window)
     fitted = lookup(ready, model.table, ["log_key"], "inner").withColumns(
         {"params": fit_length(F.col("params"), F.col("dim")), "prev": fit_length(F.col("prev"), F.col("dim"))}
     )
     scored = fitted.withColumns({"now": scale_vector("params"), "before": scale_vector("prev")})
-    scored = scored.select("stream_id", "seq", predicted_error().alias("mse"), "mse_threshold")
-    return keyed.join(scored, ["stream_id", "seq"], "left").withColumn(
-        "param_anomaly", F.coalesce(F.col("mse") > F.col("mse_threshold"), F.lit(False))
-    )
+    return scored.select("stream_id", "seq", predicted_error().alias("mse"), "mse_threshold")
 
 
 def label_anomalies(detected: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from . import file_queries, line_queries, model_queries, rule_queries, workflow_queries  # noqa: F401
+from . import (  # noqa: F401  (importing registers the queries)
+    file_queries, line_queries, model_queries, rule_queries, stream_queries, workflow_queries,
+)
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -98,6 +98,11 @@ def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access-log lines per web server; ``seq`` grows with time but has gaps."""
+    return access_rows(table(spark, sf_dir, "events", *EVENT_COLUMNS))
+
+
+def access_rows(events: DataFrame, *keep: str) -> DataFrame:
+    """Access lines of event rows, from a batch or a stream."""
     e, day = F.col("event_id"), F.col("ts").cast("string")
     raw = F.concat(
         _ip(), F.lit(" - - ["), F.substring(day, 9, 2), F.lit("/"),
@@ -106,13 +111,18 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick([str(s) for s in STATUS], e), F.lit(" "), (e % 5000 + 100).cast("string"), F.lit(' "-" "'),
         _pick(AGENTS, e), F.lit('"'),
     )
-    return table(spark, sf_dir, "events", *EVENT_COLUMNS).select(
-        F.concat(F.lit("web"), (F.col("user_id") % 4).cast("string")).alias("stream_id"), e.alias("seq"), raw.alias("raw")
+    return events.select(
+        F.concat(F.lit("web"), (F.col("user_id") % 4).cast("string")).alias("stream_id"), e.alias("seq"), raw.alias("raw"), *keep
     )
 
 
 def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Login lines per host; ``seq`` grows with time but has gaps."""
+    return auth_rows(table(spark, sf_dir, "events", *EVENT_COLUMNS))
+
+
+def auth_rows(events: DataFrame, *keep: str) -> DataFrame:
+    """Login lines of event rows, from a batch or a stream."""
     e, day = F.col("event_id"), F.col("ts").cast("string")
     message = _pick(AUTH, e)
     for mark, value in (("{u}", F.col("user_id").cast("string")), ("{ip}", _ip()), ("{p}", (e % 50000 + 1024).cast("string"))):
@@ -122,7 +132,7 @@ def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(_texts(MONTHS), F.month("ts")), F.lit(" "), F.substring(day, 9, 2), F.lit(" "),
         F.substring(day, 12, 8), F.lit(" "), host, F.lit(" "), message,
     )
-    return table(spark, sf_dir, "events", *EVENT_COLUMNS).select(host.alias("stream_id"), e.alias("seq"), raw.alias("raw"))
+    return events.select(host.alias("stream_id"), e.alias("seq"), raw.alias("raw"), *keep)
 
 
 def windows_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,10 @@ STREAM_PATTERNS = (
     r"(?i)instance[_\s]*id[:\s]*([^\s,]+)",
     r"(?i)id[:\s]*([a-f0-9-]{36})",
 )
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 KEY_LIMIT = 200
 EVENT_PREVIEW = 50
 PARAMETER_BOUND = 100000.0
@@ -32,7 +36,7 @@ PARAMETER_BOUND = 100000.0
 
 def strip(col: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def clean_utf8(col: Column) -> Column:
@@ -72,11 +76,14 @@ def _key_with_level(raw: Column, word: Column) -> Column:
         (r"\*\.\*\.\*\.\*", "*"),
         (UUID, "*"),
         (r"(?U)/\S+", "/*"),
-        (r"(?U)\w+_id=\*", "*_id=*"),
-        (r"(?U)\w+=\*", "*=*"),
     ):
         text = F.regexp_replace(text, pattern, replacement)
 
+    def assignments(text: Column) -> Column:
+        result = F.regexp_replace(text, r"(?U)\w+_id=\*", "*_id=*")
+        result = F.regexp_replace(result, r"(?U)\w+=\*", "*=*")
+        return F.when(text.contains("=*"), result).otherwise(text)
+
     def restore(value: Column) -> Column:
         return F.when(word == "", value).otherwise(F.replace(value, mark, name))
 
@@ -94,24 +101,25 @@ def _key_with_level(raw: Column, word: Column) -> Column:
             .otherwise(restore(text))
         )
 
-    return let(text, finish)
+    return let(let(text, assignments), finish)
 
 
 def parameters(raw: Column) -> Column:
     """Numbers of a line: ids, then durations, then other numbers outside the timestamp, each once."""
-    time_text = F.regexp_extract(raw, f"({ISO_TIME})", 1)
-
     def numbers(pattern: str) -> Column:
         return F.regexp_extract_all(raw, F.lit(pattern), F.lit(1))
 
     def to_double(values: Column) -> Column:
         return F.transform(values, lambda v: v.cast("double"))
 
-    rest = F.filter(numbers(ANY_NUMBER), lambda v: (time_text == "") | (F.instr(time_text, v) == 0))
-    rest = F.filter(to_double(rest), lambda v: (v > 0) & (v < PARAMETER_BOUND))
-    return F.array_distinct(
-        F.concat(to_double(numbers(ID_PARAMETER)), to_double(numbers(DURATION_PARAMETER)), rest)
-    )
+    def outside(time_text: Column) -> Column:
+        rest = F.filter(numbers(ANY_NUMBER), lambda v: (time_text == "") | (F.instr(time_text, v) == 0))
+        return F.filter(to_double(rest), lambda v: (v > 0) & (v < PARAMETER_BOUND))
+
+    none = F.array().cast("array<double>")
+    ids = F.when(raw.contains("_id="), to_double(numbers(ID_PARAMETER))).otherwise(none)
+    rest = let(F.regexp_extract(raw, f"({ISO_TIME})", 1), outside)
+    return F.array_distinct(F.concat(ids, to_double(numbers(DURATION_PARAMETER)), rest))
 
 
 def _wall_clock(text: Column) -> Column:

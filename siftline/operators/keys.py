@@ -42,20 +42,31 @@ def parse_lines(
     return parsed.withColumns({p: F.col(f"_line.{p}") for p in parts}).drop("_line")
 
 
-def with_time_delta(parsed: DataFrame, prepend: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Seconds to the last line of the stream that has a time; also put in front of the parameters."""
+def with_time_delta(parsed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``time_delta``, the seconds to the last line of the stream that has a time."""
     known = last_known(parsed, ["stream_id"], "seq", "ts", "_before", chunk_rows)
-    delta = known.withColumn(
+    return known.withColumn(
         "time_delta", F.when(F.col("ts").isNotNull(), text.seconds_between(F.col("_before"), F.col("ts")))
     ).drop("_before")
-    if not prepend:
-        return delta
-    return delta.withColumn(
+
+
+def with_delta_first(parsed: DataFrame) -> DataFrame:
+    """The time delta, where there is one, in front of the parameters."""
+    return parsed.withColumn(
         "params",
         F.when(F.col("time_delta").isNotNull(), F.concat(F.array("time_delta"), "params")).otherwise(F.col("params")),
     )
 
 
+def parse_streams(lines: DataFrame, given_ts: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Everything about a line: ts, time_delta, level, log_key, and params with the delta in front.
+
+    Times come first, as the deltas read the lines twice; templates and parameters are then computed once.
+    """
+    timed = with_time_delta(parse_lines(lines, given_ts, ["ts"]), chunk_rows)
+    return with_delta_first(parse_lines(timed, parts=["level", "log_key", "params"]))
+
+
 def by_identifier(
     lines: DataFrame, identifier: Column | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:

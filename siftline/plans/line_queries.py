@@ -90,7 +90,7 @@ def line_times(spark, sf_dir):
     FROM (SELECT stream_id, seq, substr(raw, 1, 19)::TIMESTAMP AS ts FROM v_app)""")
 def time_delta(spark, sf_dir):
     parsed = keys.parse_lines(views.app_lines(spark, sf_dir), parts=["ts"])
-    return keys.with_time_delta(parsed, prepend=False).select("stream_id", "seq", "time_delta")
+    return keys.with_time_delta(parsed).select("stream_id", "seq", "time_delta")
 
 
 @query("stream_ids", ["v_named"], r"""SELECT stream_id, count(*) AS n, min(seq) AS first_line FROM (SELECT seq, coalesce(

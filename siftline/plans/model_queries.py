@@ -73,8 +73,7 @@ define("a_truth", ("a_done",), "SELECT *, anomaly_type <> 'normal' AS is_anomaly
 def parsed_app(spark, sf_dir):
     """Parsed application lines with the time delta as first parameter and the train/test part; stored."""
     split = lines_source.positional_split(views.app_lines(spark, sf_dir))
-    parsed = keys.with_time_delta(keys.parse_lines(split, parts=["ts", "log_key", "params"]))
-    return materialize(parsed.drop("raw"), "parsed")
+    return materialize(keys.parse_streams(split).drop("raw", "level"), "parsed")
 
 
 def key_model(parsed):

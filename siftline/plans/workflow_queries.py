@@ -180,9 +180,9 @@ define("t_starts", ("t_numbered",), """WITH RECURSIVE s AS (SELECT stream_id, mi
 @query("tasks_model", ["t_flag", "t_starts"], """SELECT f.stream_id, f.seq, (sum(CASE WHEN s.seq IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY f.stream_id ORDER BY f.seq))::BIGINT AS task_id
     FROM t_flag f LEFT JOIN t_starts s ON f.stream_id = s.stream_id AND f.seq = s.seq""")
 def tasks_model(spark, sf_dir):
-    """Tasks with history reset, in chunks of 20 lines so that the chaining is at work."""
+    """Tasks with history reset."""
     rows, window = flagged(spark, sf_dir)
-    return workflow.tasks_by_model(rows, window, chunk_rows=20).select("stream_id", "seq", "task_id")
+    return workflow.tasks_by_model(rows, window).select("stream_id", "seq", "task_id")
 
 
 @query("task_workflows")

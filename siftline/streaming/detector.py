@@ -145,15 +145,13 @@ class StreamDetector:
         seen = windowed(
             timed, ["stream_id"], "pos", {"_hist": previous("log_key", window)}, back=window, chunk_rows=self.chunk_rows
         ).filter("_new")
-        ready = seen.withColumn("hist", F.when(F.col("pos") > window, F.col("_hist"))).withColumn(
-            "params",
-            F.when(F.col("time_delta").isNotNull(), F.concat(F.array("time_delta"), "params")).otherwise(F.col("params")),
-        )
+        ready = keys.with_delta_first(seen.withColumn("hist", F.when(F.col("pos") > window, F.col("_hist"))))
         ready = materialize(ready.drop("_hist", "_before", "_new"), "stream-rows")
         keyed = materialize(keys.decide_keys(ready, self.key_model), "stream-keyed")
 
         # Vectors of the same template: numbered on from the state, with its last vector in front.
-        known = materialize(self.vectors.before(batch_id).join(touched, "stream_id", "left_semi"), "vector-state")
+        known = self.vectors.before(batch_id).join(memory.select("stream_id"), "stream_id", "left_semi")
+        known = materialize(known, "vector-state")
         good = keyed.filter(~F.col("key_anomaly") & (F.size("params") > 0)).select("stream_id", "seq", "pos", "log_key", "params")
         ranked = dense_position(
             good, ["stream_id", "log_key"], ["pos"], chunk_of(F.col("pos"), self.chunk_rows), "_rank"

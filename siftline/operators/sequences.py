@@ -134,3 +134,21 @@ def running_sum(
         .withColumn(out, F.col("_offset") + F.col("_inside"))
         .drop("_chunk", "_value", "_inside", "_offset")
     )
+
+
+def lowest_before(
+    df: DataFrame, group: Sequence[str], position: str, value: str, out: str, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """The smallest value over all earlier rows of the group, null for the first row."""
+    keys = [*group, "_chunk"]
+    rows = df.withColumn("_chunk", chunk_of(F.col(position), chunk_rows))
+    lows = rows.groupBy(*keys).agg(F.min(value).alias("_low"))
+    earlier = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lows.select(*keys, F.min("_low").over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_inside", F.min(value).over(inside))
+        .join(carried, keys)
+        .withColumn(out, F.least("_inside", "_carried"))
+        .drop("_chunk", "_inside", "_carried")
+    )

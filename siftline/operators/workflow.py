@@ -6,6 +6,9 @@ depend on earlier results (reset points, greedy merging) are solved exactly in b
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import keys as key_models
 from .joins import lookup
-from .sequences import CHUNK_ROWS, chunk_of, running_sum, windowed
+from .sequences import CHUNK_ROWS, chunk_of, dense_position, lowest_before, running_sum, windowed
 
 # Similarity below which no known template is named, weights and bound of workflow
 # similarity, predictions looked at for task separation, share of direct successors for linking.
@@ -53,11 +56,11 @@ def node_table(edges: DataFrame) -> DataFrame:
     )
 
 
-def loop_nodes(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Nodes that can reach themselves.
+def reachable(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """All (workflow_id, src, dst) with a path from src to dst.
 
-    Paths are doubled in every round, so a loop of length L is found after log2(L) rounds. Each round is
-    stored, which cuts the lineage.
+    Paths are doubled in every round, so paths of length L are found after log2(L) rounds. Each round is
+    stored, which cuts the lineage. The table is bounded by the templates of a workflow, not by its lines.
     """
     reach = materialize(edges.select("workflow_id", "src", "dst").distinct(), "reach")
     size = reach.count()
@@ -71,7 +74,12 @@ def loop_nodes(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if grown == size:
             break
         size = grown
-    return reach.filter(F.col("src") == F.col("dst")).select("workflow_id", F.col("src").alias("log_key"))
+    return reach
+
+
+def loop_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that can reach themselves."""
+    return reachable(edges).filter(F.col("src") == F.col("dst")).select("workflow_id", F.col("src").alias("log_key"))
 
 
 def successors(edges: DataFrame, count: int = 3) -> DataFrame:
@@ -396,6 +404,112 @@ def task_links(parsed: DataFrame, share: float = LINK_SHARE, chunk_rows: int = C
     )
 
 
+def tasks_by_cooccurrence(
+    parsed: DataFrame, share: float = LINK_SHARE, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Task of every line, named by the line number of the task's first line.
+
+    A line joins the oldest task that waits for its template, and lets this task wait for the template's
+    link. How many tasks wait for a template follows from running sums alone. Where every template has one
+    source, tasks are also served in the order in which they began to wait, so the n-th waiting line and the
+    n-th served line belong together. Templates with several sources or in a loop, and those behind them,
+    are served by age in one ordered pass per stream that holds no more than the waiting tasks.
+    """
+    rows = parsed.select("stream_id", "seq", "log_key")
+    links = materialize(task_links(rows, share, chunk_rows), "links")
+    closure = reachable(links.select(F.col("stream_id").alias("workflow_id"), F.col("a").alias("src"), F.col("b").alias("dst")))
+    closure = closure.withColumnRenamed("workflow_id", "stream_id")
+    merging = links.groupBy("stream_id", "b").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1").select(
+        "stream_id", F.col("b").alias("log_key")
+    )
+    looping = closure.filter(F.col("src") == F.col("dst")).select("stream_id", F.col("src").alias("log_key"))
+    origin = merging.unionByName(looping).distinct()
+    behind = closure.join(origin.withColumnRenamed("log_key", "src"), ["stream_id", "src"], "left_semi").select(
+        "stream_id", F.col("dst").alias("log_key")
+    )
+    hard = materialize(origin.unionByName(behind).distinct(), "hard-keys")
+
+    # Simple targets: served or not by the number of waiting tasks.
+    simple = links.join(hard.withColumnRenamed("log_key", "b"), ["stream_id", "b"], "left_anti")
+    roles = materialize(
+        simple.select("stream_id", F.col("a").alias("log_key"), F.col("b").alias("target"), F.lit(1).alias("step"))
+        .unionByName(simple.select("stream_id", F.col("b").alias("log_key"), F.col("b").alias("target"), F.lit(-1).alias("step")))
+        .groupBy("stream_id", "log_key").agg(F.collect_list(F.struct("target", "step")).alias("roles")), "roles",
+    )
+    steps = lookup(rows, roles, ["stream_id", "log_key"], "inner").select("stream_id", "seq", F.inline("roles"))
+    group = ["stream_id", "target"]
+    placed = dense_position(steps, group, ["seq"], chunk_of(F.col("seq"), chunk_rows), "_pos")
+    placed = materialize(
+        running_sum(placed, group, "_pos", F.col("step").cast("bigint"), "_sum", chunk_rows), "waiting"
+    )
+    lowest = lowest_before(placed, group, "_pos", "_sum", "_lowest", chunk_rows)
+    is_served = (F.col("step") < 0) & (F.col("_sum") >= F.least(F.coalesce("_lowest", F.lit(0)), F.lit(0)))
+
+    def ranked(part: DataFrame, name: str) -> DataFrame:
+        return dense_position(
+            part.select("stream_id", "target", "seq"), group, ["seq"], chunk_of(F.col("seq"), chunk_rows), "_rank"
+        ).withColumnRenamed("seq", name)
+
+    pairs = ranked(lowest.filter(is_served), "seq").join(
+        ranked(placed.filter("step > 0"), "parent"), ["stream_id", "target", "_rank"]
+    )
+    roots = _follow(materialize(pairs.select("stream_id", "seq", "parent"), "parents"))
+    named = rows.join(roots, ["stream_id", "seq"], "left").withColumn("task_id", F.coalesce("parent", "seq")).drop("parent")
+    if hard.isEmpty():
+        return named
+    return _served_by_age(materialize(named, "simple-tasks"), links, hard)
+
+
+def _follow(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Replace the parent of every line by its first ancestor; the distance doubles in every round."""
+    for _ in range(max_rounds):
+        upper = parents.select("stream_id", F.col("seq").alias("parent"), F.col("parent").alias("_above"))
+        further = materialize(parents.join(upper, ["stream_id", "parent"], "left"), "ancestors")
+        parents = further.select("stream_id", "seq", F.coalesce("_above", "parent").alias("parent"))
+        if further.filter(F.col("_above").isNotNull()).isEmpty():
+            break
+    return parents
+
+
+def _served_by_age(named: DataFrame, links: DataFrame, hard: DataFrame) -> DataFrame:
+    """Serve the hard templates in line order, the oldest waiting task first."""
+    kind = named.schema["stream_id"].dataType.simpleString()
+    waits = links.join(hard.withColumnRenamed("log_key", "b"), ["stream_id", "b"], "left_semi").select(
+        "stream_id", F.col("a").alias("log_key"), F.col("b").alias("next")
+    )
+    marks = materialize(
+        waits.join(hard.withColumn("is_hard", F.lit(True)), ["stream_id", "log_key"], "full"), "hard-marks"
+    )
+    involved = lookup(named, marks, ["stream_id", "log_key"], "inner")
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, waiting = None, {}
+        for pdf in batches:
+            tasks = []
+            for sid, key, nxt, is_hard, task in zip(
+                pdf["stream_id"], pdf["log_key"], pdf["next"], pdf["is_hard"], pdf["task_id"]
+            ):
+                if sid != stream:
+                    stream, waiting = sid, {}
+                if is_hard is True or is_hard == 1:
+                    queue = waiting.get(key)
+                    if queue:
+                        task = heapq.heappop(queue)
+                if nxt is not None and nxt == nxt:
+                    heapq.heappush(waiting.setdefault(nxt, []), int(task))
+                tasks.append(int(task))
+            yield pd.DataFrame({"stream_id": pdf["stream_id"], "seq": pdf["seq"], "_task": tasks})
+
+    served = (
+        involved.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+        .mapInPandas(serve, f"stream_id {kind}, seq bigint, _task bigint")
+    )
+    return (
+        named.join(served, ["stream_id", "seq"], "left")
+        .withColumn("task_id", F.coalesce("_task", "task_id")).drop("_task")
+    )
+
+
 def task_workflows(tasks: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Edges of every task as a workflow of its own; the id is the pair (stream_id, task_id)."""
     rows = windowed(

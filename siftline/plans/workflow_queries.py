@@ -185,6 +185,18 @@ def tasks_model(spark, sf_dir):
     return workflow.tasks_by_model(rows, window).select("stream_id", "seq", "task_id")
 
 
+@query("tasks_cooccurrence")
+def tasks_cooccurrence(spark, sf_dir):
+    """Tasks linked by direct succession over runs of three kinds of four steps, with some steps disturbed."""
+    run = F.floor((F.col("seq") - 1) / 4)
+    kind = F.pmod(run * run + F.col("stream_id"), F.lit(3)).cast("string")
+    step = F.concat(F.lit("kind "), kind, F.lit(" step "), F.pmod(F.col("seq") - 1, F.lit(4)).cast("string"))
+    lines = views.app_lines(spark, sf_dir).select(
+        "stream_id", "seq", F.when(F.crc32(F.col("raw").cast("binary")) % 17 == 0, "retry").otherwise(step).alias("log_key")
+    )
+    return workflow.tasks_by_cooccurrence(materialize(lines, "steps"))
+
+
 @query("task_workflows")
 def task_workflows(spark, sf_dir):
     """Edges of the workflow of every task."""

@@ -62,15 +62,15 @@ def access_time(text: Column) -> Column:
 def syslog_time(text: Column, year: Column | int) -> Column:
     """``MMM d HH:mm:ss`` in the given year."""
     parts = F.split(text, r"\s+")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), parts[0])
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get(parts, F.lit(0)))
     year = F.lit(year) if isinstance(year, int) else year
     iso = F.concat_ws(
         " ",
         F.concat_ws(
             "-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"),
-            F.lpad(parts[1], 2, "0"),
+            F.lpad(F.get(parts, F.lit(1)), 2, "0"),
         ),
-        parts[2],
+        F.get(parts, F.lit(2)),
     )
     return iso.try_cast("timestamp_ntz")
 
@@ -91,9 +91,9 @@ def parse_access(raw: Column) -> Column:
             time_text.alias("ts_text"),
             access_time(time_text).alias("ts"),
             request.alias("request"),
-            F.when(three, words[0]).alias("method"),
-            F.when(three, words[1]).alias("path"),
-            F.when(three, words[2]).alias("protocol"),
+            F.when(three, F.get(words, F.lit(0))).alias("method"),
+            F.when(three, F.get(words, F.lit(1))).alias("path"),
+            F.when(three, F.get(words, F.lit(2))).alias("protocol"),
             F.regexp_extract(raw, ACCESS, 4).try_cast("int").alias("status"),
             F.regexp_extract(raw, ACCESS, 5).try_cast("bigint").alias("size"),
             group(raw, ACCESS_AGENT, 6).alias("referer"),

@@ -92,8 +92,8 @@ def split_label(lines: DataFrame) -> DataFrame:
     parts = F.split(F.col("raw"), r"\s+", 2)
     return lines.withColumns(
         {
-            "label": F.when(F.size(parts) == 2, parts[0]).otherwise(F.lit("-")),
-            "raw": F.when(F.size(parts) == 2, parts[1]).otherwise(F.col("raw")),
+            "label": F.when(F.size(parts) == 2, F.get(parts, F.lit(0))).otherwise(F.lit("-")),
+            "raw": F.when(F.size(parts) == 2, F.get(parts, F.lit(1))).otherwise(F.col("raw")),
         }
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import at_most
 
 BROADCAST_ROWS = 200_000
+BROADCAST_SIZE = 64_000_000
 SALTS = 16
 
 
@@ -24,13 +25,13 @@ def lookup(
     """Join many rows with a table that has one row per key.
 
     ``table`` should be stored (see ``materialize``), since its size is checked here. Up to
-    ``broadcast_rows`` rows it is broadcast and the many rows stay where they are. Beyond that both sides
+    ``broadcast_rows`` rows and 64 MB of values it is broadcast and the many rows stay where they are. Beyond that both sides
     are shuffled with a salt: the table is repeated once per salt, which splits every hot key over
     ``salts`` tasks. Only joins that keep the left rows' identity are allowed.
     """
     if how not in ("left", "inner", "left_anti", "left_semi"):
         raise ValueError(f"lookup joins are left, inner, left_semi or left_anti, not {how}")
-    if at_most(table, broadcast_rows):
+    if at_most(table, broadcast_rows, BROADCAST_SIZE):
         return rows.join(F.broadcast(table), list(keys), how)
     salted = rows.withColumn("_salt", spread(rows, salts))
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

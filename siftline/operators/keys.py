@@ -2,7 +2,8 @@
 
 The model answers "which templates follow the last w templates". It is a table of counts for histories of
 length w down to 0; a history that was never seen falls back to its longest known ending. Counts add up,
-so training is one partial aggregation and an update is a union and a sum.
+so training is one partial aggregation and an update is a union and a sum. Templates are long texts, so the
+model and all windows hold their vocabulary numbers; -1 stands for any template outside the vocabulary.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .sequences import CHUNK_ROWS, dense_position, last_known, previous, windowe
 
 WINDOW = 10
 TOP_G = 5
+UNKNOWN = -1
 
 
 def parse_lines(
@@ -110,19 +112,28 @@ def one_hot(parsed: DataFrame, vocab: DataFrame, column: str = "log_key") -> Dat
     return lookup(parsed, vocab.withColumnRenamed("log_key", column), [column]).join(F.broadcast(size))
 
 
-def with_history(parsed: DataFrame, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``hist``, the last ``window`` templates of the stream; null until there are that many."""
+def encode(parsed: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add ``key_id``, the vocabulary number of the template or -1."""
+    return lookup(parsed, vocab, ["log_key"]).withColumn("key_id", F.coalesce("idx", F.lit(UNKNOWN))).drop("idx")
+
+
+def with_history(
+    parsed: DataFrame, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS, column: str = "log_key"
+) -> DataFrame:
+    """Add ``hist``, the last ``window`` values of the stream; null until there are that many."""
     return windowed(
-        parsed, ["stream_id"], "seq", {"_hist": previous("log_key", window)}, back=window, chunk_rows=chunk_rows
+        parsed, ["stream_id"], "seq", {"_hist": previous(column, window)}, back=window, chunk_rows=chunk_rows
     ).withColumn("hist", F.when(F.col("seq") > window, F.col("_hist"))).drop("_hist")
 
 
-def training_windows(parsed: DataFrame, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Every (history, next template) pair; none for a stream no longer than the window."""
+def training_windows(
+    parsed: DataFrame, window: int = WINDOW, chunk_rows: int = CHUNK_ROWS, column: str = "log_key"
+) -> DataFrame:
+    """Every (history, next value) pair; none for a stream no longer than the window."""
     return (
-        with_history(parsed.select("stream_id", "seq", "log_key"), window, chunk_rows)
+        with_history(parsed.select("stream_id", "seq", column), window, chunk_rows, column)
         .filter(F.col("hist").isNotNull())
-        .select("stream_id", "seq", "hist", F.col("log_key").alias("label"))
+        .select("stream_id", "seq", "hist", F.col(column).alias("label"))
     )
 
 
@@ -131,7 +142,10 @@ def count_windows(windows: DataFrame) -> DataFrame:
 
     Full histories are counted first, so that the step to shorter endings works on distinct pairs.
     """
-    full = windows.groupBy("hist", "label").agg(F.count(F.lit(1)).alias("n"))
+    return _all_endings(windows.groupBy("hist", "label").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _all_endings(full: DataFrame) -> DataFrame:
     endings = F.transform(
         F.sequence(F.lit(0), F.size("hist")),
         lambda k: F.struct(k.alias("length"), F.slice("hist", F.size("hist") - k + 1, k).alias("hist")),
@@ -165,7 +179,11 @@ def top_predictions(counts: DataFrame, top_g: int = TOP_G) -> DataFrame:
 
 @dataclass
 class KeyModel:
-    """Stored tables of a trained model."""
+    """Stored tables of a trained model.
+
+    ``counts`` holds (length, hist, label, n) with vocabulary numbers, ``contexts`` the best labels per
+    history as names with probabilities and as numbers (``ids``).
+    """
 
     counts: DataFrame
     contexts: DataFrame
@@ -190,16 +208,41 @@ class KeyModel:
             spark.read.parquet(f"{path}/vocab"), settings["window"], settings["top_g"],
         )
 
+    def named_counts(self) -> DataFrame:
+        """The counts with template names instead of numbers."""
+        return _translate(self.counts, self.vocab, "idx", "log_key")
+
+
+def _translate(counts: DataFrame, vocab: DataFrame, source: str, target: str) -> DataFrame:
+    """Counts with every history item and label looked up in the vocabulary; a history is short by nature."""
+    row = [c for c in counts.columns]
+    items = counts.select(*row, F.posexplode(F.concat(F.array("label"), "hist")).alias("_pos", source))
+    found = lookup(items, vocab, [source], "inner")
+    folded = found.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("_pos", target))).alias("_items"))
+    names = F.col(f"_items.{target}")
+    return folded.withColumns({"label": F.element_at(names, 1), "hist": F.slice(names, 2, F.size(names))}).drop("_items")
+
 
 def model_from_counts(counts: DataFrame, vocab: DataFrame, window: int, top_g: int) -> KeyModel:
-    return KeyModel(counts, materialize(top_predictions(counts, top_g), "contexts"), vocab, window, top_g)
+    named = lookup(
+        counts.withColumnRenamed("label", "idx"), vocab.withColumnRenamed("log_key", "label"), ["idx"], "inner"
+    )
+    best = top_predictions(named.drop("idx"), top_g)
+    listed = best.select("length", "hist", "predictions", F.posexplode("predictions").alias("_pos", "_p"))
+    coded = lookup(listed.withColumn("log_key", F.col("_p.key")), vocab, ["log_key"], "inner")
+    contexts = coded.groupBy("length", "hist").agg(
+        F.any_value("predictions").alias("predictions"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "idx"))), lambda r: r["idx"]).alias("ids"),
+    )
+    return KeyModel(counts, materialize(contexts, "contexts"), vocab, window, top_g)
 
 
 def train(parsed: DataFrame, window: int = WINDOW, top_g: int = TOP_G, chunk_rows: int = CHUNK_ROWS) -> KeyModel:
     """Count the training lines once and store the model tables."""
-    counts = materialize(count_windows(training_windows(parsed, window, chunk_rows)), "counts")
     vocab = materialize(vocabulary(parsed), "vocab")
-    return model_from_counts(counts, vocab, window, top_g)
+    coded = encode(parsed.select("stream_id", "seq", "log_key"), vocab)
+    counts = count_windows(training_windows(coded, window, chunk_rows, "key_id"))
+    return model_from_counts(materialize(counts, "counts"), vocab, window, top_g)
 
 
 def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -207,27 +250,42 @@ def merge_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("length", "hist", "label").agg(F.sum("n").alias("n"))
 
 
-def update(model: KeyModel, windows: DataFrame, parsed: DataFrame) -> KeyModel:
-    """A new model version that also knows the given windows and templates."""
-    counts = materialize(merge_counts(model.counts, count_windows(windows)), "counts")
+def update(
+    model: KeyModel, parsed: DataFrame, marks: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS
+) -> KeyModel:
+    """A new model version that also knows the given lines.
+
+    With ``marks``, (stream_id, seq) of some of them, only these are learned, after the lines before them.
+    """
     vocab = materialize(grow_vocabulary(model.vocab, parsed), "vocab")
+    windows = training_windows(
+        encode(parsed.select("stream_id", "seq", "log_key"), vocab), model.window, chunk_rows, "key_id"
+    )
+    if marks is not None:
+        windows = windows.join(marks.select("stream_id", "seq"), ["stream_id", "seq"], "left_semi")
+    counts = materialize(merge_counts(model.counts, count_windows(windows)), "counts")
     return model_from_counts(counts, vocab, model.window, model.top_g)
 
 
-def apply_feedback(model: KeyModel, history: DataFrame, false_alarms: DataFrame) -> KeyModel:
-    """Learn the lines that a user marked as false alarms.
+def apply_feedback(model: KeyModel, parsed: DataFrame, false_alarms: DataFrame) -> KeyModel:
+    """Learn the lines of ``parsed`` that a user marked as false alarms, given as (stream_id, seq)."""
+    return update(model, parsed, false_alarms)
 
-    ``history`` is the output of ``with_history``; ``false_alarms`` holds (stream_id, seq).
-    """
-    marked = history.join(false_alarms.select("stream_id", "seq"), ["stream_id", "seq"], "left_semi")
-    windows = marked.filter(F.col("hist").isNotNull()).select("hist", F.col("log_key").alias("label"))
-    return update(model, windows, marked)
+
+def learn_windows(model: KeyModel, windows: DataFrame) -> KeyModel:
+    """A new model version that also knows the given (hist, label) rows of template names."""
+    pairs = materialize(windows.groupBy("hist", "label").agg(F.count(F.lit(1)).alias("n")), "new-windows")
+    seen = pairs.select(F.explode(F.concat(F.array("label"), "hist")).alias("log_key"))
+    vocab = materialize(grow_vocabulary(model.vocab, seen), "vocab")
+    coded = _translate(pairs, vocab, "log_key", "idx")
+    counts = materialize(merge_counts(model.counts, _all_endings(coded)), "counts")
+    return model_from_counts(counts, vocab, model.window, model.top_g)
 
 
 def predict(model: KeyModel, histories: DataFrame) -> DataFrame:
     """Predictions for distinct full histories, from the longest ending that the model knows.
 
-    ``order_used`` is the length of this ending. Takes and returns one row per ``hist``.
+    ``order_used`` is the length of this ending. Takes and returns one row per ``hist`` of numbers.
     """
     endings = F.transform(
         F.sequence(F.lit(0), F.size("hist")),
@@ -235,10 +293,12 @@ def predict(model: KeyModel, histories: DataFrame) -> DataFrame:
     )
     wanted = histories.select("hist", F.explode(endings).alias("e")).select("hist", "e.length", "e.ending")
     known = model.contexts.withColumnRenamed("hist", "ending")
+    best = F.max_by(F.struct("predictions", "ids"), "length")
     return (
         wanted.join(known, ["length", "ending"])
         .groupBy("hist")
-        .agg(F.max("length").alias("order_used"), F.max_by("predictions", "length").alias("predictions"))
+        .agg(F.max("length").alias("order_used"), best.alias("_b"))
+        .select("hist", "order_used", "_b.predictions", "_b.ids")
     )
 
 
@@ -249,26 +309,20 @@ def detect_keys(parsed: DataFrame, model: KeyModel, chunk_rows: int = CHUNK_ROWS
     predictions. The decision is made once per distinct (history, template) and then looked up, so that
     a frequent history costs no more than a rare one.
     """
-    return decide_keys(with_history(parsed, model.window, chunk_rows), model)
+    return decide_keys(with_history(encode(parsed, model.vocab), model.window, chunk_rows, "key_id"), model)
 
 
 def decide_keys(rows: DataFrame, model: KeyModel) -> DataFrame:
-    """The decision of ``detect_keys`` for rows that have ``hist`` already."""
-    pairs = materialize(rows.groupBy("hist", "log_key").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    """The decision of ``detect_keys`` for rows that have key_id and hist already."""
+    pairs = materialize(rows.groupBy("hist", "key_id").agg(F.count(F.lit(1)).alias("n")), "pairs")
     answers = materialize(predict(model, pairs.select("hist").filter(F.col("hist").isNotNull()).distinct()), "answers")
-    known = model.vocab.select("log_key", F.lit(True).alias("_known"))
-    inside = F.exists("predictions", lambda p: p["key"] == F.col("log_key"))
-    decided = (
-        lookup(lookup(pairs, known, ["log_key"]), answers, ["hist"])
-        .withColumn("in_vocab", F.coalesce("_known", F.lit(False)))
-        .withColumn("hist_key", F.coalesce("hist", F.array().cast("array<string>")))
-        .select(
-            "hist_key", "log_key", "in_vocab", "order_used", "predictions",
-            F.when(~F.col("in_vocab"), True).when(F.col("hist").isNull(), False).otherwise(
-                ~F.coalesce(inside, F.lit(False))
-            ).alias("key_anomaly"),
-        )
+    no_history = F.array().cast("array<bigint>")
+    unexpected = ~F.coalesce(F.array_contains("ids", F.col("key_id")), F.lit(False))
+    decided = lookup(pairs, answers, ["hist"]).select(
+        F.coalesce("hist", no_history).alias("_hist"), "key_id", (F.col("key_id") != UNKNOWN).alias("in_vocab"),
+        "order_used", "predictions",
+        F.when(F.col("key_id") == UNKNOWN, True).when(F.col("hist").isNull(), False).otherwise(unexpected).alias("key_anomaly"),
     )
     decided = materialize(decided, "decisions")
-    keyed = rows.withColumn("hist_key", F.coalesce("hist", F.array().cast("array<string>")))
-    return lookup(keyed, decided, ["hist_key", "log_key"]).drop("hist_key")
+    keyed = rows.withColumn("_hist", F.coalesce("hist", no_history))
+    return lookup(keyed, decided, ["_hist", "key_id"]).drop("_hist")

@@ -287,21 +287,20 @@ def divergences(parsed: DataFrame, model: key_models.KeyModel, top: int = TASK_T
                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add ``diverges``: neither this template nor the next one is predicted from the full history."""
     window = model.window
+    coded = key_models.encode(parsed.select("stream_id", "seq", "log_key"), model.vocab)
     rows = windowed(
-        parsed.select("stream_id", "seq", "log_key"), ["stream_id"], "seq",
-        {"_hist": key_models.previous("log_key", window), "_next": lambda spec: F.lead("log_key", 1).over(spec)},
+        coded, ["stream_id"], "seq",
+        {"_hist": key_models.previous("key_id", window), "_next": lambda spec: F.lead("key_id", 1).over(spec)},
         back=window, ahead=1, chunk_rows=chunk_rows,
     ).withColumn("hist", F.when(F.col("seq") > window, F.col("_hist")))
     full = rows.select("hist").filter(F.col("hist").isNotNull()).distinct()
-    answers = materialize(key_models.predict(model, full).select(
-        "hist", F.transform(F.slice("predictions", 1, top), lambda p: p["key"]).alias("_top")
-    ), "task-answers")
+    answers = key_models.predict(model, full).select("hist", F.slice("ids", 1, top).alias("_top"))
     # Rows without a full history look up an empty one, which no answer has.
-    keyed = rows.withColumn("hist", F.coalesce("hist", F.array().cast("array<string>")))
-    joined = lookup(keyed, answers, ["hist"])
+    keyed = rows.withColumn("hist", F.coalesce("hist", F.array().cast("array<bigint>")))
+    joined = lookup(keyed, materialize(answers, "task-answers"), ["hist"])
     diverges = (
         F.col("_top").isNotNull() & F.col("_next").isNotNull()
-        & ~F.array_contains("_top", F.col("log_key")) & ~F.array_contains("_top", F.col("_next"))
+        & ~F.array_contains("_top", F.col("key_id")) & ~F.array_contains("_top", F.col("_next"))
     )
     return joined.select("stream_id", "seq", "log_key", F.coalesce(diverges, F.lit(False)).alias("diverges"))
 

@@ -122,8 +122,8 @@ def next_key_model(spark, sf_dir):
 
 @query("top_g", ["a_top"], "SELECT length::BIGINT AS length, array_to_string(hist, ' > ') AS hist, rank, label, round(prob, 6) AS prob FROM a_top WHERE rank <= 3")
 def top_g(spark, sf_dir):
-    contexts = key_model(parsed_app(spark, sf_dir)).contexts
-    return contexts.select("length", "hist", F.posexplode("predictions").alias("pos", "p")).select(
+    counts = key_model(parsed_app(spark, sf_dir)).named_counts()
+    return keys.top_predictions(counts, TOP_G).select("length", "hist", F.posexplode("predictions").alias("pos", "p")).select(
         F.col("length").cast("bigint").alias("length"), short("hist").alias("hist"),
         (F.col("pos") + 1).cast("bigint").alias("rank"), F.col("p.key").alias("label"), F.round("p.prob", 6).alias("prob"),
     )
@@ -160,10 +160,13 @@ def new_keys(spark, sf_dir):
 def model_merge(spark, sf_dir):
     """Counts of the training part plus those of the later windows: the same as training on all of them."""
     parsed = parsed_app(spark, sf_dir)
-    model = key_model(parsed)
-    later = keys.with_history(parsed, WINDOW).filter("part = 'test' AND hist IS NOT NULL")
-    updated = keys.update(model, later.select("hist", F.col("log_key").alias("label")), later)
-    return updated.counts.select(F.col("length").cast("bigint").alias("length"), short("hist").alias("hist"), "label", "n")
+    updated = keys.update(key_model(parsed), parsed, parsed.filter("part = 'test'"))
+    return counts_of(updated)
+
+
+def counts_of(model):
+    counts = model.named_counts()
+    return counts.select(F.col("length").cast("bigint").alias("length"), short("hist").alias("hist"), "label", "n")
 
 
 @query("feedback", ["a_counts", "a_keyed"], """SELECT length::BIGINT AS length, hist, label, sum(n)::BIGINT AS n FROM (
@@ -175,8 +178,7 @@ def feedback(spark, sf_dir):
     parsed = parsed_app(spark, sf_dir)
     model = key_model(parsed)
     alarms = keys.detect_keys(parsed, model).filter("key_anomaly AND event_type != 'error'").select("stream_id", "seq")
-    updated = keys.apply_feedback(model, keys.with_history(parsed, WINDOW), alarms)
-    return updated.counts.select(F.col("length").cast("bigint").alias("length"), short("hist").alias("hist"), "label", "n")
+    return counts_of(keys.apply_feedback(model, parsed, alarms))
 
 
 # --- parameter model ------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_FALLBACK: dict[str, str] = {}
@@ -59,6 +60,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows; reads at most ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, size: int) -> bool:
+    """True when ``df`` has no more than ``rows`` rows and its values take no more than ``size`` characters.
+
+    Reads at most ``rows + 1`` rows.
+    """
+    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= size

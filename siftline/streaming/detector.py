@@ -139,11 +139,12 @@ class StreamDetector:
         rows = fresh.withColumn("_new", F.lit(True)).unionByName(
             old.withColumn("_new", F.lit(False)), allowMissingColumns=True
         )
+        rows = keys.encode(rows, self.key_model.vocab)
         timed = last_known(rows, ["stream_id"], "pos", "ts", "_before", self.chunk_rows).withColumn(
             "time_delta", F.when(F.col("ts").isNotNull(), text.seconds_between(F.col("_before"), F.col("ts")))
         )
         seen = windowed(
-            timed, ["stream_id"], "pos", {"_hist": previous("log_key", window)}, back=window, chunk_rows=self.chunk_rows
+            timed, ["stream_id"], "pos", {"_hist": previous("key_id", window)}, back=window, chunk_rows=self.chunk_rows
         ).filter("_new")
         ready = keys.with_delta_first(seen.withColumn("hist", F.when(F.col("pos") > window, F.col("_hist"))))
         ready = materialize(ready.drop("_hist", "_before", "_new"), "stream-rows")
@@ -230,7 +231,6 @@ class OnlineModel:
 
     def learn(self, batch: DataFrame, batch_id: int) -> None:
         """Add (hist, label) rows of a micro-batch."""
-        stored = materialize(batch.select("hist", "label"), "learned")
-        new = keys.update(self.version(batch_id - 1), stored, stored.select(F.col("label").alias("log_key")))
+        new = keys.learn_windows(self.version(batch_id - 1), batch.select("hist", "label"))
         new.save(f"{self.path}/version-{batch_id}")
         self.latest = batch_id

@@ -63,10 +63,11 @@ def test_detection_equals_a_line_by_line_pass(spark):
 def test_update_equals_training_on_both(spark):
     a, b = sequence(spark, s="abcabc"), sequence(spark, s="bcdbcd")
     model = keys.train(a, 2, 2)
-    updated = keys.update(model, keys.training_windows(b, 2), b)
+    updated = keys.update(model, b)
+    taught = keys.learn_windows(model, keys.training_windows(b, 2))
     both = keys.count_windows(keys.training_windows(a, 2).unionByName(keys.training_windows(b, 2)))
     table = lambda df: sorted((r.length, tuple(r.hist), r.label, r.n) for r in df.collect())
-    assert table(updated.counts) == table(both)
+    assert table(updated.named_counts()) == table(taught.named_counts()) == table(both)
     assert {r.log_key: r.idx for r in updated.vocab.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
@@ -76,7 +77,7 @@ def test_feedback_teaches_a_marked_line(spark):
     found = keys.detect_keys(odd, model)
     alarms = found.filter("log_key = 'x'").select("stream_id", "seq")
     assert found.filter("log_key = 'x' AND key_anomaly").count() == 2
-    taught = keys.apply_feedback(keys.apply_feedback(model, keys.with_history(odd, 2), alarms), keys.with_history(odd, 2), alarms)
+    taught = keys.apply_feedback(keys.apply_feedback(model, odd, alarms), odd, alarms)
     assert keys.detect_keys(odd, taught).filter("log_key = 'x' AND key_anomaly").count() == 0
 
 
@@ -175,5 +176,5 @@ def test_online_model_repeats_batches_safely(spark, tmp_path):
     extra = spark.createDataFrame([(["a"], "c")], "hist array<string>, label string")
     for batch in (0, 0, 1):
         online.learn(extra, batch)
-    counts = online.version(1).counts.filter("label = 'c' AND length = 1").collect()
+    counts = online.version(1).named_counts().filter("label = 'c' AND length = 1").collect()
     assert [r.n for r in counts] == [2]

@@ -28,8 +28,9 @@ def attack_chains(events: DataFrame, order: Sequence[str] = ("seq",), min_stages
     staged = events.withColumn("stage", stage_of(F.col("category"))).filter(
         F.col("stage").isNotNull() & F.col("source_ip").isNotNull()
     )
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     first = {
-        stage: F.min(F.when(F.col("stage") == stage, F.struct(*order))).alias(f"_first_{stage}")
+        stage: F.min(F.when(F.col("stage") == stage, position)).alias(f"_first_{stage}")
         for stage in dict.fromkeys(s for _, s in dimensions.CHAIN_STAGES)
     }
     counts = [F.count_if(F.col("stage") == s).alias(s) for s in first]

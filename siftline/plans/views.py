@@ -86,7 +86,7 @@ def _ip() -> Column:
 
 def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application lines per user: (stream_id, seq, raw, event_type)."""
-    events = table(spark, sf_dir, "events")  # numbered by stream below, which deals the rows out anyway
+    events = table(spark, sf_dir, "events", *EVENT_COLUMNS, "event_type", "value")
     raw = F.concat(
         _stamp(), F.lit(" "), _level(), F.lit(" "), F.col("event_type"), F.lit(" user_id="),
         F.col("user_id").cast("string"), F.lit(" took "), F.format_string("%.2f", F.col("value")), F.lit(" seconds"),

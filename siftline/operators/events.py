@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import severity_score
 from ..packs import dimensions, timeline, unified
+from ..session import small_table
 from .joins import lookup
 
 
 def ip_reputation(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(ip, kind, list(tags)) for ip, kind, tags in dimensions.IP_REPUTATION],
         "source_ip string, reputation string, tags array<string>",
     )
@@ -19,13 +21,14 @@ def ip_reputation(spark: SparkSession) -> DataFrame:
 
 def windows_events(spark: SparkSession, name: str = "timeline") -> DataFrame:
     table = {"timeline": timeline, "unified": unified}[name].WINDOWS_EVENTS
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         list(table), "event_id int, win_level string, win_type string, win_description string"
     )
 
 
 def remediation(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(dimensions.REMEDIATION), "category string, advice string")
+    return small_table(spark, list(dimensions.REMEDIATION), "category string, advice string")
 
 
 def with_reputation(events: DataFrame, reputation: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from ..functions.evaluate import once
 from ..functions.formats import parse_security_line
 from ..packs import fields as field_pack
 from ..packs import lines_v2, lines_v3, signatures, timeline, unified
+from ..session import small_table
 
 MIN_GUARD = 2
 MAX_GUARDS = 12
@@ -116,7 +117,8 @@ def hits(text: Column, lowered: Column, pattern: str) -> Column:
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """The rules as a small table, one row per rule; ``ord`` is the position in the pack."""
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [
             (i, r.pack, r.rule_id, r.category, r.level.upper(), r.mitre, float(r.confidence),
              r.description, r.remediation)
@@ -232,7 +234,8 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
     """
     low = lines.withColumn("_low", F.lower(F.col(raw)))
     number = F.coalesce(*[F.when(hits(F.col(raw), F.col("_low"), p), F.lit(i)) for i, (_, _, p) in enumerate(pack)])
-    table = lines.sparkSession.createDataFrame(
+    table = small_table(
+        lines.sparkSession,
         [(i, *row) for i, row in enumerate(pack)],
         "_ord int, attack_type string, threat_level string, matched_pattern string",
     )

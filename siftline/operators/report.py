@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import level_rank, risk_events, risk_incidents, risk_unified, threat_score
 from ..packs import dimensions
+from ..session import small_table
 
 
 def count_by(events: DataFrame, column: str, out: str = "n") -> DataFrame:
@@ -87,7 +88,8 @@ def recommendations(counts: DataFrame, advice: Sequence[tuple], none_text: str |
     single row given when no advice applies.
     """
     spark = counts.sparkSession
-    table = spark.createDataFrame(
+    table = small_table(
+        spark,
         [(i, *row) for i, row in enumerate(advice)],
         "ord int, category string, above int, severity string, recommendation string",
     )

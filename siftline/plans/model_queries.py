@@ -72,7 +72,8 @@ define("a_truth", ("a_done",), "SELECT *, anomaly_type <> 'normal' AS is_anomaly
 
 def parsed_app(spark, sf_dir):
     """Parsed application lines with the time delta as first parameter and the train/test part; stored."""
-    split = lines_source.positional_split(views.app_lines(spark, sf_dir))
+    lines = materialize(views.app_lines(spark, sf_dir), "lines")  # numbered once, read several times below
+    split = lines_source.positional_split(lines)
     return materialize(keys.parse_streams(split).drop("raw", "level"), "parsed")
 
 

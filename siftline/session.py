@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_FALLBACK: dict[str, str] = {}
@@ -23,6 +25,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -68,3 +71,10 @@ def at_most(df: DataFrame, rows: int, size: int) -> bool:
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
     return found["n"] <= rows and found["size"] <= size
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A lookup table of a few rows as part of the plan itself, so that its size is known and no job makes it."""
+    fields = StructType.fromDDL(schema)
+    columns = {name: list(values) for name, values in zip(fields.names, zip(*rows))}
+    return spark.createDataFrame(pa.table(columns), schema=fields)

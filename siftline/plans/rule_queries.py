@@ -377,7 +377,7 @@ def critical_incidents(spark, sf_dir):
 def timeline_query(spark, sf_dir):
     rows = auth_timeline(spark, sf_dir)
     numbered = dense_position(
-        rows, ["stream_id"], ["ts", "timeline_order"], F.substring(F.col("ts").cast("string"), 1, 16), "position"
+        rows, ["stream_id"], ["ts", "timeline_order"], F.substring(F.col("ts").cast("string"), 1, 15), "position"
     )
     return numbered.select(
         "stream_id", "position", "seq", F.substring(F.col("ts").cast("string"), 1, 19).alias("ts"), "source_ip", "target",

@@ -92,8 +92,8 @@ def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string"), F.lit(" took "), F.format_string("%.2f", F.col("value")), F.lit(" seconds"),
     )
     rows = events.select(F.col("user_id").alias("stream_id"), "ts", "event_id", "event_type", raw.alias("raw"))
-    minute = F.substring(F.col("ts").cast("string"), 1, 16)
-    return dense_position(rows, ["stream_id"], ["ts", "event_id"], minute).select("stream_id", "seq", "raw", "event_type")
+    minutes = F.substring(F.col("ts").cast("string"), 1, 15)  # ten minutes
+    return dense_position(rows, ["stream_id"], ["ts", "event_id"], minutes).select("stream_id", "seq", "raw", "event_type")
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

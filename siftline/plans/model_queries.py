@@ -8,7 +8,7 @@ from ..operators import evaluate, keys, params
 from ..session import materialize
 from ..sources import text as lines_source
 from . import views
-from . import line_queries  # noqa: F401  (defines the check steps used here)
+from . import line_queries  # noqa: F401  (defines check steps used here)
 from .registry import query
 from .views import define
 

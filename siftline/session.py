@@ -76,5 +76,7 @@ def at_most(df: DataFrame, rows: int, size: int) -> bool:
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A lookup table of a few rows as part of the plan itself, so that its size is known and no job makes it."""
     fields = StructType.fromDDL(schema)
+    if not rows:
+        return spark.createDataFrame([], fields)
     columns = {name: list(values) for name, values in zip(fields.names, zip(*rows))}
     return spark.createDataFrame(pa.table(columns), schema=fields)

@@ -31,7 +31,7 @@ def sha256(column: str):
 
 
 #: A document's words, in SQL.
-SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 @query

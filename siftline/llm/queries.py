@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
 from .jaccard import near_duplicates
 from .substring import drop_repeated
 
@@ -98,3 +100,12 @@ reach AS (
 SELECT documents.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.doc_id = documents.doc_id GROUP BY documents.doc_id
 """
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, and digests of its ids and of the bytes they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

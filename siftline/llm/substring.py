@@ -18,11 +18,12 @@ from pyspark.sql.types import StructType
 
 from .exchange import MESSAGE, OWN, answers, by_block, chunk_count, chunk_of, cut_by_block, messages, text_size
 from .words import (
-    U64, pack, pack_flags, pack_sorted, pieces, unpack, unpack_flags, unpack_sorted, window_starts, window_values, word_values,
+    U64, mix, pack, pack_flags, pack_sorted, pieces, unpack, unpack_flags, unpack_sorted, window_starts, window_values, word_values,
 )
 
 CHUNK_BYTES = 8 << 20
 BLOCK_BITS = 23
+SECOND = U64(0xA0761D6478BD642F)  # makes a second, independent value of a word from its first
 LAST = np.iinfo(np.int64).max  # stands for a missing id: later than every other
 
 
@@ -38,24 +39,36 @@ def chunk_windows(table: pa.Table, length: int):
         found.append((piece, starts))
         if not len(starts):
             continue
-        first.append(window_values(word_values(piece, 1), length, 1)[starts])
-        second.append(window_values(word_values(piece, 2), length, 2)[starts] >> U64(32))
+        words = word_values(piece, 1)
+        first.append(window_values(words, length, 1)[starts])
+        second.append(window_values(mix(words ^ SECOND), length, 2)[starts] >> U64(32))
         docs = np.repeat(ids[piece.first : piece.first + piece.docs], piece.counts())
         owner.append(docs[starts])
     if not first:
         none = np.zeros(0, U64)
         return found, none, none, np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, second, owner = np.concatenate(first), np.concatenate(second), np.concatenate(owner).astype(np.int64)
-    order = np.lexsort((owner, second, first))
-    f, s, o = first[order], second[order], owner[order]
-    fresh = np.ones(len(f), bool)
-    fresh[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
-    group = np.cumsum(fresh) - 1
-    number = np.empty(len(f), np.int64)
-    number[order] = group
+    order, fresh = grouped(first, second)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
     heads = np.flatnonzero(fresh)
-    several = np.diff(np.append(heads, len(f))) > 1
-    return found, f[heads], s[heads], o[heads], several, number, owner
+    several = np.diff(np.append(heads, len(order))) > 1
+    at = order[heads]
+    return found, first[at], second[at], np.minimum.reduceat(owner[order], heads), several, number, owner
+
+
+def grouped(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, and where each group begins."""
+    order = np.argsort(first)
+    f, s = first[order], second[order]
+    fresh = np.ones(len(f), bool)
+    same, differ = f[1:] == f[:-1], s[1:] != s[:-1]
+    if (same & differ).any():
+        order = np.lexsort((second, first))
+        f, s = first[order], second[order]
+        same, differ = f[1:] == f[:-1], s[1:] != s[:-1]
+    fresh[1:] = ~same | differ
+    return order, fresh
 
 
 def counters(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +81,17 @@ def counters(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarr
 def sketch_messages(chunk: int, first: np.ndarray, second: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
     out = []
     for row in counters(first, second, bits):
-        row = np.unique(row)
+        row = distinct_sorted(row)
         for block, a, b in cut_by_block(row, row >> U64(BLOCK_BITS)):
             out.append((chunk, block, pack_sorted(row[a:b] & U64((1 << BLOCK_BITS) - 1))))
     return out
 
 
+def distinct_sorted(row: np.ndarray) -> np.ndarray:
+    row = np.sort(row)
+    return row[np.append(True, row[1:] != row[:-1])] if len(row) else row
+
+
 def merge_sketches(payloads: list[bytes]) -> list[bytes]:
     """Which counters of each sketch another sketch counts too. A sketch knows itself what it counts twice."""
     once, twice = np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
@@ -89,13 +107,17 @@ def merge_sketches(payloads: list[bytes]) -> list[bytes]:
 def repeated(first, second, several, bits: int, got: dict[int, bytes]) -> np.ndarray:
     """The windows whose counters all reach two."""
     hot = np.ones(len(first), bool)
-    for row in counters(first, second, bits):
-        distinct, back = np.unique(row, return_inverse=True)
-        flags = np.zeros(len(distinct), bool)
+    for number, row in enumerate(counters(first, second, bits)):
+        order = np.argsort(row) if number else np.arange(len(row))
+        row = row[order]
+        fresh = np.ones(len(row), bool)
+        fresh[1:] = row[1:] != row[:-1]
+        heads = np.flatnonzero(fresh)
+        twice = np.diff(np.append(heads, len(row))) > 1
+        distinct = row[heads]
         for block, a, b in cut_by_block(distinct, distinct >> U64(BLOCK_BITS)):
-            flags[a:b] = unpack_flags(got[block])
-        own = np.bincount(back, minlength=len(distinct)) > 1
-        hot &= (flags | own)[back]
+            twice[a:b] |= unpack_flags(got[block])
+        hot[order] &= twice[np.cumsum(fresh) - 1]
     return hot | several
 
 
@@ -103,14 +125,11 @@ def merge_windows(payloads: list[bytes]) -> list[bytes]:
     """Whether a smaller document than the asking chunk's own first one holds each window."""
     parts = [split3(p) for p in payloads]
     f, s, o = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((o, s, f))
-    f, s, o = f[order], s[order], o[order]
-    fresh = np.ones(len(f), bool)
-    fresh[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
-    heads = np.flatnonzero(fresh)
-    least = o[heads][np.cumsum(fresh) - 1]
+    order, fresh = grouped(f, s)
     smaller = np.empty(len(f), bool)
-    smaller[order] = least < o
+    if len(f):
+        o = o[order]
+        smaller[order] = np.minimum.reduceat(o, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] < o
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
     return [pack_flags(x) for x in np.split(smaller, cuts)]
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .jaccard import near_duplicates
+from .sharding import assign, even_tree, grown
 from .substring import drop_repeated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     found = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in a tree of 16 shards, and its shard in a tree of 17."""
+    tree = even_tree(16)
+    return assign(table(spark, sf_dir, "documents"), tree, grown(tree, 16))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .jaccard import near_duplicates
+from .quality import quality
 from .sharding import assign, even_tree, grown
 from .substring import drop_repeated
 
@@ -117,3 +118,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document in a tree of 16 shards, and its shard in a tree of 17."""
     tree = even_tree(16)
     return assign(table(spark, sf_dir, "documents"), tree, grown(tree, 16))
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, posterior quality and verdict of every document."""
+    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )

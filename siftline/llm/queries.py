@@ -6,19 +6,23 @@ the operator returns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from siftline.session import checkpoint_root, materialize
+
+from . import licences, toxicity
 from .bpe import decode, encode
 from .html_extract import extract
 from .jaccard import near_duplicates
 from .quality import quality
 from .sharding import assign, even_tree, grown
 from .substring import drop_repeated
+from .token_counts import TokenRollup, deleted, inserted, piece_count, revised, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -148,3 +152,53 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans")
     )
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after four batches.
+
+    All documents come in; exact copies of an earlier document go, and that batch is delivered twice; counts outside English are revised,
+    without runs of symbols; English moves to another version of the tokenizer.
+    """
+    text = F.col("text")
+    docs = materialize(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", word_count(text).alias("words"), piece_count(text).alias("pieces"),
+        F.coalesce(F.regexp_count(text, F.lit("[#*$%&]{3}")), F.lit(0)).cast("bigint").alias("symbols"),
+        F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("digest"),
+    ), "counted")
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    marked = docs.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first_id"))
+    kept, english = marked.where("not copy"), F.coalesce(F.col("lang") == "en", F.lit(False))
+    words, pieces = F.col("words"), F.col("pieces")
+    rollup = TokenRollup(spark, f"{checkpoint_root(spark)}/siftline/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", inserted(docs, "words-1", words))
+    copies = deleted(marked.where("copy"), "words-1", words)
+    rollup.commit("copies", copies)
+    rollup.commit("copies", copies)
+    rollup.compact()
+    rollup.commit("symbols", revised(kept.where(~english), "words-1", words, words - F.col("symbols")))
+    rollup.commit("version", deleted(kept.where(english), "words-1", words).unionByName(inserted(kept.where(english), "pieces-1", pieces)))
+    return rollup.totals()
+
+
+CHECKS["op4_token_counts"] = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(coalesce(text, ''), '[.,;:!?]')) AS marks,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&]{3}')) AS symbols
+  FROM documents
+),
+kept AS (SELECT * FROM counted QUALIFY doc_id = min(doc_id) OVER (PARTITION BY t))
+SELECT source, lang, CASE WHEN lang = 'en' THEN 'pieces-1' ELSE 'words-1' END AS tokenizer, count(*) AS n_docs,
+       sum(CASE WHEN lang = 'en' THEN words + marks ELSE words - symbols END)::BIGINT AS n_tokens
+FROM kept GROUP BY ALL
+"""
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every document, with its probability and whether a template confirms it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.fit(docs))

@@ -17,6 +17,7 @@ from siftline.session import checkpoint_root, materialize
 
 from . import licences, toxicity
 from .bpe import decode, encode
+from .decontaminate import find_leaks
 from .html_extract import extract
 from .jaccard import near_duplicates
 from .quality import quality
@@ -202,3 +203,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence family of every document, with its probability and whether a template confirms it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan(docs, licences.fit(docs))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in a document, within a tenth of its length in edits: one row per place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.item_id", "m.start", "m.end", "m.distance")

@@ -6,8 +6,8 @@ that reach the threshold share a shingle within their prefixes, so only prefix s
 and joined. Every candidate pair is verified once, on whole sets.
 
 A shingle that many classes share doesn't emit all their pairs: each round links the members to one leader per shingle, and
-members that are in one component by then need no further check. Once few pairs of different components are left, all of them
-are checked, so no link between components is lost.
+members that are in one component by then need no further check. Once few pairs of different components are left, or a round
+no longer halves them, all of them are checked, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from .words import U64, mix, multipliers, pack, pack_sorted, pieces, unpack, unp
 
 CHUNK_BYTES = 8 << 20
 BLOCK_BITS = 23
-LEADER_ROUNDS = 12
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -149,10 +148,14 @@ def candidates(docs: DataFrame, classes: DataFrame, words: int, percent: int, si
 
 
 def may_link(percent: int):
-    """Length and positional filter of a pair (n, pos) and (n2, pos2) with a common shingle at these positions."""
+    """Length and positional filter of a pair (n, pos) and (n2, pos2) with a common shingle at these positions.
+
+    The first shingle that two sets have in common has nothing common before it, so both need enough shingles from there on. A
+    pair that links passes at that shingle; at later ones it needn't.
+    """
     n, m = F.col("n"), F.col("n2")
     long_enough = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    most = F.least(F.col("pos"), F.col("pos2")) + F.least(n - F.col("pos"), m - F.col("pos2"))
+    most = F.least(n - F.col("pos"), m - F.col("pos2"))
     return long_enough & (most * (100 + percent) >= (n + m) * percent)
 
 
@@ -189,21 +192,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a binary, b binary")
 
 
-def link_components(sets: DataFrame, percent: int, exhaustive_at: int) -> DataFrame:
+def link_components(sets: DataFrame, percent: int, exhaustive_at: float) -> DataFrame:
     """(cls, component) of the classes with a link, in rounds as the module's text says."""
-    members = sets.select("cls", "n", F.posexplode("prefix").alias("i", "token"), "skip").select(
-        "token", "cls", "n", (F.col("skip") + F.col("i")).alias("pos"), F.col("cls").alias("component")
+    members = sets.select("cls", "n", "skip", F.posexplode("prefix").alias("i", "token")).select(
+        "token", "cls", "n", (F.col("skip") + F.col("i")).alias("pos"), (F.col("skip") / F.col("n")).alias("own"), F.col("cls").alias("component")
     )
-    members = several_components(members)
-    links, checked, found = None, None, None
-    for number in range(LEADER_ROUNDS + 1):
-        left = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
-            F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")
-        ).agg(F.sum("s").alias("members"), F.sum(F.col("s") * F.col("s") - F.col("q")).alias("pairs")).first()
+    links, checked, found, before = None, None, None, math.inf
+    while True:
+        members, left = several_components(members)
         if not left["members"]:
             break
-        last = left["pairs"] <= exhaustive_at * left["members"] or number == LEADER_ROUNDS
-        pairs = all_pairs(members, percent) if last else leader_pairs(members, percent, number)
+        last = left["pairs"] <= exhaustive_at * left["members"] or left["pairs"] > before / 2
+        before = left["pairs"]
+        pairs = all_pairs(members, percent) if last else leader_pairs(members, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -214,30 +215,34 @@ def link_components(sets: DataFrame, percent: int, exhaustive_at: int) -> DataFr
         if last:
             break
         found = materialize(found, "components")
-        old = members.drop("component")
-        members = several_components(
-            old.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
-            .withColumn("component", F.coalesce("component", "cls"))
-            .select("token", "cls", "n", "pos", "component")
+        members = members.drop("component").join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
+            "token", "cls", "n", "pos", "own", F.coalesce("component", "cls").alias("component")
         )
     return found.select(F.col("node").alias("cls"), "component") if found is not None else sets.select("cls", F.col("cls").alias("component")).limit(0)
 
 
-def several_components(members: DataFrame) -> DataFrame:
-    """The members of shingles that more than one component holds."""
-    open_tokens = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return materialize(members.join(open_tokens.select("token"), "token", "left_semi"), "members")
+def several_components(members: DataFrame):
+    """The members of shingles that more than one component holds, and how many there are and how many pairs they make."""
+    sizes = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("components"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")
+    ).where("components > 1")
+    sizes = materialize(sizes, "open-tokens")
+    left = sizes.agg(F.sum("s").alias("members"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
+    return materialize(members.join(sizes.select("token"), "token", "left_semi"), "members"), left
 
 
 def as_pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
-def leader_pairs(members: DataFrame, percent: int, number: int) -> DataFrame:
-    """Every member with its shingle's leader of this round, where their components differ."""
-    leads = members.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("component", F.lit(number)).alias("h"), "cls", "n", "pos", "component")).alias("lead")
-    ).select("token", *[F.col("lead")[c].alias(f"{c}2") for c in ("cls", "n", "pos", "component")])
+def leader_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Every member with its shingle's leader, where their components differ.
+
+    The leader is the member with the smallest share of shingles of its own: the nearest to what all have in common.
+    """
+    leads = members.groupBy("token").agg(F.min(F.struct("own", "n", "cls", "pos", "component")).alias("lead")).select(
+        "token", *[F.col("lead")[c].alias(f"{c}2") for c in ("cls", "n", "pos", "component")]
+    )
     return as_pairs(members.join(leads, "token").where((F.col("component") != F.col("component2")) & may_link(percent)))
 
 
@@ -249,15 +254,15 @@ def all_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    chunk_bytes: int = CHUNK_BYTES, exhaustive_at: int = 8,
+    chunk_bytes: int = CHUNK_BYTES, exhaustive_at: float = 8.0,
 ) -> DataFrame:
     """One row per document: the id, n_shingles, and component_id, the smallest id reachable by links, its own included.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of distinct ``words``-word shingles (A-Z in
     lower case); a text with fewer words is one shingle. Texts without words, or null, have an empty set and no link. Rows
     without an id get a null component unless a linked row has an id; repeated rows each get their row; other columns play no
-    part; an empty table gives an empty result. ``exhaustive_at``: leader rounds end once the pairs left to check are no more
-    than so many per member; every pair left is then checked.
+    part; an empty table gives an empty result. ``exhaustive_at``: after the first leader
+    round, rounds end once the pairs left are no more than so many per member, or no longer halved; every pair left is then checked.
     """
     n = chunk_count(size := text_size(docs, text_col), chunk_bytes)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("chunk", chunk_of(n, "id", "text"))
@@ -274,3 +279,17 @@ def near_duplicates(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their group of near duplicates, with the columns of ``docs``.
+
+    Of rows with equal ids one stays. Rows without an id stay.
+    """
+    groups = near_duplicates(docs.select(id_col, text_col), words, percent, id_col, text_col)
+    keep = materialize(
+        groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("keep__")).agg(F.count(F.lit(1)).alias("copies__")), "kept-ids"
+    )
+    kept = docs.join(keep.where("copies__ = 1"), F.col(id_col) == F.col("keep__"), "left_semi")
+    repeated = docs.join(keep.where("copies__ > 1"), F.col(id_col) == F.col("keep__"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

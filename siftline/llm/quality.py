@@ -133,7 +133,7 @@ def votes() -> Column:
     letters = F.greatest(F.col("n_letters"), F.lit(1))
     return F.concat(
         vote(share("n_symbols") > 0.2, F.lit(False)),
-        vote(share("n_clean") < 0.5, share("n_clean") > 0.9),
+        vote(share("n_clean") < 0.7, share("n_clean") > 0.9),
         vote(share("n_repeat_words") > 0.4, share("n_repeat_words") < 0.15),
         vote((F.col("n_lines") >= 4) & (F.col("n_dup_lines") > 0.4 * F.col("n_lines")), F.lit(False)),
         vote(F.col("n_upper") > 0.4 * letters, F.lit(False)),
@@ -164,7 +164,7 @@ def fit(stats: DataFrame, rounds: int = 200) -> VoteModel:
         return VoteModel({}, 1.0, ())
     patterns, counts = [r["pattern"] for r in found], np.array([r["count"] for r in found], float)
     cells = np.array([[[c == x for x in "gba"] for c in p] for p in patterns], float)
-    good = 0.9 * 0.3 ** cells[:, :, 1].sum(1)
+    good = 0.9 * 0.1 ** cells[:, :, 1].sum(1)
     belief = cells[:, :, [0, 2]].mean(axis=(0, 1)) * counts.sum() / 20
     belief = np.array([[belief[0], 0.0, belief[1]], [0.0, 0.0, 0.0]])
     for _ in range(rounds):

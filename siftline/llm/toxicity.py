@@ -188,7 +188,7 @@ def telling_features(sample: DataFrame) -> np.ndarray:
     t, n = F.col("t"), F.col("n")
     ratio = t * F.ln(t / (n * share)) + F.when(n > t, (n - t) * F.ln((n - t) / (n * (1 - share)))).otherwise(0.0)
     bound = float(np.log(max(found.count(), 1)) + 1)
-    telling = found.where((t >= 3) & (t > 2 * n * share) & (ratio > bound)).orderBy(ratio.desc(), "feature").limit(20_000)
+    telling = found.where((t >= 3) & (t * (1 - share) > 3 * (n - t) * share) & (ratio > bound)).orderBy(ratio.desc(), "feature").limit(20_000)
     return np.sort(np.array([r["feature"] for r in telling.select("feature").collect()], np.int64).view(U64))
 
 

@@ -1,44 +1,20 @@
-"""Lookup joins: broadcast below a checked size, salted shuffle above it."""
+"""Lookup joins: the planner's choice by the stored size of the table, hot keys split at run time."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..session import at_most
 
-BROADCAST_ROWS = 200_000
-BROADCAST_SIZE = 64_000_000
-SALTS = 16
-
-
-def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join many rows with a table that has one row per key.
 
-    ``table`` should be stored (see ``materialize``), since its size is checked here. Up to
-    ``broadcast_rows`` rows and 64 MB of values it is broadcast and the many rows stay where they are. Beyond that both sides
-    are shuffled with a salt: the table is repeated once per salt, which splits every hot key over
-    ``salts`` tasks. Only joins that keep the left rows' identity are allowed.
+    ``table`` should be stored (see ``materialize``): the planner then knows its size without a job, broadcasts it below the
+    session's threshold, and shuffles both sides by key beyond it. Adaptive execution splits the partitions of the many rows that
+    hold a hot key, by their real size, and repeats only those partitions of the table. Only joins that keep the left rows'
+    identity are allowed, as only their left side can be split.
     """
     if how not in ("left", "inner", "left_anti", "left_semi"):
         raise ValueError(f"lookup joins are left, inner, left_semi or left_anti, not {how}")
-    if at_most(table, broadcast_rows, BROADCAST_SIZE):
-        return rows.join(F.broadcast(table), list(keys), how)
-    salted = rows.withColumn("_salt", spread(rows, salts))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def spread(rows: DataFrame, salts: int) -> Column:
-    """A salt from the whole row: the same on every attempt of a task, even over rows of one key."""
-    plain = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.dataType.typeName() != "map"]
-    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+    return rows.join(table, list(keys), how)

@@ -10,6 +10,7 @@ import re._constants as rc  # the standard library's own reading of a pattern
 import re._parser as rp
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,19 +255,18 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
 def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw") -> DataFrame:
     """Multi-match against a rule table (rule_id, pattern, …) that is only known at run time.
 
-    The pattern list is small by nature and read to the driver to become literals, which is several
-    times faster than joining every line with every rule.
+    The patterns become literals, which is several times faster than joining every line with every rule. They come to the driver in slices
+    of ``RULE_SLICE``, each one pass over the lines, so a table of any length works.
     """
-    rows = patterns.select("rule_id", "pattern").limit(MAX_DYNAMIC + 1).collect()
-    if len(rows) > MAX_DYNAMIC:
-        raise ValueError(f"more than {MAX_DYNAMIC} rules; split the table")
-    rules = [Rule(r["rule_id"], "", "MEDIUM", "", 0.8, {"raw": r["pattern"]}) for r in rows]
     low = lines.withColumn("_low", F.lower(F.col(raw)))
-    found = F.array_compact(
-        F.array(*[F.when(hits(F.col(raw), F.col("_low"), r.patterns["raw"]), F.lit(r.rule_id)) for r in rules])
-    )
-    extra = patterns.drop("pattern")
-    return low.withColumn("rule_id", F.explode(found)).drop("_low").join(F.broadcast(extra), "rule_id")
+    found, rules = None, iter(patterns.select("rule_id", "pattern").toLocalIterator())
+    while part := list(islice(rules, RULE_SLICE)):
+        names = F.array_compact(F.array(*[F.when(hits(F.col(raw), F.col("_low"), r["pattern"]), F.lit(r["rule_id"])) for r in part]))
+        matched = low.withColumn("rule_id", F.explode(names))
+        found = matched if found is None else found.unionByName(matched)
+    if found is None:
+        found = low.withColumn("rule_id", F.lit(None).cast(patterns.schema["rule_id"].dataType)).limit(0)
+    return found.drop("_low").join(patterns.drop("pattern"), "rule_id")
 
 
-MAX_DYNAMIC = 2000
+RULE_SLICE = 500

@@ -56,7 +56,7 @@ def node_table(edges: DataFrame) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame) -> DataFrame:
     """All (workflow_id, src, dst) with a path from src to dst.
 
     Paths are doubled in every round, so paths of length L are found after log2(L) rounds. Each round is
@@ -64,7 +64,7 @@ def reachable(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     reach = materialize(edges.select("workflow_id", "src", "dst").distinct(), "reach")
     size = reach.count()
-    for _ in range(max_rounds):
+    while True:
         step = reach.select("workflow_id", F.col("src").alias("dst"), F.col("dst").alias("_far"))
         longer = reach.join(step, ["workflow_id", "dst"]).select(
             "workflow_id", "src", F.col("_far").alias("dst")
@@ -78,8 +78,24 @@ def reachable(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def loop_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that can reach themselves."""
-    return reachable(edges).filter(F.col("src") == F.col("dst")).select("workflow_id", F.col("src").alias("log_key"))
+    """Nodes that can reach themselves.
+
+    Nodes that no edge enters or none leaves can lie on no loop; they are peeled off with their edges, round by round, and only
+    paths of what is left are followed.
+    """
+    left = materialize(edges.select("workflow_id", "src", "dst").distinct(), "loop-edges")
+    size = left.count()
+    while size:
+        entered = left.select("workflow_id", F.col("dst").alias("src")).distinct()
+        quitted = left.select("workflow_id", F.col("src").alias("dst")).distinct()
+        left = materialize(
+            left.join(entered, ["workflow_id", "src"], "left_semi").join(quitted, ["workflow_id", "dst"], "left_semi")
+            .select("workflow_id", "src", "dst"), "loop-edges",
+        )
+        before, size = size, left.count()
+        if size == before:
+            break
+    return reachable(left).filter(F.col("src") == F.col("dst")).select("workflow_id", F.col("src").alias("log_key"))
 
 
 def successors(edges: DataFrame, count: int = 3) -> DataFrame:
@@ -210,10 +226,14 @@ def similar_workflows(sets: DataFrame, threshold: float = MERGE_SIMILARITY) -> D
     similarity of at least (threshold - 0.4) / 0.6, which prunes the candidates.
     """
     least = (threshold - NODE_WEIGHT) / EDGE_WEIGHT
-    if least <= 0:
-        raise ValueError("thresholds up to 0.4 hold for graphs without a common edge and are not supported")
-    items = sets.select("id", F.transform("edges", lambda e: F.concat(e["src"], F.lit("\x1f"), e["dst"])).alias("items"))
-    pairs = _pruned_pairs(items, items, "edge", least).filter(F.col("left_id") < F.col("right_id"))
+    if least > 0:
+        items = sets.select("id", F.transform("edges", lambda e: F.concat(e["src"], F.lit("\x1f"), e["dst"])).alias("items"))
+        pairs = _pruned_pairs(items, items, "edge", least).filter(F.col("left_id") < F.col("right_id"))
+    else:  # a common node may be enough
+        node = sets.select(F.col("id").alias("left_id"), F.explode("nodes").alias("node"))
+        pairs = node.join(node.withColumnRenamed("left_id", "right_id"), "node").filter(
+            F.col("left_id") < F.col("right_id")
+        ).select("left_id", "right_id").distinct()
     a = sets.select(F.col("id").alias("left_id"), F.col("nodes").alias("_na"), F.col("edges").alias("_ea"))
     b = sets.select(F.col("id").alias("right_id"), F.col("nodes").alias("_nb"), F.col("edges").alias("_eb"))
     similarity = NODE_WEIGHT * jaccard(F.col("_na"), F.col("_nb")) + EDGE_WEIGHT * jaccard(F.col("_ea"), F.col("_eb"))
@@ -224,28 +244,27 @@ def similar_workflows(sets: DataFrame, threshold: float = MERGE_SIMILARITY) -> D
     )
 
 
-def leaders(ids: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy leaders in id order: a graph joins the first leader it is similar to, else leads itself.
 
     Round by round, a graph without an undecided smaller neighbour becomes a leader, and the larger
-    neighbours of leaders become members. The outcome is that of the sequential pass.
+    neighbours of leaders become members. Every round decides at least the smallest graph that is open, so the rounds end;
+    pairs with a decided graph are dropped. The outcome is that of the sequential pass.
     """
     open_ids = materialize(ids.select("id"), "open")
     edges = materialize(pairs.select("a", "b"), "similar")
-    decided = None
-    for _ in range(max_rounds):
-        if open_ids.isEmpty():
-            break
-        waiting = edges.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
-        fresh = open_ids.join(waiting, "id", "left_anti")
-        fresh = materialize(fresh, "leaders")
-        taken = edges.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
-        decided = fresh if decided is None else decided.unionByName(fresh)
+    live, decided = edges, open_ids.limit(0)
+    while not open_ids.isEmpty():
+        fresh = materialize(open_ids.join(live.select(F.col("b").alias("id")), "id", "left_anti"), "leaders")
+        taken = live.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+        decided = decided.unionByName(fresh)
         open_ids = materialize(
             open_ids.join(fresh, "id", "left_anti").join(taken, "id", "left_anti"), "open"
         )
-    else:
-        raise RuntimeError("the similarity graph needs more rounds")
+        live = materialize(
+            live.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi")
+            .join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "similar",
+        )
     members = (
         edges.join(decided.withColumnRenamed("id", "a"), "a", "left_semi")
         .join(decided.withColumnRenamed("id", "b"), "b", "left_anti")
@@ -459,9 +478,9 @@ def tasks_by_cooccurrence(
     return _served_by_age(materialize(named, "simple-tasks"), links, hard)
 
 
-def _follow(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _follow(parents: DataFrame) -> DataFrame:
     """Replace the parent of every line by its first ancestor; the distance doubles in every round."""
-    for _ in range(max_rounds):
+    while True:
         upper = parents.select("stream_id", F.col("seq").alias("parent"), F.col("parent").alias("_above"))
         further = materialize(parents.join(upper, ["stream_id", "parent"], "left"), "ancestors")
         parents = further.select("stream_id", "seq", F.coalesce("_above", "parent").alias("parent"))

@@ -52,7 +52,7 @@ def stream_detect(spark, sf_dir):
 
 def _event_stream(spark, sf_dir, columns):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(*columns)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(*columns)
 
 
 @query("stream_rules", ["e_both"], "SELECT seq, rule_id, category, threat_level FROM e_both WHERE starts_with(stream_id, 'web')")

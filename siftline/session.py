@@ -7,7 +7,6 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -63,16 +62,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def at_most(df: DataFrame, rows: int, size: int) -> bool:
-    """True when ``df`` has no more than ``rows`` rows and its values take no more than ``size`` characters.
-
-    Reads at most ``rows + 1`` rows.
-    """
-    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
-    return found["n"] <= rows and found["size"] <= size
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A lookup table of a few rows as part of the plan itself, so that its size is known and no job makes it."""
     fields = StructType.fromDDL(schema)

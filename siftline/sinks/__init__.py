@@ -29,7 +29,7 @@ def nested_report(parts: dict[str, DataFrame]) -> DataFrame:
     return result.select(F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}")).alias("value"))
 
 
-def anomaly_lines(results: DataFrame, limit: int | None = 50) -> DataFrame:
+def anomaly_lines(results: DataFrame, limit: int | None = None) -> DataFrame:
     """Text report lines of the first anomalies in stream and line order."""
     rows = results.filter("is_anomaly").orderBy("stream_id", "seq")
     rows = rows if limit is None else rows.limit(limit)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -20,9 +21,11 @@ def with_line_numbers(scanned: DataFrame) -> DataFrame:
     """Add ``seq``, the 1-based line number inside the file.
 
     A file split is read by one task in order, so the row id minus the split's smallest row id is the
-    position in the split; a table with one row per split holds how many lines come before it.
+    position in the split; a table with one row per split holds how many lines come before it. The scanned lines are
+    stored first: where splits begin depends on the number of cores at the time, so a second scan could cut files otherwise.
     """
     split = ["stream_id", "_block"]
+    scanned = materialize(scanned, "scanned")
     counts = scanned.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -77,10 +80,29 @@ def read_directory(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def read_tree(spark: SparkSession, path: str, recursive: bool = True, skip_comments: bool = True) -> DataFrame:
     """All ``*.log`` files below a folder; the path of a single file works as well."""
-    glob = "*.log" if "." not in path.rstrip("/").rsplit("/", 1)[-1] else None
+    glob = None if is_file(spark, path) else "*.log"
     return read_lines(spark, path, glob=glob, recursive=recursive, skip_comments=skip_comments)
 
 
+def listed(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(path) of the files that a scan would read, from the listing alone."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path")
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path names one file and no folder, whatever its name looks like."""
+    name = re.sub(r"^[a-z][a-z0-9+.-]*:/+", "/", path.rstrip("/"))
+    return not listed(spark, path).filter(F.col("path").endswith(name)).isEmpty()
+
+
+def first_paths(spark: SparkSession, path: str, glob: str, count: int | None) -> str | list[str]:
+    """The first files of a tree in path order, chosen before anything is read; the tree itself without a count."""
+    if count is None:
+        return path
+    return [r["path"] for r in listed(spark, path, glob, recursive=True).orderBy("path").limit(count).collect()]
+
+
 def renumber(lines: DataFrame) -> DataFrame:
     """Dense ``seq`` again after lines were dropped, in the same order."""
     old = lines.withColumnRenamed("seq", "_line")
@@ -199,9 +221,7 @@ def with_type(lines: DataFrame, unified: bool = False) -> DataFrame:
 
 def read_auto(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """All ``.log`` and ``.txt`` files below a folder with their type; unknown files are left out."""
-    lines = read_lines(spark, path, glob="*.{log,txt}", recursive=True)
-    if max_files is not None:
-        lines = first_files(lines, max_files)
+    lines = read_lines(spark, first_paths(spark, path, "*.{log,txt}", max_files), glob="*.{log,txt}", recursive=True)
     return with_type(lines).filter(F.col("log_type") != "unknown")
 
 
@@ -220,31 +240,35 @@ def path_type(path: Column) -> Column:
     return result
 
 
-def balanced(lines: DataFrame, kind: str, per_kind: int, seed: int | None = None) -> DataFrame:
+def balanced(lines: DataFrame, kind: str, per_kind: int | None = None, seed: int | None = None) -> DataFrame:
     """The first ``per_kind`` lines of every kind, in (stream, line) order; shuffled when a seed is given.
 
-    The kinds are few and each may be huge: the rank is cut inside every task before rows are moved.
+    The kinds are few and each may be huge: lines are numbered by chunks of a stream, so no task holds a whole kind.
+    Without ``per_kind`` every kind gives as many lines as the smallest has.
     """
-    ranking = Window.partitionBy(kind).orderBy("stream_id", "seq")
-    kept = (
-        lines.filter(F.col(kind).isNotNull())
-        .withColumn("_r", F.row_number().over(ranking))
-        .filter(F.col("_r") <= per_kind)
-        .drop("_r")
-    )
+    known = lines.filter(F.col(kind).isNotNull())
+    if per_kind is None:
+        sizes = known.groupBy(kind).agg(F.count(F.lit(1)).alias("_n"))
+        per_kind = sizes.agg(F.coalesce(F.min("_n"), F.lit(0)).alias("n")).first()["n"]
+    bucket = F.struct("stream_id", chunk_of(F.col("seq"), LINE_CHUNK).alias("chunk"))
+    kept = dense_position(known, [kind], ["stream_id", "seq"], bucket, out="_r").filter(F.col("_r") <= per_kind).drop("_r")
     return kept if seed is None else kept.orderBy(F.rand(seed))
 
 
-def read_balanced(spark: SparkSession, path: str, max_logs: int = 5000, seed: int = 0) -> DataFrame:
-    """A shuffled sample with the same share of Windows, Linux and Apache lines, typed by path."""
+def read_balanced(spark: SparkSession, path: str, max_logs: int | None = None, seed: int = 0) -> DataFrame:
+    """A shuffled sample with the same share of Windows, Linux and Apache lines, typed by path.
+
+    ``max_logs`` bounds the lines of all kinds together; without it the smallest kind decides.
+    """
     lines = read_lines(spark, path, glob="*.{txt,log}", recursive=True)
-    return balanced(lines.withColumn("log_type", path_type(F.col("stream_id"))), "log_type", max_logs // 3, seed)
+    return balanced(lines.withColumn("log_type", path_type(F.col("stream_id"))), "log_type", None if max_logs is None else max_logs // 3, seed)
 
 
-def read_capped(spark: SparkSession, path: str, max_files: int = 10, max_lines: int = 1000) -> DataFrame:
-    """The first lines over the first files of a tree, in path and line order."""
-    lines = first_files(read_lines(spark, path, glob="*.{txt,log}", recursive=True), max_files)
-    return lines.orderBy("stream_id", "seq").limit(max_lines)
+def read_capped(spark: SparkSession, path: str, max_files: int | None = None, max_lines: int | None = None) -> DataFrame:
+    """The first lines over the first files of a tree, in path and line order; all of them without bounds."""
+    lines = read_lines(spark, first_paths(spark, path, "*.{txt,log}", max_files), glob="*.{txt,log}", recursive=True)
+    lines = lines.orderBy("stream_id", "seq")
+    return lines if max_lines is None else lines.limit(max_lines)
 
 
 def fold_newlines(message: Column) -> Column:

@@ -7,7 +7,7 @@ depend on earlier results (reset points, greedy merging) are solved exactly in b
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -540,6 +540,25 @@ def task_workflows(tasks: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     ).agg((F.min("seq") - 1).alias("first_seq"), F.count(F.lit(1)).alias("n"))
 
 
+def build_workflows(
+    parsed: DataFrame, separate: Callable[[DataFrame], DataFrame], threshold: float = MERGE_SIMILARITY
+) -> tuple[DataFrame, DataFrame]:
+    """Separate lines into tasks, build the workflow of each task and merge similar ones.
+
+    ``separate`` adds task_id to lines (stream_id, seq, log_key): ``tasks_by_model``, ``tasks_without_reset`` or
+    ``tasks_by_cooccurrence``. Returns the merged edges and one row per task (workflow_id, merged_id, lines). A task of one line has no edge; it stays
+    as a workflow of its own, similar to none.
+    """
+    tasks = materialize(separate(parsed).select("stream_id", "seq", "task_id", "log_key"), "tasks")
+    name = F.concat_ws(":", F.col("stream_id").cast("string"), F.lpad(F.col("task_id").cast("string"), 9, "0"))
+    inside = task_workflows(tasks).withColumns({"stream_id": F.col("workflow_id.stream_id"), "task_id": F.col("workflow_id.task_id")})
+    edges = materialize(inside.withColumn("workflow_id", name).drop("stream_id", "task_id"), "task-edges")
+    merged, mapping = merge_workflows(edges, threshold)
+    sizes = tasks.groupBy(name.alias("workflow_id")).agg(F.count(F.lit(1)).alias("lines"))
+    workflows = lookup(sizes, mapping, ["workflow_id"]).withColumn("merged_id", F.coalesce("merged_id", "workflow_id"))
+    return merged, workflows.select("workflow_id", "merged_id", "lines")
+
+
 # --- diagnosis ------------------------------------------------------------------------------------------
 
 def diagnose(anomalies: DataFrame, edges: DataFrame) -> DataFrame:

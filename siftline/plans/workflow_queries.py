@@ -30,6 +30,23 @@ define("w_pairs", ("w_graphs",), """SELECT * FROM (SELECT a.id AS a, b.id AS b,
     WHERE similarity >= 0.7::DOUBLE - 1e-12""")
 
 
+def define_merge(graphs: str, pairs: str, sets: str, edges: str, out: str) -> None:
+    """Check steps ``out``_lead and ``out``_map: graphs in id order join the first leader they are similar to, else they lead."""
+    define(f"{out}_lead", (graphs, pairs), f"""WITH RECURSIVE o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM {graphs}),
+        near AS (SELECT b AS id, list(a) AS smaller FROM {pairs} GROUP BY b),
+        g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS leads UNION ALL
+            SELECT o.i, CASE WHEN len(list_intersect(leads, coalesce(near.smaller, []))) = 0 THEN list_append(leads, o.id) ELSE leads END
+            FROM g JOIN o ON o.i = g.i + 1 LEFT JOIN near ON near.id = o.id)
+        SELECT unnest(leads) AS id FROM (SELECT leads FROM g ORDER BY i DESC LIMIT 1)""")
+    define(f"{out}_map", (sets, graphs, pairs, f"{out}_lead"), f"""SELECT s.id AS workflow_id, coalesce(l.id, m.a) AS merged_id FROM {sets} s JOIN {graphs} g USING (edges)
+        LEFT JOIN {out}_lead l ON l.id = g.id LEFT JOIN (SELECT b, min(a) AS a FROM {pairs} JOIN {out}_lead ON id = a GROUP BY b) m ON m.b = g.id""")
+    define(f"{out}_merged", (edges, f"{out}_map"), f"""SELECT merged_id AS workflow_id, src, dst, arg_min(first_seq, (workflow_id, first_seq)) AS first_seq, sum(n)::BIGINT AS n
+        FROM {edges} JOIN {out}_map USING (workflow_id) GROUP BY merged_id, src, dst""")
+
+
+define_merge("w_graphs", "w_pairs", "w_sets", "w_edges", "w")
+
+
 # --- shared parts ---------------------------------------------------------------------------------------
 
 def runs(spark, sf_dir):
@@ -133,7 +150,7 @@ def workflow_similarity(spark, sf_dir):
     return workflow.similar_workflows(sets).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("workflow_merge")
+@query("workflow_merge", ["w_merged"], "SELECT workflow_id, src, dst, first_seq, n FROM w_merged")
 def workflow_merge(spark, sf_dir):
     merged, _ = workflow.merge_workflows(stored_edges(spark, sf_dir))
     return merged
@@ -197,7 +214,37 @@ def tasks_cooccurrence(spark, sf_dir):
     return workflow.tasks_by_cooccurrence(materialize(lines, "steps"))
 
 
-@query("task_workflows")
+define("t_tasks", ("t_flag", "t_starts"), """SELECT f.stream_id, f.seq, f.log_key, (sum(CASE WHEN s.seq IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY f.stream_id ORDER BY f.seq))::BIGINT AS task_id
+    FROM t_flag f LEFT JOIN t_starts s ON f.stream_id = s.stream_id AND f.seq = s.seq""")
+define("t_steps", ("t_tasks",), """SELECT stream_id, seq, task_id, lag(log_key) OVER w AS src, log_key AS dst, lag(task_id) OVER w AS before
+    FROM t_tasks WINDOW w AS (PARTITION BY stream_id ORDER BY seq)""")
+define("t_edges", ("t_steps",), "SELECT stream_id, task_id, src, dst, min(seq) - 1 AS first_seq, count(*) AS n FROM t_steps WHERE before = task_id GROUP BY ALL")
+define("b_edges", ("t_edges",), "SELECT stream_id::VARCHAR || ':' || lpad(task_id::VARCHAR, 9, '0') AS workflow_id, src, dst, first_seq, n FROM t_edges")
+define("b_sets", ("b_edges",), """SELECT workflow_id AS id, list_sort(list(DISTINCT src || '>' || dst)) AS edges,
+    list_sort(list_distinct(list_concat(list(src), list(dst)))) AS nodes FROM b_edges GROUP BY workflow_id""")
+define("b_graphs", ("b_sets",), "SELECT edges, min(id) AS id, any_value(nodes) AS nodes FROM b_sets GROUP BY edges")
+define("b_pairs", ("b_graphs",), """SELECT * FROM (SELECT a.id AS a, b.id AS b, 0.4::DOUBLE * len(list_intersect(a.nodes, b.nodes)) / len(list_distinct(list_concat(a.nodes, b.nodes)))
+    + 0.6::DOUBLE * len(list_intersect(a.edges, b.edges)) / len(list_distinct(list_concat(a.edges, b.edges))) AS similarity FROM b_graphs a JOIN b_graphs b ON a.id < b.id)
+    WHERE similarity >= 0.7::DOUBLE - 1e-12""")
+define_merge("b_graphs", "b_pairs", "b_sets", "b_edges", "b")
+define("b_all", ("t_tasks", "b_map"), """SELECT workflow_id, coalesce(merged_id, workflow_id) AS merged_id, lines FROM (SELECT stream_id::VARCHAR || ':' || lpad(task_id::VARCHAR, 9, '0') AS workflow_id, count(*) AS lines
+    FROM t_tasks GROUP BY ALL) LEFT JOIN b_map USING (workflow_id)""")
+
+
+@query("build_workflows", ["b_all", "b_merged"], """SELECT merged_id AS workflow_id, count(*) AS tasks, sum(lines)::BIGINT AS lines, (SELECT count(*) FROM b_merged m WHERE m.workflow_id = merged_id) AS edges
+    FROM b_all GROUP BY merged_id""")
+def build_workflows(spark, sf_dir):
+    """From lines to merged workflows in one call: size of every workflow, those of one line included."""
+    rows, window = flagged(spark, sf_dir)
+    merged, workflows = workflow.build_workflows(rows, lambda lines: workflow.tasks_by_model(lines, window))
+    sizes = workflows.groupBy(F.col("merged_id").alias("workflow_id")).agg(
+        F.count(F.lit(1)).alias("tasks"), F.sum("lines").alias("lines")
+    )
+    edges = merged.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("edges"))
+    return sizes.join(edges, "workflow_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0)).cast("bigint"))
+
+
+@query("task_workflows", ["t_edges"], "SELECT stream_id, task_id, src, dst, first_seq, n FROM t_edges")
 def task_workflows(spark, sf_dir):
     """Edges of the workflow of every task."""
     rows, window = flagged(spark, sf_dir)

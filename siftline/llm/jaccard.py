@@ -202,7 +202,7 @@ def link_components(sets: DataFrame, percent: int, exhaustive_at: float) -> Data
         members, left = several_components(members)
         if not left["members"]:
             break
-        last = left["pairs"] <= exhaustive_at * left["members"] or left["pairs"] > before / 2
+        last = found is not None and (left["pairs"] <= exhaustive_at * left["members"] or left["pairs"] > before / 2)
         before = left["pairs"]
         pairs = all_pairs(members, percent) if last else leader_pairs(members, percent)
         if checked is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.evaluate import once
 from ..functions.formats import parse_security_line
 from ..packs import fields as field_pack
-from ..packs import lines_v2, lines_v3, signatures, timeline, unified
+from ..packs import lines_v2, lines_v3, signatures, texts, timeline, unified
 from ..session import small_table
 
 MIN_GUARD = 2
@@ -27,7 +27,10 @@ MAX_GUARDS = 12
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule of a pack. ``patterns`` maps a field to its pattern; the field ``raw`` is the line."""
+    """One rule of a pack. ``patterns`` maps a field to its pattern; the field ``raw`` is the line.
+
+    ``category`` is the name that all packs share, ``label`` the pack's own.
+    """
 
     rule_id: str
     category: str
@@ -38,26 +41,35 @@ class Rule:
     pack: str = ""
     description: str = ""
     remediation: str = ""
+    label: str = ""
+
+
+def pack_rule(rule_id: str, category: str, level: str, mitre: str, confidence: float, patterns: dict[str, str], pack: str) -> Rule:
+    """A rule of a built-in pack with its texts; no advice of its own means that of its category."""
+    return Rule(
+        rule_id, texts.canonical(category), level, mitre, confidence, patterns, pack, texts.describe(rule_id, category),
+        texts.ADVICE.get(rule_id, ""), category,
+    )
 
 
 def pack_v3() -> list[Rule]:
-    return [Rule(i, c, lv, m, conf, {"raw": p}, "v3") for i, c, lv, m, conf, p in lines_v3.RULES]
+    return [pack_rule(i, c, lv, m, conf, {"raw": p}, "v3") for i, c, lv, m, conf, p in lines_v3.RULES]
 
 
 def pack_v2() -> list[Rule]:
-    return [Rule(i, c, lv, m, conf, {"raw": p}, "v2") for i, c, lv, m, conf, p in lines_v2.RULES]
+    return [pack_rule(i, c, lv, m, conf, {"raw": p}, "v2") for i, c, lv, m, conf, p in lines_v2.RULES]
 
 
 def pack_fields() -> list[Rule]:
     return [
-        Rule(name, category, severity.upper(), mitre, conf, dict(patterns), "fields")
+        pack_rule(name, category, severity.upper(), mitre, conf, dict(patterns), "fields")
         for _, name, severity, category, mitre, conf, patterns in field_pack.RULES
     ]
 
 
 def pack_signatures() -> list[Rule]:
     return [
-        Rule(f"{category}_{i}", category, "MEDIUM", "", 0.8, {"raw": p}, "signatures")
+        pack_rule(f"{category}_{i}", category, "MEDIUM", "", 0.8, {"raw": p}, "signatures")
         for category, patterns in signatures.PATTERNS
         for i, p in enumerate(patterns, 1)
     ]
@@ -122,11 +134,11 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
         spark,
         [
             (i, r.pack, r.rule_id, r.category, r.level.upper(), r.mitre, float(r.confidence),
-             r.description, r.remediation)
+             r.description, r.remediation, r.label or r.category)
             for i, r in enumerate(rules)
         ],
         "ord int, pack string, rule_id string, category string, threat_level string, mitre string, "
-        "confidence double, description string, remediation string",
+        "confidence double, description string, remediation string, label string",
     )
 
 

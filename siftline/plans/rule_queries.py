@@ -26,10 +26,10 @@ def pattern_sql(pattern: str, text: str = "raw") -> str:
 
 def values_sql(rules) -> str:
     rows = ", ".join(
-        f"({i}, {q(r.rule_id)}, {q(r.category)}, {q(r.level.upper())}, {q(r.mitre)}, {float(r.confidence)}::DOUBLE)"
+        f"({i}, {q(r.rule_id)}, {q(r.category)}, {q(r.level.upper())}, {q(r.mitre)}, {float(r.confidence)}::DOUBLE, {q(r.description)}, {q(r.remediation)}, {q(r.label)})"
         for i, r in enumerate(rules)
     )
-    return f"SELECT * FROM (VALUES {rows}) r(ord, rule_id, category, threat_level, mitre, confidence)"
+    return f"SELECT * FROM (VALUES {rows}) r(ord, rule_id, category, threat_level, mitre, confidence, description, remediation, label)"
 
 
 def hits_sql(source: str, tests) -> str:
@@ -56,7 +56,7 @@ define("m_both", ("s_req",), hits_sql("s_req", [
     pattern_sql(r.patterns["raw"]) if "raw" in r.patterns else field_test(r) for r in match.pack_v3() + match.pack_fields()
 ]))
 define("e_both", ("m_both", "r_both"), """SELECT stream_id, seq, raw, source_ip, hostname, event_id, ts_text, rule_id, category, threat_level,
-    mitre, confidence, CASE threat_level WHEN 'CRITICAL' THEN 10.0::DOUBLE WHEN 'HIGH' THEN 7.5::DOUBLE WHEN 'LOW' THEN 2.5::DOUBLE
+    mitre, confidence, description, remediation, label, CASE threat_level WHEN 'CRITICAL' THEN 10.0::DOUBLE WHEN 'HIGH' THEN 7.5::DOUBLE WHEN 'LOW' THEN 2.5::DOUBLE
     WHEN 'INFO' THEN 1.0::DOUBLE ELSE 5.0::DOUBLE END AS threat_score, ord FROM m_both JOIN r_both USING (ord)""")
 define("m_v2", ("v_auth",), hits_sql("v_auth", [pattern_sql(r.patterns["raw"]) for r in match.pack_v2()]))
 
@@ -168,18 +168,18 @@ def attack_overview(spark, sf_dir):
     return report.top(counts, "category").join(F.broadcast(risk))
 
 
-@query("rules_multi", ["e_both"], """SELECT stream_id, seq, rule_id, category, threat_level, confidence, source_ip FROM e_both
+@query("rules_multi", ["e_both"], """SELECT stream_id, seq, rule_id, category, threat_level, confidence, source_ip, description FROM e_both
     WHERE rule_id IN (SELECT rule_id FROM r_v3)""".replace("(SELECT rule_id FROM r_v3)", "(" + ", ".join(q(r.rule_id) for r in match.pack_v3()) + ")"))
 def rules_multi(spark, sf_dir):
     found = match.match_rules(views.mixed_lines(spark, sf_dir), match.pack_v3())
-    return found.select("stream_id", "seq", "rule_id", "category", "threat_level", "confidence", "source_ip")
+    return found.select("stream_id", "seq", "rule_id", "category", "threat_level", "confidence", "source_ip", "description")
 
 
-@query("rules_fields", ["e_both"], "SELECT stream_id, seq, rule_id, category, threat_level, confidence FROM e_both WHERE rule_id IN ("
+@query("rules_fields", ["e_both"], "SELECT stream_id, seq, rule_id, category, threat_level, confidence, description, label FROM e_both WHERE rule_id IN ("
        + ", ".join(q(r.rule_id) for r in match.pack_fields()) + ")")
 def rules_fields(spark, sf_dir):
     found = match.match_rules(views.mixed_lines(spark, sf_dir), match.pack_fields())
-    return found.select("stream_id", "seq", "rule_id", "category", "threat_level", "confidence")
+    return found.select("stream_id", "seq", "rule_id", "category", "threat_level", "confidence", "description", "label")
 
 
 @query("rules_incidents", ["e_v2"], "SELECT stream_id, seq, rule_id, category, threat_level, mitre, source_ip FROM e_v2")
@@ -255,7 +255,7 @@ def ip_reputation(spark, sf_dir):
 define("d_rem", (), "SELECT * FROM (VALUES " + ", ".join(f"({q(c)}, {q(a)})" for c, a in dimensions.REMEDIATION) + ") t(category, advice)")
 
 
-@query("remediation", ["e_both", "d_rem"], f"SELECT category, coalesce(advice, {q(dimensions.REMEDIATION_DEFAULT)}) AS remediation, count(*) AS n FROM e_both LEFT JOIN d_rem USING (category) GROUP BY ALL")
+@query("remediation", ["e_both", "d_rem"], f"SELECT category, coalesce(nullif(e_both.remediation, ''), advice, {q(dimensions.REMEDIATION_DEFAULT)}) AS remediation, count(*) AS n FROM e_both LEFT JOIN d_rem USING (category) GROUP BY ALL")
 def remediation(spark, sf_dir):
     return events.with_remediation(lazy_events(spark, sf_dir)).groupBy("category", "remediation").agg(F.count(F.lit(1)).alias("n"))
 

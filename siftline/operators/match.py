@@ -243,7 +243,8 @@ def re_groups(pattern: str) -> int:
 def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str = "raw") -> DataFrame:
     """Add attack_type, threat_level, matched_pattern and captured of the first pattern that hits.
 
-    ``captured`` is the first capture group of this pattern. All four are null when nothing hits.
+    ``captured`` holds all capture groups of this pattern in order, empty ones for groups that took no part; it is null
+    for a pattern without groups. All four are null when nothing hits.
     """
     low = lines.withColumn("_low", F.lower(F.col(raw)))
     number = F.coalesce(*[F.when(hits(F.col(raw), F.col("_low"), p), F.lit(i)) for i, (_, _, p) in enumerate(pack)])
@@ -254,11 +255,11 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
     )
     captured = F.coalesce(
         *[
-            F.when(F.col("_ord") == i, F.regexp_extract(F.col(raw), ignoring_case(p), 1))
+            F.when(F.col("_ord") == i, F.array(*[F.regexp_extract(F.col(raw), ignoring_case(p), g) for g in range(1, re_groups(p) + 1)]))
             for i, (_, _, p) in enumerate(pack)
             if re_groups(p)
         ],
-        F.lit(None).cast("string"),
+        F.lit(None).cast("array<string>"),
     )
     numbered = once(low, "_ord", number)
     return numbered.join(F.broadcast(table), "_ord", "left").withColumn("captured", captured).drop("_ord", "_low")

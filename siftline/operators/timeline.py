@@ -43,12 +43,17 @@ def parsed_columns(raw: Column, log_type: str, year: Column | int, iso_fallback:
 
 
 def timeline_events(
-    lines: DataFrame, log_type: str, year: Column | int = 1970, pack: str = "timeline", order: str = "seq"
+    lines: DataFrame, log_type: str, year: Column | int | None = None, pack: str = "timeline", order: str = "seq"
 ) -> DataFrame:
     """Every line of the given type as an event; lines with another layout are dropped.
 
+    A syslog line has no year: without ``year`` it is the one in which the file was written (``file_time``, see read_lines), and 1970 for
+    lines that don't come from files.
+
     A line without a rule hit is an INFO event of type unknown. ``timeline_order`` keeps the line order.
     """
+    if year is None:
+        year = F.coalesce(F.year("file_time"), F.lit(1970)) if "file_time" in lines.columns else 1970
     parsed = once(
         lines, "_p", parsed_columns(F.col("raw"), log_type, year, pack == "timeline"), drop_nulls=True
     )
@@ -76,7 +81,7 @@ def timeline_events(
                     ("level", F.col("_p.level")), ("event_id", F.col("_p.event_id").cast("string")),
                     ("method", F.col("_p.method")), ("status", F.col("_p.status").cast("string")),
                     ("user_agent", F.col("_p.user_agent")), ("thread", F.col("_p.thread")),
-                    ("matched_pattern", F.col("matched_pattern")), ("captured", F.col("captured")),
+                    ("matched_pattern", F.col("matched_pattern")), ("captured", F.array_join("captured", "|")),
                     ("description", F.col("description")),
                 )
                 for part in (F.lit(name), value)

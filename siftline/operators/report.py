@@ -117,6 +117,13 @@ def critical_first(events: DataFrame, order: Sequence[str], limit: int | None) -
     return (ranked if limit is None else ranked.limit(limit)).drop("_rank")
 
 
+def timeline_head(events: DataFrame, limit: int = 100) -> DataFrame:
+    """The first events by time with their ``position``; the limit is the report's own."""
+    first = events.orderBy("ts", "stream_id", "timeline_order").limit(limit)
+    place = F.row_number().over(Window.orderBy("ts", "stream_id", "timeline_order"))  # over the report's few rows
+    return first.withColumn("position", place.cast("bigint"))
+
+
 def first_types(events: DataFrame, column: str, position: Sequence[str], limit: int = 5) -> DataFrame:
     """The first distinct values of a column in order of first appearance."""
     return (

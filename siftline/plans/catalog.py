@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from . import (  # noqa: F401  (importing registers the queries)
-    file_queries, line_queries, model_queries, rule_queries, stream_queries, workflow_queries,
+    file_queries, line_queries, model_queries, rule_queries, source_queries, stream_queries, workflow_queries,
 )
 from .registry import CHECKS, QUERIES
 

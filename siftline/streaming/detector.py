@@ -11,6 +11,7 @@ its own number, and writes it again when it is repeated, so a repeated batch cha
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,29 +27,34 @@ COMPACT_EVERY = 20
 
 
 class StateTable:
-    """Latest row per key, kept as one folder of changes per batch and a full copy now and then."""
+    """Latest row per key, kept as one folder of changes per batch and a full copy now and then.
+
+    A reset lies between two batches: it is read by its batch and later ones, and no batch writes over it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys_: list[str], schema: str):
         self.spark, self.path, self.keys, self.schema = spark, path, keys_, schema
 
-    def _versions(self) -> list[tuple[int, bool]]:
+    def _versions(self) -> list[tuple[float, str, str]]:
+        """(place, kind, folder) of all finished writes in order; a batch has its number plus a half, a reset that of its batch."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
         done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted((int(p.getName().split("-")[1]), p.getName().startswith("full")) for p in done)
+        names = [p.getName() for p in done]
+        kinds = [(n.split("-")[0], int(n.split("-")[1]), n) for n in names]
+        return sorted((number + (0.0 if kind == "reset" else 0.5), kind, name) for kind, number, name in kinds)
 
     def before(self, batch_id: int) -> DataFrame:
         """The state as it was before this batch."""
-        versions = [(v, full) for v, full in self._versions() if v < batch_id]
-        start = max((v for v, full in versions if full), default=None)
+        versions = [v for v in self._versions() if v[0] <= batch_id]
+        start = max((place for place, kind, _ in versions if kind == "full"), default=-1.0)
         parts = []
-        for version, full in versions:
-            if start is not None and (version < start or (version == start and not full)):
+        for version, kind, name in versions:
+            if version < start or (version == start and kind != "full"):
                 continue
-            name = f"{'full' if full else 'change'}-{version}"
             part = self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
             parts.append(part.withColumn("_version", F.lit(version)))
         if not parts:
@@ -61,6 +67,9 @@ class StateTable:
         latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), "_version").alias("_r"))
         return latest.select("_r.*").drop("_version")
 
+    def reset(self, changed: DataFrame, batch_id: int) -> None:
+        changed.write.parquet(f"{self.path}/reset-{batch_id}-{uuid.uuid4().hex}")
+
     def write(self, changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{self.path}/change-{batch_id}")
         if (batch_id + 1) % COMPACT_EVERY == 0:
@@ -99,7 +108,7 @@ class StreamDetector:
         return (writer.trigger(**trigger) if trigger else writer).start()
 
     def reset(self, batch_id: int, stream_ids: DataFrame) -> None:
-        """Forget the given streams as of this batch."""
+        """Forget the given streams before this batch, which has not run yet; the state of other streams stays."""
         known = self.streams.before(batch_id).join(stream_ids, "stream_id", "left_semi")
         cleared = known.select(
             "stream_id", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("last_seq"),
@@ -108,8 +117,8 @@ class StreamDetector:
         vectors = self.vectors.before(batch_id).join(stream_ids, "stream_id", "left_semi").select(
             "stream_id", "log_key", F.lit(0).cast("bigint").alias("nth"), F.lit(None).cast("array<double>").alias("params")
         )
-        self.streams.write(cleared, batch_id)
-        self.vectors.write(vectors, batch_id)
+        self.streams.reset(cleared, batch_id)
+        self.vectors.reset(vectors, batch_id)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         """Handle one micro-batch."""
@@ -117,11 +126,11 @@ class StreamDetector:
         batch = batch.withColumn("stream_id", F.col("stream_id").cast("string"))
         touched = batch.select("stream_id").distinct()
         memory = self.streams.before(batch_id).join(touched, "stream_id", "left_semi")
+        parsed = materialize(keys.parse_lines(batch, parts=["ts", "log_key", "params"]), "stream-parsed")
         if self.forget_after is not None:
-            memory = self._recent(memory)
+            memory = self._recent(memory, parsed)
         memory = materialize(memory, "stream-state")
 
-        parsed = keys.parse_lines(batch, parts=["ts", "log_key", "params"])
         placed = keys.lookup(parsed, memory.select("stream_id", "n", "last_seq"), ["stream_id"])
         placed = materialize(
             placed.withColumn("late", F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False)))
@@ -179,11 +188,12 @@ class StreamDetector:
         out.write.mode("overwrite").parquet(f"{self.path}/results/batch={batch_id}")
         self._remember(ready, old, followed, memory, batch_id)
 
-    def _recent(self, memory: DataFrame) -> DataFrame:
-        newest = memory.agg(F.max("last_ts").alias("_newest"))
+    def _recent(self, memory: DataFrame, parsed: DataFrame) -> DataFrame:
+        """The state of streams whose last line isn't too old for the newest line, stored or just arrived."""
+        newest = parsed.select("ts").union(memory.select("last_ts")).agg(F.max("ts").alias("_newest"))
         age = text.seconds_between(F.col("last_ts"), F.col("_newest"))
         return (
-            memory.join(F.broadcast(newest)).filter(F.col("last_ts").isNull() | (age <= self.forget_after)).drop("_newest")
+            memory.join(F.broadcast(newest)).filter(age.isNull() | (age <= self.forget_after)).drop("_newest")
         )
 
     def _remember(self, ready: DataFrame, old: DataFrame, followed: DataFrame, memory: DataFrame, batch_id: int) -> None:

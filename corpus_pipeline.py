@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.bpe import decode, encode
+from siftline.llm.bpe import encode
 from siftline.llm.decontaminate import without_leaks
 from siftline.llm.jaccard import one_per_group
 from siftline.llm.quality import keep_good
@@ -47,7 +47,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their count, and whether they decode to the text."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    found = encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return found.withColumn("round_trip", same).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "round_trip")
 

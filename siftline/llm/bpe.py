@@ -18,7 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-CACHED = 300_000
+from .words import slices
+
+CACHED = 200_000
 CACHED_CHARS = 40
 MAX_VOCABULARY_BYTES = 64 << 20
 BIT = [1 << i for i in range(4096)]  # ranks below a million
@@ -142,39 +144,52 @@ def added(df: DataFrame, *fields: StructField) -> tuple[StructType, list[str]]:
 
 def encode(
     df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", count_col: str = "n_tokens",
+    bytes_col: str | None = None,
 ) -> DataFrame:
     """Add the token ids of whole texts, as little-endian unsigned 32-bit numbers, and their count.
 
     ``pattern`` splits a text into pre-tokens; text that it doesn't match is left out, as in the usual encoders. A null or
-    empty text has no tokens. There are no special tokens: their strings are ordinary text. Other columns stay; one named like
+    empty text has no tokens. There are no special tokens: their strings are ordinary text. With ``bytes_col``, the ids are decoded again on
+    the spot, as ``decode`` does. Other columns stay; one named like
     a new column is replaced. Rows are independent of each other, so repeats, ties and empty tables need no rule.
     """
     ranks = df.sparkSession.sparkContext.broadcast(small_ranks(ranks_path))
-    schema, kept = added(df, StructField(ids_col, BinaryType()), StructField(count_col, LongType()))
+    back = [StructField(bytes_col, BinaryType())] if bytes_col else []
+    schema, kept = added(df, StructField(ids_col, BinaryType()), StructField(count_col, LongType()), *back)
 
     def run(batches):
         split, ids = regex.compile(pattern.replace(r"\s", SPACE).replace("[^" + SPACE, "[^" + SPACE[1:-1])), PieceIds.of(ranks_path, ranks.value)
-        for batch in batches:
+        token = by_id(ranks.value)
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             found = [b"".join(map(ids.__getitem__, split.findall(t))) if t else b"" for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())],
-                names=schema.names,
-            )
+            columns = [pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())]
+            if bytes_col:
+                columns.append(pa.array([decoded(x, token) for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    token = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, i in ranks.items():
+        token[i] = t
+    return token
+
+
+def decoded(ids: bytes | None, token: list[bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """Add the bytes that packed token ids stand for; null ids give no bytes, an id beyond the vocabulary is an error."""
     ranks = df.sparkSession.sparkContext.broadcast(small_ranks(ranks_path))
     schema, kept = added(df, StructField(bytes_col, BinaryType()))
 
     def run(batches):
-        token = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for t, i in ranks.value.items():
-            token[i] = t
-        for batch in batches:
-            found = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
+        token = by_id(ranks.value)
+        for batch in (part for whole in batches for part in slices(whole, ids_col)):
+            found = [decoded(x, token) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.binary())], names=schema.names)
 
     return df.mapInArrow(run, schema)

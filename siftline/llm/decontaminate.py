@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .words import U64, text_bytes
+from .words import U64, column_of, slices, text_bytes
 
 Q = 8
 RATE = 0.1
@@ -219,9 +219,9 @@ def find_leaks(
 
 def searcher(block, names: list[str], text_col: str, matches_col: str):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             found = batch.column(matches_col).to_pylist()
-            data, offsets = text_bytes(batch.column(text_col))
+            data, offsets = text_bytes(column_of(batch, text_col))
             first = 0
             while first < batch.num_rows:
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, "right")) - 1)
@@ -238,5 +238,5 @@ def searcher(block, names: list[str], text_col: str, matches_col: str):
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with the columns of ``docs``."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return find_leaks(rows, items, rate=rate).where(F.size("matches") == 0).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return find_leaks(rows, items, text_col="row.text", rate=rate).where(F.size("matches") == 0).select("row.*")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .words import slices
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp select svg math object canvas".split())
 SKIPPED = frozenset("nav header footer aside form button menu dialog figcaption head fieldset label".split()) | RAW
@@ -245,7 +247,7 @@ def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text
     winners = host_paths(page_votes(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), "html"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, f"row.{html_col}")):
             row = batch["row"]
             texts = []
             for html, path in zip(row.field(html_col).to_pylist(), batch["path"].to_pylist()):

@@ -13,20 +13,23 @@ no longer halves them, all of them are checked, so no link between components is
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.session import materialize
 
 from .exchange import MESSAGE, OWN, answers, by_block, chunk_count, chunk_of, cut_by_block, messages, text_size
 from .graph import components
-from .words import U64, mix, multipliers, pack, pack_sorted, pieces, unpack, unpack_sorted, window_starts, window_values, word_values
+from .words import ODD, U64, mix, pack, pack_sorted, pieces, text_bytes, unpack, unpack_sorted, window_starts, window_values, word_values
 
 CHUNK_BYTES = 8 << 20
 BLOCK_BITS = 23
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+PAIR_BATCH = "8m"  # of pairs with both their sets, on their way to a Python worker
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -34,11 +37,11 @@ def shingle_sets(texts: pa.Array, words: int):
     for piece in pieces(texts):
         values = word_values(piece, 3, lower=True)
         starts = window_starts(piece, words)
-        grams = window_values(values, words, 3)[starts]
+        grams = window_values(values, words)[starts]
         counts = piece.counts()
         edges = np.concatenate([[0], np.cumsum(np.maximum(counts - words + 1, 0))])
         whole = counts.astype(U64)
-        odd = U64(multipliers(9)[0])
+        odd = U64(ODD)
         for i in range(words - 1):
             has = np.flatnonzero((counts > i) & (counts < words))
             whole[has] = mix(whole[has] * odd + values[piece.doc_word[has] + i])
@@ -183,8 +186,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            left, right = batch["t"].to_pylist(), batch["t2"].to_pylist()
-            keep = [linked(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(left, right)]
+            (left, i), (right, j) = text_bytes(batch["t"]), text_bytes(batch["t2"])
+            keep = [
+                linked(left[i[k] : i[k + 1]].view(U64), right[j[k] : j[k + 1]].view(U64), percent) for k in range(batch.num_rows)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     tokens = sets.select("cls", "tokens")
@@ -208,7 +213,8 @@ def link_components(sets: DataFrame, percent: int, exhaustive_at: float) -> Data
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        fresh = materialize(verify(pairs, sets, percent), "links")
+        with batches_of(sets.sparkSession, PAIR_BATCH):
+            fresh = materialize(verify(pairs, sets, percent), "links")
         links = fresh if links is None else links.union(fresh)
         checked = pairs if checked is None else checked.union(pairs)
         found = components(links)
@@ -231,6 +237,17 @@ def several_components(members: DataFrame):
     return materialize(members.join(sizes.select("token"), "token", "left_semi"), "members"), left
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: str):
+    """Hand Python workers batches of at most this size, for jobs that run inside."""
+    kept = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, kept)
+
+
 def as_pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from siftline.session import small_table
 
-from .words import IS_WORD, U64, letter_values, mix, multipliers, pieces, powers, window_starts, window_values, word_values
+from .words import INVERSE, IS_WORD, ODD, U64, column_of, letter_values, mix, pieces, powers, slices, window_starts, window_values, word_values
 
 STATS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_letters", "n_upper", "n_calls",
@@ -62,21 +62,20 @@ def piece_stats(piece) -> dict[str, np.ndarray]:
     word_doc = np.repeat(np.arange(piece.docs), piece.counts())
     values = word_values(piece, 4)
     starts = window_starts(piece, 3)
-    several, _ = firsts(window_values(values, 3, 4)[starts] ^ doc_key[word_doc[starts]])
+    several, _ = firsts(window_values(values, 3)[starts] ^ doc_key[word_doc[starts]])
     cover = np.zeros(len(values) + 3, bool)
     for i in range(3):
         cover[starts[several] + i] = True
     _, known = firsts(values ^ doc_key[word_doc])
     line_start, line_end, line_doc = lines(piece)
-    odd, inverse = multipliers(4)
     n = len(piece.data)
     sums, in_words = np.zeros(n + 1, U64), np.zeros(n + 1, np.int64)
-    np.cumsum(letter_values(5, False)[piece.data] * powers(odd, n), out=sums[1:])
+    np.cumsum(letter_values(5, False)[piece.data] * powers(ODD, n), out=sums[1:])
     word_bytes = IS_WORD[piece.data]
     np.cumsum(word_bytes, out=in_words[1:])
     hold = in_words[line_end] > in_words[line_start]
     line_start, line_end, line_doc = line_start[hold], line_end[hold], line_doc[hold]
-    line_value = (sums[line_end] - sums[line_start]) * powers(inverse, n + 1)[line_start] + (line_end - line_start).astype(U64)
+    line_value = (sums[line_end] - sums[line_start]) * powers(INVERSE, n + 1)[line_start] + (line_end - line_start).astype(U64)
     _, repeat = firsts(mix(line_value) ^ doc_key[line_doc])
     marks = np.zeros(n + 1, np.int64)
     np.cumsum(MARK[piece.data], out=marks[1:])
@@ -114,8 +113,8 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = StructType([*kept, *[StructField(name, LongType()) for name in STATS]])
 
     def run(batches):
-        for batch in batches:
-            parts = [piece_stats(p) for p in pieces(batch.column(text_col))]
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
+            parts = [piece_stats(p) for p in pieces(column_of(batch, text_col))]
             columns = [np.concatenate([p[name] for p in parts] or [np.zeros(0)]).astype(np.int64) for name in STATS]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *map(pa.array, columns)], names=schema.names)
 
@@ -202,10 +201,9 @@ def quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
     same verdict. Columns named like a result are replaced; an empty table gives an empty result.
     """
     stats = text_stats(docs, text_col)
-    return judge(stats, fit(text_stats(docs.select(text_col), text_col)), threshold)
+    return judge(stats, fit(text_stats(docs.select(F.col(text_col).alias("text")))), threshold)
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that quality() keeps, with the columns of ``docs``."""
-    row = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return quality(row, "text", threshold).where("kept").select("row.*")
+    return quality(docs.select(F.struct("*").alias("row")), "row.text", threshold).where("kept").select("row.*")

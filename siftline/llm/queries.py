@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siftline.session import checkpoint_root, materialize
 
 from . import licences, toxicity
-from .bpe import decode, encode
+from .bpe import encode
 from .decontaminate import find_leaks
 from .html_extract import extract
 from .jaccard import near_duplicates
@@ -116,7 +116,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, and digests of its ids and of the bytes they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    found = encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded")
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -40,8 +40,8 @@ def chunk_windows(table: pa.Table, length: int):
         if not len(starts):
             continue
         words = word_values(piece, 1)
-        first.append(window_values(words, length, 1)[starts])
-        second.append(window_values(mix(words ^ SECOND), length, 2)[starts] >> U64(32))
+        first.append(window_values(words, length)[starts])
+        second.append(window_values(mix(words ^ SECOND), length)[starts] >> U64(32))
         docs = np.repeat(ids[piece.first : piece.first + piece.docs], piece.counts())
         owner.append(docs[starts])
     if not first:
@@ -154,15 +154,16 @@ def drop_repeated(
     """Remove every word covered by a window of ``length`` words that also begins in a document with a smaller id.
 
     Returns one row per input row: the id, n_words, n_removed, and kept_text, the remaining words joined by one space; with
-    ``carry`` also ``row``, a struct of all columns of the input. Windows are judged on the input. ``load`` is the share of
+    ``carry`` also the text as it was, and ``rest``, a struct of the input's other columns. Windows are judged on the input. ``load`` is the share of
     counters in use per row of the sketch. Whole texts count. A null text has no words; a null id counts as larger than every
     other; rows with the same id are never a source for each other; other columns play no part, whatever their names; an empty
     table gives an empty result. A task holds one chunk: ``chunk_bytes`` or one document, whichever is more.
     """
     n = chunk_count(size := text_size(docs, text_col), chunk_bytes)
     bits = min(62, max(BLOCK_BITS, math.ceil(math.log2(max(1, size / 6) / load))))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[F.struct("*").alias("row")] * carry
+        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[others.alias("rest")] * carry
     ).withColumn("chunk", chunk_of(n, "id", "text"))
 
     def ask_sketch(key, table):
@@ -193,7 +194,7 @@ def drop_repeated(
     grouped = answers(asks, merge_windows)
     schema = StructType.fromDDL("id bigint, n_words bigint, n_removed bigint, kept_text string")
     if carry:
-        schema.add(rows.schema["row"])
+        schema.add("text", "string").add(rows.schema["rest"])
     out = rows.groupBy("chunk").cogroup(grouped.groupBy("chunk")).applyInArrow(finish, schema)
     return out.withColumnRenamed("id", id_col)
 
@@ -204,8 +205,8 @@ def without_repeats(docs: DataFrame, length: int = 50, text_col: str = "text") -
     A document that is all repeats keeps its row, with an empty text.
     """
     found = drop_repeated(docs, length, text_col=text_col, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row")[text_col])
-    return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def block_number(first: np.ndarray, blocks: int) -> np.ndarray:
@@ -227,7 +228,7 @@ def kept_words(table: pa.Table, found, gone: np.ndarray, length: int) -> pa.Tabl
         words.append(piece.counts())
         texts.append(join_words(piece, ~out))
     none = np.zeros(0, np.int64)
-    carried = {"row": table["row"]} if "row" in table.column_names else {}
+    carried = {c: table[c] for c in ("text", "rest")} if "rest" in table.column_names else {}
     return pa.table({
         "id": table["id"], "n_words": np.concatenate(words or [none]).astype(np.int64),
         "n_removed": np.concatenate(removed or [none]).astype(np.int64),

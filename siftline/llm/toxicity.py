@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from siftline.session import materialize
 
-from .words import U64, Piece, letter_values, mix, multipliers, pieces, powers
+from .words import INVERSE, ODD, U64, Piece, column_of, letter_values, mix, pieces, powers, slices
 
 RUN = 32
 PREFIXES = (4, 5, 6, 7, 8, 10)
@@ -47,11 +47,10 @@ def word_features(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for _ in range(6):
         end -= (end > start + 1) & PUNCTUATION[data[end - 1]]
         start += (end > start + 1) & PUNCTUATION[data[start]]
-    odd, inverse = multipliers(6)
     n = len(data)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(letter_values(6, False)[data] * powers(odd, n), out=sums[1:])
-    shift = powers(inverse, n)
+    np.cumsum(letter_values(6, False)[data] * powers(ODD, n), out=sums[1:])
+    shift = powers(INVERSE, n)
     length = end - start
     out = np.zeros((FEATURES, len(start)), U64)
     for i, size in enumerate(PREFIXES):
@@ -318,9 +317,9 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", span_at: float
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             scores, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for piece in pieces(batch.column(text_col)):
+            for piece in pieces(column_of(batch, text_col)):
                 chance, start, end = word_chances(piece, model.value)
                 doc = np.repeat(np.arange(piece.docs), piece.counts())
                 at = np.flatnonzero(chance >= 0.05)

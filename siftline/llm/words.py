@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 IS_WORD = ~IS_SPACE
@@ -34,10 +33,9 @@ def letter_values(seed: int, lower: bool) -> np.ndarray:
     return values
 
 
-@lru_cache(None)
-def multipliers(seed: int) -> tuple[int, int]:
-    odd = int(random_numbers(1000 + seed, 1)[0]) | 5
-    return odd, pow(odd, -1, 2**64)
+#: The base of all fingerprints and its inverse modulo 2**64; fingerprints differ by the values that the powers multiply.
+ODD = int(random_numbers(1001, 1)[0]) | 5
+INVERSE = pow(ODD, -1, 2**64)
 
 
 POWERS: dict[int, np.ndarray] = {}
@@ -100,6 +98,22 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with a dot in the name a field of a struct."""
+    column, _, field = name.partition(".")
+    return batch.column(column).field(field) if field else batch.column(column)
+
+
+def slices(batch: pa.RecordBatch, name: str, size: int = 4 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that the texts of each part take about ``size`` bytes: what a worker sends back stays small as well."""
+    _, offsets = text_bytes(column_of(batch, name))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[Piece]:
     """Cut a string array into pieces of about ``size`` bytes, whole documents each, and find their words."""
     data, offsets = text_bytes(texts)
@@ -126,22 +140,20 @@ def word_values(piece: Piece, seed: int, lower: bool = False) -> np.ndarray:
     """A 64-bit fingerprint of every word."""
     if not len(piece.starts):
         return np.zeros(0, U64)
-    odd, inverse = multipliers(seed)
     n = len(piece.data)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(letter_values(seed, lower)[piece.data] * powers(odd, n), out=sums[1:])
-    return mix((sums[piece.ends] - sums[piece.starts]) * powers(inverse, n)[piece.starts] + (piece.ends - piece.starts).astype(U64))
+    np.cumsum(letter_values(seed, lower)[piece.data] * powers(ODD, n), out=sums[1:])
+    return mix((sums[piece.ends] - sums[piece.starts]) * powers(INVERSE, n)[piece.starts] + (piece.ends - piece.starts).astype(U64))
 
 
-def window_values(values: np.ndarray, length: int, seed: int) -> np.ndarray:
+def window_values(values: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit fingerprint of every run of ``length`` values; runs across documents are left to the caller."""
     n = len(values)
     if n < length:
         return np.zeros(0, U64)
-    odd, inverse = multipliers(50 + seed)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(odd, n), out=sums[1:])
-    return mix((sums[length:] - sums[:-length]) * powers(inverse, n)[: n - length + 1])
+    np.cumsum(values * powers(ODD, n), out=sums[1:])
+    return mix((sums[length:] - sums[:-length]) * powers(INVERSE, n)[: n - length + 1])
 
 
 def window_starts(piece: Piece, length: int) -> np.ndarray:

@@ -12,7 +12,8 @@ QUICK = (
     "log_keys params time_delta stream_ids regrouped_lines access_parse syslog_parse security_parse line_type private_ip "
     "label_split positional_split date_range pasted_text flow_lines rules_multi rules_fields rules_incidents rules_first "
     "eventid_join attack_overview category_share risk_v3 recommendations timeline attack_chains chain_stages "
-    "brute_force_window next_key_model key_anomalies detect transitions loop_nodes cooccurrence file_scan_first file_scan_score"
+    "brute_force_window next_key_model key_anomalies detect transitions loop_nodes cooccurrence file_scan_first file_scan_score "
+    "remediation workflow_merge build_workflows scan_lines scan_auto scan_balanced json_report timeline_head timeline_text"
 ).split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 

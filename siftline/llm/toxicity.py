@@ -229,7 +229,7 @@ def training_runs(sample: DataFrame, telling: np.ndarray, most_runs: int):
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 9000, most_runs: int = 12_000, rounds: int = 60,
+    docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 9000, most_runs: int = 9000, rounds: int = 60,
 ) -> Field:
     """Train the field on a bounded sample of labelled documents.
 

@@ -20,7 +20,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .words import slices
 
-CACHED = 200_000
+CACHED = 120_000
 CACHED_CHARS = 40
 MAX_VOCABULARY_BYTES = 64 << 20
 BIT = [1 << i for i in range(4096)]  # ranks below a million

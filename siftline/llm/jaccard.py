@@ -26,7 +26,7 @@ from .exchange import MESSAGE, OWN, answers, by_block, chunk_count, chunk_of, cu
 from .graph import components
 from .words import ODD, U64, mix, pack, pack_sorted, pieces, text_bytes, unpack, unpack_sorted, window_starts, window_values, word_values
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK_BITS = 23
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 PAIR_BATCH = "8m"  # of pairs with both their sets, on their way to a Python worker
@@ -307,6 +307,7 @@ def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: st
     keep = materialize(
         groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("keep__")).agg(F.count(F.lit(1)).alias("copies__")), "kept-ids"
     )
-    kept = docs.join(keep.where("copies__ = 1"), F.col(id_col) == F.col("keep__"), "left_semi")
-    repeated = docs.join(keep.where("copies__ > 1"), F.col(id_col) == F.col("keep__"), "left_semi").dropDuplicates([id_col])
+    # the same way at every size: both joins share one exchange of the documents
+    kept = docs.join(keep.where("copies__ = 1").hint("merge"), F.col(id_col) == F.col("keep__"), "left_semi")
+    repeated = docs.join(keep.where("copies__ > 1").hint("merge"), F.col(id_col) == F.col("keep__"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

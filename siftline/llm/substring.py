@@ -21,7 +21,7 @@ from .words import (
     U64, mix, pack, pack_flags, pack_sorted, pieces, unpack, unpack_flags, unpack_sorted, window_starts, window_values, word_values,
 )
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK_BITS = 23
 SECOND = U64(0xA0761D6478BD642F)  # makes a second, independent value of a word from its first
 LAST = np.iinfo(np.int64).max  # stands for a missing id: later than every other

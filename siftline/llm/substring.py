@@ -162,6 +162,7 @@ def drop_repeated(
     n = chunk_count(size := text_size(docs, text_col), chunk_bytes)
     bits = min(62, max(BLOCK_BITS, math.ceil(math.log2(max(1, size / 6) / load))))
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    blocks = -(-n // 8)  # of windows to be grouped, which are a small part of all
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *[others.alias("rest")] * carry
     ).withColumn("chunk", chunk_of(n, "id", "text"))
@@ -175,8 +176,9 @@ def drop_repeated(
         _, first, second, owner, several, *_ = chunk_windows(table, length)
         hot = repeated(first, second, several, bits, by_block(got))
         out = [(chunk, OWN, pack_flags(hot))]
-        for block, a, b in cut_by_block(first[hot], block_number(first[hot], n)):
-            out.append((chunk, block, join3(first[hot][a:b], second[hot][a:b], owner[hot][a:b])))
+        first, second, owner = first[hot], second[hot], owner[hot]
+        for block, a, b in cut_by_block(first, block_number(first, blocks)):
+            out.append((chunk, block, join3(first[a:b], second[a:b], owner[a:b])))
         return messages(out)
 
     def finish(key, table, got):
@@ -184,7 +186,7 @@ def drop_repeated(
         got = by_block(got)
         at = np.flatnonzero(unpack_flags(got[OWN])) if OWN in got else np.zeros(0, np.int64)
         elsewhere = np.zeros(len(first), bool)
-        for block, a, b in cut_by_block(first[at], block_number(first[at], n)):
+        for block, a, b in cut_by_block(first[at], block_number(first[at], blocks)):
             elsewhere[at[a:b]] = unpack_flags(got[block])
         return kept_words(table, found, elsewhere[number] | (owner > least[number]), length)
 

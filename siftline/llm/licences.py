@@ -4,7 +4,8 @@ The model is a softmax regression over word one- and two-grams, fitted on notice
 and added words, and on ordinary sentences of the corpus. It is small and goes into the plan as literals. Scanning uses column
 expressions only: documents without any word that speaks for a licence can't reach a family and are passed over by one
 pattern, which follows from the model; in the others every sentence is scored, and a family counts as confirmed when one of
-its templates is found in the sentence.
+its templates is found in the sentence. A sentence may be wrapped over several lines of a paragraph: then its lines and overlapping
+windows of its words are scored, and what is only a part of a notice found more fully falls away.
 """
 
 from __future__ import annotations
@@ -83,6 +84,12 @@ ORDINARY = [
     "The source of the river is in the north.", "The conditions of use follow in the next chapter.", "Permission to enter the building was granted.",
 ]
 STOPS = frozenset("a all an and any are as at be by can for from has in is it may met not of on or s that the this to was with you".split())
+#: Paragraphs part at lines without letters and digits, sentences after a full stop before a capital; marks that start a line (comment signs) go.
+PARAGRAPH = r"\n[^\p{L}\p{N}]*\n"
+SENTENCE = r"(?<=[.!?])(?:\s+|\s*\n[^\p{L}\p{N}]*)(?=\p{Lu})"
+LINE = r"\n[^\p{L}\p{N}]*"
+#: Words of a window over a wrapped sentence. Windows lie half a window apart, so one of them holds any notice of up to 33 words whole.
+WINDOW = 64
 NONE = "none"
 UNKNOWN = "unknown"
 
@@ -101,6 +108,11 @@ def grams(sentence: Column) -> Column:
     return F.array_distinct(F.concat(words, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often and in whatever lambda ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 @dataclass(frozen=True)
 class Model:
     """Classes (the first is no licence), the weight of each gram per class, biases, and the least probability that names a family.
@@ -228,10 +240,12 @@ def hints(model: Model) -> str:
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.6) -> DataFrame:
     """One row per document: the id, family, probability, template_share, confirmed, n_sentences and families.
 
-    ``family`` is that of the document's most probable licence sentence: a known family, ``unknown`` when a licence is likely but no
+    ``family`` is that of the document's most probable licence notice: a known family, ``unknown`` when a licence is likely but no
     family reaches the least probability or no template confirms it, or ``none``. ``families`` has all confirmed families of
-    the document in order, ``n_sentences`` counts its licence sentences. ``template_share`` is the share of the best template's grams that the sentence has;
-    from ``similar`` on it confirms. Sentences are lines, cut after a full stop as well. A null or empty text has none.
+    the document in order, ``n_sentences`` counts its notices. ``template_share`` is the share of the best template's grams that the notice has;
+    from ``similar`` on it confirms. A sentence on one line is scored as it is. Of one wrapped over several lines, the lines and
+    windows of its words are scored; a line falls away where a window of the sentence has more of a template with all the grams that
+    the line shares with its own, and a window where a line or another window does. A null or empty text has no notice.
     Rows are independent, so repeated rows get equal results; an empty table gives an empty result; other columns play no part.
     """
     k = len(model.classes)
@@ -242,15 +256,27 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ])
     text = F.coalesce(F.col(text_col), F.lit(""))
     hint = hints(model)
-    cut = F.filter(F.split(text, r"\n|(?<=[.!?])\s+(?=\p{Lu})"), lambda s: s.rlike(hint))
-
-    def scored(sentence: Column) -> Column:
-        have = grams(sentence)
+    sentences = F.filter(F.flatten(F.transform(F.split(text, PARAGRAPH), lambda p: F.split(p, SENTENCE))), lambda s: s.rlike(hint))
+
+    def pieces(sentence: Column) -> Column:
+        """The lines of a sentence and, where it has more than one, windows of its words."""
+        def windows(words: Column) -> Column:
+            last = F.greatest(F.ceil((F.size(words) - WINDOW) / F.lit(WINDOW / 2)), F.lit(0)).cast("int")
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+                F.concat_ws(" ", F.slice(words, i * (WINDOW // 2) + 1, WINDOW)).alias("text"), F.lit(True).alias("wide")
+            ))
+
+        lines = F.transform(F.split(sentence, LINE), lambda s: F.struct(s.alias("text"), F.lit(False).alias("wide")))
+        wide = bound(F.split(F.regexp_replace(sentence, LINE, " "), r"\s+"), windows)
+        return F.filter(F.when(F.instr(sentence, "\n") > 0, F.concat(lines, wide)).otherwise(lines), lambda x: x["text"].rlike(hint))
+
+    def scored(piece: Column) -> Column:
+        have = grams(piece["text"])
         known = F.array_intersect(have, keys)
         logits = F.aggregate(
             known, F.array(*map(F.lit, model.bias)), lambda total, g: F.zip_with(total, F.element_at(table, g), lambda a, b: a + b)
         )
-        return F.struct(sentence.alias("sentence"), have.alias("grams"), logits.alias("logits"))
+        return F.struct(piece["wide"].alias("wide"), have.alias("grams"), logits.alias("logits"))
 
     def judged(s: Column) -> Column:
         top = F.array_max(s["logits"])
@@ -258,27 +284,62 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
         best = F.array_max(F.slice(s["logits"], 2, k - 1))
         number = F.array_position(F.slice(s["logits"], 2, k - 1), best).cast("int") + 1
-        share = F.array_max(F.transform(
-            F.element_at(templates, number), lambda t: F.size(F.array_intersect(t, s["grams"])) / F.size(t).cast("double")
+        match = F.array_max(F.transform(
+            F.element_at(templates, number),
+            lambda t: F.struct((F.size(F.array_intersect(t, s["grams"])) / F.size(t).cast("double")).alias("share"), t.alias("template")),
         ))
         return F.struct(
-            (F.exp(best - top) / total).alias("probability"), share.alias("template_share"),
+            s["wide"].alias("wide"), s["grams"].alias("grams"), (F.exp(best - top) / total).alias("probability"), match.alias("match"),
             F.element_at(F.array(*map(F.lit, model.classes)), number).alias("family"),
             (1 - F.element_at(parts, 1) / total).alias("licence"),
         )
 
     def named(s: Column) -> Column:
-        confirmed = (s["probability"] >= model.least) & (s["template_share"] >= similar)
+        share = s["match"]["share"]
+        confirmed = (s["probability"] >= model.least) & (share >= similar)
         return F.struct(
-            s["licence"].alias("licence"), F.when(confirmed, s["family"]).otherwise(F.lit(UNKNOWN)).alias("family"), s["probability"].alias("probability"),
-            s["template_share"].alias("template_share"), confirmed.alias("confirmed"),
+            s["wide"].alias("wide"), s["licence"].alias("licence"), F.when(confirmed, s["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
+            s["probability"].alias("probability"), share.alias("template_share"), confirmed.alias("confirmed"),
+            s["match"]["template"].alias("template"), F.array_intersect(s["match"]["template"], s["grams"]).alias("shared"),
         )
 
-    found = F.filter(F.transform(F.transform(F.transform(cut, scored), judged), named), lambda s: s["licence"] >= 0.5)
-    kind = "array<struct<licence:double,family:string,probability:double,template_share:double,confirmed:boolean>>"
-    rows = docs.select(F.col(id_col), F.when(text.rlike(hint), found).otherwise(F.array().cast(kind)).alias("found__"))
-    best = F.array_max(F.transform("found__", lambda s: F.struct(s["confirmed"], s["probability"], s["family"], s["template_share"])))
-    return rows.withColumn("best__", best).select(
+    def apart(found: Column) -> Column:
+        """The pieces of a sentence without those that are part of a notice which another piece has more of."""
+
+        def marks(wide: bool) -> Column:
+            some = F.filter(found, lambda s: s["wide"] == F.lit(wide))
+            return F.array_distinct(F.transform(some, lambda s: F.struct(F.struct(s["confirmed"], s["template_share"]).alias("rank"), s["template"].alias("template"))))
+
+        def part(s: Column, mark: Column) -> Column:
+            return F.size(F.array_except(s["shared"], mark["template"])) == 0
+
+        def rank(s: Column) -> Column:
+            return F.struct(s["confirmed"], s["template_share"])
+
+        def kept(both: Column) -> Column:
+            lines = F.filter(found, lambda s: ~s["wide"] & ~F.exists(both["wide"], lambda m: (m["rank"] > rank(s)) & part(s, m)))
+            wide = F.filter(found, lambda s: s["wide"] & ~F.exists(both["lines"], lambda m: (m["rank"] >= rank(s)) & part(s, m)) & ~F.exists(
+                both["wide"], lambda m: (m["rank"] > rank(s)) & part(s, m)
+            ))
+            return F.concat(F.transform(lines, small), bound(wide, once))
+
+        def once(wide: Column) -> Column:
+            return F.transform(F.array_distinct(F.transform(wide, lambda s: s["template"])), lambda t: F.array_max(
+                F.transform(F.filter(wide, lambda s: s["template"] == t), small)
+            ))
+
+        return bound(F.struct(marks(False).alias("lines"), marks(True).alias("wide")), kept)
+
+    def small(s: Column) -> Column:
+        return F.struct(*[s[x].alias(x) for x in ("confirmed", "probability", "family", "template_share")])
+
+    def notices(sentence: Column) -> Column:
+        found = F.filter(F.transform(F.transform(F.transform(pieces(sentence), scored), judged), named), lambda s: s["licence"] >= 0.5)
+        return bound(found, lambda x: F.when(F.exists(x, lambda s: s["wide"]), apart(x)).otherwise(F.transform(x, small)))
+
+    kind = "array<struct<confirmed:boolean,probability:double,family:string,template_share:double>>"
+    rows = docs.select(F.col(id_col), F.when(text.rlike(hint), F.flatten(F.transform(sentences, notices))).otherwise(F.array().cast(kind)).alias("found__"))
+    return rows.withColumn("best__", F.array_max("found__")).select(
         id_col, F.coalesce(F.col("best__")["family"], F.lit(NONE)).alias("family"),
         F.coalesce(F.col("best__")["probability"], F.lit(0.0)).alias("probability"),
         F.coalesce(F.col("best__")["template_share"], F.lit(0.0)).alias("template_share"),

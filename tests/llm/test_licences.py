@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -71,3 +72,41 @@ def test_edges(spark, model):
     assert fit(edge.empty(spark)).classes == model.classes
     long = spark.createDataFrame([(1, "word " * 200_000 + "\n" + NOTICES["MIT"] + " Tail"), (1, NOTICES["GPL"]), (None, NOTICES["MIT"])], "doc_id bigint, text string")
     assert sorted((r.family for r in scan(long, model).collect())) == ["GPL", "MIT", "MIT"]
+
+
+# Usual headers of source files.
+HEADERS = {
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+    "above copyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_wrapped_headers(spark, model):
+    """A notice counts once and with its own family at every width, in comment signs, and inside a long run of lines without a full stop."""
+    rows = []
+    for family, header in HEADERS.items():
+        for width in (40, 60, 72, 80):
+            for sign in ("", "# ", " * ", "// "):
+                lines = textwrap.wrap(header, width)
+                block = "\n".join(sign + x for x in ["Copyright (c) 2020 Some Body", "", *lines])
+                rows.append((family, block))
+                rows.append((family, "int x\n" * 40 + block + "\n" + "int y\n" * 40))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in scan(docs, model).collect()}
+    bad = [(f, t, found[i]) for i, (f, t) in enumerate(rows) if list(found[i].families) != [f] or found[i].family != f]
+    assert not bad, (len(bad), len(rows), bad[:3])
+
+
+def test_lines_without_full_stop(spark, model):
+    """Notices on lines of their own keep their families when no full stop stands between them."""
+    text = "Released under the MIT License\nLicensed under CC BY-NC 4.0\nLicensed under the Apache License, Version 2.0\n\n" + "\n".join(textwrap.wrap(HEADERS["BSD"], 60))
+    row = scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).collect()[0]
+    assert list(row.families) == ["Apache-2.0", "BSD", "CC-BY-NC", "MIT"]

@@ -19,14 +19,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .words import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp select svg math object canvas".split())
-SKIPPED = frozenset("nav header footer aside form button menu dialog figcaption head fieldset label".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp select svg object canvas".split())
+SKIPPED = frozenset("nav header footer aside form button menu dialog head fieldset label".split()) | RAW
 BLOCK = frozenset(
-    "address article blockquote body center dd details div dl dt figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section "
+    "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section "
     "summary table tbody td tfoot th thead tr ul br".split()
 )
 CONTAINER = frozenset("page article main section div td body blockquote".split())
-WITH = re.compile(r"(?<![a-z])(?:has|with|without|no)-\S+")
+#: Words that tell what a container has, or which terms its post is filed under.
+WITH = re.compile(r"(?<![^\s-])(?:has|with|without|no|tag|category)-\S+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "summary"} | {"nav", "header", "footer", "aside", "form", "fieldset", "menu"}
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article main section div td th table ul ol dl body blockquote aside nav header footer form".split())
@@ -37,6 +39,11 @@ CLUTTER = re.compile(
     r"header|footer|foot|masthead|toolbar|share|sharing|social|related|recommended|recommendations|comments?|commentlist|reply|replies|"
     r"discussion|disqus|respond|feedback|search(-?(form|box|bar))?|form|skip|hidden|legal|copyright|tags?|metadata|byline-ads)(?![a-z])"
 )
+#: Those of them that an article's own parts may be named by as well: alone they mark nothing.
+WEAK = re.compile(
+    r"(?<![a-z])(notice|alert|side|header|footer|foot|share|sharing|social|related|recommended|recommendations|reply|discussion|respond|feedback|"
+    r"search(-?(form|box|bar))?|form|skip|legal|copyright|tags?|metadata|promotion|consent|gdpr|subscription|login)(?![a-z])"
+)
 ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -47,11 +54,13 @@ NUMBER = re.compile(r"\d+")
 class Node:
     """A container that was opened: its place on the page, and the text it holds itself or below."""
 
-    __slots__ = ("tag", "path", "parent", "clutter", "start", "end", "text", "links", "paragraphs")
+    __slots__ = ("tag", "path", "parent", "clutter", "doubt", "start", "end", "text", "links", "paragraphs", "prose", "forms")
 
     def __init__(self, tag: str, path: str, parent: Node | None, clutter: bool, start: int):
         self.tag, self.path, self.parent, self.clutter, self.start, self.end = tag, path, parent, clutter, start, 0
-        self.text = self.links = self.paragraphs = 0
+        #: Words of its class or id that mark clutter: 0 none, 1 weak ones, 2 a strong one.
+        self.doubt = 0
+        self.text = self.links = self.paragraphs = self.prose = self.forms = 0
 
 
 class Page:
@@ -59,6 +68,7 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[str] = []
+        self.owners: list[Node] = []
         self.nodes: list[Node] = []
         self.parts: list[str] = []
         self.nodes.append(Node("page", "", None, False, 0))
@@ -84,12 +94,13 @@ class Page:
                 continue
             if tag in RAW and not found.group(3).endswith("/"):
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else (at if tag in ("svg", "math", "object", "canvas") else for_end)
+                at = end.end() if end else (at if tag in ("svg", "object", "canvas") else for_end)
                 continue
             self.begin(tag, found.group(3))
         self.block()
         while self.open:
             self.pop()
+        self.settle()
 
     def add(self, text: str) -> None:
         if text and not self.open[-1].clutter:
@@ -102,16 +113,20 @@ class Page:
         self.parts = []
         if not text:
             return
+        node = self.open[-1]
         self.blocks.append(text)
+        self.owners.append(node)
         paragraph = any(n.tag == "p" for n in self.open[-3:])
-        node = self.open[-1]
         node.paragraphs += paragraph and len(text) >= 20
+        node.prose += len(text) if paragraph else 0
         node.text += len(text)
         node.links += len(text) if self.in_link else 0
 
     def begin(self, tag: str, attributes: str) -> None:
         if tag in BLOCK or tag in SKIPPED:
             self.block()
+        if tag in ("form", "input", "select", "textarea", "button"):
+            self.open[-1].forms += 1
         if tag in VOID:
             return
         if tag in CLOSES_P:
@@ -125,18 +140,20 @@ class Page:
                 return
         known = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes.strip("/ ") else {}
         names = NUMBER.sub("#", f"{known.get('class', '')}".lower()).split()
-        words = f"{known.get('class', '')} {known.get('id', '')}".lower().replace("_", "-")
+        words = f"{known.get('class', '')} {known.get('id', '') if tag != 'section' and tag not in HEADINGS else ''}".lower().replace("_", "-")
         parent = self.open[-1]
-        holds_page = tag in ("html", "body", "main", "article")
+        found = [] if tag in ("html", "body", "main", "article") else CLUTTER.findall(WITH.sub(" ", words))
+        doubt = 0 if not found else 1 if all(WEAK.fullmatch(x[0]) for x in found) else 2
         clutter = (
             tag in SKIPPED or "hidden" in known or known.get("aria-hidden") == "true"
             or known.get("role", "").lower() in ROLE or "display:none" in known.get("style", "").replace(" ", "").lower()
-            or (not holds_page and bool(CLUTTER.search(WITH.sub(" ", words))))
+            or (tag not in BLOCK and (doubt == 2 or (doubt == 1 and tag == "a")))
         )
         if tag not in BLOCK and not clutter:
             return
         path = parent.path + "/" + ".".join([tag, *sorted(names)])
         node = Node(tag, path, parent, clutter or parent.clutter, len(self.blocks))
+        node.doubt = doubt
         self.nodes.append(node)
         self.open.append(node)
 
@@ -175,10 +192,32 @@ class Page:
         node = self.open.pop()
         node.end = len(self.blocks)
         if self.open and not node.clutter:
-            above = self.open[-1]
-            above.text += node.text
-            above.links += node.links
-            above.paragraphs += node.paragraphs
+            self.pass_up(node)
+
+    @staticmethod
+    def pass_up(node: Node, sign: int = 1) -> None:
+        """Add what a container holds to the one around it, or take it away again from all around it."""
+        above = node.parent
+        while above is not None:
+            above.text += sign * node.text
+            above.links += sign * node.links
+            above.paragraphs += sign * node.paragraphs
+            above.prose += sign * node.prose
+            above.forms += sign * node.forms
+            above = above.parent if sign < 0 else None
+
+    def settle(self) -> None:
+        """Drop the doubtful containers, but none with most of the page's paragraphs, and by weak words only what links or forms speak against too."""
+        prose, text = self.nodes[0].prose, self.nodes[0].text
+        for node in self.nodes:
+            if node.parent is not None and node.parent.clutter:
+                node.clutter = True
+            if node.clutter or not node.doubt:
+                continue
+            most = 2 * node.prose > prose if prose else 2 * node.text > text
+            if not most and (node.doubt == 2 or node.forms or node.links >= 0.3 * max(node.text, 1)):
+                node.clutter = True
+                self.pass_up(node, -1)
 
     def best(self) -> Node | None:
         """The container whose text best looks like an article: much text of its own paragraphs, few links, as deep as may be."""
@@ -194,7 +233,7 @@ class Page:
         return top
 
     def text_of(self, node: Node) -> str:
-        return " ".join(self.blocks[node.start : node.end])
+        return " ".join(x for x, owner in zip(self.blocks[node.start : node.end], self.owners[node.start : node.end]) if not owner.clutter)
 
     def text_at(self, path: str) -> str | None:
         """The text of the outermost containers with this path, or None where there are none with text."""

@@ -69,3 +69,19 @@ def test_edges(spark):
 
 def test_generalised_paths():
     assert Page("<body><div class='b a-12'><p>x</p></div></body>").nodes[2].path == "/body/div.a-#.b"
+
+
+def test_one_word_does_not_decide():
+    for name in ("class='post type-post tag-python'", "class='entry category-legal'", "class='related'", "id='comments'"):
+        assert main_text(f"<body><p>Site</p><div {name}>{STORY}</div></body>", None).endswith(WANT), name
+    for name in ("discussion", "related-work", "results-and-discussion", "side-effects", "search", "legal"):
+        for tag in ("div", "section"):
+            page = f"<article>{STORY}<{tag} id='{name}'><h2 id='{name}'>Title</h2><p>Its own words.</p></{tag}></article>"
+            assert main_text(page, None) == f"{WANT} Title Its own words.", (tag, name)
+    links = "<div class='related'><a href=/a>Another story</a> <a href=/b>And one more</a></div>"
+    assert main_text(f"<article>{STORY}{links}<div class='search'><input name=q> Find</div></article>", None) == WANT
+
+
+def test_captions_and_formulas_stay():
+    page = f"<article>{STORY}<figure><img src=x><figcaption>A caption.</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>"
+    assert main_text(page, None) == f"{WANT} A caption. So x=1 holds."

@@ -1,9 +1,9 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Pass 1 scores the containers of every page by the text they hold against links and boilerplate, and each page votes for the
-generalised path of its best one: tags and classes from the root down, with numbers made equal. Spark adds the votes up per
-host. Pass 2 extracts every page from its host's winning path, or from its own best container where the host's path leads
-nowhere. Votes are partial sums, so a host with a third of all pages is no special case.
+generalised path of its best one and of the siblings that read like parts of the same article: tags and classes from the root
+down, with numbers made equal. Spark adds the votes up per host. Pass 2 extracts every page from its host's winning path and the
+siblings that half of its voters name, or from the page's own best containers where these lead nowhere or to far less. Votes are partial sums, so a host with a third of all pages is no special case.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ WEAK = re.compile(
 ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: The host's path holds on a page where it has this share of the score of the page's own best container.
+FAR = 0.15
 SPACES = re.compile(r"\s+")
 NUMBER = re.compile(r"\d+")
 
@@ -221,25 +223,36 @@ class Page:
 
     def best(self) -> Node | None:
         """The container whose text best looks like an article: much text of its own paragraphs, few links, as deep as may be."""
-        top, most = None, 0.0
-        for node in self.nodes:
-            if node.clutter or node.tag not in CONTAINER or not node.text:
-                continue
-            score = (node.text - 2.0 * node.links) * (1.0 + 0.05 * min(node.paragraphs, 10))
-            score *= {"article": 2.0, "main": 1.5, "body": 0.5, "page": 0.4, "section": 0.9, "td": 0.7}.get(node.tag, 0.8)
-            score *= 0.98 ** node.path.count("/") if node.tag not in ("article", "main") else 1.0
-            if score > most:
-                top, most = node, score
-        return top
+        return max((n for n in self.nodes if self.score(n) > 0), key=self.score, default=None)
+
+    @staticmethod
+    def score(node: Node) -> float:
+        if node.clutter or node.tag not in CONTAINER or not node.text:
+            return 0.0
+        score = (node.text - 2.0 * node.links) * (1.0 + 0.05 * min(node.paragraphs, 10))
+        score *= {"article": 2.0, "main": 1.5, "body": 0.5, "page": 0.4, "section": 0.9, "td": 0.7}.get(node.tag, 0.8)
+        return score * (0.98 ** node.path.count("/") if node.tag not in ("article", "main") else 1.0)
+
+    def best_paths(self) -> list[str]:
+        """The path of the best container, then those of its siblings that are headings or hold paragraphs and few links."""
+        best = self.best()
+        if best is None:
+            return []
+        paths = {best.path: None}
+        if best.tag not in ("article", "main", "td"):
+            for node in self.nodes:
+                if node.parent is best.parent and not node.clutter and not node.doubt and node.links < 0.3 * node.text and (node.tag in HEADINGS or node.paragraphs):
+                    paths[node.path] = None
+        return list(paths)
 
     def text_of(self, node: Node) -> str:
         return " ".join(x for x, owner in zip(self.blocks[node.start : node.end], self.owners[node.start : node.end]) if not owner.clutter)
 
-    def text_at(self, path: str) -> str | None:
-        """The text of the outermost containers with this path, or None where there are none with text."""
+    def text_at(self, paths: list[str]) -> str | None:
+        """The text of the outermost containers with these paths, or None where there are none with text."""
         found, end = [], -1
         for node in self.nodes:
-            if node.path == path and not node.clutter and node.start >= end:
+            if node.path in paths and not node.clutter and node.start >= end:
                 found.append(self.text_of(node))
                 end = node.end
         text = " ".join(x for x in found if x)
@@ -252,25 +265,30 @@ def host_of(url: Column) -> Column:
 
 
 def page_votes(pages: DataFrame, html_col: str) -> DataFrame:
-    """(host, path) of each page's best container."""
+    """(host, lead, path): each page's best container as lead and path, and the siblings that go with it."""
 
     def run(batches):
         for batch in batches:
-            hosts, paths = [], []
+            hosts, leads, paths = [], [], []
             for host, html in zip(batch["host"].to_pylist(), batch[html_col].to_pylist()):
-                best = Page(html).best() if html else None
-                if best is not None:
-                    hosts.append(host)
-                    paths.append(best.path)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string())})
+                found = Page(html).best_paths() if html else []
+                hosts += [host] * len(found)
+                leads += found[:1] * len(found)
+                paths += found
+            yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "lead": pa.array(leads, pa.string()), "path": pa.array(paths, pa.string())})
 
-    return pages.mapInArrow(run, "host string, path string")
+    return pages.mapInArrow(run, "host string, lead string, path string")
 
 
 def host_paths(votes: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host; of equal ones the first by name."""
-    counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("n", F.struct((-F.xxhash64("path")).alias("h"), "path"))).alias("path"))
+    """(host, path): the lead with the most votes of each host, of equal ones the first by a hash, and the siblings half of its voters name, one a line."""
+    counted = votes.groupBy("host", "lead", "path").agg(F.count(F.lit(1)).alias("n"))
+    leads = counted.groupBy("host", "lead").agg(
+        F.max(F.when(F.col("path") == F.col("lead"), F.col("n"))).alias("n"), F.collect_list(F.struct("path", "n")).alias("siblings")
+    )
+    named = F.transform(F.filter("siblings", lambda x: (x["n"] * 2 >= F.col("n")) & (x["path"] != F.col("lead"))), lambda x: x["path"])
+    leads = leads.select("host", "lead", "n", F.array_join(F.concat(F.array("lead"), F.array_sort(named)), "\n").alias("path"))
+    return leads.groupBy("host").agg(F.max_by("path", F.struct("n", F.struct((-F.xxhash64("lead")).alias("h"), "lead"))).alias("path"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", url_col: str = "url", text_col: str = "text") -> DataFrame:
@@ -300,8 +318,11 @@ def main_text(html: str | None, path: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    text = page.text_at(path) if path else None
-    if text is None:
-        best = page.best()
-        text = page.text_of(best) if best else ""
-    return text
+    if path:
+        paths = path.split("\n")
+        # Far less than the page's own best container holds: the host's path is that of another template.
+        if max((page.score(n) for n in page.nodes if n.path in paths), default=0.0) >= FAR * max((page.score(n) for n in page.nodes), default=0.0):
+            text = page.text_at(paths)
+            if text is not None:
+                return text
+    return page.text_at(page.best_paths()) or ""

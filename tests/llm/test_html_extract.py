@@ -85,3 +85,21 @@ def test_one_word_does_not_decide():
 def test_captions_and_formulas_stay():
     page = f"<article>{STORY}<figure><img src=x><figcaption>A caption.</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>"
     assert main_text(page, None) == f"{WANT} A caption. So x=1 holds."
+
+
+def test_siblings_of_the_best_container(spark):
+    page = f"<body><h1>The title</h1><div class='lead'>{STORY}</div><div class='links'><a href=/>Home</a></div><div class='text'>{STORY * 3}</div></body>"
+    want = " ".join(["The title", WANT, *[WANT] * 3])
+    assert main_text(page, None) == want
+    pages = spark.createDataFrame([(i, "http://a.b/", page) for i in range(3)], "page_id bigint, url string, html string")
+    assert {r.text for r in extract(pages).collect()} == {want}
+
+
+def test_two_templates_on_one_host(spark):
+    """A short summary at the path that wins on the host doesn't stand for an article elsewhere on the page."""
+    usual = f"<body><div class='summary'>{STORY * 3}</div></body>"
+    other = f"<body><table><tr><td><div class='summary'><p>A short summary.</p></div></td></tr></table><main>{STORY * 9}</main></body>"
+    swapped = f"<body><div class='summary'><p>A short summary.</p></div><main>{STORY * 9}</main></body>"
+    pages = [(i, "http://a.b/", usual) for i in range(5)] + [(8, "http://a.b/", other), (9, "http://a.b/", swapped)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == " ".join([WANT] * 3) and got[8] == got[9] == " ".join([WANT] * 9)

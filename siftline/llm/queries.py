@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from siftline.session import checkpoint_root, materialize
 
-from . import licences, toxicity
+from . import licences, merkle, toxicity
+from .alignment import align_corpus
 from .bpe import encode
 from .decontaminate import find_leaks
 from .html_extract import extract
 from .jaccard import near_duplicates
+from .packing import pack
 from .quality import quality
 from .sharding import assign, even_tree, grown
 from .substring import drop_repeated
@@ -211,3 +213,95 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", "m.start", "m.end", "m.distance")
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of byte-level and word-piece tokens of every document, with corpus-wide counts of linked pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in windows of 2048 tokens at the sources' shares of all tokens."""
+    found = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+    return found.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; a seventh of the ids claims one more character."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claims = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.manifest(table(spark, sf_dir, "documents"), claims=claims)
+    folded = found.withColumn("folded_root", merkle.fold(F.col("claimed_leaf"), F.col("steps")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+#: A leaf's digest in SQL; {n} is the number of characters.
+SQL_LEAF = "sha256(concat(" + ", ".join(
+    f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "{n}", "text")
+) + "))"
+
+CHECKS["op13_merkle_manifest"] = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+marked AS (
+  SELECT documents.*, xor(list_reduce(
+    list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc_table
+),
+leaves AS (
+  SELECT doc_id, lang, {SQL_LEAF.format(n="n_chars")} AS leaf,
+         {SQL_LEAF.format(n="CASE WHEN tampered THEN n_chars + 1 ELSE n_chars END")} AS claimed
+  FROM marked
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+),
+nodes AS (
+  SELECT lang AS tree, 0 AS level, place, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1
+  GROUP BY tree, level, place // 2
+),
+parts AS (
+  SELECT tree, level AS height, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+upper_nodes AS (
+  SELECT 0 AS level, place, n, h FROM parts
+  UNION ALL
+  SELECT level + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM upper_nodes WHERE n > 1 GROUP BY level, place // 2
+),
+top AS (SELECT level AS top_height, h AS root FROM upper_nodes WHERE n = 1),
+docs AS (
+  SELECT p.doc_id, p.leaf, p.claimed, p.lang, p.place, parts.height, parts.place AS part, parts.h AS subroot, top.top_height, top.root
+  FROM placed p JOIN parts ON parts.tree IS NOT DISTINCT FROM p.lang, top
+),
+steps AS (
+  SELECT d.doc_id, d.level, d.place >> d.level & 1 AS slot, s.h
+  FROM (SELECT *, unnest(range(height)) AS level FROM docs) d
+  LEFT JOIN nodes s ON s.tree IS NOT DISTINCT FROM d.lang AND s.level = d.level AND s.place = xor(d.place >> d.level, 1)
+  UNION ALL
+  SELECT d.doc_id, d.height + d.level, d.part >> d.level & 1, s.h
+  FROM (SELECT *, unnest(range(top_height)) AS level FROM docs) d
+  LEFT JOIN upper_nodes s ON s.level = d.level AND s.place = xor(d.part >> d.level, 1)
+),
+folded AS (
+  SELECT doc_id, 0::BIGINT AS level, claimed AS h FROM docs
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(CASE WHEN s.slot = 1 THEN concat(s.h, f.h) ELSE concat(f.h, s.h) END)
+  FROM folded f JOIN steps s ON s.doc_id = f.doc_id AND s.level = f.level
+),
+proofs AS (SELECT doc_id, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY doc_id)
+SELECT d.doc_id, d.leaf, d.subroot, d.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = d.root AS verified
+FROM docs d LEFT JOIN proofs USING (doc_id) JOIN folded f ON f.doc_id = d.doc_id AND f.level = d.height + d.top_height
+"""

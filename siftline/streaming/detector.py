@@ -1,227 +1,264 @@
-"""Sequence detection on a stream of lines, micro-batch by micro-batch.
+"""Sequence detection on a stream of lines, on Spark's own keyed state.
 
-A micro-batch is handled by the batch plan: the rows that the stored state remembers are put in front, so
-that windows see them, and results are kept for the new rows only. A busy stream is therefore split into
-chunks here as well, and the results equal those of one run over all lines.
-
-The state holds, per stream, the number of lines, the last line number and time, and the last w templates;
-per stream and template, the number of vectors and the last one. Every batch writes what it changed under
-its own number, and writes it again when it is repeated, so a repeated batch changes nothing.
+Two streaming queries follow each other. The first keeps, per stream, the last w templates, the last number and the last time
+(``applyInPandasWithState``), gives every line its history and decides on its template by joins with the stored model. The
+second keeps, per stream and template, the number of vectors and the last one, and scores the parameters. Each writes to a
+file sink; states, offsets and sinks belong to Spark, so a restart goes on where the last batch ended and repeats nothing.
+Lines are parsed before the keyed step and looked up after it, so the task of a busy stream only slides its window.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import text
 from ..operators import keys, params
-from ..operators.sequences import CHUNK_ROWS, chunk_of, dense_position, last_known, previous, windowed
-from ..session import materialize
-
-COMPACT_EVERY = 20
-
-
-class StateTable:
-    """Latest row per key, kept as one folder of changes per batch and a full copy now and then.
-
-    A reset lies between two batches: it is read by its batch and later ones, and no batch writes over it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys_: list[str], schema: str):
-        self.spark, self.path, self.keys, self.schema = spark, path, keys_, schema
-
-    def _versions(self) -> list[tuple[float, str, str]]:
-        """(place, kind, folder) of all finished writes in order; a batch has its number plus a half, a reset that of its batch."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        names = [p.getName() for p in done]
-        kinds = [(n.split("-")[0], int(n.split("-")[1]), n) for n in names]
-        return sorted((number + (0.0 if kind == "reset" else 0.5), kind, name) for kind, number, name in kinds)
-
-    def before(self, batch_id: int) -> DataFrame:
-        """The state as it was before this batch."""
-        versions = [v for v in self._versions() if v[0] <= batch_id]
-        start = max((place for place, kind, _ in versions if kind == "full"), default=-1.0)
-        parts = []
-        for version, kind, name in versions:
-            if version < start or (version == start and kind != "full"):
-                continue
-            part = self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
-            parts.append(part.withColumn("_version", F.lit(version)))
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        if len(parts) == 1:
-            return rows.drop("_version")
-        latest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), "_version").alias("_r"))
-        return latest.select("_r.*").drop("_version")
-
-    def reset(self, changed: DataFrame, batch_id: int) -> None:
-        changed.write.parquet(f"{self.path}/reset-{batch_id}-{uuid.uuid4().hex}")
-
-    def write(self, changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{self.path}/change-{batch_id}")
-        if (batch_id + 1) % COMPACT_EVERY == 0:
-            self.before(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/full-{batch_id}")
+from ..operators.joins import lookup
+
+KEY_STATE = "n bigint, last_seq bigint, last_at bigint, tail array<bigint>, since bigint"
+VECTOR_STATE = "since bigint, nth bigint, last_seq bigint, params array<double>"
+LINES = "stream_id string, seq bigint, at bigint, event_time timestamp, log_key string, key_id bigint, params array<double>"
+SEEN = f"{LINES}, hist array<bigint>, since bigint, late boolean"
+KEYED = "stream_id string, seq bigint, event_time timestamp, log_key string, params array<double>, since bigint, late boolean, key_anomaly boolean"
+FOLLOWED = f"{KEYED}, nth bigint, prev array<double>"
+RESULTS = "stream_id string, seq bigint, log_key string, anomaly_type string, key_anomaly boolean, param_anomaly boolean, mse double, late boolean"
+MICROS = 1_000_000
+
+
+def tail_and_windows(tail: list[int], ids: np.ndarray, window: int) -> tuple[list[list[int] | None], list[int]]:
+    """The full history before each of the new ids, null until there is one, and the ids to remember."""
+    known = [*tail, *ids.tolist()]
+    first = len(tail)
+    return [known[i - window : i] if i >= window else None for i in range(first, len(known))], known[-window:] if window else []
+
+
+def with_deltas(vectors: list, at: np.ndarray, last_at: int | None) -> tuple[list, int | None]:
+    """The seconds since the last line that has a time, where there are any, in front of the values."""
+    out = []
+    for values, now in zip(vectors, at):
+        values = [] if values is None else list(values)
+        if now is not None:
+            if last_at is not None:
+                values = [(now - last_at) / MICROS, *values]
+            last_at = now
+        out.append(values)
+    return out, last_at
+
+
+def segments(at: list[int | None], resets: list[bool], last_at: int | None, gap: float | None) -> Iterator[tuple[int, int, bool]]:
+    """Runs of lines (from, to, fresh) that share a history: a reset, or a quiet time of more than ``gap`` seconds, begins anew."""
+    begin, fresh = 0, False
+    for i, (now, reset) in enumerate(zip(at, resets)):
+        quiet = gap is not None and now is not None and last_at is not None and now - last_at > gap * MICROS
+        if reset or quiet:
+            if i > begin:
+                yield begin, i, fresh
+            begin, fresh = i, True
+        last_at = None if reset else last_at if now is None else now
+    if len(at) > begin:
+        yield begin, len(at), fresh
 
 
 @dataclass
 class StreamDetector:
-    """Detects on every micro-batch and appends (stream_id, seq, …, anomaly_type, late) to a folder.
+    """Detects on every line of a stream and appends (stream_id, seq, …, anomaly_type, late) to a folder.
 
-    A line whose number is not above the last one of its stream is late: it is reported with
-    ``late = true`` and type ``normal``, and does not change the state. ``forget_after`` drops the state of
-    streams whose last line is older than this many seconds before the newest line.
+    ``lines`` has stream_id, seq, raw and, if streams can be reset, ``reset``: a row with ``reset`` true makes its stream forget
+    everything before the line of that number, and gives no result. A line whose number is not above the last one of its
+    stream is late: it is reported with ``late = true`` and type ``normal`` and does not change the state; of lines that
+    arrive together with one number, all but one are late.
+
+    With ``forget_after``, a stream forgets its history after a quiet time of more than that many seconds between two of its
+    lines. States that nothing can need any more are then dropped by the watermark; lines more than ``late`` older than
+    the newest line of earlier batches are dropped with it, as in any query on event time. Without it, nothing is dropped.
     """
 
     key_model: keys.KeyModel
     param_model: params.ParamModel
     path: str
     forget_after: float | None = None
-    chunk_rows: int = CHUNK_ROWS
+    late: str = "1 day"
 
     def __post_init__(self):
-        spark = self.key_model.counts.sparkSession
-        self.streams = StateTable(
-            spark, f"{self.path}/state-streams", ["stream_id"],
-            "stream_id string, n bigint, last_seq bigint, last_ts timestamp_ntz, tail array<string>",
+        self.spark: SparkSession = self.key_model.counts.sparkSession
+
+    # --- first query: histories and templates -----------------------------------------------------------
+
+    def keyed(self, lines: DataFrame) -> DataFrame:
+        """Template decisions on a streaming DataFrame."""
+        reset = F.coalesce("reset", F.lit(False)) if "reset" in lines.columns else F.lit(False)
+        named = lines.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "raw", reset.alias("reset"))
+        parsed = keys.encode(keys.parse_lines(named, parts=["ts", "log_key", "params"]), self.key_model.vocab)
+        time = F.col("ts").cast("timestamp")
+        rows = parsed.withColumns({"event_time": time, "at": F.unix_micros(time)})
+        rows = rows.select("stream_id", "seq", "at", "event_time", "log_key", "key_id", "params", "reset")
+        if self.forget_after is not None:
+            rows = rows.withWatermark("event_time", self.late)
+        seen = rows.groupBy("stream_id").applyInPandasWithState(
+            self._history(), SEEN, KEY_STATE, "append",
+            GroupStateTimeout.EventTimeTimeout if self.forget_after is not None else GroupStateTimeout.NoTimeout,
         )
-        self.vectors = StateTable(
-            spark, f"{self.path}/state-vectors", ["stream_id", "log_key"],
-            "stream_id string, log_key string, nth bigint, params array<double>",
+        return self._decided(seen).select(*[c.split()[0] for c in KEYED.split(", ")])
+
+    def _history(self):
+        window, gap = self.key_model.window, self.forget_after
+        columns = [c.split()[0] for c in SEEN.split(", ")]
+
+        def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            if state.hasTimedOut:
+                state.remove()
+                return
+            n, last_seq, last_at, tail, since = state.get if state.exists else (0, None, None, [], None)
+            tail = list(tail)
+            rows = pd.concat(list(batches), ignore_index=True)
+            rows = rows.sort_values(["seq", "reset"], ascending=[True, False], kind="stable", ignore_index=True)
+            is_reset = rows["reset"].to_numpy(bool)
+            repeated = rows["seq"].duplicated().to_numpy() & ~is_reset & ~np.append(False, is_reset[:-1])
+            late = repeated | ((rows["seq"] <= last_seq).to_numpy() if last_seq is not None else False)
+            fresh = rows[~late].reset_index(drop=True)
+            at = [None if pd.isna(x) else int(x) for x in fresh["at"]]
+            out = []
+            for begin, end, anew in segments(at, fresh["reset"].tolist(), last_at, gap):
+                if anew:
+                    n, tail, last_at, since = 0, [], None, None
+                part = fresh.iloc[begin:end]
+                times = [t for t, r in zip(at[begin:end], part["reset"]) if not r]
+                part = part[~part["reset"]].copy()
+                if not len(part):
+                    continue
+                since = int(part["seq"].iloc[0]) if since is None else since
+                part["hist"], tail = tail_and_windows(tail, part["key_id"].to_numpy(np.int64), window)
+                part["params"], last_at = with_deltas(part["params"].tolist(), times, last_at)
+                n += len(part)
+                last_seq = int(part["seq"].iloc[-1])
+                out.append(part.assign(since=since, late=False))
+            old = rows[late & ~is_reset]
+            if len(old):
+                out.append(old.assign(hist=None, since=None, late=True))
+            state.update((n, last_seq, last_at, tail, since))
+            if gap is not None:
+                newest = max(last_at or 0, 0) // 1000
+                state.setTimeoutTimestamp(max(int(newest + gap * 1000), state.getCurrentWatermarkMs()) + 1)
+            if out:
+                found = pd.concat([p[columns] for p in out], ignore_index=True)
+                yield found.astype({"since": "Int64", "at": "Int64", "late": bool})
+
+        return remember
+
+    def _decided(self, seen: DataFrame) -> DataFrame:
+        """Add key_anomaly by the longest ending of the history that the model knows.
+
+        The model knows every ending of an ending it knows, so the longest one is found by bisection: a few lookups by (length,
+        ending), whatever the window's length. The empty ending has one answer for all lines.
+        """
+        contexts = self.key_model.contexts.select(F.col("length").alias("_length"), F.col("hist").alias("_ending"), F.col("ids").alias("_found"))
+        first = self.key_model.contexts.where("length = 0").select("ids").first()
+        none = F.array(*[F.lit(i) for i in (first["ids"] if first else [])]).cast("array<bigint>")
+        rows = seen.withColumns({"_low": F.lit(0), "_high": F.lit(self.key_model.window), "_ids": none})
+        for _ in range(self.key_model.window.bit_length()):
+            middle = F.floor((F.col("_low") + F.col("_high") + 1) / 2).cast("int")
+            # A line whose search has ended, or without a full history, asks for an ending that no table has.
+            asks = F.col("hist").isNotNull() & (F.col("_low") < F.col("_high"))
+            rows = rows.withColumns({
+                "_length": F.when(asks, middle).otherwise(-1),
+                "_ending": F.when(asks, F.slice("hist", F.size("hist") - middle + 1, middle)).otherwise(F.array().cast("array<bigint>")),
+            })
+            rows = lookup(rows, contexts, ["_length", "_ending"])
+            hit, asked = F.col("_found").isNotNull(), F.col("_length") >= 0
+            rows = rows.withColumns({
+                "_low": F.when(hit, F.col("_length")).otherwise(F.col("_low")),
+                "_high": F.when(asked & ~hit, F.col("_length") - 1).otherwise(F.col("_high")),
+                "_ids": F.coalesce("_found", "_ids"),
+            }).drop("_length", "_ending", "_found")
+        unknown = F.col("key_id") == keys.UNKNOWN
+        anomaly = F.when(F.col("late"), False).when(unknown, True).when(F.col("hist").isNull(), False).otherwise(
+            ~F.array_contains("_ids", F.col("key_id"))
         )
+        return rows.withColumn("key_anomaly", anomaly)
 
-    def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run on a streaming DataFrame of (stream_id, seq, raw)."""
-        writer = lines.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint)
-        return (writer.trigger(**trigger) if trigger else writer).start()
+    # --- second query: parameter vectors ----------------------------------------------------------------
 
-    def reset(self, batch_id: int, stream_ids: DataFrame) -> None:
-        """Forget the given streams before this batch, which has not run yet; the state of other streams stays."""
-        known = self.streams.before(batch_id).join(stream_ids, "stream_id", "left_semi")
-        cleared = known.select(
-            "stream_id", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("last_seq"),
-            F.lit(None).cast("timestamp_ntz").alias("last_ts"), F.array().cast("array<string>").alias("tail"),
-        )
-        vectors = self.vectors.before(batch_id).join(stream_ids, "stream_id", "left_semi").select(
-            "stream_id", "log_key", F.lit(0).cast("bigint").alias("nth"), F.lit(None).cast("array<double>").alias("params")
-        )
-        self.streams.reset(cleared, batch_id)
-        self.vectors.reset(vectors, batch_id)
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        """Handle one micro-batch."""
-        window = self.key_model.window
-        batch = batch.withColumn("stream_id", F.col("stream_id").cast("string"))
-        touched = batch.select("stream_id").distinct()
-        memory = self.streams.before(batch_id).join(touched, "stream_id", "left_semi")
-        parsed = materialize(keys.parse_lines(batch, parts=["ts", "log_key", "params"]), "stream-parsed")
+    def scored(self, keyed: DataFrame) -> DataFrame:
+        """Results of a streaming DataFrame of template decisions."""
         if self.forget_after is not None:
-            memory = self._recent(memory, parsed)
-        memory = materialize(memory, "stream-state")
-
-        placed = keys.lookup(parsed, memory.select("stream_id", "n", "last_seq"), ["stream_id"])
-        placed = materialize(
-            placed.withColumn("late", F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False)))
-            .withColumn("n", F.coalesce("n", F.lit(0))).drop("last_seq"), "stream-batch",
-        )
-        fresh = dense_position(
-            placed.filter(~F.col("late")), ["stream_id"], ["seq"], chunk_of(F.col("seq"), self.chunk_rows), "_rank"
-        ).withColumn("pos", F.col("n") + F.col("_rank")).drop("_rank", "n", "late")
-
-        # What the state remembers, as rows in front of the new ones.
-        old = memory.select("*", F.posexplode("tail").alias("_i", "log_key")).select(
-            "stream_id", (F.col("n") - F.size("tail") + F.col("_i") + 1).alias("pos"), "log_key",
-            F.when(F.col("_i") == F.size("tail") - 1, F.col("last_ts")).alias("ts"),
-        )
-        rows = fresh.withColumn("_new", F.lit(True)).unionByName(
-            old.withColumn("_new", F.lit(False)), allowMissingColumns=True
-        )
-        rows = keys.encode(rows, self.key_model.vocab)
-        timed = last_known(rows, ["stream_id"], "pos", "ts", "_before", self.chunk_rows).withColumn(
-            "time_delta", F.when(F.col("ts").isNotNull(), text.seconds_between(F.col("_before"), F.col("ts")))
-        )
-        seen = windowed(
-            timed, ["stream_id"], "pos", {"_hist": previous("key_id", window)}, back=window, chunk_rows=self.chunk_rows
-        ).filter("_new")
-        ready = keys.with_delta_first(seen.withColumn("hist", F.when(F.col("pos") > window, F.col("_hist"))))
-        ready = materialize(ready.drop("_hist", "_before", "_new"), "stream-rows")
-        keyed = materialize(keys.decide_keys(ready, self.key_model), "stream-keyed")
-
-        # Vectors of the same template: numbered on from the state, with its last vector in front.
-        known = self.vectors.before(batch_id).join(memory.select("stream_id"), "stream_id", "left_semi")
-        known = materialize(known, "vector-state")
-        good = keyed.filter(~F.col("key_anomaly") & (F.size("params") > 0)).select("stream_id", "seq", "pos", "log_key", "params")
-        ranked = dense_position(
-            good, ["stream_id", "log_key"], ["pos"], chunk_of(F.col("pos"), self.chunk_rows), "_rank"
-        )
-        counted = keys.lookup(ranked, known.select("stream_id", "log_key", F.col("nth").alias("_n")), ["stream_id", "log_key"])
-        new_vectors = counted.withColumn("nth", F.coalesce("_n", F.lit(0)) + F.col("_rank")).drop("_n", "_rank", "pos")
-        followed = windowed(
-            new_vectors.unionByName(known.filter("nth > 0"), allowMissingColumns=True), ["stream_id", "log_key"], "nth",
-            {"prev": lambda spec: F.lag("params", 1).over(spec)}, back=1, chunk_rows=self.chunk_rows,
-        ).filter(F.col("seq").isNotNull())
-        followed = materialize(followed, "stream-vectors")
-        scored = params.score_vectors(followed, self.param_model)
-        found = params.label_anomalies(
-            keyed.join(scored, ["stream_id", "seq"], "left").withColumn(
-                "param_anomaly", F.coalesce(F.col("mse") > F.col("mse_threshold"), F.lit(False))
-            )
-        )
-        columns = ["stream_id", "seq", "log_key", "anomaly_type", "key_anomaly", "param_anomaly", "mse"]
-        late = placed.filter("late").select(
-            "stream_id", "seq", "log_key", F.lit("normal").alias("anomaly_type"), F.lit(False).alias("key_anomaly"),
-            F.lit(False).alias("param_anomaly"), F.lit(None).cast("double").alias("mse"),
-        )
-        out = found.select(*columns).withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
-        out.write.mode("overwrite").parquet(f"{self.path}/results/batch={batch_id}")
-        self._remember(ready, old, followed, memory, batch_id)
-
-    def _recent(self, memory: DataFrame, parsed: DataFrame) -> DataFrame:
-        """The state of streams whose last line isn't too old for the newest line, stored or just arrived."""
-        newest = parsed.select("ts").union(memory.select("last_ts")).agg(F.max("ts").alias("_newest"))
-        age = text.seconds_between(F.col("last_ts"), F.col("_newest"))
-        return (
-            memory.join(F.broadcast(newest)).filter(age.isNull() | (age <= self.forget_after)).drop("_newest")
+            keyed = keyed.withWatermark("event_time", self.late)
+        followed = keyed.groupBy("stream_id", "log_key").applyInPandasWithState(
+            self._previous(), FOLLOWED, VECTOR_STATE, "append",
+            GroupStateTimeout.EventTimeTimeout if self.forget_after is not None else GroupStateTimeout.NoTimeout,
         )
+        table = self.param_model.table.withColumn("_fitted", F.lit(True))
+        fitted = lookup(followed, table, ["log_key"])
+        ready = F.col("_fitted").isNotNull() & (F.col("nth") > self.param_model.window)
+        fitted = fitted.withColumns({
+            c: F.when(ready, params.fit_length(F.col(c), F.col("dim"))) for c in ("params", "prev")
+        })
+        values = fitted.withColumns({"now": params.scale_vector("params"), "before": params.scale_vector("prev")})
+        values = values.withColumn("mse", F.when(ready, params.predicted_error()))
+        values = values.withColumn("param_anomaly", F.coalesce(F.col("mse") > F.col("mse_threshold"), F.lit(False)))
+        return params.label_anomalies(values).select(*[c.split()[0] for c in RESULTS.split(", ")])
+
+    def _previous(self):
+        gap = self.forget_after
+        columns = [c.split()[0] for c in FOLLOWED.split(", ")]
+
+        def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            if state.hasTimedOut:
+                state.remove()
+                return
+            since, nth, last_seq, prev = state.get if state.exists else (None, 0, None, None)
+            rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
+            numbers, before = [], []
+            counts = ~(rows["late"].to_numpy(bool) | rows["key_anomaly"].to_numpy(bool))
+            for good, begun, seq, values in zip(counts, rows["since"], rows["seq"], rows["params"]):
+                if not good or values is None or not len(values):
+                    numbers.append(0)
+                    before.append(None)
+                    continue
+                if since != begun:
+                    since, nth, prev = int(begun), 0, None
+                nth += 1
+                numbers.append(nth)
+                before.append(prev)
+                prev, last_seq = [float(v) for v in values], int(seq)
+            state.update((since, nth, last_seq, prev))
+            if gap is not None:
+                newest = rows["event_time"].max()
+                newest = 0 if pd.isna(newest) else int(newest.timestamp() * 1000)
+                state.setTimeoutTimestamp(max(int(newest + gap * 1000), state.getCurrentWatermarkMs()) + 1)
+            yield rows.assign(nth=numbers, prev=before).astype({"since": "Int64"})[columns]
+
+        return follow
+
+    # --- running --------------------------------------------------------------------------------------------
+
+    def _sink(self, rows: DataFrame, name: str, trigger: dict) -> StreamingQuery:
+        writer = rows.writeStream.format("parquet").outputMode("append")
+        writer = writer.option("path", f"{self.path}/{name}").option("checkpointLocation", f"{self.path}/{name}-offsets")
+        return (writer.trigger(**trigger) if trigger else writer).start()
 
-    def _remember(self, ready: DataFrame, old: DataFrame, followed: DataFrame, memory: DataFrame, batch_id: int) -> None:
-        window = self.key_model.window
-        ends = ready.groupBy("stream_id").agg(
-            F.max("pos").alias("n"), F.max("seq").alias("last_seq"),
-            F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("pos"))).alias("_ts"),
-        )
-        ends = materialize(
-            ends.join(memory.select("stream_id", F.col("last_ts").alias("_old_ts")), "stream_id", "left").select(
-                "stream_id", "n", "last_seq", F.coalesce("_ts", "_old_ts").alias("last_ts")
-            ), "stream-ends",
-        )
-        # At most w rows per stream are left before they are folded into the tail.
-        near = ready.select("stream_id", "pos", "log_key").unionByName(old.select("stream_id", "pos", "log_key"))
-        last = keys.lookup(near, ends.select("stream_id", "n"), ["stream_id"], "inner").filter(F.col("pos") > F.col("n") - window)
-        tails = last.groupBy("stream_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "log_key"))), lambda r: r["log_key"]).alias("tail")
-        )
-        self.streams.write(ends.join(tails, "stream_id").select("stream_id", "n", "last_seq", "last_ts", "tail"), batch_id)
-        vectors = followed.groupBy("stream_id", "log_key").agg(
-            F.max("nth").alias("nth"), F.max_by("params", "nth").alias("params")
-        )
-        self.vectors.write(vectors, batch_id)
+    def start_keys(self, lines: DataFrame, **trigger) -> StreamingQuery:
+        """The first query, from lines to template decisions."""
+        return self._sink(self.keyed(lines), "keyed", trigger)
+
+    def start_values(self, **trigger) -> StreamingQuery:
+        """The second query, from the first one's folder to results. The folder must exist."""
+        return self._sink(self.scored(self.spark.readStream.schema(KEYED).parquet(f"{self.path}/keyed")), "results", trigger)
+
+    def run_available(self, lines: DataFrame) -> None:
+        """Handle everything that has arrived and stop; the next call goes on from there."""
+        for start in (lambda: self.start_keys(lines, availableNow=True), lambda: self.start_values(availableNow=True)):
+            start().awaitTermination()
 
     def results(self) -> DataFrame:
         """All rows written so far."""
-        return self.key_model.counts.sparkSession.read.parquet(f"{self.path}/results").drop("batch")
+        return self.spark.read.schema(RESULTS).parquet(f"{self.path}/results")
 
 
 class OnlineModel:

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siftline.operators import evaluate, keys, params
-from siftline.streaming.detector import OnlineModel, StreamDetector
+from siftline.streaming.detector import OnlineModel
 
 SCHEMA = "stream_id string, seq bigint, log_key string"
 
@@ -151,26 +151,6 @@ def text_lines(n, seed, stream):
     return out
 
 
-def test_stream_equals_batch_and_marks_late_lines(spark, tmp_path):
-    schema = "stream_id string, seq bigint, raw string"
-    train = keys.parse_streams(spark.createDataFrame(text_lines(120, 0, "t"), schema))
-    model, pmodel = keys.train(train, 3, 2), params.train(train, 3)
-    data = text_lines(70, 1, "a") + text_lines(40, 2, "b")
-    whole = keys.parse_streams(spark.createDataFrame(data, schema))
-    batch = params.label_anomalies(params.detect_params(keys.detect_keys(whole, model), pmodel))
-    want = {(r.stream_id, r.seq): (r.anomaly_type, r.mse and round(r.mse, 9)) for r in batch.collect()}
-    detector = StreamDetector(model, pmodel, str(tmp_path / "d"), chunk_rows=8)
-    cuts = [data[0:25] + data[70:71], data[25:27] + data[71:90], data[27:70] + data[90:]]
-    for i, part in enumerate(cuts):
-        detector.step(spark.createDataFrame(part, schema), i)
-    detector.step(spark.createDataFrame(cuts[2], schema), 2)  # a repeated batch changes nothing
-    got = {(r.stream_id, r.seq): (r.anomaly_type, r.mse and round(r.mse, 9)) for r in detector.results().collect()}
-    assert got == want
-    detector.step(spark.createDataFrame([data[5], ("a", 71, "INFO oddity")], schema), 3)
-    late = {(r.stream_id, r.seq): r.late for r in detector.results().filter("seq IN (6, 71) AND stream_id = 'a'").collect() if r.late or r.seq == 71}
-    assert late == {("a", 6): True, ("a", 71): False}
-
-
 def test_online_model_repeats_batches_safely(spark, tmp_path):
     online = OnlineModel(keys.train(sequence(spark, s="abab"), 1, 2), str(tmp_path / "o"))
     extra = spark.createDataFrame([(["a"], "c")], "hist array<string>, label string")

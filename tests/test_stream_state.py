@@ -1,53 +1,91 @@
-"""Reset and expiry of a stream detector's state."""
+"""The stream detector against the batch detector: pieces, late lines, restarts, resets, quiet times."""
+
+import pytest
+from pyspark.sql import functions as F
 
 from siftline.operators import keys, params
-from siftline.streaming.detector import StreamDetector
+from siftline.streaming.detector import StreamDetector, segments
 
 from .test_models import text_lines
 
-SCHEMA = "stream_id string, seq bigint, raw string"
+SCHEMA = "stream_id string, seq bigint, raw string, reset boolean"
 
 
+@pytest.fixture(scope="module")
 def models(spark):
-    train = keys.parse_streams(spark.createDataFrame(text_lines(120, 0, "t"), SCHEMA))
+    train = keys.parse_streams(spark.createDataFrame(text_lines(120, 0, "t"), "stream_id string, seq bigint, raw string"))
     return keys.train(train, 3, 2), params.train(train, 3)
 
 
-def run(spark, detector, parts, first=0):
-    for i, part in enumerate(parts, first):
-        detector.step(spark.createDataFrame(part, SCHEMA), i)
+def plain(part):
+    return [(*row, False) if len(row) == 3 else row for row in part]
+
+
+def run(spark, tmp_path, models, parts, **how):
+    """Every part arrives as a file of its own and is handled by a fresh detector, as after a restart."""
+    arrivals = str(tmp_path / "arrivals")
+    for part in parts:
+        spark.createDataFrame(plain(part), SCHEMA).coalesce(1).write.mode("append").parquet(arrivals)
+        detector = StreamDetector(*models, str(tmp_path / "d"), **how)
+        detector.run_available(spark.readStream.schema(SCHEMA).parquet(arrivals))
+    return detector.results().collect()
+
+
+def batch(spark, models, data):
+    whole = keys.parse_streams(spark.createDataFrame(data, "stream_id string, seq bigint, raw string"))
+    found = params.label_anomalies(params.detect_params(keys.detect_keys(whole, models[0]), models[1]))
+    return {(r.stream_id, r.seq): (r.anomaly_type, r.mse and round(r.mse, 9)) for r in found.collect()}
+
+
+def named(rows):
+    assert len({(r.stream_id, r.seq, r.late) for r in rows}) == len(rows)
+    return {(r.stream_id, r.seq): (r.anomaly_type, r.mse and round(r.mse, 9)) for r in rows if not r.late}
+
 
+def test_pieces_with_restarts_equal_one_batch(spark, tmp_path, models):
+    data = text_lines(70, 1, "a") + text_lines(40, 2, "b")
+    cuts = [data[0:25] + data[70:71], data[25:27] + data[71:90], data[27:50], data[50:51], data[51:70] + data[90:]]
+    assert named(run(spark, tmp_path, models, cuts)) == batch(spark, models, data)
 
-def found(detector, stream):
-    rows = detector.results().filter(f"stream_id = '{stream}'").collect()
-    return {r.seq: (r.anomaly_type, r.mse and round(r.mse, 9), r.late) for r in rows}
 
+def test_late_and_repeated_lines_change_nothing(spark, tmp_path, models):
+    data = text_lines(60, 1, "a")
+    on_time = [r for r in data if r[1] not in (7, 30)]
+    parts = [on_time[:20], on_time[20:40] + [data[6], data[2]], [data[29], *on_time[40:], on_time[-1]]]
+    rows = run(spark, tmp_path, models, parts)
+    assert sorted(r.seq for r in rows if r.late) == [3, 7, 30, 60]
+    assert all(r.anomaly_type == "normal" and r.mse is None for r in rows if r.late)
+    assert named(rows) == batch(spark, models, on_time)
 
-def test_reset_forgets_only_the_named_streams(spark, tmp_path):
-    model, pmodel = models(spark)
+
+def test_a_reset_forgets_only_its_stream(spark, tmp_path, models):
     a, b = text_lines(40, 1, "a"), text_lines(40, 2, "b")
-    detector = StreamDetector(model, pmodel, str(tmp_path / "d"))
-    run(spark, detector, [a[:20] + b[:20]])
-    detector.reset(1, spark.createDataFrame([("a",)], "stream_id string"))
-    run(spark, detector, [a[20:] + b[20:]], first=1)
-    fresh = StreamDetector(model, pmodel, str(tmp_path / "fresh"))
-    run(spark, fresh, [a[20:]])
-    whole = StreamDetector(model, pmodel, str(tmp_path / "whole"))
-    run(spark, whole, [b])
-    assert {s: r for s, r in found(detector, "a").items() if s > 20} == found(fresh, "a")
-    assert found(detector, "b") == found(whole, "b")
-
-
-def test_a_stream_alone_in_its_batch_expires(spark, tmp_path):
-    model, pmodel = models(spark)
-    stamp = "2024-01-01 {:02d}:00:00 INFO step {}"
-    early = [("a", i, stamp.format(0, i % 3)) for i in range(1, 9)]
-    late = [("a", i, stamp.format(9, i % 3)) for i in range(9, 17)]
-    kept, dropped = (StreamDetector(model, pmodel, str(tmp_path / n), forget_after=after) for n, after in (("k", 36_000.0), ("d", 3600.0)))
-    fresh = StreamDetector(model, pmodel, str(tmp_path / "f"))
-    for detector in (kept, dropped):
-        run(spark, detector, [early, late])
-    run(spark, fresh, [late])
-    assert {s: r for s, r in found(dropped, "a").items() if s > 8} == found(fresh, "a")
-    positions = {n: d.streams.before(2).first().n for n, d in (("kept", kept), ("dropped", dropped))}
-    assert positions == {"kept": 16, "dropped": 8}
+    parts = [a[:15] + b[:20], [*a[15:25], ("a", 21, None, True), *b[20:30]], [*a[25:], *b[30:], ("z", 5, None, True)]]
+    want = batch(spark, models, a[:20]) | batch(spark, models, a[20:]) | batch(spark, models, b)
+    assert named(run(spark, tmp_path, models, parts)) == want
+
+
+def test_a_quiet_time_ends_the_history_wherever_batches_end(spark, tmp_path, models):
+    stamp = "2024-01-01 {:02d}:{:02d}:00 INFO step {}"
+    early = [("a", i, stamp.format(0, i, i % 3)) for i in range(1, 9)]
+    late = [("a", i, stamp.format(9, i, i % 3)) for i in range(9, 17)]
+    steady = [("b", i, stamp.format(i // 2, 30 * (i % 2), i % 3)) for i in range(1, 17)]
+    want = batch(spark, models, early) | batch(spark, models, late) | batch(spark, models, steady)
+    for name, parts in (("one", [early + late + steady]), ("three", [early[:5] + steady[:3], early[5:] + late[:2] + steady[3:9], late[2:] + steady[9:]])):
+        (tmp_path / name).mkdir()
+        assert named(run(spark, tmp_path / name, models, parts, forget_after=3600.0, late="2 days")) == want
+
+
+def test_states_of_quiet_streams_are_dropped(spark, tmp_path, models):
+    line = "2024-01-{:02d} 00:00:00 INFO step 1"
+    parts = [[("a", 1, line.format(1)), ("b", 1, line.format(1))], [("b", 2, line.format(9))], [("b", 3, line.format(10))], [("b", 4, line.format(11))]]
+    run(spark, tmp_path, models, parts, forget_after=3600.0, late="1 hour")
+    for name in ("keyed", "results"):
+        state = spark.read.format("statestore").load(str(tmp_path / "d" / f"{name}-offsets"))
+        assert {r.s for r in state.select(F.col("key.stream_id").alias("s")).collect()} == {"b"}
+
+
+def test_segments():
+    assert list(segments([0, None, 5_000_000], [False] * 3, None, 3.0)) == [(0, 2, False), (2, 3, True)]
+    assert list(segments([1, 2, 3], [False, True, False], 0, None)) == [(0, 1, False), (1, 3, True)]
+    assert list(segments([], [], 0, 1.0)) == []

@@ -32,11 +32,14 @@ from .words import U64, column_of, mix, slices
 
 BUCKETS = 256
 #: Pairs, one per document and distinct pair, after which a chunk is closed.
-CHUNK_PAIRS = 6_000_000
+CHUNK_PAIRS = 1_500_000
 #: Bytes of the chunks' messages that one step of a tree takes at most, about.
 STEP_BYTES = 32 << 20
 FAN_IN = 16
-LINKS_AT_ONCE = 1 << 20
+LINKS_AT_ONCE = 1 << 19
+#: Bytes of text, or of A ids, that are aligned together.
+TEXT_BYTES = 1 << 20
+IDS_BYTES = 1 << 19
 #: All pairs must be below this, so that a pair and a document's place fit one 64-bit number.
 MAX_UNIVERSE = 1 << 42
 
@@ -223,7 +226,7 @@ def first_pass(docs: DataFrame, files, id_col: str, text_col: str, buckets: int,
         column_type = None
         for batch in batches:
             column_type = batch.column(id_col).type
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, TEXT_BYTES):
                 a, b = sides.encoded(part.column(text_col).to_pylist())
                 found = pairs_by_document(sides.aligned(a, b)[0], size_a, size_b)
                 n = part.num_rows
@@ -364,7 +367,7 @@ def second_pass(ids: DataFrame, answers: DataFrame, files, id_col: str) -> DataF
         keys, values = keys[order], values[order]
         out = []
         for batch in docs.combine_chunks().to_batches():
-            for part in slices(batch, "a", 1 << 20):
+            for part in slices(batch, "a", IDS_BYTES):
                 n = part.num_rows
                 a, b = numbers(part.column("a"), narrowest(size_a)), numbers(part.column("b"), narrowest(size_b))
                 of, rows_a, rows_b = sides.aligned(a, b)

@@ -76,9 +76,7 @@ class ByteLevel(Vocabulary):
     """A byte-level BPE of a tokenizer file; strings of special tokens are ordinary text."""
 
     def __init__(self, content: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
-        self.general = Tokenizer.from_str(content.decode())
-        self.general.encode_special_tokens = True
+        self.content = content
         made = json.loads(content)
         vocab, letters = made["model"]["vocab"], byte_letters()
         self.size = max(vocab.values(), default=-1) + 1
@@ -87,10 +85,18 @@ class ByteLevel(Vocabulary):
         self.token = [b""] * self.size
         for text, number in vocab.items():
             self.token[number] = bytes(letters[c] for c in text) if all(c in letters for c in text) else text.encode()
-        self.fast = self._fast(made)
 
-    def _fast(self, made: dict) -> tiktoken.Encoding | None:
+    @functools.cached_property
+    def general(self) -> Tokenizer:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
+        made = Tokenizer.from_str(self.content.decode())
+        made.encode_special_tokens = True
+        return made
+
+    @functools.cached_property
+    def fast(self) -> tiktoken.Encoding | None:
         """The same vocabulary for the faster library, where its ids are the order of merges and nothing changes the text before."""
+        made = json.loads(self.content)
         model, before = made["model"], made["pre_tokenizer"] or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         if made["normalizer"] is not None or not plain or model.get("ignore_merges"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from . import file_queries, model_queries, rule_queries, views  # noqa: F401  (d
 from .registry import query
 from .views import define
 
-PIECES = 3
+PIECES = 5
+DELAYED_EACH = 17
+RESET_EACH = 3
 
 
 def _folder(spark, name: str) -> str:
@@ -28,26 +31,111 @@ def _finish(writer, folder: str):
     stream.awaitTermination()
 
 
-@query("stream_detect", ["a_done"], "SELECT stream_id::VARCHAR AS stream_id, seq, anomaly_type, false AS late FROM a_done")
-def stream_detect(spark, sf_dir):
-    """Detection over application lines that arrive in three files; equal to the batch result."""
+def detection_steps(prefix: str, base: str) -> None:
+    """The batch detection's check steps over other lines: ``base`` has those of a_lines and grp, the history they belong to."""
+    names = ("hist", "back", "keyed", "par0", "par1", "good", "unit", "mse", "done")
+    old = re.compile(rf"\ba_({'|'.join(names)})\b")
+
+    def renamed(text: str) -> str:
+        text = re.sub(r"\ba_lines\b", base, old.sub(rf"{prefix}_\1", text))
+        text = text.replace("WHEN seq > 3 THEN", "WHEN row_number() OVER w > 3 THEN")  # a history that begins anew counts from there
+        return text.replace("PARTITION BY stream_id", "PARTITION BY stream_id, grp")
+
+    for name in names:
+        define(f"{prefix}_{name}", tuple(map(renamed, views.DEPENDS[f"a_{name}"])), renamed(views.SQL[f"a_{name}"]))
+
+
+# Every 17th line comes with the lines after its own piece; it is late if a later line of its stream came before it.
+define("s_pieces", ("a_lines",), f"""SELECT *, CASE WHEN seq % {DELAYED_EACH} = 0 AND piece < {PIECES - 1} THEN piece + 1 ELSE piece END AS arrives FROM (
+    SELECT *, (seq - 1) * {PIECES} // max(seq) OVER (PARTITION BY stream_id) AS piece FROM a_lines)""")
+define("s_known", ("s_pieces",), """SELECT stream_id, arrives, max(m) OVER (PARTITION BY stream_id ORDER BY arrives ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known
+    FROM (SELECT stream_id, arrives, max(seq) AS m FROM s_pieces GROUP BY ALL)""")
+define("s_seen", ("s_pieces", "s_known"), "SELECT p.*, 0 AS grp, coalesce(p.seq <= k.known, false) AS late FROM s_pieces p JOIN s_known k USING (stream_id, arrives)")
+define("s_lines", ("s_seen",), "SELECT * FROM s_seen WHERE NOT late")
+detection_steps("s", "s_lines")
+
+
+def _detector(spark, sf_dir):
+    """A detector whose models know the first four fifths of every stream."""
     parsed = model_queries.parsed_app(spark, sf_dir)
-    model = model_queries.key_model(parsed)
-    detector = StreamDetector(
-        model, params.train(parsed.filter("part = 'train'"), model_queries.WINDOW), _folder(spark, "detector"), chunk_rows=50
-    )
-    lines = materialize(views.app_lines(spark, sf_dir).select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "raw"), "lines")
+    train = params.train(parsed.filter("part = 'train'"), model_queries.WINDOW)
+    return StreamDetector(model_queries.key_model(parsed), train, _folder(spark, "detector"))
+
+
+def _app_pieces(spark, sf_dir):
+    """Application lines in equal pieces of each stream: (stream_id, seq, raw, piece, last)."""
+    lines = materialize(views.app_lines(spark, sf_dir).select("stream_id", "seq", "raw"), "lines")
     ends = lines.groupBy("stream_id").agg(F.max("seq").alias("last"))
-    pieces = materialize(
-        lines.join(ends, "stream_id").withColumn("piece", F.floor((F.col("seq") - 1) * PIECES / F.col("last"))), "pieces"
-    )
+    piece = F.floor((F.col("seq") - 1) * PIECES / F.col("last")).cast("int")
+    return lines.join(ends, "stream_id").withColumn("piece", piece)
+
+
+def _by_restarts(spark, detector, pieces):
+    """Each piece arrives when those before it have been handled; the queries are started anew for it."""
     arrivals = _folder(spark, "arrivals")
     for piece in range(PIECES):
-        pieces.filter(F.col("piece") == piece).select("stream_id", "seq", "raw").coalesce(1).write.mode("append").parquet(arrivals)
-    source = spark.readStream.schema("stream_id string, seq bigint, raw string").option("maxFilesPerTrigger", 1).parquet(arrivals)
-    stream = detector.start(source, f"{detector.path}/offsets", availableNow=True)
-    stream.awaitTermination()
-    return detector.results().select("stream_id", "seq", "anomaly_type", "late")
+        pieces.filter(F.col("piece") == piece).drop("piece").write.mode("append").parquet(arrivals)
+        detector.run_available(spark.readStream.schema(pieces.drop("piece").schema).parquet(arrivals))
+    return detector.results()
+
+
+@query("stream_detect", ["s_done", "s_seen"], """SELECT stream_id::VARCHAR AS stream_id, seq, anomaly_type, false AS late FROM s_done
+    UNION ALL SELECT stream_id::VARCHAR, seq, 'normal', true FROM s_seen WHERE late""")
+def stream_detect(spark, sf_dir):
+    """Detection over application lines that arrive in five pieces, some of them late, with a restart before every piece."""
+    pieces = _app_pieces(spark, sf_dir)
+    delayed = (F.col("seq") % DELAYED_EACH == 0) & (F.col("piece") < PIECES - 1)
+    pieces = materialize(pieces.select("stream_id", "seq", "raw", (F.col("piece") + delayed.cast("int")).alias("piece")), "pieces")
+    return _by_restarts(spark, _detector(spark, sf_dir), pieces).select("stream_id", "seq", "anomaly_type", "late")
+
+
+define("t_lines", ("a_lines",), f"""SELECT *, CASE WHEN stream_id % {RESET_EACH} = 0 AND seq > max(seq) OVER (PARTITION BY stream_id) // 2 THEN 1 ELSE 0 END AS grp FROM a_lines""")
+detection_steps("t", "t_lines")
+
+
+@query("stream_reset", ["t_done"], "SELECT stream_id::VARCHAR AS stream_id, seq, anomaly_type, false AS late FROM t_done")
+def stream_reset(spark, sf_dir):
+    """Detection in five pieces, where every third stream is told in its middle to forget what it has seen."""
+    pieces = _app_pieces(spark, sf_dir)
+    middle = (F.col("stream_id") % RESET_EACH == 0) & (F.col("seq") == F.floor(F.col("last") / 2) + 1)
+    resets = pieces.filter(middle).select("stream_id", "seq", F.lit(None).cast("string").alias("raw"), "piece", F.lit(True).alias("reset"))
+    rows = pieces.drop("last").withColumn("reset", F.lit(False)).unionByName(resets)
+    found = _by_restarts(spark, _detector(spark, sf_dir), materialize(rows, "pieces"))
+    return found.select("stream_id", "seq", "anomaly_type", "late")
+
+
+SESSION_GAP_HOURS = 6
+SESSION_LATE_HOURS = 3
+
+define("x_sessions", ("a_lines",), f"""SELECT stream_id, part, count(*) AS lines, min(seq) AS first_seq, max(seq) AS last_seq, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS session_start FROM (
+    SELECT *, sum(begins) OVER (PARTITION BY stream_id ORDER BY seq) AS part FROM (
+        SELECT stream_id, seq, t, CASE WHEN t - lag(t) OVER (PARTITION BY stream_id ORDER BY seq) < INTERVAL {SESSION_GAP_HOURS} HOUR THEN 0 ELSE 1 END AS begins
+        FROM (SELECT stream_id, seq, substr(raw, 1, 19)::TIMESTAMP AS t FROM a_lines))) GROUP BY ALL""")
+
+
+@query("stream_sessions", ["x_sessions"], "SELECT stream_id, session_start, lines, first_seq, last_seq FROM x_sessions")
+def stream_sessions(spark, sf_dir):
+    """Closed sessions of every user's lines, which arrive in five spans of time; a third of the last hours of a span comes with the next one."""
+    from ..functions import text
+
+    raw = views.app_lines(spark, sf_dir).select("stream_id", "seq", text.timestamp(F.col("raw")).cast("timestamp").alias("ts"))
+    lines = materialize(raw, "session-lines")
+    span = lines.agg(F.unix_seconds(F.min("ts")).alias("a"), (F.unix_seconds(F.max("ts")) + 1).alias("b")).first()
+    at = (F.unix_seconds("ts") - span["a"]) * PIECES / (span["b"] - span["a"])
+    ending = (F.ceil(at) - at) * (span["b"] - span["a"]) / PIECES < SESSION_LATE_HOURS * 3600 - 60
+    piece = F.floor(at).cast("int") + (ending & (F.col("seq") % 3 == 0)).cast("int")
+    # The last piece has a line of nobody far ahead, which moves the watermark past every session.
+    closing = spark.createDataFrame([(None, 0, PIECES + 1)], "stream_id bigint, seq bigint, piece int").withColumn(
+        "ts", F.timestamp_seconds(F.lit(span["b"] + 365 * 86_400)))
+    pieces = materialize(lines.withColumn("piece", piece).unionByName(closing), "session-pieces")
+    folder = _folder(spark, "stream-sessions")
+    for number in range(PIECES + 2):
+        pieces.filter(F.col("piece") == number).drop("piece").write.mode("append").parquet(f"{folder}/in")
+        arrived = spark.readStream.schema("stream_id bigint, seq bigint, ts timestamp").parquet(f"{folder}/in")
+        closed = rules.line_sessions(arrived, f"{SESSION_GAP_HOURS} hours", f"{SESSION_LATE_HOURS} hours")
+        _finish(closed.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out"), folder)
+    found = spark.read.parquet(f"{folder}/out").filter(F.col("stream_id").isNotNull())
+    return found.select("stream_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "lines", "first_seq", "last_seq")
 
 
 def _event_stream(spark, sf_dir, columns):

@@ -62,3 +62,17 @@ def running_counts(events: DataFrame, columns: Sequence[str], size: str = "1 hou
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("window_start"), *columns, "n")
     )
+
+
+def line_sessions(lines: DataFrame, gap: str, late: str) -> DataFrame:
+    """Lines per stream and session of a stream of (stream_id, seq, ts), each session as a row when it has closed.
+
+    A session ends after a quiet time of ``gap``; it closes when the watermark, ``late`` behind the newest line, has passed its
+    end. Lines that come later than that are dropped with the watermark.
+    """
+    return (
+        lines.withWatermark("ts", late)
+        .groupBy(F.session_window("ts", gap).alias("w"), "stream_id")
+        .agg(F.count(F.lit(1)).alias("lines"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+        .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "stream_id", "lines", "first_seq", "last_seq")
+    )

@@ -118,7 +118,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, and digests of its ids and of the bytes they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded")
+    found = encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded", cached=400_000)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

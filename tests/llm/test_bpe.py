@@ -50,6 +50,28 @@ def test_edges(spark):
     assert encode(edge.empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_words_at_single_spaces_and_other_patterns(spark):
+    rng = random.Random(9)
+    words = ["it's", "a", "end.", "x\n\ny", "don't,", "'ll", "12", "--", "(é)", "日本", "\ty", "z\x1f"]
+    rows = [(i, rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", " \n"]).join(rng.choice(words) for _ in range(rng.randrange(1, 30))) + rng.choice(["", " ", "\n "])) for i in range(300)]
+    for row in both(spark, rows):
+        assert np.frombuffer(row.token_ids, "<u4").tolist() == PEER.encode_ordinary(row.text)
+    other = r" ?[a-z]+ ?|[^a-z]"
+    peer = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=RANKS, special_tokens={})
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for row in encode(docs, PATH, other).collect():
+        assert np.frombuffer(row.token_ids, "<u4").tolist() == peer.encode_ordinary(row.text)
+
+
+def test_lower_ranks_that_appear_go_first():
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 258, b"abab": 259, b"cab": 260}
+    rng = random.Random(5)
+    peer = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    for _ in range(300):
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 25)))
+        assert merge(text.encode(), ranks) == peer.encode_ordinary(text)
+
+
 def test_rank_file():
     line = open(PATH, "rb").readline().split()
     assert RANKS[base64.b64decode(line[0])] == int(line[1])

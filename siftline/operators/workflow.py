@@ -27,6 +27,8 @@ MERGE_SIMILARITY = 0.7
 TASK_TOP = 5
 LINK_SHARE = 0.9
 NAME_LENGTH = 50
+#: Graphs of the first round of merging.
+FIRST_BLOCK = 64
 
 
 # --- building -------------------------------------------------------------------------------------------
@@ -56,46 +58,126 @@ def node_table(edges: DataFrame) -> DataFrame:
     )
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """All (workflow_id, src, dst) with a path from src to dst.
+def loop_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that can reach themselves: those of strongly connected components with an edge inside.
 
-    Paths are doubled in every round, so paths of length L are found after log2(L) rounds. Each round is
-    stored, which cuts the lineage. The table is bounded by the templates of a workflow, not by its lines.
+    Nodes that no edge enters or none leaves lie on no loop; they are peeled off round by round. Of what is left, nodes
+    with one edge in and one out are passed over: pointers along such chains double in every round, so a chain costs the
+    logarithm of its length, and a chain that ends nowhere is a loop. The components of the remaining crossings are found by colours.
     """
-    reach = materialize(edges.select("workflow_id", "src", "dst").distinct(), "reach")
-    size = reach.count()
-    while True:
-        step = reach.select("workflow_id", F.col("src").alias("dst"), F.col("dst").alias("_far"))
-        longer = reach.join(step, ["workflow_id", "dst"]).select(
-            "workflow_id", "src", F.col("_far").alias("dst")
+    left = _peeled(materialize(edges.select("workflow_id", "src", "dst").distinct(), "loop-edges"))
+    if left.isEmpty():
+        return left.select("workflow_id", F.col("src").alias("log_key"))
+    ends = left.groupBy("workflow_id", F.col("src").alias("log_key")).agg(F.count(F.lit(1)).alias("_out"), F.min("dst").alias("next"))
+    starts = left.groupBy("workflow_id", F.col("dst").alias("log_key")).agg(F.count(F.lit(1)).alias("_in"), F.min("src").alias("before"))
+    single = materialize(
+        ends.join(starts, ["workflow_id", "log_key"]).filter("_in = 1 AND _out = 1").select("workflow_id", "log_key", "next", "before"), "chains"
+    )
+    after = _chain_ends(single, "next")
+    ahead = _chain_ends(single, "before")
+    chains = materialize(
+        after.join(ahead, ["workflow_id", "log_key"]).select("workflow_id", "log_key", F.col("before").alias("src"), F.col("next").alias("dst")), "chain-ends"
+    )
+    closed = chains.filter(F.col("src").isNull() | F.col("dst").isNull()).select("workflow_id", "log_key")
+    passed = single.select("workflow_id", "log_key")
+    crossings = (
+        left.join(passed.withColumnRenamed("log_key", "src"), ["workflow_id", "src"], "left_anti")
+        .join(passed.withColumnRenamed("log_key", "dst"), ["workflow_id", "dst"], "left_anti").select("workflow_id", "src", "dst")
+    )
+    over = chains.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    short = materialize(crossings.unionByName(over.select("workflow_id", "src", "dst")).distinct(), "crossings")
+    parts = materialize(strong_components(short), "components")
+    source = parts.select("workflow_id", F.col("log_key").alias("src"), F.col("component").alias("_a"))
+    target = parts.select("workflow_id", F.col("log_key").alias("dst"), F.col("component").alias("_b"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        return rows.join(source, ["workflow_id", "src"]).join(target, ["workflow_id", "dst"]).filter(F.col("_a") == F.col("_b"))
+
+    crossed = inside(short).select("workflow_id", F.explode(F.array("src", "dst")).alias("log_key"))
+    return closed.unionByName(inside(over).select("workflow_id", "log_key")).unionByName(crossed).distinct()
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that no edge enters or none leaves, round by round."""
+    size = edges.count()
+    while size:
+        entered = edges.select("workflow_id", F.col("dst").alias("src")).distinct()
+        quitted = edges.select("workflow_id", F.col("src").alias("dst")).distinct()
+        edges = materialize(
+            edges.join(entered, ["workflow_id", "src"], "left_semi").join(quitted, ["workflow_id", "dst"], "left_semi")
+            .select("workflow_id", "src", "dst"), "loop-edges",
         )
-        reach = materialize(reach.unionByName(longer).distinct(), "reach")
-        grown = reach.count()
-        if grown == size:
+        before, size = size, edges.count()
+        if size == before:
+            break
+    return edges
+
+
+def _chain_ends(single: DataFrame, column: str) -> DataFrame:
+    """For each node of a chain the first node beyond the chain in the direction of ``column``; null on a chain that closes itself."""
+    jumps = single.select("workflow_id", "log_key", column)
+    rounds = jumps.count().bit_length()
+    for _ in range(rounds):
+        ahead = jumps.select("workflow_id", F.col("log_key").alias(column), F.col(column).alias("_far"))
+        further = materialize(jumps.join(ahead, ["workflow_id", column], "left"), "jumps")
+        jumps = further.select("workflow_id", "log_key", F.coalesce("_far", column).alias(column))
+        if further.filter(F.col("_far").isNotNull()).isEmpty():
             break
-        size = grown
-    return reach
+    inner = single.select("workflow_id", F.col("log_key").alias(column), F.lit(True).alias("_inner"))
+    return jumps.join(inner, ["workflow_id", column], "left").select(
+        "workflow_id", "log_key", F.when(F.col("_inner").isNull(), F.col(column)).alias(column)
+    )
 
 
-def loop_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that can reach themselves.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(workflow_id, log_key, component) of all nodes of ``edges``, by forward-backward colouring.
 
-    Nodes that no edge enters or none leaves can lie on no loop; they are peeled off with their edges, round by round, and only
-    paths of what is left are followed.
+    The largest name that can reach a node is its colour. A node that has its own name as colour is in one component with the
+    nodes of this colour that can reach it. Edges between colours, and nodes that are placed, are out for the next round.
+    Rows are one per node and edge; no table of reachable pairs is made.
     """
-    left = materialize(edges.select("workflow_id", "src", "dst").distinct(), "loop-edges")
-    size = left.count()
-    while size:
-        entered = left.select("workflow_id", F.col("dst").alias("src")).distinct()
-        quitted = left.select("workflow_id", F.col("src").alias("dst")).distinct()
-        left = materialize(
-            left.join(entered, ["workflow_id", "src"], "left_semi").join(quitted, ["workflow_id", "dst"], "left_semi")
-            .select("workflow_id", "src", "dst"), "loop-edges",
+    names = edges.select("workflow_id", F.explode(F.array("src", "dst")).alias("log_key")).distinct()
+    edges = materialize(edges.select("workflow_id", "src", "dst").filter("src <> dst"), "scc-edges")
+    placed = []
+    while not edges.isEmpty():
+        nodes = edges.select("workflow_id", F.explode(F.array("src", "dst")).alias("log_key")).distinct()
+        colours = materialize(nodes.withColumn("colour", F.col("log_key")), "colours")
+        while True:
+            coming = edges.join(colours.withColumnRenamed("log_key", "src"), ["workflow_id", "src"]).groupBy(
+                "workflow_id", F.col("dst").alias("log_key")).agg(F.max("colour").alias("_new"))
+            step = materialize(
+                colours.join(coming, ["workflow_id", "log_key"], "left")
+                .withColumn("_more", F.coalesce(F.col("_new") > F.col("colour"), F.lit(False)))
+                .withColumn("colour", F.greatest("colour", "_new")).drop("_new"), "colours",
+            )
+            colours = step.drop("_more")
+            if step.filter("_more").isEmpty():
+                break
+        tint = colours.withColumnRenamed("colour", "_c")
+        same = materialize(
+            edges.join(colours.withColumnRenamed("log_key", "src"), ["workflow_id", "src"])
+            .join(tint.withColumnRenamed("log_key", "dst"), ["workflow_id", "dst"]).filter(F.col("colour") == F.col("_c"))
+            .select("workflow_id", "src", "dst", "colour"), "same-colour",
         )
-        before, size = size, left.count()
-        if size == before:
-            break
-    return reachable(left).filter(F.col("src") == F.col("dst")).select("workflow_id", F.col("src").alias("log_key"))
+        found = materialize(colours.filter(F.col("log_key") == F.col("colour")), "members")
+        fresh = found
+        while not fresh.isEmpty():
+            reached = same.join(fresh.select("workflow_id", F.col("log_key").alias("dst")), ["workflow_id", "dst"], "left_semi").select(
+                "workflow_id", F.col("src").alias("log_key"), "colour").distinct()
+            fresh = materialize(reached.join(found, ["workflow_id", "log_key"], "left_anti"), "members")
+            found = found.unionByName(fresh)
+        found = materialize(found, "component")
+        placed.append(found.withColumnRenamed("colour", "component"))
+        gone = found.select("workflow_id", "log_key")
+        edges = materialize(
+            same.join(gone.withColumnRenamed("log_key", "src"), ["workflow_id", "src"], "left_anti")
+            .join(gone.withColumnRenamed("log_key", "dst"), ["workflow_id", "dst"], "left_anti").select("workflow_id", "src", "dst"), "scc-edges",
+        )
+    out = names.limit(0).withColumn("component", F.col("log_key"))
+    for part in placed:
+        out = out.unionByName(part)
+    alone = names.join(out.select("workflow_id", "log_key"), ["workflow_id", "log_key"], "left_anti")
+    return out.unionByName(alone.withColumn("component", F.col("log_key")))
 
 
 def successors(edges: DataFrame, count: int = 3) -> DataFrame:
@@ -219,31 +301,37 @@ def graph_sets(edges: DataFrame) -> DataFrame:
     )
 
 
-def similar_workflows(sets: DataFrame, threshold: float = MERGE_SIMILARITY) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct graphs whose weighted similarity reaches the threshold.
+def _alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, similarity) of the graphs of two tables whose weighted similarity reaches the threshold.
 
     The similarity is 0.4 times that of the nodes plus 0.6 times that of the edges, so a pair needs an edge
     similarity of at least (threshold - 0.4) / 0.6, which prunes the candidates.
     """
     least = (threshold - NODE_WEIGHT) / EDGE_WEIGHT
     if least > 0:
-        items = sets.select("id", F.transform("edges", lambda e: F.concat(e["src"], F.lit("\x1f"), e["dst"])).alias("items"))
-        pairs = _pruned_pairs(items, items, "edge", least).filter(F.col("left_id") < F.col("right_id"))
+        def items(side: DataFrame) -> DataFrame:
+            return side.select("id", F.transform("edges", lambda e: F.concat(e["src"], F.lit("\x1f"), e["dst"])).alias("items"))
+
+        pairs = _pruned_pairs(items(left), items(right), "edge", least)
     else:  # a common node may be enough
-        node = sets.select(F.col("id").alias("left_id"), F.explode("nodes").alias("node"))
-        pairs = node.join(node.withColumnRenamed("left_id", "right_id"), "node").filter(
-            F.col("left_id") < F.col("right_id")
-        ).select("left_id", "right_id").distinct()
-    a = sets.select(F.col("id").alias("left_id"), F.col("nodes").alias("_na"), F.col("edges").alias("_ea"))
-    b = sets.select(F.col("id").alias("right_id"), F.col("nodes").alias("_nb"), F.col("edges").alias("_eb"))
+        node = left.select(F.col("id").alias("left_id"), F.explode("nodes").alias("node"))
+        other = right.select(F.col("id").alias("right_id"), F.explode("nodes").alias("node"))
+        pairs = node.join(other, "node").select("left_id", "right_id").distinct()
+    a = left.select(F.col("id").alias("left_id"), F.col("nodes").alias("_na"), F.col("edges").alias("_ea"))
+    b = right.select(F.col("id").alias("right_id"), F.col("nodes").alias("_nb"), F.col("edges").alias("_eb"))
     similarity = NODE_WEIGHT * jaccard(F.col("_na"), F.col("_nb")) + EDGE_WEIGHT * jaccard(F.col("_ea"), F.col("_eb"))
     return (
         pairs.join(a, "left_id").join(b, "right_id")
-        .select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), similarity.alias("similarity"))
+        .select("left_id", "right_id", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold - 1e-12)
     )
 
 
+def similar_workflows(sets: DataFrame, threshold: float = MERGE_SIMILARITY) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct graphs whose similarity reaches the threshold. Merging needs none of them stored."""
+    return _alike(sets, sets, threshold).filter(F.col("left_id") < F.col("right_id")).withColumnsRenamed({"left_id": "a", "right_id": "b"})
+
+
 def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy leaders in id order: a graph joins the first leader it is similar to, else leads itself.
 
@@ -252,7 +340,7 @@ def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs with a decided graph are dropped. The outcome is that of the sequential pass.
     """
     open_ids = materialize(ids.select("id"), "open")
-    edges = materialize(pairs.select("a", "b"), "similar")
+    edges = materialize(pairs.select("a", "b"), "block-pairs")
     live, decided = edges, open_ids.limit(0)
     while not open_ids.isEmpty():
         fresh = materialize(open_ids.join(live.select(F.col("b").alias("id")), "id", "left_anti"), "leaders")
@@ -274,6 +362,48 @@ def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return decided.select("id", F.col("id").alias("leader")).unionByName(members)
 
 
+def greedy_leaders(sets: DataFrame, threshold: float = MERGE_SIMILARITY, first_block: int = FIRST_BLOCK) -> DataFrame:
+    """(id, leader) of every graph by the sequential pass in id order, without a table of similar pairs.
+
+    Each round takes the next graphs that no leader has claimed, finds the leaders among them, and lets all graphs behind them
+    probe the edges of these new leaders only; what they claim is out. The block doubles while its graphs all lead, and starts
+    small again where they don't. Its first graphs probe it beforehand: a block that they claim most of is cut to them, so the
+    pairs inside a block stay few even where thousands of graphs in a row are alike. Stored rows grow as the graphs do.
+    """
+    waiting, decided, size = sets.select("id", "nodes", "edges"), [], first_block
+
+    def up_to(rows: DataFrame, count: int) -> DataFrame:
+        last = rows.select("id").orderBy("id").limit(count).agg(F.max("id").alias("_last"))
+        return rows.join(F.broadcast(last), F.col("id") <= F.col("_last")).drop("_last")
+
+    def claimed_by(rows: DataFrame, lead: DataFrame) -> DataFrame:
+        found = _alike(rows, lead, threshold).groupBy(F.col("left_id").alias("id")).agg(F.min("right_id").alias("leader"))
+        return materialize(found, "claimed")
+
+    while True:
+        block = materialize(up_to(waiting, size), "block")
+        taken = block.count()
+        if not taken:
+            break
+        if taken > first_block:
+            front = materialize(up_to(block, first_block), "block")
+            alone = leaders(front, similar_workflows(front, threshold)).filter("id = leader").select("id")
+            rest = block.join(front.select("id"), "id", "left_anti")
+            if 2 * claimed_by(rest, front.join(alone, "id", "left_semi")).count() > taken - first_block:
+                block, taken = front, first_block
+        inside = materialize(leaders(block, similar_workflows(block, threshold)), "block-leaders")
+        lead = materialize(block.join(inside.filter("id = leader").select("id"), "id", "left_semi"), "new-leaders")
+        behind = waiting.join(block.select("id"), "id", "left_anti")
+        claimed = claimed_by(behind, lead)
+        decided += [inside, claimed]
+        waiting = materialize(behind.join(claimed.select("id"), "id", "left_anti"), "open-graphs")
+        size = 2 * size if lead.count() == taken else first_block
+    out = sets.select("id", F.col("id").alias("leader")).limit(0)
+    for part in decided:
+        out = out.unionByName(part)
+    return out
+
+
 def merge_workflows(edges: DataFrame, threshold: float = MERGE_SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Merge similar workflows: (merged edges, workflow_id -> merged_id).
 
@@ -281,8 +411,7 @@ def merge_workflows(edges: DataFrame, threshold: float = MERGE_SIMILARITY) -> tu
     edges of its members and the id of its leader.
     """
     sets = materialize(graph_sets(edges), "graphs")
-    pairs = materialize(similar_workflows(sets, threshold), "graph-pairs")
-    lead = materialize(leaders(sets, pairs), "lead")
+    lead = materialize(greedy_leaders(sets, threshold), "lead")
     edge = F.struct("src", "dst")
     shapes = edges.groupBy("workflow_id").agg(F.array_sort(F.collect_set(edge)).alias("edges"))
     mapping = (

@@ -191,3 +191,55 @@ def test_divergence_looks_at_this_and_the_next_template(spark):
     model = keys.train(sequence(spark, list("abcabcabcabc")), window=2, top_g=1)
     got = workflow.divergences(sequence(spark, list("abcxyabc")), model, top=1, chunk_rows=3)
     assert [r.seq for r in got.filter("diverges").orderBy("seq").collect()] == [4, 5, 6]
+
+
+def reach(edges):
+    out = set(edges)
+    while True:
+        more = {(a, d) for a, b in out for c, d in edges if b == c} - out
+        if not more:
+            return out
+        out |= more
+
+
+def test_loop_nodes_and_components_equal_closure(spark):
+    rng = random.Random(17)
+    graphs = {"ring": [(f"r{i:02d}", f"r{(i + 1) % 40:02d}") for i in range(40)], "own": [("a", "a"), ("a", "b")]}
+    graphs["path between loops"] = [("a", "b"), ("b", "a"), ("b", "p1"), ("p1", "p2"), ("p2", "c"), ("c", "d"), ("d", "c")]
+    graphs["back by a chain"] = [("a", "x"), ("x", "y"), ("y", "a"), ("a", "z"), ("z", "a"), ("a", "end")]
+    for n in range(25):
+        names = [f"n{i}" for i in range(rng.randrange(2, 9))]
+        graphs[f"g{n}"] = list({(rng.choice(names), rng.choice(names)) for _ in range(rng.randrange(1, 14))})
+    rows = [(w, a, b, 1, 1) for w, es in graphs.items() for a, b in es]
+    edges = spark.createDataFrame(rows, "workflow_id string, src string, dst string, first_seq bigint, n bigint")
+    want, parts = set(), set()
+    for w, es in graphs.items():
+        far = reach(es)
+        want |= {(w, a) for a, b in far if a == b}
+        for node in {x for e in es for x in e}:
+            parts.add((w, frozenset([node] + [b for a, b in far if a == node and (b, a) in far])))
+    assert {(r.workflow_id, r.log_key) for r in workflow.loop_nodes(edges).collect()} == want
+    found = {}
+    for r in workflow.strong_components(edges).collect():
+        found.setdefault((r.workflow_id, r.component), []).append(r.log_key)
+    assert {(w, frozenset(x)) for (w, _), x in found.items()} == parts
+    assert workflow.loop_nodes(edges.limit(0)).count() == 0
+
+
+def test_leaders_by_rounds_equal_greedy_pass(spark):
+    rng = random.Random(23)
+    graphs = {}
+    for w in range(60):
+        base = "abcde" if w < 20 else "vwxyz" if w > 45 else "abcdefghij"
+        walk = [rng.choice(base) for _ in range(rng.randrange(3, 8))]
+        graphs[f"w{w:02d}"] = list(zip(walk, walk[1:]))
+    rows = [(w, a, b, i, 1) for w, es in graphs.items() for i, (a, b) in enumerate(es, 1)]
+    sets = workflow.graph_sets(spark.createDataFrame(rows, "workflow_id string, src string, dst string, first_seq bigint, n bigint"))
+    for threshold in (0.5,):
+        alike = {(r.a, r.b) for r in workflow.similar_workflows(sets, threshold).collect()}
+        want = {}
+        for i in sorted(r.id for r in sets.collect()):
+            want[i] = next((a for a in sorted(want) if want[a] == a and (a, i) in alike), i)
+        assert 3 < len(set(want.values())) < len(want)
+        got = {r.id: r.leader for r in workflow.greedy_leaders(sets, threshold, first_block=6).collect()}
+        assert got == want

@@ -557,30 +557,23 @@ def tasks_by_cooccurrence(
     """Task of every line, named by the line number of the task's first line.
 
     A line joins the oldest task that waits for its template, and lets this task wait for the template's
-    link. How many tasks wait for a template follows from running sums alone. Where every template has one
-    source, tasks are also served in the order in which they began to wait, so the n-th waiting line and the
-    n-th served line belong together. Templates with several sources or in a loop, and those behind them,
-    are served by age in one ordered pass per stream that holds no more than the waiting tasks.
+    link. How many tasks wait for a template follows from running sums alone. Tasks that wait for a template which only
+    first templates lead to begin to wait in the order of their age, so the n-th waiting line and the n-th served line
+    belong together. Templates further along are served by age, in one ordered pass for each group of linked templates of a stream
+    (queues of different groups never meet) that holds no more than the waiting tasks.
     """
     rows = parsed.select("stream_id", "seq", "log_key")
     links = materialize(task_links(rows, share, chunk_rows), "links")
-    closure = reachable(links.select(F.col("stream_id").alias("workflow_id"), F.col("a").alias("src"), F.col("b").alias("dst")))
-    closure = closure.withColumnRenamed("workflow_id", "stream_id")
-    merging = links.groupBy("stream_id", "b").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1").select(
-        "stream_id", F.col("b").alias("log_key")
+    led_to = links.select("stream_id", F.col("b").alias("a")).distinct()
+    hard = materialize(
+        links.join(led_to, ["stream_id", "a"], "left_semi").select("stream_id", F.col("b").alias("log_key")).distinct(), "hard-keys"
     )
-    looping = closure.filter(F.col("src") == F.col("dst")).select("stream_id", F.col("src").alias("log_key"))
-    origin = merging.unionByName(looping).distinct()
-    behind = closure.join(origin.withColumnRenamed("log_key", "src"), ["stream_id", "src"], "left_semi").select(
-        "stream_id", F.col("dst").alias("log_key")
-    )
-    hard = materialize(origin.unionByName(behind).distinct(), "hard-keys")
 
     # Simple targets: served or not by the number of waiting tasks.
     simple = links.join(hard.withColumnRenamed("log_key", "b"), ["stream_id", "b"], "left_anti")
     roles = materialize(
         simple.select("stream_id", F.col("a").alias("log_key"), F.col("b").alias("target"), F.lit(1).alias("step"))
-        .unionByName(simple.select("stream_id", F.col("b").alias("log_key"), F.col("b").alias("target"), F.lit(-1).alias("step")))
+        .unionByName(simple.select("stream_id", F.col("b").alias("log_key"), F.col("b").alias("target"), F.lit(-1).alias("step")).distinct())
         .groupBy("stream_id", "log_key").agg(F.collect_list(F.struct("target", "step")).alias("roles")), "roles",
     )
     steps = lookup(rows, roles, ["stream_id", "log_key"], "inner").select("stream_id", "seq", F.inline("roles"))
@@ -618,26 +611,48 @@ def _follow(parents: DataFrame) -> DataFrame:
     return parents
 
 
+def _linked_groups(links: DataFrame) -> DataFrame:
+    """(stream_id, log_key, linked) of all templates of ``links``; linked ones share their smallest name.
+
+    A round hands the smallest name seen on by one link and along the name itself, so a chain takes few rounds.
+    """
+    both = materialize(
+        links.select("stream_id", "a", "b").unionByName(links.select("stream_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "link-sides"
+    )
+    names = materialize(both.select("stream_id", F.col("a").alias("log_key"), F.col("a").alias("linked")).distinct(), "linked")
+    while True:
+        near = both.join(names.select("stream_id", F.col("log_key").alias("b"), "linked"), ["stream_id", "b"]).select("stream_id", F.col("a").alias("log_key"), "linked")
+        far = names.select("stream_id", "log_key", F.col("linked").alias("_of")).join(
+            names.select("stream_id", F.col("log_key").alias("_of"), "linked"), ["stream_id", "_of"]).select("stream_id", "log_key", "linked")
+        least = near.unionByName(far).groupBy("stream_id", "log_key").agg(F.min("linked").alias("_new"))
+        step = materialize(
+            names.join(least, ["stream_id", "log_key"]).select(
+                "stream_id", "log_key", F.least("linked", "_new").alias("linked"), (F.col("_new") < F.col("linked")).alias("_less")), "linked",
+        )
+        names = step.drop("_less")
+        if step.filter("_less").isEmpty():
+            return names
+
+
 def _served_by_age(named: DataFrame, links: DataFrame, hard: DataFrame) -> DataFrame:
     """Serve the hard templates in line order, the oldest waiting task first."""
     kind = named.schema["stream_id"].dataType.simpleString()
-    waits = links.join(hard.withColumnRenamed("log_key", "b"), ["stream_id", "b"], "left_semi").select(
-        "stream_id", F.col("a").alias("log_key"), F.col("b").alias("next")
-    )
-    marks = materialize(
-        waits.join(hard.withColumn("is_hard", F.lit(True)), ["stream_id", "log_key"], "full"), "hard-marks"
+    waits = materialize(links.join(hard.withColumnRenamed("log_key", "b"), ["stream_id", "b"], "left_semi").select("stream_id", "a", "b"), "hard-links")
+    marks = (
+        _linked_groups(waits).join(waits.select("stream_id", F.col("a").alias("log_key"), F.col("b").alias("next")), ["stream_id", "log_key"], "left")
+        .join(hard.withColumn("is_hard", F.lit(True)), ["stream_id", "log_key"], "left")
     )
-    involved = lookup(named, marks, ["stream_id", "log_key"], "inner")
+    involved = lookup(named, materialize(marks, "hard-marks"), ["stream_id", "log_key"], "inner")
 
     def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, waiting = None, {}
+        group, waiting = None, {}
         for pdf in batches:
             tasks = []
-            for sid, key, nxt, is_hard, task in zip(
-                pdf["stream_id"], pdf["log_key"], pdf["next"], pdf["is_hard"], pdf["task_id"]
+            for sid, linked, key, nxt, is_hard, task in zip(
+                pdf["stream_id"], pdf["linked"], pdf["log_key"], pdf["next"], pdf["is_hard"], pdf["task_id"]
             ):
-                if sid != stream:
-                    stream, waiting = sid, {}
+                if (sid, linked) != group:
+                    group, waiting = (sid, linked), {}
                 if is_hard is True or is_hard == 1:
                     queue = waiting.get(key)
                     if queue:
@@ -648,7 +663,7 @@ def _served_by_age(named: DataFrame, links: DataFrame, hard: DataFrame) -> DataF
             yield pd.DataFrame({"stream_id": pdf["stream_id"], "seq": pdf["seq"], "_task": tasks})
 
     served = (
-        involved.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+        involved.repartition("stream_id", "linked").sortWithinPartitions("stream_id", "linked", "seq")
         .mapInPandas(serve, f"stream_id {kind}, seq bigint, _task bigint")
     )
     return (

@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,9 @@ CHUNK_PAIRS = 1_500_000
 STEP_BYTES = 32 << 20
 FAN_IN = 16
 LINKS_AT_ONCE = 1 << 19
-#: Bytes of text, or of A ids, that are aligned together.
+#: Bytes of text, or of compressed A ids, that are aligned together.
 TEXT_BYTES = 1 << 20
-IDS_BYTES = 1 << 19
+IDS_BYTES = 1 << 18
 #: All pairs must be below this, so that a pair and a document's place fit one 64-bit number.
 MAX_UNIVERSE = 1 << 42
 
@@ -232,8 +233,7 @@ def first_pass(docs: DataFrame, files, id_col: str, text_col: str, buckets: int,
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([
                     part.column(id_col), pa.array([chunk] * n, pa.int64()),
-                    pa.array([x.astype(type_a).tobytes() for x in a], pa.binary()),
-                    pa.array([x.astype(type_b).tobytes() for x in b], pa.binary()),
+                    squeezed(a, type_a), squeezed(b, type_b),
                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 ], names=schema.names)
                 waiting.append(found % universe)
@@ -251,6 +251,17 @@ def numbers(column: pa.Array | pa.ChunkedArray, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
+def squeezed(ids: list[np.ndarray], kind: str) -> pa.Array:
+    """Each document's ids, compressed: they are the largest part of what is stored and shuffled."""
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.array([press.compress(x.astype(kind).tobytes()) if len(x) else b"" for x in ids], pa.binary())
+
+
+def unsqueezed(column: pa.Array, kind: str) -> list[np.ndarray]:
+    press = zstandard.ZstdDecompressor()
+    return [np.frombuffer(press.decompress(x) if x else b"", kind) for x in column.to_pylist()]
+
+
 def one_row(key: tuple, schema: str, *payload: bytes) -> pa.Table:
     names = [f.split()[0] for f in schema.split(", ")]
     head = [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64())]
@@ -369,7 +380,7 @@ def second_pass(ids: DataFrame, answers: DataFrame, files, id_col: str) -> DataF
         for batch in docs.combine_chunks().to_batches():
             for part in slices(batch, "a", IDS_BYTES):
                 n = part.num_rows
-                a, b = numbers(part.column("a"), narrowest(size_a)), numbers(part.column("b"), narrowest(size_b))
+                a, b = unsqueezed(part.column("a"), narrowest(size_a)), unsqueezed(part.column("b"), narrowest(size_b))
                 of, rows_a, rows_b = sides.aligned(a, b)
                 sums = np.zeros((3, n), np.int64)
                 for pair, doc, times in links(of, size_b):

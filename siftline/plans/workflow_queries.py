@@ -202,16 +202,33 @@ def tasks_model(spark, sf_dir):
     return workflow.tasks_by_model(rows, window).select("stream_id", "seq", "task_id")
 
 
-@query("tasks_cooccurrence")
+# One line of every stream per round, with what waits for a template: (template, task) pairs.
+define("c_lines", ("v_app",), """SELECT stream_id, seq, CASE WHEN (seq * seq + stream_id) % 17 = 0 THEN 'retry' ELSE 'kind ' || k || ' step ' || (seq - 1) % 4 END AS log_key
+    FROM (SELECT *, (((seq - 1) // 4) * ((seq - 1) // 4) + stream_id) % 3 AS k FROM v_app)""")
+define("c_links", ("c_lines",), """SELECT stream_id, a, b FROM (SELECT stream_id, log_key AS a, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY stream_id, log_key) AS n_a
+    FROM (SELECT *, lead(log_key) OVER (PARTITION BY stream_id ORDER BY seq) AS b FROM c_lines) GROUP BY stream_id, log_key, b) WHERE b IS NOT NULL AND n / n_a > 0.9""")
+define("c_marked", ("c_lines", "c_links"), """SELECT l.*, k.b AS next FROM c_lines l LEFT JOIN c_links k ON k.stream_id = l.stream_id AND k.a = l.log_key""")
+define("c_tasks", ("c_marked",), """WITH RECURSIVE served AS (
+    SELECT stream_id, 0::BIGINT AS seq, 0::BIGINT AS task_id, []::STRUCT(t VARCHAR, task BIGINT)[] AS waiting FROM c_marked GROUP BY stream_id
+    UNION ALL
+    SELECT stream_id, seq, task_id, list_concat(list_filter(waiting, lambda w: NOT (w.t = log_key AND w.task = task_id)),
+           CASE WHEN next IS NULL THEN [] ELSE [{'t': next, 'task': task_id}] END)
+    FROM (SELECT m.*, s.waiting, coalesce(list_min(list_transform(list_filter(s.waiting, lambda w: w.t = m.log_key), lambda w: w.task)), m.seq) AS task_id
+          FROM served s JOIN c_marked m ON m.stream_id = s.stream_id AND m.seq = s.seq + 1))
+    SELECT stream_id, seq, task_id FROM served WHERE seq > 0""")
+
+
+@query("tasks_cooccurrence", ["c_lines", "c_tasks"], "SELECT stream_id, seq, log_key, task_id FROM c_tasks JOIN c_lines USING (stream_id, seq)")
 def tasks_cooccurrence(spark, sf_dir):
-    """Tasks linked by direct succession over runs of three kinds of four steps, with some steps disturbed."""
+    """Tasks linked by direct succession over runs of three kinds of four steps, with some steps replaced."""
     run = F.floor((F.col("seq") - 1) / 4)
     kind = F.pmod(run * run + F.col("stream_id"), F.lit(3)).cast("string")
     step = F.concat(F.lit("kind "), kind, F.lit(" step "), F.pmod(F.col("seq") - 1, F.lit(4)).cast("string"))
+    retry = (F.col("seq") * F.col("seq") + F.col("stream_id")) % 17 == 0
     lines = views.app_lines(spark, sf_dir).select(
-        "stream_id", "seq", F.when(F.crc32(F.col("raw").cast("binary")) % 17 == 0, "retry").otherwise(step).alias("log_key")
+        "stream_id", "seq", F.when(retry, "retry").otherwise(step).alias("log_key")
     )
-    return workflow.tasks_by_cooccurrence(materialize(lines, "steps"))
+    return workflow.tasks_by_cooccurrence(materialize(lines, "steps")).select("stream_id", "seq", "log_key", "task_id")
 
 
 define("t_tasks", ("t_flag", "t_starts"), """SELECT f.stream_id, f.seq, f.log_key, (sum(CASE WHEN s.seq IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY f.stream_id ORDER BY f.seq))::BIGINT AS task_id

@@ -18,7 +18,7 @@ from ..functions import text
 from ..functions.evaluate import once
 from ..session import materialize
 from .joins import lookup
-from .sequences import CHUNK_ROWS, dense_position, last_known, previous, windowed
+from .sequences import CHUNK_ROWS, dense_position, last_known, previous, range_position, windowed
 
 WINDOW = 10
 TOP_G = 5
@@ -80,16 +80,9 @@ def by_identifier(
 
 
 def vocabulary(parsed: DataFrame) -> DataFrame:
-    """Distinct templates in order with a 0-based index.
-
-    The index of a template is its position among those with the same beginning plus the sizes of the groups before,
-    so no task sorts more than one group.
-    """
-    distinct = parsed.select("log_key").distinct()
-    numbered = dense_position(
-        distinct.withColumn("_all", F.lit(0)), ["_all"], ["log_key"], F.substring("log_key", 1, 32), "idx"
-    )
-    return numbered.select("log_key", (F.col("idx") - 1).cast("bigint").alias("idx"))
+    """Distinct templates in order with a 0-based index; templates that begin alike are numbered by as many tasks as others."""
+    distinct = materialize(parsed.select("log_key").distinct(), "templates")
+    return range_position(distinct, ["log_key"], "idx").select("log_key", "idx")
 
 
 def grow_vocabulary(vocab: DataFrame, parsed: DataFrame) -> DataFrame:

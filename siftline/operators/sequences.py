@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CHUNK_ROWS = 200_000
 
 
@@ -57,6 +59,21 @@ def dense_position(
     return numbered.drop("_bucket", "_local", "_offset", "_total")
 
 
+def range_position(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Number all rows from 0 by ``order``, whatever their values have in common.
+
+    Rows are dealt by ranges of ``order`` and sorted inside them; a row's number is its place inside the range plus the sizes
+    of the ranges before, of which there are as many as shuffle partitions. The dealt rows are stored, so the ranges stay.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    sizes = dealt.groupBy("_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(shifts, "_range").withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+
+
 def windowed(
     df: DataFrame,
     group: Sequence[str],

@@ -261,10 +261,12 @@ def head_per_stream(spark, sf_dir):
 
 
 @query("balanced_sample", ["v_mixed"], """SELECT kind, stream_id, seq, raw FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY stream_id, seq, raw) AS r
-    FROM (SELECT regexp_replace(stream_id, '\\d+', '') AS kind, * FROM v_mixed WHERE NOT regexp_matches(stream_id, '^\\d+$'))) WHERE r <= 300""")
+    FROM (SELECT CASE WHEN regexp_matches(stream_id, '^\\d+$') THEN 'app' ELSE regexp_replace(stream_id, '\\d+', '') END AS kind, * FROM v_mixed)) WHERE r <= 300""")
 def balanced_sample(spark, sf_dir):
-    mixed = views.mixed_lines(spark, sf_dir).filter(~F.col("stream_id").rlike(r"^\d+$"))
-    typed = mixed.withColumn("kind", F.regexp_replace("stream_id", r"\d+", ""))
+    """Up to 300 lines of every kind of stream; application streams are numbers."""
+    named = F.col("stream_id").cast("string")
+    kind = F.when(named.rlike(r"^\d+$"), "app").otherwise(F.regexp_replace(named, r"\d+", ""))
+    typed = views.mixed_lines(spark, sf_dir).withColumn("kind", kind)
     return lines_source.balanced(typed, "kind", 300).select("kind", "stream_id", "seq", "raw")
 
 

@@ -174,29 +174,21 @@ def stream_counts(spark, sf_dir):
     return rows.groupBy("day", "category", "threat_level").agg(F.max_by("n", "batch").alias("n"))
 
 
-define("x_fail", ("v_auth",), r"""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, source_ip, count(*) AS failures, count(*) >= 10 AS lockout FROM (
-    SELECT ts, nullif(regexp_extract(raw, 'from\s+([\d.]+)', 1), '') AS source_ip FROM v_auth WHERE contains(raw, 'Failed password')) WHERE source_ip IS NOT NULL
-    GROUP BY ALL HAVING count(*) >= 5""")
-
-
-@query("stream_login_alerts", ["x_fail"], "SELECT day, source_ip, failures, lockout FROM x_fail")
+@query("stream_login_alerts", ["t_brute"], "SELECT window_start, source_ip, failures, lockout FROM t_brute")
 def stream_login_alerts(spark, sf_dir):
-    """Daily windows with five or more failed logins of a source, updated as lines arrive."""
-    from ..functions import formats
-    from ..operators import chains
-
+    """The alerts of five minutes with five or more failed logins of a source, updated as lines arrive in pieces and in no order."""
     folder = _folder(spark, "stream-alerts")
-    lines = views.auth_rows(_event_stream(spark, sf_dir, views.EVENT_COLUMNS), "ts")
-    failures = lines.filter(F.col("raw").contains("Failed password")).select(
-        F.col("ts").cast("timestamp").alias("ts"), formats.source_ip(F.col("raw")).alias("source_ip")
-    ).filter(F.col("source_ip").isNotNull())
-    alerts = chains.brute_force_alerts(failures.withWatermark("ts", "10 minutes"), minutes=24 * 60)
-    day = alerts.select(F.substring(F.col("window_start").cast("string"), 1, 10).alias("day"), "source_ip", "failures", "lockout")
+    events = views.table(spark, sf_dir, "events", *views.EVENT_COLUMNS)
+    pieces = materialize(events.withColumn("piece", F.pmod(F.xxhash64("event_id"), F.lit(PIECES)).cast("int")), "event-pieces")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    _finish(day.writeStream.outputMode("update").foreachBatch(keep), folder)
+    for piece in range(PIECES):
+        pieces.filter(F.col("piece") == piece).drop("piece").write.mode("append").parquet(f"{folder}/in")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        alerts = rule_queries.alert_rows(rules.login_alerts(rule_queries.login_failures(views.auth_rows(arrived, "ts"))))
+        _finish(alerts.writeStream.outputMode("update").foreachBatch(keep), folder)
     rows = spark.read.parquet(f"{folder}/out")
-    latest = rows.groupBy("day", "source_ip").agg(F.max_by(F.struct("failures", "lockout"), "batch").alias("r"))
-    return latest.select("day", "source_ip", "r.failures", "r.lockout")
+    latest = rows.groupBy("window_start", "source_ip").agg(F.max_by(F.struct("failures", "lockout"), "batch").alias("r"))
+    return latest.select("window_start", "source_ip", "r.failures", "r.lockout")

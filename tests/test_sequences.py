@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftline.operators import joins, keys, params
-from siftline.operators.sequences import dense_position, last_known, lowest_before, previous, running_sum, windowed
+from siftline.operators.sequences import dense_position, last_known, lowest_before, previous, range_position, running_sum, windowed
 
 
 def frame(spark, n=200, seed=1):
@@ -77,3 +77,11 @@ def test_previous_vectors_per_template(spark):
     for chunk in (3, 100):
         got = params.with_previous(df, chunk).collect()
         assert all((r.prev == [r.params[0] - 2]) == (r.seq > 2) and r.nth == (r.seq + r.seq % 2) // 2 for r in got)
+
+
+def test_range_position_spreads_names_that_begin_alike(spark):
+    names = spark.range(20_000).select(F.concat(F.lit("x" * 60), F.lpad(((F.col("id") * 7919) % 20_000).cast("string"), 6, "0")).alias("name"))
+    found = range_position(names.repartition(7), ["name"], "n")
+    assert found.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (0, 19_999, 20_000)
+    assert found.filter(F.col("n") != F.substring("name", 61, 6).cast("bigint")).isEmpty()
+    assert range_position(names.limit(0), ["name"], "n").count() == 0

@@ -1,19 +1,22 @@
 """Parameter models: per template, the expected next parameter vector and an error threshold.
 
-The model is one regression line per (template, position) from each value to the next one, on normalised
-values. All of its parts are sums, so training needs no task that sees a whole template.
+The model is one regression per (template, position) from the last values to the next one, on normalised
+values: a line from one value back (``train``), or from as many as wanted (``train_lags``). All of its parts are sums, so training needs no task that sees a whole template.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .joins import lookup
-from .sequences import CHUNK_ROWS, chunk_of, dense_position, windowed
+from .sequences import CHUNK_ROWS, chunk_of, dense_position, previous, windowed
 
 # Clipping in standard deviations, bound after scaling, threshold width, held-out share.
 CLIP_SIGMA = 3.0
@@ -176,6 +179,102 @@ def train(parsed: DataFrame, window: int, chunk_rows: int = CHUNK_ROWS) -> Param
     return ParamModel(materialize(table, "param-model"), window)
 
 
+@dataclass
+class LagModel:
+    """Per template the scale of each position, the coefficients of its last ``order`` values, and the error threshold."""
+
+    table: DataFrame
+    order: int
+
+
+def with_lags(rows: DataFrame, order: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``lags``, the last ``order`` vectors of the same template in the same stream, newest first, and ``nth`` and ``group_rows``.
+
+    Rows without so many vectors before them are left out.
+    """
+    group = ["stream_id", "log_key"]
+    numbered = dense_position(rows, group, ["seq"], chunk_of(F.col("seq"), chunk_rows), "nth", total="group_rows")
+    found = windowed(numbered, group, "nth", {"lags": previous("params", order)}, back=order, chunk_rows=chunk_rows)
+    return found.filter(F.col("nth") > order).withColumn("lags", F.reverse("lags"))
+
+
+def lag_points(rows: DataFrame, stats: DataFrame, order: int) -> DataFrame:
+    """(columns of ``rows``, pos, y, x) with the scaled value of each position and its scaled last values, newest first."""
+    wide = lookup(rows, stats, ["log_key"], "inner")
+    points = wide.select(*rows.columns, "means", "stds", F.posexplode("params").alias("pos", "_y"))
+
+    def scale(value: Column) -> Column:
+        return scaled(value, F.element_at("means", F.col("pos") + 1), F.element_at("stds", F.col("pos") + 1))
+
+    lag = F.transform("lags", lambda v: scale(F.coalesce(F.get(v, F.col("pos")), F.lit(0.0))))
+    return points.select(*rows.columns, "pos", scale(F.col("_y")).alias("y"), lag.alias("x"))
+
+
+def normal_equations(points: DataFrame, order: int) -> DataFrame:
+    """Intercept and coefficients per template and position by least squares; of many solutions the one with the smallest coefficients.
+
+    All that the equations need are sums of products, so any number of rows is one partial aggregation; each group then
+    solves its own equations of ``order`` unknowns.
+    """
+    x = [F.element_at("x", i + 1) for i in range(order)]
+    pairs = [(i, j) for i in range(order) for j in range(i, order)]
+    sums = points.groupBy("log_key", "pos").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), F.array(*[F.sum(v) for v in x]).alias("sx"),
+        F.array(*[F.sum(v * F.col("y")) for v in x]).alias("sxy"), F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("sxx"),
+    )
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, columns = np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
+        for pdf in batches:
+            intercepts, slopes = [], []
+            for n, sy, sx, sxy, sxx in zip(pdf["n"], pdf["sy"], pdf["sx"], pdf["sxy"], pdf["sxx"]):
+                gram = np.zeros((order, order))
+                gram[rows, columns] = gram[columns, rows] = sxx
+                mean = np.asarray(sx) / n
+                k = np.linalg.pinv(gram / n - np.outer(mean, mean), rcond=1e-9, hermitian=True) @ (np.asarray(sxy) / n - mean * sy / n)
+                slopes.append(k.tolist())
+                intercepts.append(float(sy / n - k @ mean))
+            yield pdf[["log_key", "pos"]].assign(intercept=intercepts, slopes=slopes)
+
+    return sums.mapInPandas(solve, "log_key string, pos int, intercept double, slopes array<double>")
+
+
+def lag_errors(points: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean squared error of each vector, given by ``keys`` and log_key."""
+    guess = F.aggregate(F.zip_with("x", "slopes", lambda v, k: v * k), F.col("intercept"), lambda total, v: total + v)
+    joined = lookup(points, fit, ["log_key", "pos"], "inner")
+    return joined.groupBy(*keys, "log_key").agg(F.avg((guess - F.col("y")) * (guess - F.col("y"))).alias("mse"))
+
+
+def train_lags(parsed: DataFrame, order: int, window: int | None = None, chunk_rows: int = CHUNK_ROWS) -> LagModel:
+    """Fit the next vector from the last ``order`` ones for all templates with more than ``window`` (by default ``order``) vectors.
+
+    The last tenth of each stream's vectors of a template is held out for the threshold.
+    """
+    rows = trainable(parsed.select("stream_id", "seq", "log_key", "params"), window or order)
+    stats = materialize(as_arrays(position_stats(rows)), "lag-stats")
+    lagged = with_lags(rows.drop("dim"), order, chunk_rows)
+    held = held_out(F.col("nth") - order + 1, F.col("group_rows") - order + 1)
+    points = materialize(lag_points(lagged.withColumn("held", held), stats, order).drop("params", "lags"), "lag-points")
+    fit = materialize(normal_equations(points.filter(~F.col("held")), order), "lag-fit")
+    errors = lag_errors(points.filter("held"), fit, ["stream_id", "seq"])
+    thresholds = errors.groupBy("log_key").agg((F.avg("mse") + THRESHOLD_SIGMA * F.stddev_pop("mse")).alias("mse_threshold"))
+    folded = fit.groupBy("log_key").agg(F.array_sort(F.collect_list(F.struct("pos", "intercept", "slopes"))).alias("fit"))
+    table = stats.join(folded, "log_key").join(thresholds, "log_key", "left")
+    return LagModel(materialize(table, "lag-model"), order)
+
+
+def score_lags(good: DataFrame, model: LagModel, window: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(stream_id, seq, mse, mse_threshold) of vectors (stream_id, seq, log_key, params) with more than ``window`` ones before them."""
+    table = model.table
+    lagged = with_lags(good, model.order, chunk_rows).filter(F.col("nth") > (window or model.order))
+    fitted = lookup(lagged, table.select("log_key", "dim"), ["log_key"], "inner").withColumn("params", fit_length(F.col("params"), F.col("dim")))
+    points = lag_points(fitted.select("stream_id", "seq", "log_key", "params", "lags"), table.select("log_key", "means", "stds"), model.order)
+    fit = table.select("log_key", F.inline("fit"))
+    errors = lag_errors(points, fit, ["stream_id", "seq"])
+    return lookup(errors, table.select("log_key", "mse_threshold"), ["log_key"]).select("stream_id", "seq", "mse", "mse_threshold")
+
+
 def detect_params(keyed: DataFrame, model: ParamModel, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add mse and param_anomaly to the output of key detection.
 

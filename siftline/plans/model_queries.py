@@ -318,3 +318,31 @@ def anomaly_keys(spark, sf_dir):
 @query("context_signatures", ["a_path"], "SELECT context, count(*) AS n FROM a_path GROUP BY 1 ORDER BY n DESC, context LIMIT 30")
 def context_signatures(spark, sf_dir):
     return evaluate.top_contexts(detected_app(spark, sf_dir))
+
+
+# Two values back, by the closed form of two unknowns; where both are the same values, each takes half of the slope.
+define("a_lag0", ("a_fit",), """SELECT stream_id, seq, log_key, params, lag(params, 1) OVER w AS p1, lag(params, 2) OVER w AS p2, row_number() OVER w AS nth,
+    count(*) OVER (PARTITION BY stream_id, log_key) AS group_rows FROM a_fit WINDOW w AS (PARTITION BY stream_id, log_key ORDER BY seq)""")
+define("a_lag", ("a_lag0", "a_stats"), f"""SELECT u.*, {_scaled.format(v='y0')} AS y, {_scaled.format(v='x10')} AS x1, {_scaled.format(v='x20')} AS x2,
+    nth - 2 > floor((group_rows - 2) * (1 - 0.1::DOUBLE)) AND group_rows > 3 AS held FROM (
+    SELECT stream_id, seq, log_key, nth, group_rows, unnest(params) AS y0, unnest(p1) AS x10, unnest(p2) AS x20, generate_subscripts(params, 1) - 1 AS pos FROM a_lag0 WHERE nth > 2) u
+    JOIN a_stats s ON u.log_key = s.log_key AND u.pos = s.pos""")
+define("a_lagsum", ("a_lag",), """SELECT log_key, pos, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+    covar_pop(y, x1) AS cy1, covar_pop(y, x2) AS cy2 FROM a_lag WHERE NOT held GROUP BY ALL""")
+define("a_lagfit", ("a_lagsum",), """SELECT *, my - k1 * m1 - k2 * m2 AS intercept FROM (SELECT *,
+    CASE WHEN v1 + v2 = 0 THEN 0 WHEN v1 * v2 - c12 * c12 < 1e-7 THEN cy1 / (v1 + v2) ELSE (cy1 * v2 - cy2 * c12) / (v1 * v2 - c12 * c12) END AS k1,
+    CASE WHEN v1 + v2 = 0 THEN 0 WHEN v1 * v2 - c12 * c12 < 1e-7 THEN cy2 / (v1 + v2) ELSE (cy2 * v1 - cy1 * c12) / (v1 * v2 - c12 * c12) END AS k2 FROM a_lagsum)""")
+
+
+@query("param_ar_w", ["a_lagfit"], """SELECT log_key, pos::BIGINT AS pos, round(intercept, 6) + 0.0 AS intercept, round(k1, 6) + 0.0 AS newest, round(k2, 6) + 0.0 AS before FROM a_lagfit""")
+def param_ar_w(spark, sf_dir):
+    """Regression of every parameter on its last two values."""
+    parsed = parsed_app(spark, sf_dir)
+    model = params.train_lags(parsed.filter("part = 'train'"), order=2, window=WINDOW)
+    rows = model.table.select("log_key", F.inline("fit"))
+
+    def rounded(value):
+        return F.round(value, 6) + F.lit(0.0)  # no negative zero
+
+    return rows.select("log_key", F.col("pos").cast("bigint").alias("pos"), rounded(F.col("intercept")).alias("intercept"),
+                       rounded(F.col("slopes")[0]).alias("newest"), rounded(F.col("slopes")[1]).alias("before"))

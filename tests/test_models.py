@@ -114,6 +114,27 @@ def test_parameter_model_equals_numpy(spark):
     assert np.isclose(row[0].mse_threshold, error.mean() + 2 * error.std())
 
 
+def test_lag_model_equals_least_squares(spark):
+    rng = np.random.default_rng(8)
+    values = [50.0, 52.0, 47.0]
+    for i in range(97):
+        values.append(20 + 0.5 * values[-1] - 0.3 * values[-2] + 0.4 * values[-3] + rng.normal())
+    model = params.train_lags(vectors(spark, [("k", [v, 7]) for v in values]), order=3, chunk_rows=9)
+    row = model.table.collect()[0]
+    x = np.array(values)
+    z = np.clip((np.clip(x, x.mean() - 3 * x.std(), x.mean() + 3 * x.std()) - x.mean()) / x.std(), -5, 5)
+    design = np.column_stack([np.ones(97), z[2:-1], z[1:-2], z[:-3]])
+    fit = int(97 * 0.9)
+    k, *_ = np.linalg.lstsq(design[:fit], z[3 : 3 + fit], rcond=None)
+    assert np.allclose([row.fit[0].intercept, *row.fit[0].slopes], k)
+    assert row.fit[1].slopes == [0.0, 0.0, 0.0] and row.fit[1].intercept == 0.0
+    error = (design @ k - z[3:]) ** 2 / 2
+    assert np.isclose(row.mse_threshold, error[fit:].mean() + 2 * error[fit:].std())
+    good = vectors(spark, [("k", [v, 7]) for v in values])
+    found = {r.seq: r.mse for r in params.score_lags(good, model, chunk_rows=9).collect()}
+    assert sorted(found) == list(range(4, 101)) and np.allclose([found[i] for i in sorted(found)], error)
+
+
 def test_parameter_detection_needs_history_and_skips_path_anomalies(spark):
     normal = [("k", [10 + i % 3]) for i in range(60)]
     model = params.train(vectors(spark, normal), window=3)

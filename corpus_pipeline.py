@@ -47,7 +47,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their count, and whether they decode to the text."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded")
+    found = encode(docs, ranks, public_tokenizers.PATTERN, bytes_col="decoded", cached=60_000)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return found.withColumn("round_trip", same).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "round_trip")
 

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import report
-from ..session import checkpoint_root
+from ..operators import match, report
+from ..session import checkpoint_root, materialize
+from ..sources import rules as rule_files
 from ..sources import text
 from . import rule_queries, views
 from .registry import query
@@ -101,3 +102,26 @@ def timeline_text(spark, sf_dir):
 def severe_list(spark, sf_dir):
     """All events of the timeline, the most severe first."""
     return sinks.severe_first(rule_queries.auth_timeline(spark, sf_dir)).select("stream_id", "seq", "attack_type", "threat_level")
+
+
+@query("rule_packs", (), """SELECT n_name, n_nationkey % 7 <> 3 AS accepted, CASE WHEN n_nationkey % 7 = 3 THEN 0 WHEN n_nationkey % 7 = 5 THEN 2 ELSE 1 END::BIGINT AS n_rules,
+    n_nationkey % 7 = 3 AS has_error, CASE WHEN n_nationkey % 7 = 3 THEN 0 ELSE (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS hits FROM nation""")
+def rule_packs(spark, sf_dir):
+    """A rule file per nation, written to the shared folder, some broken and some with two rules; the accepted ones then read all customers' lines."""
+    nations = views.table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    number, name = F.col("n_nationkey") % 7, F.col("n_name")
+    rule = F.concat(F.lit('name: "of '), name, F.lit('"\nseverity: low\npattern:\n  raw: "customer \\\\d+ of '), name, F.lit('$"\n'))
+    text_of = F.when(number == 3, F.lit("name: [never closed\n")).when(number == 5, F.concat(rule, F.lit("---\nname: never\npattern:\n  raw: no such line\n"))).otherwise(rule)
+    path = folder(spark, "rule-packs")
+    nations.select(name, text_of.alias("value")).repartition("n_name").write.partitionBy("n_name").text(path)
+    outcomes = materialize(rule_files.read_rule_files(spark, path, "*.txt"), "rule-outcomes")
+    customers = views.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    lines = customers.select(
+        F.lit("customers").alias("stream_id"), F.col("c_custkey").alias("seq"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string"), F.lit(" of "), name).alias("raw")
+    )
+    found = match.match_rules(lines, rule_files.accepted_rules(outcomes))
+    hits = found.groupBy(F.regexp_extract("rule_id", "^of (.*)$", 1).alias("n_name")).agg(F.count(F.lit(1)).alias("hits"))
+    named = outcomes.withColumn("n_name", F.url_decode(F.regexp_extract("file", "n_name=([^/]+)/", 1)))
+    return named.join(hits, "n_name", "left").select(
+        "n_name", "accepted", "n_rules", F.col("error").isNotNull().alias("has_error"), F.coalesce("hits", F.lit(0)).alias("hits")
+    )

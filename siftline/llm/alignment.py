@@ -37,10 +37,10 @@ CHUNK_PAIRS = 1_500_000
 #: Bytes of the chunks' messages that one step of a tree takes at most, about.
 STEP_BYTES = 32 << 20
 FAN_IN = 16
-LINKS_AT_ONCE = 1 << 19
+LINKS_AT_ONCE = 1 << 18
 #: Bytes of text, or of compressed A ids, that are aligned together.
-TEXT_BYTES = 1 << 20
-IDS_BYTES = 1 << 18
+TEXT_BYTES = 1 << 19
+IDS_BYTES = 1 << 17
 #: All pairs must be below this, so that a pair and a document's place fit one 64-bit number.
 MAX_UNIVERSE = 1 << 42
 

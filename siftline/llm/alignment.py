@@ -241,6 +241,7 @@ def first_pass(docs: DataFrame, files, id_col: str, text_col: str, buckets: int,
                 if n_waiting >= chunk_pairs:
                     yield messages()
                     chunk, waiting, n_waiting = chunk + 1, [], 0
+                    pa.default_memory_pool().release_unused()
         if n_waiting:
             yield messages()
 
@@ -394,6 +395,7 @@ def second_pass(ids: DataFrame, answers: DataFrame, files, id_col: str) -> DataF
                 out.append(pa.Table.from_arrays(
                     [part.column(id_col), *[pa.array(x) for x in (*per_doc, *sums)], pa.array(texts, pa.binary())], names=schema.names,
                 ))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out) if out else docs.select([id_col]).slice(0, 0)
 
     return ids.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(of_chunk, schema)

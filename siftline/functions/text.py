@@ -141,3 +141,16 @@ def stream_identifier(raw: Column) -> Column:
 def seconds_between(earlier: Column, later: Column) -> Column:
     """Elapsed seconds between two wall-clock times."""
     return (later - earlier).cast("interval second").cast("decimal(20,6)").cast("double")
+
+
+def percent_decoded(text: Column, rounds: int) -> Column:
+    """Percent escapes decoded as UTF-8, again and again until none is left, at most ``rounds`` times.
+
+    A percent sign without two hex digits and a plus stay as they are; bytes that are no UTF-8 become replacement marks.
+    """
+
+    def decode(value: Column) -> Column:
+        kept = F.replace(F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+        return F.when(value.contains("%"), F.url_decode(kept)).otherwise(value)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), text, lambda value, _: decode(value))

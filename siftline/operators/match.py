@@ -6,17 +6,21 @@ match nothing, so a pattern that demands a fixed text is tried only on lines tha
 
 from __future__ import annotations
 
+import re
 import re._constants as rc  # the standard library's own reading of a pattern
 import re._parser as rp
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.evaluate import once
 from ..functions.formats import parse_security_line
+from ..functions.text import percent_decoded
 from ..packs import fields as field_pack
 from ..packs import lines_v2, lines_v3, signatures, texts, timeline, unified
 from ..session import small_table
@@ -142,14 +146,14 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def _condition(rule: Rule, texts: dict[str, tuple[Column, Column]]) -> Column:
+def _condition(rule: Rule, texts: dict[str, list[tuple[Column, Column]]]) -> Column:
     result = None
     for name, pattern in rule.patterns.items():
         if name == "user_agent":
             continue
-        text, lowered = texts.get(name, texts["raw"])
-        test = F.coalesce(hits(text, lowered, pattern), F.lit(False))
-        result = test if result is None else result | test
+        for text, lowered in texts.get(name, texts["raw"]):
+            test = F.coalesce(hits(text, lowered, pattern), F.lit(False))
+            result = test if result is None else result | test
     return F.lit(False) if result is None else result
 
 
@@ -160,6 +164,7 @@ def match_rules(
     disabled: Iterable[str] = (),
     strict_fields: bool = False,
     lenient_prefix: bool = False,
+    decode_rounds: int = 0,
 ) -> DataFrame:
     """One event per (line, matching rule); a rule id counts once per line, the earlier rule wins.
 
@@ -168,22 +173,30 @@ def match_rules(
     search the line, unless ``strict_fields`` binds ``http_status`` to the parsed status. A ``user_agent``
     pattern never hits: the parsed line has no such field.
     ``lenient_prefix`` also finds the request of access lines that start with a date.
+    With ``decode_rounds`` a rule also hits where it finds its pattern in the text after percent-decoding, repeated until nothing
+    changes, at most so many times; the text as it stands is searched in any case.
     """
     off = set(disabled)
     active = [r for r in rules if r.rule_id not in off]
     with_fields = any(set(r.patterns) - {"raw"} for r in active)
     parse = parse_security_line(F.col(raw), lenient_prefix)
     parsed = lines.withColumn("_low", F.lower(F.col(raw)))
-    texts = {"raw": (F.col(raw), F.col("_low"))}
+    texts = {"raw": [(F.col(raw), F.col("_low"))]}
+    if decode_rounds:
+        parsed = _decoded(parsed, raw, "_dec", decode_rounds)
+        texts["raw"].append((F.col("_dec"), F.col("_ldec")))
     if with_fields:
         parsed = once(parsed, "_p", parse).withColumn(
             "_req",
             F.coalesce(F.nullif(F.col("_p.request"), F.lit("")), F.nullif(F.col("_p.message"), F.lit("")), F.col(raw)),
         ).withColumn("_lreq", F.lower("_req"))
-        texts["url"] = texts["params"] = (F.col("_req"), F.col("_lreq"))
+        texts["url"] = texts["params"] = [(F.col("_req"), F.col("_lreq"))]
+        if decode_rounds:
+            parsed = _decoded(parsed, "_req", "_dreq", decode_rounds)
+            texts["url"].append((F.col("_dreq"), F.col("_ldreq")))
         if strict_fields:
             parsed = parsed.withColumn("_status", F.coalesce(F.col("_p.status"), F.lit("")))
-            texts["http_status"] = (F.col("_status"), F.col("_status"))
+            texts["http_status"] = [(F.col("_status"), F.col("_status"))]
     earlier: dict[str, Column] = {}
     branches = []
     for i, rule in enumerate(active):
@@ -205,11 +218,18 @@ def match_rules(
                 "ts_text": F.col("_p.ts_text"),
             }
         )
-        .drop("_p", "_low", "_req", "_lreq", "_status")
+        .drop("_p", "_low", "_req", "_lreq", "_status", "_dec", "_ldec", "_dreq", "_ldreq")
         .join(F.broadcast(table), "ord")
     )
 
 
+def _decoded(lines: DataFrame, source: str, name: str, rounds: int) -> DataFrame:
+    """Add the decoded text, null where decoding changes nothing, and its lower-case form, named with an l."""
+    text = F.col(source)
+    value = F.when(text.contains("%"), F.nullif(percent_decoded(text, rounds), text))
+    return once(lines, name, value).withColumn(f"_l{name[1:]}", F.lower(name))
+
+
 def match_incident_rules(lines: DataFrame, rules: Sequence[Rule] | None = None, raw: str = "raw") -> DataFrame:
     """Multi-match with the source taken from the rule's own capture groups.
 
@@ -265,21 +285,82 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
     return numbered.join(F.broadcast(table), "_ord", "left").withColumn("captured", captured).drop("_ord", "_low")
 
 
-def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw") -> DataFrame:
-    """Multi-match against a rule table (rule_id, pattern, …) that is only known at run time.
+def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw", block_bytes: int = 8 << 20) -> DataFrame:
+    """Multi-match against a rule table (rule_id, pattern, …) that is only known at run time: rule_id, the line, the rule's other columns.
 
-    The patterns become literals, which is several times faster than joining every line with every rule. They come to the driver in slices
-    of ``RULE_SLICE``, each one pass over the lines, so a table of any length works.
+    A text that a pattern can't do without leads to it: all such texts are searched at once in every line, and a line is tested only
+    against the rules whose texts it holds. Rules come to the driver in blocks of ``block_bytes`` of patterns, each one scan of the
+    lines; rules without such a text are tested on every line, ``RULE_SLICE`` to a scan. Each row of the table is a rule of its own;
+    one without a pattern never hits.
     """
+    spark = lines.sparkSession
     low = lines.withColumn("_low", F.lower(F.col(raw)))
-    found, rules = None, iter(patterns.select("rule_id", "pattern").toLocalIterator())
-    while part := list(islice(rules, RULE_SLICE)):
-        names = F.array_compact(F.array(*[F.when(hits(F.col(raw), F.col("_low"), r["pattern"]), F.lit(r["rule_id"])) for r in part]))
-        matched = low.withColumn("rule_id", F.explode(names))
-        found = matched if found is None else found.unionByName(matched)
-    if found is None:
-        found = low.withColumn("rule_id", F.lit(None).cast(patterns.schema["rule_id"].dataType)).limit(0)
-    return found.drop("_low").join(patterns.drop("pattern"), "rule_id")
+    schema = StructType([
+        StructField("_ord", IntegerType()), StructField("_pattern", StringType()), StructField("_rule", patterns.schema),
+    ])
+    parts = []
+    for block in _rule_blocks(patterns, block_bytes):
+        rules = [(i, ignoring_case(r["pattern"]), r) for i, r in enumerate(block)]
+        needed = [_needed(r["pattern"]) for r in block]
+        indexed = [rules[i] for i, texts in enumerate(needed) if texts]
+        if indexed:
+            index: dict[str, list[int]] = {}
+            for i, texts in enumerate(needed):
+                for t in texts or ():
+                    index.setdefault(t, []).append(i)
+            found = low.withColumn("_ord", F.explode(_candidates(spark.sparkContext.broadcast(index))(F.col("_low"))))
+            table = F.broadcast(spark.createDataFrame(indexed, schema))
+            parts.append(found.join(table, "_ord").filter(F.rlike(F.col(raw), F.col("_pattern"))))
+        plain = [rules[i] for i, texts in enumerate(needed) if not texts]
+        for first in range(0, len(plain), RULE_SLICE):
+            part = plain[first : first + RULE_SLICE]
+            hit = F.array_compact(F.array(*[F.when(F.col(raw).rlike(p), F.lit(i)) for i, p, _ in part]))
+            parts.append(low.withColumn("_ord", F.explode(hit)).join(F.broadcast(spark.createDataFrame(part, schema)), "_ord"))
+    if not parts:
+        parts = [low.limit(0).crossJoin(spark.createDataFrame([], schema))]
+    others = [n for n in patterns.columns if n not in ("rule_id", "pattern")]
+    out = [F.col("_rule.rule_id"), *[F.col(f"`{c}`") for c in lines.columns], *[F.col("_rule")[n].alias(n) for n in others]]
+    selected = [part.select(*out) for part in parts]
+    result = selected[0]
+    for part in selected[1:]:
+        result = result.union(part)
+    return result
+
+
+def _rule_blocks(patterns: DataFrame, size: int) -> Iterator[list[Row]]:
+    """The rows with a pattern, in blocks of ``size`` characters of patterns or of one row."""
+    block, held = [], 0
+    for row in patterns.filter(F.col("pattern").isNotNull()).toLocalIterator():
+        if block and held + len(row["pattern"]) > size:
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += len(row["pattern"])
+    if block:
+        yield block
+
+
+def _needed(pattern: str) -> list[str] | None:
+    """The required texts; none as well for a pattern that only the JVM's dialect knows."""
+    try:
+        return required_texts(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+def _candidates(index):
+    """The numbers of the rules, each once, that a lower-case line holds a text of; ``index`` is a broadcast text → numbers."""
+
+    @F.pandas_udf("array<int>")
+    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for text, numbers in index.value.items():
+            automaton.add_word(text, numbers)
+        automaton.make_automaton()
+        for lines in batches:
+            yield lines.map(lambda t: sorted({n for _, numbers in automaton.iter(t) for n in numbers}) if t else [])
+
+    return candidates
 
 
 RULE_SLICE = 500

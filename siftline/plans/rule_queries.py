@@ -232,6 +232,59 @@ def rules_documents(spark, sf_dir):
     return match.match_rules(documents, match.pack_v3()).select("doc_id", "rule_id")
 
 
+DECODE_ROUNDS = 3
+define("s_decoded", ("v_encoded",), r"""SELECT *, regexp_extract(raw, '"([^"]*)"', 1) AS req, url_decode(url_decode(url_decode(raw))) AS dec,
+    url_decode(url_decode(url_decode(req))) AS dreq FROM v_encoded""")
+
+
+def decoded_test(rule) -> str:
+    """The rule's test on the line and its request, as they stand and decoded."""
+    tests = []
+    for name, pattern in rule.patterns.items():
+        if name != "user_agent":
+            tests += [pattern_sql(pattern, column) for column in (("req", "dreq") if name in ("url", "params") else ("raw", "dec"))]
+    return "(" + " OR ".join(tests or ["false"]) + ")"
+
+
+define("m_decoded", ("s_decoded",), hits_sql("s_decoded", [decoded_test(r) for r in match.pack_v3() + match.pack_fields()]))
+
+
+@query("rules_decoded", ["m_decoded", "r_both"], "SELECT stream_id, seq, rule_id, category, threat_level FROM m_decoded JOIN r_both USING (ord)")
+def rules_decoded(spark, sf_dir):
+    """Line and field rules over access lines whose paths were percent-encoded up to four times, decoded up to three times."""
+    found = match.match_rules(views.encoded_lines(spark, sf_dir), rules_both(), decode_rounds=DECODE_ROUNDS)
+    return found.select("stream_id", "seq", "rule_id", "category", "threat_level")
+
+
+def phrase_rules(spark, sf_dir):
+    """A rule table made from the benchmark, four patterns for every three neighbouring words: (rule_id, pattern)."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
+    items = views.table(spark, sf_dir, "benchmark", "text").select(words.alias("w"))
+    three = items.select(F.explode(F.arrays_zip("w", F.expr("slice(w, 2, size(w))").alias("w2"), F.expr("slice(w, 3, size(w))").alias("w3"))).alias("t"))
+    a, b, c = (F.lower(F.col(f"t.{n}")) for n in ("w", "w2", "w3"))
+    space = F.lit(r"\s+")
+    shapes = (F.concat(a, space, b), F.concat(b, F.lit("[,.]"), space, c), F.concat(a, space, F.lit("[a-z]+"), space, c), F.concat(a, space, b, space, c))
+    rules = three.filter("t.w3 IS NOT NULL").select(F.explode(F.array(*shapes)).alias("pattern")).distinct()
+    return rules.select(F.md5("pattern").alias("rule_id"), "pattern")
+
+
+define("p_words", (), r"""SELECT lower(w[i]) AS a, lower(w[i + 1]) AS b, lower(w[i + 2]) AS c FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i
+    FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark))""")
+define("p_rules", ("p_words",), r"""SELECT md5(pattern) AS rule_id, pattern, min(needed) AS needed FROM (
+    SELECT a || '\s+' || b AS pattern, CASE WHEN len(b) > len(a) THEN b ELSE a END AS needed FROM p_words UNION ALL SELECT b || '[,.]\s+' || c, CASE WHEN len(c) > len(b) THEN c ELSE b END FROM p_words
+    UNION ALL SELECT a || '\s+[a-z]+\s+' || c, CASE WHEN len(c) > len(a) THEN c ELSE a END FROM p_words UNION ALL SELECT a || '\s+' || b || '\s+' || c, b FROM p_words) GROUP BY pattern""")
+define("p_hits", ("p_rules",), """SELECT rule_id, doc_id FROM (SELECT doc_id, text, lower(text) AS low FROM documents) d, p_rules r
+    WHERE CASE WHEN contains(low, needed) THEN regexp_matches(text, '(?i)' || pattern) ELSE false END""")
+
+
+@query("rules_dynamic", ["p_hits"], "SELECT rule_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM p_hits GROUP BY rule_id")
+def rules_dynamic(spark, sf_dir):
+    """Rules made from the benchmark at run time, thousands of them, over all documents in one scan."""
+    documents = views.table(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("text", "raw")
+    found = match.match_dynamic(documents, phrase_rules(spark, sf_dir))
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 @query("eventid_join", ["t_win_timeline"], "SELECT stream_id, seq, event_id, attack_type, threat_level, description FROM t_win_timeline")
 def eventid_join(spark, sf_dir):
     return windows_timeline(spark, sf_dir).select(

@@ -101,6 +101,23 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access_rows(table(spark, sf_dir, "events", *EVENT_COLUMNS))
 
 
+ESCAPES = (("%", "%25"), (".", "%2E"), ("/", "%2F"), ("<", "%3C"), ("'", "%27"), (" ", "%20"))
+ENCODED_SPLIT = r'"GET | HTTP/1[.]1"'
+
+
+def encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access lines whose paths are percent-encoded none to four times."""
+    part = F.split("raw", ENCODED_SPLIT)
+    times = F.floor(F.col("seq") / 20) % 5
+    path = part[1]
+    for n in range(4):
+        encoded = path
+        for plain, escape in ESCAPES:
+            encoded = F.replace(encoded, F.lit(plain), F.lit(escape))
+        path = F.when(times > n, encoded).otherwise(path)
+    return access_lines(spark, sf_dir).withColumn("raw", F.concat(part[0], F.lit('"GET '), path, F.lit(' HTTP/1.1"'), part[2]))
+
+
 def access_rows(events: DataFrame, *keep: str) -> DataFrame:
     """Access lines of event rows, from a batch or a stream."""
     e, day = F.col("event_id"), F.col("ts").cast("string")
@@ -233,7 +250,24 @@ _auth = (
     f"'{{ip}}', {IP_SQL}), '{{p}}', (event_id % 50000 + 1024)::VARCHAR)"
 )
 _month = f"({_list(MONTHS)})[month(ts)]"
+def _encoded_sql() -> str:
+    steps, path = [], "path"
+    for n in range(4):
+        encoded = "path"
+        for plain, escape in ESCAPES:
+            encoded = f"replace({encoded}, {_literal(plain)}, {_literal(escape)})"
+        path = f"(SELECT stream_id, seq, part, CASE WHEN (seq // 20) % 5 > {n} THEN {encoded} ELSE path END AS path FROM "
+        steps.append(path)
+    inner = f"(SELECT stream_id, seq, string_split_regex(raw, {_literal(ENCODED_SPLIT)}) AS part, part[2] AS path FROM v_access)"
+    return "SELECT stream_id, seq, part[1] || '\"GET ' || path || ' HTTP/1.1\"' || part[3] AS raw FROM " + "".join(reversed(steps)) + inner + ")" * 4
+
+
+def _literal(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 SQL: dict[str, str] = {
+    "v_encoded": _encoded_sql(),
     "v_app": f"""SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
         strftime(ts, '{STAMP}') || ' ' || {LEVEL_SQL} || ' ' || event_type || ' user_id=' || user_id::VARCHAR
         || ' took ' || printf('%.2f', value) || ' seconds' AS raw, event_type, event_id FROM events""",
@@ -271,6 +305,7 @@ SQL: dict[str, str] = {
         html || chr(10) || {_sql_pick(CONTENT, 'page_id // 3')} AS content FROM pages""",
 }
 DEPENDS: dict[str, tuple[str, ...]] = {
+    "v_encoded": ("v_access",),
     "v_mixed": ("v_app", "v_access", "v_auth", "v_win", "v_tomcat"), "v_labelled": ("v_app",),
 }
 

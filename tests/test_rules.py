@@ -186,3 +186,45 @@ def test_rule_files(tmp_path):
     assert [(r.rule_id, r.level, r.confidence, r.patterns) for r in rules] == [
         ("one", "MEDIUM", 0.8, {"url": "z"}), ("two", "MEDIUM", 0.8, {"url": "x"}), ("three", "LOW", 0.3, {"raw": "y"})
     ]
+
+
+def test_many_dynamic_rules_in_one_scan(spark):
+    words = [f"w{i:04d}" for i in range(3000)]
+    rules = spark.createDataFrame(
+        [(f"r{i}", rf"{a}\s+{b}", i) for i, (a, b) in enumerate(zip(words, words[1:]))]
+        + [("digits", r"\d{3}\.\d", -1), ("java", r"\p{Lu}{5}", -2), ("r7", "w0001", -3), ("none", None, -4)],
+        "rule_id string, pattern string, raw int",
+    )
+    lines = spark.createDataFrame(
+        [(1, "x W0007  w0008 w0009"), (2, "w0007 w0009"), (3, None), (4, ""), (5, "123.4 ABCDE w0001")], "seq int, raw string"
+    )
+    found = match.match_dynamic(lines, rules)
+    assert sorted((r[0], r[1], r[3]) for r in found.collect()) == [
+        ("digits", 5, -1), ("java", 5, -2), ("r7", 1, 7), ("r7", 5, -3), ("r8", 1, 8),
+    ]
+    by_blocks = match.match_dynamic(lines, rules, block_bytes=20_000)
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_rules_search_decoded_texts_too(spark):
+    start = '10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] "GET '
+    paths = ["/v?f=../../etc/passwd", "/v?f=%252e%252e%252f%252e%252e%252fetc%252fpasswd", "/plain?a=100%&b=a+b", "/v?f=%25252525252e%2525252525252e"]
+    lines = spark.createDataFrame([(i, f'{start}{p} HTTP/1.1" 200 1') for i, p in enumerate(paths)], "seq int, raw string")
+    rules = match.pack_v3() + match.pack_fields()
+    plain = {(r.seq, r.rule_id) for r in match.match_rules(lines, rules).collect()}
+    decoded = {(r.seq, r.rule_id) for r in match.match_rules(lines, rules, decode_rounds=3).collect()}
+    traversal = {rule for seq, rule in plain if seq == 0}
+    assert plain <= decoded and traversal and {rule for seq, rule in decoded if seq == 1} >= traversal
+    assert {x for x in plain if x[0] in (0, 2)} == {x for x in decoded if x[0] in (0, 2)}
+
+
+def test_percent_decoding(spark):
+    from siftline.functions.text import percent_decoded
+
+    texts = ["a+b%2Fc%zz%25%252e%", "%E4%b8%ad", None, "", "100%", "%25252e"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    one, two = (
+        [r[0] for r in rows.orderBy("i").select(percent_decoded(rows.t, n)).collect()] for n in (1, 2)
+    )
+    assert one == ["a+b/c%zz%%2e%", "中", None, "", "100%", "%252e"]
+    assert two == ["a+b/c%zz%.%", "中", None, "", "100%", "%2e"]

@@ -18,9 +18,11 @@ from . import keys as key_models
 from .joins import lookup
 from .sequences import CHUNK_ROWS, chunk_of, dense_position, lowest_before, running_sum, windowed
 
-# Similarity below which no known template is named, weights and bound of workflow
+# Similarity below which no known template is named, demands of its search before that, weights and bound of workflow
 # similarity, predictions looked at for task separation, share of direct successors for linking.
 SIMILAR_KEY = 0.3
+DEMANDS = (0.8, 0.6, 0.45)
+ROUNDING = 1e-9
 NODE_WEIGHT = 0.4
 EDGE_WEIGHT = 0.6
 MERGE_SIMILARITY = 0.7
@@ -265,23 +267,57 @@ def jaccard(a: Column, b: Column) -> Column:
 def similar_keys(unknown: DataFrame, known: DataFrame, bound: float = SIMILAR_KEY) -> DataFrame:
     """For every unknown template the most similar known one by shared words, if similar enough.
 
-    Both sides hold log_key. Ties go to the alphabetically first known template.
+    Both sides hold log_key. Ties go to the alphabetically first known template. The search first demands much, so that only the rarest
+    words of a template are looked up. Whoever has found a template that similar is done, as nothing better is left; for the others the
+    demand falls, yet never below the best found so far.
     """
-    left = materialize(unknown.select(F.col("log_key").alias("id"), tokens("log_key").alias("items")).distinct(), "left")
-    right = materialize(known.select(F.col("log_key").alias("id"), tokens("log_key").alias("items")).distinct(), "right")
-    pairs = _pruned_pairs(left, right, "word", bound)
-    scored = (
-        pairs.join(left.withColumnsRenamed({"id": "left_id", "items": "_a"}), "left_id")
-        .join(right.withColumnsRenamed({"id": "right_id", "items": "_b"}), "right_id")
-        .select(
-            F.col("left_id").alias("log_key"), F.col("right_id").alias("similar_key"),
-            jaccard(F.col("_a"), F.col("_b")).alias("similarity"),
-        )
-        .filter(F.col("similarity") >= bound)
-    )
-    best = F.struct((-F.col("similarity")).alias("s"), "similar_key")
-    return scored.groupBy("log_key").agg(F.min(best).alias("_b")).select(
-        "log_key", F.col("_b.similar_key").alias("similar_key"), (-F.col("_b.s")).alias("similarity")
+    left = unknown.select(F.col("log_key").alias("id"), tokens("log_key").alias("items")).distinct()
+    right = known.select(F.col("log_key").alias("id"), tokens("log_key").alias("items")).distinct()
+    words = left.select(F.explode("items").alias("word")).unionAll(right.select(F.explode("items").alias("word")))
+    frequency = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")), "word-counts")
+    left, right = (materialize(_rarest_first(side, frequency), name) for side, name in ((left, "left"), (right, "right")))
+    postings = right.withColumn("need", F.lit(bound)).select("*", F.posexplode("items").alias("rank", "word")).filter(_in_prefix("size", "rank", "need"))
+    postings = materialize(postings.select("word", F.col("id").alias("similar_key"), F.col("size").alias("r_size"), F.col("rank").alias("r_rank")), "postings")
+    settled, waiting = None, left.withColumn("best", F.lit(0.0))
+    for demand in [d for d in DEMANDS if d > bound] + [bound]:
+        asked = waiting.withColumn("need", F.greatest(F.lit(demand), "best")).drop("best")
+        pairs = _prefix_pairs(asked, postings)
+        scored = pairs.join(left.select("id", F.col("items").alias("_a")), "id").join(
+            right.select(F.col("id").alias("similar_key"), F.col("items").alias("_b")), "similar_key"
+        ).select("id", F.struct((-jaccard(F.col("_a"), F.col("_b"))).alias("s"), "similar_key").alias("_c"))
+        best = scored.groupBy("id").agg(F.min("_c").alias("_c")).select("id", (-F.col("_c.s")).alias("best"), "_c.similar_key")
+        best = materialize(best, "best-found")
+        done = best.filter(F.col("best") >= demand)
+        settled = done if settled is None else settled.unionByName(done)
+        waiting = waiting.drop("best").join(best.drop("similar_key"), "id", "left").fillna(0.0, ["best"]).filter(F.col("best") < demand)
+    return settled.select(F.col("id").alias("log_key"), "similar_key", F.col("best").alias("similarity"))
+
+
+def _rarest_first(side: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(id, items, size): the words of every template that has any, rare ones first."""
+    rows = side.select("id", F.explode("items").alias("word")).join(frequency, "word")
+    sets = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("_w"))
+    return sets.select("id", F.col("_w.word").alias("items"), F.size("_w").alias("size"))
+
+
+def _in_prefix(size: str, rank: str, need: str) -> Column:
+    """Whether two sets of similarity ``need`` must share an item of this rank or an earlier one; ranks count from 0."""
+    return F.col(rank) <= F.col(size) - F.ceil(F.col(size) * F.col(need) - ROUNDING)
+
+
+def _prefix_pairs(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, similar_key) that may reach the similarity ``need`` of the asking row, by prefix, length and place of the shared word."""
+    probe = asked.select("id", "size", "need", F.posexplode("items").alias("rank", "word")).filter(_in_prefix("size", "rank", "need"))
+    need, size, r_size = F.col("need"), F.col("size"), F.col("r_size")
+    # of the first word that both share no more than the words behind it can be common as well
+    shared = F.least(size - F.col("rank"), r_size - F.col("r_rank"))
+    return (
+        probe.join(postings, "word")
+        .filter(_in_prefix("r_size", "r_rank", "need"))
+        .filter(F.least(size, r_size) >= F.greatest(size, r_size) * need - ROUNDING)
+        .filter(shared >= F.ceil((size + r_size) * need / (need + 1) - ROUNDING))
+        .select("id", "similar_key")
+        .distinct()
     )
 
 

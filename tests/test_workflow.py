@@ -162,6 +162,36 @@ def test_similar_key_needs_common_words(spark):
     assert [(r.log_key, r.similar_key, round(r.similarity, 2)) for r in got] == [("INFO open the file *", "INFO open file *", 0.8)]
 
 
+def test_similar_key_equals_brute_force_and_tries_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(12)]
+
+    def template(tag):
+        return " ".join(["INFO", *rng.sample(common, rng.randrange(1, 7)), *(f"{tag}{rng.randrange(60)}" for _ in range(rng.randrange(1, 5)))])
+
+    known = {template(rng.choice("xy")) for _ in range(400)} | {"", " "}
+    unknown = {template("x") for _ in range(60)} | {" ".join([*k.split()[:-1], "new"]) for k in sorted(known)[:80]} | {"", "nothing alike"}
+    want = {}
+    for u in unknown:
+        a = set(u.lower().split())
+        scores = {k: len(a & b) / len(a | b) for k in known if (b := set(k.lower().split())) and a}
+        if scores and (most := max(scores.values())) >= 0.3:
+            want[u] = (min(k for k in scores if scores[k] == most), round(most, 9))
+    tried = []
+    plain = workflow._prefix_pairs
+
+    def counted(*sides):
+        tried.append((pairs := plain(*sides)).count())
+        return pairs
+
+    monkeypatch.setattr(workflow, "_prefix_pairs", counted)
+    as_rows = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "log_key string")
+    got = {r.log_key: (r.similar_key, round(r.similarity, 9)) for r in workflow.similar_keys(as_rows(unknown), as_rows(known)).collect()}
+    assert got == want
+    sets = [as_rows(k).select(F.col("log_key").alias("id"), workflow.tokens("log_key").alias("items")) for k in (unknown, known)]
+    assert sum(tried) * 4 < workflow._pruned_pairs(*sets, "word", 0.3).count(), tried
+
+
 def test_diagnosis_names_problem_and_expected_steps(spark):
     edges = workflow.transitions(sequence(spark, ["INFO start", "INFO work on *", "INFO stop"]))
     anomalies = spark.createDataFrame(

@@ -159,7 +159,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by source, language and tokenizer version after four batches.
+    """Totals by source, language and tokenizer version after four batches; a document without id is no copy.
 
     All documents come in; exact copies of an earlier document go, and that batch is delivered twice; counts outside English are revised,
     without runs of symbols; English moves to another version of the tokenizer.
@@ -171,7 +171,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("digest"),
     ), "counted")
     first = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    marked = docs.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first_id"))
+    marked = docs.join(first, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
     kept, english = marked.where("not copy"), F.coalesce(F.col("lang") == "en", F.lit(False))
     words, pieces = F.col("words"), F.col("pieces")
     rollup = TokenRollup(spark, f"{checkpoint_root(spark)}/siftline/rollup-{uuid.uuid4().hex}")
@@ -193,7 +193,7 @@ WITH counted AS (
          len(regexp_extract_all(coalesce(text, ''), '[#*$%&]{3}')) AS symbols
   FROM documents
 ),
-kept AS (SELECT * FROM counted QUALIFY doc_id = min(doc_id) OVER (PARTITION BY t))
+kept AS (SELECT * FROM counted QUALIFY doc_id IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY t))
 SELECT source, lang, CASE WHEN lang = 'en' THEN 'pieces-1' ELSE 'words-1' END AS tokenizer, count(*) AS n_docs,
        sum(CASE WHEN lang = 'en' THEN words + marks ELSE words - symbols END)::BIGINT AS n_tokens
 FROM kept GROUP BY ALL

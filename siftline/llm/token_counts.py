@@ -2,22 +2,25 @@
 
 A batch of changes is summed to one row per group and appended with the name of its attempt; a second append then commits the
 attempt under the batch's id. Totals add up, for every batch id, the rows of its first committed attempt. So a batch that is
-delivered again, a job that dies between the two appends, or two jobs that run the same batch change nothing. Nothing is ever
-rewritten in place, and only sums by group are stored, never documents.
+delivered again, a job that dies between the two appends, or two jobs that run the same batch change nothing. Which commit came first
+is decided by the shared folder, through the times it gave their files, not by the drivers' clocks. Nothing is ever rewritten in place,
+and only sums by group are stored, never documents.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CHANGE = "change_id string, source string, lang string, tokenizer string, old_tokens bigint, new_tokens bigint"
 GROUP = ("source", "lang", "tokenizer")
 DELTAS = "attempt string, source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-COMMITS = "batch_id string, attempt string, at bigint, covers array<string>"
+COMMITS = "batch_id string, attempt string"
+COVERS = "attempt string, batch_id string"
 
 
 def inserted(docs: DataFrame, tokenizer: str, tokens: Column) -> DataFrame:
@@ -36,8 +39,9 @@ def revised(docs: DataFrame, tokenizer: str, before: Column, after: Column) -> D
 
 
 def change(docs: DataFrame, tokenizer: str, before: Column, after: Column) -> DataFrame:
+    """One change per row; documents without an id have changes without one, so each of them counts."""
     return docs.select(
-        F.concat_ws("/", F.lit(tokenizer), F.col("doc_id").cast("string")).alias("change_id"), "source", "lang",
+        F.concat(F.lit(f"{tokenizer}/"), F.col("doc_id").cast("string")).alias("change_id"), "source", "lang",
         F.lit(tokenizer).alias("tokenizer"), before.cast("bigint").alias("old_tokens"), after.cast("bigint").alias("new_tokens"),
     )
 
@@ -47,7 +51,7 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        for name, schema in (("deltas", DELTAS), ("commits", COMMITS)):
+        for name, schema in (("deltas", DELTAS), ("commits", COMMITS), ("covers", COVERS)):
             spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
 
     def read(self, name: str, schema: str) -> DataFrame:
@@ -60,6 +64,8 @@ class TokenRollup:
         batch are one change, the one with the largest new, then old count; rows without a change_id are all counted. Null sources, languages and versions are groups of
         their own. An empty batch is committed too. A batch id counts once, whatever comes under it later.
         """
+        if not self.standing().where(F.col("batch_id") == batch_id).isEmpty():
+            return
         rows = changes.select("change_id", *GROUP, "old_tokens", "new_tokens")
         known = rows.where("change_id is not null").groupBy("change_id").agg(
             F.max(F.struct("new_tokens", "old_tokens", *GROUP)).alias("c")
@@ -72,35 +78,46 @@ class TokenRollup:
         )
         self.append(sums, batch_id, None)
 
-    def append(self, sums: DataFrame, batch_id: str | None, covers: list[str] | None) -> None:
+    def append(self, sums: DataFrame, batch_id: str | None, covers: DataFrame | None) -> None:
+        """Store sums under a new attempt, then commit it: as a batch, or as a summary of the batches that ``covers`` names."""
         attempt = uuid.uuid4().hex
-        sums.select(F.lit(attempt).alias("attempt"), *GROUP, "n_docs", "n_tokens").write.mode("append").parquet(f"{self.path}/deltas")
-        row = [(batch_id, attempt, time.time_ns(), covers)]
-        self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        name = F.lit(attempt).alias("attempt")
+        sums.select(name, *GROUP, "n_docs", "n_tokens").write.mode("append").parquet(f"{self.path}/deltas")
+        if covers is not None:
+            covers.select(name, "batch_id").write.mode("append").parquet(f"{self.path}/covers")
+        self.spark.createDataFrame([(batch_id, attempt)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def standing(self) -> DataFrame:
-        """(attempt, batch_id) of what counts: the newest summary, and of each batch it doesn't cover the first committed attempt."""
-        commits = self.read("commits", COMMITS)
-        summary = commits.where("covers is not null").agg(F.max_by(F.struct("attempt", "covers"), F.struct("at", "attempt")).alias("s"))
-        first = commits.where("covers is null").groupBy("batch_id").agg(F.min(F.struct("at", "attempt")).alias("c"))
-        covered = summary.select(F.explode(F.col("s")["covers"]).alias("batch_id"))
-        batches = first.join(covered, "batch_id", "left_anti").select(F.col("c")["attempt"].alias("attempt"), "batch_id")
-        return batches.unionByName(summary.where("s is not null").select(F.col("s")["attempt"].alias("attempt"), F.lit(None).cast("string").alias("batch_id")))
+        """(batch_id, attempt, counts) of all committed batches and, without batch_id, of the newest summary.
+
+        ``counts`` tells whose sums count: the summary's, and those of the first attempt of each batch that it doesn't cover. Batches that
+        it covers have no attempt.
+        """
+        commits = self.read("commits", COMMITS).select("batch_id", "attempt", F.struct(F.col("_metadata.file_modification_time").alias("at"), "attempt").alias("order"))
+        summary = commits.where("batch_id is null").agg(F.max("order")["attempt"].alias("attempt")).where("attempt is not null")
+        first = commits.where("batch_id is not null").groupBy("batch_id").agg(F.min("order")["attempt"].alias("attempt"))
+        covered = self.read("covers", COVERS).join(summary, "attempt", "left_semi").select("batch_id").distinct()
+        open_batches = first.join(covered, "batch_id", "left_anti").select("batch_id", "attempt", F.lit(True).alias("counts"))
+        return open_batches.unionByName(summary.select(F.lit(None).cast("string").alias("batch_id"), "attempt", F.lit(True).alias("counts"))).unionByName(
+            covered.select("batch_id", F.lit(None).cast("string").alias("attempt"), F.lit(False).alias("counts"))
+        )
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches; groups that came down to nothing are left out."""
-        rows = self.read("deltas", DELTAS).join(self.standing().select("attempt"), "attempt", "left_semi")
+        return self.sums(self.standing())
+
+    def sums(self, standing: DataFrame) -> DataFrame:
+        rows = self.read("deltas", DELTAS).join(standing.where("counts").select("attempt"), "attempt", "left_semi")
         sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        """Append one summary of all committed batches; their ids stay known, so a late repeat of one still counts nothing.
+        """Append one summary of all batches committed until now; their ids stay known, so a late repeat of one still counts nothing.
 
-        The ids of all batches are collected, one short text each.
+        Sums and ids come from one stored reading of the commits, so a batch that is committed meanwhile is in neither.
         """
-        commits = self.read("commits", COMMITS)
-        ids = [r["batch_id"] for r in commits.where("covers is null").select("batch_id").distinct().collect()]
-        self.append(self.totals(), None, sorted(ids))
+        standing = materialize(self.standing(), "standing")
+        self.append(self.sums(standing), None, standing.where("batch_id is not null"))
 
 
 def word_count(text: Column) -> Column:

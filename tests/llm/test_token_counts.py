@@ -45,3 +45,47 @@ def test_edges(spark, tmp_path):
     distinct = {(r[0], len(edge.words(r[1]))) for r in edge.rows() if r[0] is not None}
     added = {r.tokenizer: 0 for r in rollup.totals().collect()}
     assert "w" in added and sum(n for _, n in distinct) <= sum(r.n_tokens for r in rollup.totals().where("tokenizer = 'w'").collect())
+
+
+def counted(spark, *rows):
+    return spark.createDataFrame(list(rows), "doc_id bigint, source string, lang string, n bigint")
+
+
+def test_documents_without_id_all_count(spark, tmp_path):
+    rollup = TokenRollup(spark, str(tmp_path))
+    docs = counted(spark, (None, "s", "en", 5), (None, "s", "en", 5), (None, "s", "en", 7), (1, "s", "en", 2), (1, "s", "en", 2))
+    rollup.commit("a", inserted(docs, "v1", F.col("n")))
+    assert totals(rollup) == [("s", "en", "v1", 4, 19)]
+
+
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    rollup, other = TokenRollup(spark, str(tmp_path)), TokenRollup(spark, str(tmp_path))
+    rollup.commit("a", inserted(counted(spark, (1, "s", "en", 10)), "v1", F.col("n")))
+    plain = rollup.sums
+
+    def meanwhile(standing):
+        other.commit("b", inserted(counted(spark, (2, "s", "en", 5)), "v1", F.col("n")))
+        return plain(standing)
+
+    monkeypatch.setattr(rollup, "sums", meanwhile)
+    rollup.compact()
+    assert totals(other) == [("s", "en", "v1", 2, 15)]
+    other.compact()
+    assert totals(other) == [("s", "en", "v1", 2, 15)]
+    other.commit("b", inserted(counted(spark, (2, "s", "en", 5)), "v1", F.col("n")))
+    assert totals(other) == [("s", "en", "v1", 2, 15)]
+
+
+def test_first_commit_in_the_folder_wins(spark, tmp_path, monkeypatch):
+    import time
+
+    rollup = TokenRollup(spark, str(tmp_path))
+    rollup.commit("a", inserted(counted(spark, (1, "s", "en", 10)), "v1", F.col("n")))
+    monkeypatch.setattr(time, "time_ns", lambda: 0)  # a driver whose clock is behind
+    rollup.commit("a", inserted(counted(spark, (1, "s", "en", 15)), "v1", F.col("n")))
+    assert totals(rollup) == [("s", "en", "v1", 1, 10)]
+    # two drivers that both found the batch new: the later file loses
+    other = spark.createDataFrame([("s", "en", "v1", 1, 99)], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint")
+    time.sleep(0.05)
+    rollup.append(other, "a", None)
+    assert totals(rollup) == [("s", "en", "v1", 1, 10)]

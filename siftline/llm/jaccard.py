@@ -17,7 +17,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.session import materialize
@@ -59,7 +59,7 @@ def class_key(grams: np.ndarray) -> bytes:
 
 
 def set_sizes(docs: DataFrame, words: int, chunks: int) -> DataFrame:
-    """(id, chunk, n, cls) per document."""
+    """(id, digest, chunk, n, cls) per document."""
 
     def sizes(batches):
         for batch in batches:
@@ -68,10 +68,10 @@ def set_sizes(docs: DataFrame, words: int, chunks: int) -> DataFrame:
                 n.append(len(grams))
                 keys.append(class_key(grams))
             yield pa.RecordBatch.from_pydict({
-                "id": batch["id"], "chunk": batch["chunk"], "n": pa.array(n, pa.int64()), "cls": pa.array(keys, pa.binary()),
+                "id": batch["id"], "digest": batch["digest"], "chunk": batch["chunk"], "n": pa.array(n, pa.int64()), "cls": pa.array(keys, pa.binary()),
             })
 
-    return docs.mapInArrow(sizes, "id bigint, chunk bigint, n bigint, cls binary")
+    return docs.mapInArrow(sizes, "id bigint, digest binary, chunk bigint, n bigint, cls binary")
 
 
 def home_sets(table: pa.Table, homes: set[bytes], words: int):
@@ -281,33 +281,53 @@ def near_duplicates(
     part; an empty table gives an empty result. ``exhaustive_at``: after the first leader
     round, rounds end once the pairs left are no more than so many per member, or no longer halved; every pair left is then checked.
     """
+    sizes, members = labelled(docs, F.lit(None).cast("binary"), words, percent, id_col, text_col, chunk_bytes, exhaustive_at)
+    first = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    of_class = members.join(first, "component").select("cls", "component_id")
+    return sizes.join(of_class, "cls", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def labelled(
+    docs: DataFrame, digest: Column, words: int, percent: int, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, exhaustive_at: float = 8.0,
+) -> tuple[DataFrame, DataFrame]:
+    """(id, digest, n, cls) of every row, and (cls, first_id, component) of every class of equal sets; ``digest`` is only passed on."""
     n = chunk_count(size := text_size(docs, text_col), chunk_bytes)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("chunk", chunk_of(n, "id", "text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    rows = rows.withColumn("chunk", chunk_of(n, "id", "text"))
     sizes = materialize(set_sizes(rows, words, n), "set-sizes")
     classes = materialize(
         sizes.where("n > 0").groupBy("cls").agg(F.min("chunk").alias("home"), F.min("id").alias("first_id")), "classes"
     )
-    sets = materialize(candidates(rows, classes, words, percent, size, n), "sets")
+    sets = materialize(candidates(rows.drop("digest"), classes, words, percent, size, n), "sets")
     found = materialize(link_components(sets, percent, exhaustive_at), "class-components")
-    labelled = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    first = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = labelled.join(first, "component").select("cls", "component_id")
-    return sizes.join(of_class, "cls", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    members = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return sizes, members.select("cls", "first_id", "component")
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group of near duplicates, with the columns of ``docs``.
+    """Of every group of near duplicates one row of ``docs``, with the columns of ``docs``.
 
-    Of rows with equal ids one stays. Rows without an id stay.
+    The row with the smallest id stays, of equal ids the one with the smallest digest of its text; rows without an id take part and come
+    last. Rows whose texts aren't linked all stay, with equal ids too, as do rows without words; but of rows with equal id and equal text
+    one stays, the one whose columns come first as JSON. Only rows with neither id nor words all stay in any case.
     """
-    groups = near_duplicates(docs.select(id_col, text_col), words, percent, id_col, text_col)
-    keep = materialize(
-        groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("keep__")).agg(F.count(F.lit(1)).alias("copies__")), "kept-ids"
-    )
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    sizes, members = labelled(docs, digest, words, percent, id_col, text_col)
+    rows = sizes.groupBy("id", "digest", "cls", "n").agg(F.count(F.lit(1)).alias("copies")).join(members.select("cls", "component"), "cls", "left")
+    rows = materialize(rows, "labelled")
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "digest", "copies")
+    winners = rows.where("n > 0").groupBy("component").agg(F.min(place).alias("w")).select("w.id", "w.digest", "w.copies")
+    blank = rows.where("n = 0").select("id", "digest", F.when(F.col("id").isNull(), 1).otherwise(F.col("copies")).alias("copies"))
+    keep = winners.unionByName(blank).select(F.col("id").alias("keep_id__"), F.col("digest").alias("keep__"), F.col("copies").alias("copies__"))
+    keep = materialize(keep, "kept-ids")
+    keyed = docs.withColumns({"id__": F.col(id_col).cast("bigint"), "digest__": digest})
+    same = (F.col("digest__") == F.col("keep__")) & F.col("id__").eqNullSafe(F.col("keep_id__"))
     # the same way at every size: both joins share one exchange of the documents
-    kept = docs.join(keep.where("copies__ = 1").hint("merge"), F.col(id_col) == F.col("keep__"), "left_semi")
-    repeated = docs.join(keep.where("copies__ > 1").hint("merge"), F.col(id_col) == F.col("keep__"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = keyed.join(keep.where("copies__ = 1").hint("merge"), same, "left_semi").select(*docs.columns)
+    repeated = keyed.join(keep.where("copies__ > 1").hint("merge"), same, "left_semi")
+    row = F.struct(*docs.columns)
+    once = repeated.groupBy("id__", "digest__").agg(F.min_by(row, F.to_json(row)).alias("row__")).select("row__.*")
+    return kept.unionByName(once)

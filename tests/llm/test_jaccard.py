@@ -72,6 +72,22 @@ def test_one_per_group_keeps_clean_documents(spark):
     assert out.where("doc_id is null").count() == 2
 
 
+def test_one_per_group_with_clashing_and_missing_ids(spark):
+    text = lambda tag, n=30: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [
+        (1, text("a"), "x"), (1, text("b"), "x"),  # one id, two unlinked texts
+        (2, text("b") + " end", "x"), (None, text("a") + " end", "x"),  # near copies of them
+        (3, text("c"), "q"), (3, text("c"), "p"), (None, text("d"), "x"), (None, text("d"), "x"), (None, text("d") + " end", "x"),
+        (None, "", "x"), (None, None, "x"), (4, None, "x"), (5, "", "x"), (5, "", "x"),
+    ]
+    out = one_per_group(spark.createDataFrame(rows, "doc_id bigint, text string, digest string"))
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    nameless = [r for r in got if r[0] is None and r[1]]
+    assert len(nameless) == 1 and nameless[0][1].startswith("d0")
+    want = [(1, text("a"), "x"), (1, text("b"), "x"), (3, text("c"), "p"), (None, "", "x"), (None, None, "x"), (4, None, "x"), (5, "", "x")]
+    assert [r for r in got if r not in nameless] == sorted(want, key=repr)
+
+
 def test_suffix_filter_never_underestimates():
     rng = np.random.default_rng(1)
     for _ in range(300):

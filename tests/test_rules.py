@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import levels
 from siftline.operators import chains, events, filescan, match, report, timeline
+from siftline.plans import rule_queries
 from siftline.sources.rules import load_rules
 
 CORPUS = [
@@ -228,3 +229,11 @@ def test_percent_decoding(spark):
     )
     assert one == ["a+b/c%zz%%2e%", "中", None, "", "100%", "%252e"]
     assert two == ["a+b/c%zz%.%", "中", None, "", "100%", "%2e"]
+
+
+def test_brute_force_window_counts_single_failures_per_host(spark, tmp_path):
+    at = [(0, "2024-01-01 00:01:00", 3), (1, "2024-01-01 00:02:00", 3), (6, "2024-01-01 00:03:00", 13), (6, "2024-01-01 00:07:00", 4), (2, "2024-01-01 00:08:00", 4)]
+    rows = spark.createDataFrame(at, "event_id bigint, t string, user_id bigint")
+    rows.selectExpr("event_id", "to_timestamp_ntz(t) AS ts", "user_id", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    found = rule_queries.brute_force_window(spark, str(tmp_path)).collect()
+    assert sorted((r.window_start, r.target, r.failures) for r in found) == [("2024-01-01 00:00:00", "srv3", 3), ("2024-01-01 00:05:00", "srv4", 1)]

@@ -166,11 +166,22 @@ def parse_generic(raw: Column) -> Column:
     )
 
 
+def security_request(raw: Column, lenient_prefix: bool = False) -> Column:
+    """The request of an access line, else the message of a syslog line, else the line; empty ones pass to the next."""
+    view = security_fields(raw, lenient_prefix)
+    return F.coalesce(F.nullif(view["request"], F.lit("")), F.nullif(view["message"], F.lit("")), raw)
+
+
 def parse_security_line(raw: Column, lenient_prefix: bool = False) -> Column:
     """The rule analyzer's view of a line: access log, else ``process: message`` syslog, else event id.
 
     ``lenient_prefix`` also accepts access lines that start with a date, which otherwise have no source.
     """
+    return F.struct(*[value.alias(name) for name, value in security_fields(raw, lenient_prefix).items()])
+
+
+def security_fields(raw: Column, lenient_prefix: bool = False) -> dict[str, Column]:
+    """The columns of ``parse_security_line`` one by one, for callers that need some of them."""
     line = F.regexp_replace(raw, DATED_PREFIX, "") if lenient_prefix else raw
     access, syslog = line.rlike(ACCESS), raw.rlike(SYSLOG_PROCESS)
     if lenient_prefix:
@@ -188,15 +199,15 @@ def parse_security_line(raw: Column, lenient_prefix: bool = False) -> Column:
     time_text = F.when(raw.rlike(ACCESS), F.regexp_extract(raw, ACCESS, 2)).when(
         other, F.regexp_extract(raw, SYSLOG_PROCESS, 1)
     )
-    return F.struct(
-        time_text.alias("ts_text"),
-        F.coalesce(ip, F.when(other, group(raw, FIRST_IP))).alias("source_ip"),
-        F.when(other, F.regexp_extract(raw, SYSLOG_PROCESS, 2)).alias("hostname"),
-        request.alias("request"),
-        F.when(other, F.regexp_extract(raw, SYSLOG_PROCESS, 4)).alias("message"),
-        status.alias("status"),
-        F.when(~access & ~syslog, group(raw, r"EventID=(\d+)")).alias("event_id"),
-    )
+    return {
+        "ts_text": time_text,
+        "source_ip": F.coalesce(ip, F.when(other, group(raw, FIRST_IP))),
+        "hostname": F.when(other, F.regexp_extract(raw, SYSLOG_PROCESS, 2)),
+        "request": request,
+        "message": F.when(other, F.regexp_extract(raw, SYSLOG_PROCESS, 4)),
+        "status": status,
+        "event_id": F.when(~access & ~syslog, group(raw, r"EventID=(\d+)")),
+    }
 
 
 def time_text(raw: Column) -> Column:

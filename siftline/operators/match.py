@@ -1,7 +1,8 @@
 """Rule matching: multi-match and first-match, compiled to one array of literal patterns.
 
 Literal patterns are compiled once per task; a pattern column would be compiled again and again. Most lines
-match nothing, so a pattern that demands a fixed text is tried only on lines that contain this text.
+match nothing, so a pattern that demands a fixed text is tried only on lines that contain this text. One search finds the
+texts of all patterns; its tasks pass lines to Python in batches.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.evaluate import once
-from ..functions.formats import parse_security_line
+from ..functions.formats import security_fields, security_request
 from ..functions.text import percent_decoded
 from ..packs import fields as field_pack
 from ..packs import lines_v2, lines_v3, signatures, texts, timeline, unified
@@ -27,6 +28,8 @@ from ..session import small_table
 
 MIN_GUARD = 2
 MAX_GUARDS = 12
+#: Patterns whose flags share a number.
+FLAGS = 62
 
 
 @dataclass(frozen=True)
@@ -85,11 +88,11 @@ def first_match_pack(name: str) -> list[tuple[str, str, str]]:
     return [(kind, source.LEVELS.get(kind, "MEDIUM"), p) for kind, ps in source.PATTERNS for p in ps]
 
 
-def required_texts(pattern: str) -> list[str] | None:
+def required_texts(pattern: str, shortest: int = MIN_GUARD) -> list[str] | None:
     """Lower-case texts of which every match contains at least one; null when there is no such set."""
 
     def best(options: list[list[str] | None]) -> list[str] | None:
-        usable = [o for o in options if o and all(len(t) >= MIN_GUARD for t in o) and len(o) <= MAX_GUARDS]
+        usable = [o for o in options if o and all(len(t) >= shortest for t in o) and len(o) <= MAX_GUARDS]
         return max(usable, key=lambda o: min(len(t) for t in o), default=None)
 
     def walk(parsed) -> list[str] | None:
@@ -101,7 +104,9 @@ def required_texts(pattern: str) -> list[str] | None:
                 continue
             options.append([run])
             run = ""
-            if op is rc.SUBPATTERN:
+            if op is rc.IN and all(kind is rc.LITERAL and value < 128 for kind, value in arg):
+                options.append([chr(value).lower() for _, value in arg])
+            elif op is rc.SUBPATTERN:
                 options.append(walk(arg[-1]))
             elif op is rc.BRANCH:
                 parts = [walk(branch) for branch in arg[1]]
@@ -132,6 +137,53 @@ def hits(text: Column, lowered: Column, pattern: str) -> Column:
     return guard & test
 
 
+def seen_patterns(lines: DataFrame, text: Column, name: str, patterns: Sequence[str]) -> DataFrame:
+    """Add flags, ``FLAGS`` to a number, of the patterns of which the text holds a required text; all are searched at once."""
+    index: dict[str, int] = {}
+    for i, pattern in enumerate(patterns):
+        for needed in _guards(pattern) or ():
+            index[needed] = index.get(needed, 0) | 1 << i
+    words = -(-len(patterns) // FLAGS)
+    return lines.withColumn(name, _flags(index, words)(F.lower(text)) if index else F.lit(None).cast(_flag_type(max(words, 1))))
+
+
+def seen_hits(text: Column, seen: Column, pattern: str, number: int) -> Column:
+    """Case-insensitive search for ``pattern``, the one at ``number`` of ``seen_patterns``, where its flag is set or it needs no text."""
+    test = text.rlike(ignoring_case(pattern))
+    flag = F.lit(1 << number % FLAGS).cast("bigint")
+    return (seen[f"w{number // FLAGS}"].bitwiseAND(flag) != 0) & test if _guards(pattern) else test
+
+
+def _guards(pattern: str) -> list[str] | None:
+    """The required texts, single characters only where there are no longer ones."""
+    return required_texts(pattern) or required_texts(pattern, 1)
+
+
+def _flag_type(words: int) -> str:
+    return f"struct<{', '.join(f'w{w}: bigint' for w in range(words))}>"
+
+
+def _flags(index: dict[str, int], words: int):
+    """The flags that the texts found in a lower-case line set together, in ``words`` numbers; none for null."""
+
+    @F.pandas_udf(_flag_type(words))
+    def flags(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for text, flag in index.items():
+            automaton.add_word(text, flag)
+        automaton.make_automaton()
+        for lines in batches:
+            found = []
+            for line in lines:
+                held = 0
+                for _, flag in automaton.iter(line) if line else ():
+                    held |= flag
+                found.append(held)
+            yield pd.DataFrame({f"w{w}": [held >> w * FLAGS & (1 << FLAGS) - 1 for held in found] for w in range(words)}, dtype="int64")
+
+    return flags
+
+
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """The rules as a small table, one row per rule; ``ord`` is the position in the pack."""
     return small_table(
@@ -146,13 +198,13 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def _condition(rule: Rule, texts: dict[str, list[tuple[Column, Column]]]) -> Column:
+def _condition(rule: Rule, texts: dict[str, list[tuple[Column, Column]]], numbers: dict[str, int]) -> Column:
     result = None
     for name, pattern in rule.patterns.items():
         if name == "user_agent":
             continue
-        for text, lowered in texts.get(name, texts["raw"]):
-            test = F.coalesce(hits(text, lowered, pattern), F.lit(False))
+        for text, seen in texts.get(name, texts["raw"]):
+            test = F.coalesce(seen_hits(text, seen, pattern, numbers[pattern]), F.lit(False))
             result = test if result is None else result | test
     return F.lit(False) if result is None else result
 
@@ -179,55 +231,45 @@ def match_rules(
     off = set(disabled)
     active = [r for r in rules if r.rule_id not in off]
     with_fields = any(set(r.patterns) - {"raw"} for r in active)
-    parse = parse_security_line(F.col(raw), lenient_prefix)
-    parsed = lines.withColumn("_low", F.lower(F.col(raw)))
-    texts = {"raw": [(F.col(raw), F.col("_low"))]}
+    parse = security_fields(F.col(raw), lenient_prefix)
+    numbers = {p: i for i, p in enumerate(dict.fromkeys(p for r in active for name, p in r.patterns.items() if name != "user_agent"))}
+    parsed = seen_patterns(lines, F.col(raw), "_seen", list(numbers))
+    texts = {"raw": [(F.col(raw), F.col("_seen"))]}
     if decode_rounds:
-        parsed = _decoded(parsed, raw, "_dec", decode_rounds)
-        texts["raw"].append((F.col("_dec"), F.col("_ldec")))
+        parsed = _decoded(parsed, raw, "_dec", decode_rounds, list(numbers))
+        texts["raw"].append((F.col("_dec"), F.col("_sdec")))
     if with_fields:
-        parsed = once(parsed, "_p", parse).withColumn(
-            "_req",
-            F.coalesce(F.nullif(F.col("_p.request"), F.lit("")), F.nullif(F.col("_p.message"), F.lit("")), F.col(raw)),
-        ).withColumn("_lreq", F.lower("_req"))
-        texts["url"] = texts["params"] = [(F.col("_req"), F.col("_lreq"))]
+        # The request is a part of the line, so what it holds was seen in the line.
+        parsed = once(parsed, "_req", security_request(F.col(raw), lenient_prefix))
+        texts["url"] = texts["params"] = [(F.col("_req"), F.col("_seen"))]
         if decode_rounds:
-            parsed = _decoded(parsed, "_req", "_dreq", decode_rounds)
-            texts["url"].append((F.col("_dreq"), F.col("_ldreq")))
+            parsed = _decoded(parsed, "_req", "_dreq", decode_rounds, list(numbers))
+            texts["url"].append((F.col("_dreq"), F.col("_sdreq")))
         if strict_fields:
-            parsed = parsed.withColumn("_status", F.coalesce(F.col("_p.status"), F.lit("")))
-            texts["http_status"] = [(F.col("_status"), F.col("_status"))]
+            parsed = once(parsed, "_status", F.coalesce(parse["status"], F.lit("")))
+            texts["http_status"] = [(F.col("_status"), F.col("_seen"))]
     earlier: dict[str, Column] = {}
     branches = []
     for i, rule in enumerate(active):
-        test = _condition(rule, texts)
+        test = _condition(rule, texts, numbers)
         fires = test & ~earlier[rule.rule_id] if rule.rule_id in earlier else test
         earlier[rule.rule_id] = earlier[rule.rule_id] | test if rule.rule_id in earlier else test
         branches.append(F.when(fires, F.lit(i)))
     found = F.array_compact(F.array(*branches))
     table = rule_table(lines.sparkSession, active)
-    matched = parsed.withColumn("ord", F.explode(found))
-    if not with_fields:
-        matched = once(matched, "_p", parse)  # only lines that hit are parsed
+    matched = parsed.withColumn("ord", F.explode(found))  # only lines that hit are parsed, and only for the columns in use
     return (
-        matched.withColumns(
-            {
-                "source_ip": F.col("_p.source_ip"),
-                "hostname": F.col("_p.hostname"),
-                "event_id": F.col("_p.event_id"),
-                "ts_text": F.col("_p.ts_text"),
-            }
-        )
-        .drop("_p", "_low", "_req", "_lreq", "_status", "_dec", "_ldec", "_dreq", "_ldreq")
+        matched.withColumns({n: parse[n] for n in ("source_ip", "hostname", "event_id", "ts_text")})
+        .drop("_seen", "_req", "_status", "_dec", "_sdec", "_dreq", "_sdreq")
         .join(F.broadcast(table), "ord")
     )
 
 
-def _decoded(lines: DataFrame, source: str, name: str, rounds: int) -> DataFrame:
-    """Add the decoded text, null where decoding changes nothing, and its lower-case form, named with an l."""
+def _decoded(lines: DataFrame, source: str, name: str, rounds: int, patterns: Sequence[str]) -> DataFrame:
+    """Add the decoded text, null where decoding changes nothing, and the patterns seen in it, named with an s."""
     text = F.col(source)
     value = F.when(text.contains("%"), F.nullif(percent_decoded(text, rounds), text))
-    return once(lines, name, value).withColumn(f"_l{name[1:]}", F.lower(name))
+    return seen_patterns(once(lines, name, value), F.col(name), f"_s{name[1:]}", patterns)
 
 
 def match_incident_rules(lines: DataFrame, rules: Sequence[Rule] | None = None, raw: str = "raw") -> DataFrame:
@@ -237,9 +279,9 @@ def match_incident_rules(lines: DataFrame, rules: Sequence[Rule] | None = None,
     without such a value, has no source.
     """
     rules = list(pack_v2() if rules is None else rules)
-    low = lines.withColumn("_low", F.lower(F.col(raw)))
+    low = seen_patterns(lines, F.col(raw), "_seen", [r.patterns["raw"] for r in rules])
     found = F.array(
-        *[F.when(hits(F.col(raw), F.col("_low"), r.patterns["raw"]), F.lit(i)) for i, r in enumerate(rules)]
+        *[F.when(seen_hits(F.col(raw), F.col("_seen"), r.patterns["raw"], i), F.lit(i)) for i, r in enumerate(rules)]
     )
     sources = []
     for i, rule in enumerate(rules):
@@ -251,7 +293,7 @@ def match_incident_rules(lines: DataFrame, rules: Sequence[Rule] | None = None,
     return (
         low.withColumn("ord", F.explode(F.array_compact(found)))
         .withColumn("source_ip", F.coalesce(*sources, F.lit(None).cast("string")))
-        .drop("_low")
+        .drop("_seen")
         .join(F.broadcast(table), "ord")
     )
 
@@ -266,8 +308,8 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
     ``captured`` holds all capture groups of this pattern in order, empty ones for groups that took no part; it is null
     for a pattern without groups. All four are null when nothing hits.
     """
-    low = lines.withColumn("_low", F.lower(F.col(raw)))
-    number = F.coalesce(*[F.when(hits(F.col(raw), F.col("_low"), p), F.lit(i)) for i, (_, _, p) in enumerate(pack)])
+    seen = seen_patterns(lines, F.col(raw), "_seen", [p for _, _, p in pack])
+    number = F.coalesce(*[F.when(seen_hits(F.col(raw), F.col("_seen"), p, i), F.lit(i)) for i, (_, _, p) in enumerate(pack)])
     table = small_table(
         lines.sparkSession,
         [(i, *row) for i, row in enumerate(pack)],
@@ -281,8 +323,8 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
         ],
         F.lit(None).cast("array<string>"),
     )
-    numbered = once(low, "_ord", number)
-    return numbered.join(F.broadcast(table), "_ord", "left").withColumn("captured", captured).drop("_ord", "_low")
+    numbered = once(seen, "_ord", number)
+    return numbered.join(F.broadcast(table), "_ord", "left").withColumn("captured", captured).drop("_ord", "_seen")
 
 
 def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw", block_bytes: int = 8 << 20) -> DataFrame:

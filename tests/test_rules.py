@@ -237,3 +237,19 @@ def test_brute_force_window_counts_single_failures_per_host(spark, tmp_path):
     rows.selectExpr("event_id", "to_timestamp_ntz(t) AS ts", "user_id", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
     found = rule_queries.brute_force_window(spark, str(tmp_path)).collect()
     assert sorted((r.window_start, r.target, r.failures) for r in found) == [("2024-01-01 00:00:00", "srv3", 3), ("2024-01-01 00:05:00", "srv4", 1)]
+
+
+def test_one_search_flags_the_patterns_whose_texts_a_line_holds(spark):
+    patterns = [f"word{i:03d}\\s+x" for i in range(130)] + [r"[;|$]", r"\d+", r"(?:alpha|Beta)\d"]
+    rows = [(1, "WORD007 x and word129  x;"), (2, "a|b"), (3, "BETA1"), (4, ""), (5, None), (6, "word061 x word062 x word063 x")]
+    seen = match.seen_patterns(spark.createDataFrame(rows, "seq int, raw string"), F.col("raw"), "seen", patterns)
+    flags = {r.seq: {i for i in range(len(patterns)) if r.seen[i // match.FLAGS] >> i % match.FLAGS & 1} for r in seen.collect()}
+    assert flags == {1: {7, 129, 130}, 2: {130}, 3: {132}, 4: set(), 5: set(), 6: {61, 62, 63}}
+    hit = [match.seen_hits(F.col("raw"), F.col("seen"), p, i) for i, p in enumerate(patterns)]
+    found = seen.select("seq", F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(hit)])).alias("found"))
+    assert {r.seq: set(r.found) for r in found.collect()} == {1: {7, 129, 130, 131}, 2: {130}, 3: {131, 132}, 4: set(), 5: set(), 6: {61, 62, 63, 131}}
+
+
+def test_packs_search_their_texts_at_once(spark, lines):
+    plan = match.match_incident_rules(lines("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Contains(" not in plan

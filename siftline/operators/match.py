@@ -88,8 +88,8 @@ def first_match_pack(name: str) -> list[tuple[str, str, str]]:
     return [(kind, source.LEVELS.get(kind, "MEDIUM"), p) for kind, ps in source.PATTERNS for p in ps]
 
 
-def required_texts(pattern: str, shortest: int = MIN_GUARD) -> list[str] | None:
-    """Lower-case texts of which every match contains at least one; null when there is no such set."""
+def required_texts(pattern: str | rp.SubPattern, shortest: int = MIN_GUARD) -> list[str] | None:
+    """Lower-case texts of which every match of a pattern, parsed or not, contains at least one; null when there is no such set."""
 
     def best(options: list[list[str] | None]) -> list[str] | None:
         usable = [o for o in options if o and all(len(t) >= shortest for t in o) and len(o) <= MAX_GUARDS]
@@ -117,7 +117,7 @@ def required_texts(pattern: str, shortest: int = MIN_GUARD) -> list[str] | None:
         options.append([run])
         return best(options)
 
-    return walk(rp.parse(pattern))
+    return walk(rp.parse(pattern) if isinstance(pattern, str) else pattern)
 
 
 def ignoring_case(pattern: str) -> str:
@@ -330,8 +330,8 @@ def first_match(lines: DataFrame, pack: Sequence[tuple[str, str, str]], raw: str
 def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw", block_bytes: int = 8 << 20) -> DataFrame:
     """Multi-match against a rule table (rule_id, pattern, …) that is only known at run time: rule_id, the line, the rule's other columns.
 
-    A text that a pattern can't do without leads to it: all such texts are searched at once in every line, and a line is tested only
-    against the rules whose texts it holds. Rules come to the driver in blocks of ``block_bytes`` of patterns, each one scan of the
+    Texts that a pattern can't do without lead to it, the longest it has, blanks between words included (``needed_parts``): all such
+    texts are searched at once in every line, and a line is tested only against the rules whose texts it holds. Rules come to the driver in blocks of ``block_bytes`` of patterns, each one scan of the
     lines; rules without such a text are tested on every line, ``RULE_SLICE`` to a scan. Each row of the table is a rule of its own;
     one without a pattern never hits.
     """
@@ -343,17 +343,17 @@ def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw", block
     parts = []
     for block in _rule_blocks(patterns, block_bytes):
         rules = [(i, ignoring_case(r["pattern"]), r) for i, r in enumerate(block)]
-        needed = [_needed(r["pattern"]) for r in block]
-        indexed = [rules[i] for i, texts in enumerate(needed) if texts]
+        needed = [needed_parts(r["pattern"]) for r in block]
+        indexed = [rules[i] for i, parts_of in enumerate(needed) if parts_of]
         if indexed:
-            index: dict[str, list[int]] = {}
-            for i, texts in enumerate(needed):
-                for t in texts or ():
-                    index.setdefault(t, []).append(i)
+            index: dict[tuple, list[int]] = {}
+            for i, parts_of in enumerate(needed):
+                for part in parts_of or ():
+                    index.setdefault(part, []).append(i)
             found = low.withColumn("_ord", F.explode(_candidates(spark.sparkContext.broadcast(index))(F.col("_low"))))
             table = F.broadcast(spark.createDataFrame(indexed, schema))
             parts.append(found.join(table, "_ord").filter(F.rlike(F.col(raw), F.col("_pattern"))))
-        plain = [rules[i] for i, texts in enumerate(needed) if not texts]
+        plain = [rules[i] for i, parts_of in enumerate(needed) if not parts_of]
         for first in range(0, len(plain), RULE_SLICE):
             part = plain[first : first + RULE_SLICE]
             hit = F.array_compact(F.array(*[F.when(F.col(raw).rlike(p), F.lit(i)) for i, p, _ in part]))
@@ -382,25 +382,134 @@ def _rule_blocks(patterns: DataFrame, size: int) -> Iterator[list[Row]]:
         yield block
 
 
-def _needed(pattern: str) -> list[str] | None:
-    """The required texts; none as well for a pattern that only the JVM's dialect knows."""
+def needed_parts(pattern: str) -> list[tuple[str, str, str]] | None:
+    """Parts (text, letters, text) of which every match holds at least one in the line in lower case with single blanks for white space.
+
+    A part is a text alone, then the others are empty, or two texts with nothing between them but a run of the letters, of which the
+    second text does not begin with one. Of the parts that a match can't do without, those with the longest texts are taken. None
+    where there are none, as well as for a pattern that only the JVM's dialect knows.
+    """
+    if "&&" in pattern or NESTED.search(pattern):  # sets that the two dialects read differently
+        return None
     try:
-        return required_texts(pattern)
+        parsed = rp.parse(pattern)
+        longest = required_texts(parsed)
     except (re.error, OverflowError, RecursionError):
         return None
+    found = _runs(parsed)
+    if longest:
+        found.append([(BLANKS.sub(" ", t), "", "") for t in longest])
+    found = [parts for parts in found if all(len(a) + len(b) >= MIN_GUARD and a != " " for a, _, b in parts)]
+    return max(found, key=lambda parts: min(len(a) + len(b) for a, _, b in parts), default=None)
+
+
+def _runs(parsed) -> list[list[tuple[str, str, str]]]:
+    """All parts of a sequence of letters, small sets, white space and runs of letters; other operations end a part."""
+    found: list[list[tuple[str, str, str]]] = []
+    texts, letters, before = [""], "", None
+
+    def end() -> None:
+        if texts != [""] and len(texts) <= MAX_GUARDS:
+            found.append([(t, "", "") for t in texts])
+        if before is not None and all(t and t[0] not in letters for t in texts) and len(before) * len(texts) <= MAX_GUARDS:
+            found.append([(b, letters, t) for b in before for t in texts])
+
+    for op, arg in parsed:
+        space, kept = _white_space(op, arg), None
+        if space:
+            texts = [t if t.endswith(" ") else t + " " for t in texts]
+            continue
+        if op is rc.LITERAL and arg < 128:
+            kept = [chr(arg).lower()]
+        elif op is rc.IN and all(kind is rc.LITERAL and value < 128 for kind, value in arg):
+            kept = sorted({chr(value).lower() for _, value in arg})
+        if kept and not any(c.isspace() for c in kept) and len(texts) * len(kept) <= MAX_GUARDS:
+            texts = [t + c for t in texts for c in kept]
+            continue
+        end()
+        run = _letter_run(op, arg)
+        before, letters = (texts, run) if run and texts != [""] else (None, "")
+        texts = [""]
+    end()
+    return found
+
+
+def _white_space(op, arg) -> bool:
+    """Whether an operation takes white space, at least one, and nothing else."""
+    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
+        return arg[0] > 0 and len(arg[2]) == 1 and _white_space(*arg[2][0])
+    if op is rc.LITERAL:
+        return arg < 128 and chr(arg).isspace()
+    return op is rc.IN and all(
+        (kind is rc.LITERAL and value < 128 and chr(value).isspace()) or (kind is rc.CATEGORY and value is rc.CATEGORY_SPACE) for kind, value in arg
+    )
+
+
+def _letter_run(op, arg) -> str | None:
+    """The lower-case ASCII letters, digits and signs of which an operation takes one or more, without white space; else none."""
+    if op not in (rc.MAX_REPEAT, rc.MIN_REPEAT) or arg[0] < 1 or len(arg[2]) != 1 or arg[2][0][0] is not rc.IN:
+        return None
+    held: set[str] = set()
+    for kind, value in arg[2][0][1]:
+        if kind is rc.LITERAL and value < 128:
+            held.add(chr(value).lower())
+        elif kind is rc.RANGE and value[1] < 128:
+            held |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+        else:
+            return None
+    return None if any(c.isspace() for c in held) else "".join(sorted(held))
+
+
+#: White space of any script; a set inside a set; letters beyond ASCII that match one of ASCII where case is ignored in all scripts.
+BLANKS = re.compile(r"\s+")
+NESTED = re.compile(r"(?<!\\)\[[^\]]*(?<!\\)\[")
+FOLDED = (("ſ", "s"), ("ı", "i"), ("i\u0307", "i"))
 
 
 def _candidates(index):
-    """The numbers of the rules, each once, that a lower-case line holds a text of; ``index`` is a broadcast text → numbers."""
+    """The numbers of the rules, each once, that a lower-case line holds a part of; ``index`` is a broadcast part → numbers."""
 
     @F.pandas_udf("array<int>")
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        alone: dict[str, list[int]] = {}
+        first: dict[str, set[str]] = {}
+        second: set[str] = set()
+        for (a, letters, b), numbers in index.value.items():
+            if b:
+                first.setdefault(a, set()).add(letters)
+                second.add(b)
+            else:
+                alone[a] = numbers
         automaton = ahocorasick.Automaton()
-        for text, numbers in index.value.items():
-            automaton.add_word(text, numbers)
+        for text in {*alone, *first, *second}:
+            automaton.add_word(text, (text, alone.get(text), tuple(sorted(first.get(text, ()))), text in second))
         automaton.make_automaton()
+        runs = {letters: re.compile(f"[{re.escape(letters)}]*") for sets in first.values() for letters in sets}
+        pairs = index.value
+
+        def held(line: str | None) -> list[int]:
+            line = BLANKS.sub(" ", line or "")
+            for letter, folded in () if line.isascii() else FOLDED:
+                line = line.replace(letter, folded)
+            found: set[int] = set()
+            texts: set[str] = set()
+            waiting: dict[int, set[tuple[str, str]]] = {}
+            begins: list[tuple[int, str]] = []
+            for at, (text, numbers, followed, follows) in automaton.iter(line):
+                if numbers and text not in texts:
+                    texts.add(text)
+                    found.update(numbers)
+                for letters in followed:
+                    waiting.setdefault(runs[letters].match(line, at + 1).end(), set()).add((text, letters))
+                if follows:
+                    begins.append((at + 1 - len(text), text))
+            for at, text in begins:
+                for a, letters in waiting.get(at, ()):
+                    found.update(pairs.get((a, letters, text), ()))
+            return sorted(found)
+
         for lines in batches:
-            yield lines.map(lambda t: sorted({n for _, numbers in automaton.iter(t) for n in numbers}) if t else [])
+            yield lines.map(held)
 
     return candidates
 

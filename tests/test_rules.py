@@ -253,3 +253,26 @@ def test_one_search_flags_the_patterns_whose_texts_a_line_holds(spark):
 def test_packs_search_their_texts_at_once(spark, lines):
     plan = match.match_incident_rules(lines("x"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "Contains(" not in plan
+
+
+def test_dynamic_rules_lead_only_to_lines_that_hold_all_neighbouring_words(spark):
+    patterns = [
+        r"the\s+cat", r"cat[,.]\s+dog", r"the\s+[a-z]+\s+of", r"x[0-9]+\s*y", r"run [a-z]+(now|later)", r"k\w+\s+sea", r"is\w*\s+it",
+        r"[a-z&&[^b]]ook\s+at", r"foo\vbar", r"\bend\s+\s*of\b", r"of.the", r"(?x) no w # ere", r"a\s+[^b]+\s+c", r"[a-c]+[b-d]+ z", r"^\s+up",
+    ]
+    texts = [
+        "The  cat\nsat", "thecat the dog cat", "cat.\tdog", "cat dog", "THE end\u00a0of", "the \t long\nof", "the 1 of", "the one two of", "x12 y", "x y",
+        "run fastnow", "run laterlater", "run now", "Kold sea", "kx ſea", "Iſ it", "İs  it", "look at", "book  at", "foo\n\x0bbar", "foo\nbar",
+        "foobar", "end   of", "endof", "of\tthe", "of the", "now", "a x c", "a b c", "abcd z", "bb z", "  up", "x up", "", None,
+    ]
+    rules = spark.createDataFrame([(f"r{i}", p) for i, p in enumerate(patterns)], "rule_id string, pattern string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "seq int, raw string")
+    want = set()
+    for i, pattern in enumerate(patterns):
+        want |= {(f"r{i}", r.seq) for r in lines.filter(F.col("raw").rlike(match.ignoring_case(pattern))).collect()}
+    assert {(r.rule_id, r.seq) for r in match.match_dynamic(lines, rules).collect()} == want
+    assert {i for _, i in want} >= {0, 2, 5, 8, 10, 13, 15, 16, 20, 22, 24}
+
+    index = {part: [i] for i, p in enumerate(patterns[:3]) for part in match.needed_parts(p)}
+    found = lines.select("seq", F.explode(match._candidates(spark.sparkContext.broadcast(index))(F.lower("raw"))).alias("rule")).collect()
+    assert {(f"r{r.rule}", r.seq) for r in found} == {x for x in want if x[0] in ("r0", "r1", "r2")}

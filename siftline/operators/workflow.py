@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import keys as key_models
 from .joins import lookup
-from .sequences import CHUNK_ROWS, chunk_of, dense_position, lowest_before, running_sum, windowed
+from .sequences import CHUNK_ROWS, chunk_of, dense_position, lowest_before, range_position, running_sum, windowed
 
 # Similarity below which no known template is named, demands of its search before that, weights and bound of workflow
 # similarity, predictions looked at for task separation, share of direct successors for linking.
@@ -29,6 +29,8 @@ MERGE_SIMILARITY = 0.7
 TASK_TOP = 5
 LINK_SHARE = 0.9
 NAME_LENGTH = 50
+#: Groups that the graphs of one edge are dealt to when they are compared.
+DEALT = 16
 #: Graphs of the first round of merging.
 FIRST_BLOCK = 64
 
@@ -337,27 +339,65 @@ def graph_sets(edges: DataFrame) -> DataFrame:
     )
 
 
-def _alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, similarity) of the graphs of two tables whose weighted similarity reaches the threshold.
+def numbered_sets(sets: DataFrame) -> DataFrame:
+    """(id, edges, nodes, edge_bits, node_bits) of graphs: edges and nodes as ascending numbers, rare ones first, stored.
 
-    The similarity is 0.4 times that of the nodes plus 0.6 times that of the edges, so a pair needs an edge
-    similarity of at least (threshold - 0.4) / 0.6, which prunes the candidates.
+    Each of the 64 bits stands for the numbers of one remainder that are in the set.
+    """
+    edge = F.transform("edges", lambda e: F.struct(F.lit(True).alias("is_edge"), e["src"].alias("a"), e["dst"].alias("b")))
+    node = F.transform("nodes", lambda n: F.struct(F.lit(False).alias("is_edge"), n.alias("a"), F.lit(None).cast("string").alias("b")))
+    items = sets.select("id", F.explode(F.concat(edge, node)).alias("item"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
+    numbers = materialize(range_position(counts, ["freq", "item"], "number").select("item", "number"), "item-numbers")
+    rows = lookup(items, numbers, ["item"], "inner").groupBy("id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("item.is_edge") == kind, F.col("number")))).alias(name)
+        for name, kind in (("edges", True), ("nodes", False))
+    ])
+    bits = "aggregate({}, 0L, (found, n) -> found | shiftleft(1L, cast(pmod(n, 64) AS int)))"
+    return materialize(rows.withColumns({"edge_bits": F.expr(bits.format("edges")), "node_bits": F.expr(bits.format("nodes"))}), "numbered")
+
+
+def _near(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id) of the graphs of two numbered tables whose weighted similarity may reach the threshold.
+
+    The similarity is 0.4 times that of the nodes plus 0.6 times that of the edges, so a pair needs an edge similarity of at
+    least (threshold - 0.4) / 0.6 and shares one of its rarest edges. Of what is joined on these only the pairs are kept whose
+    bits leave enough in common: a bit that only one set has stands for an item that the other lacks. A few items may be in all
+    graphs, so the left rows of one item are dealt to ``DEALT`` groups, each of which meets all its right rows.
     """
     least = (threshold - NODE_WEIGHT) / EDGE_WEIGHT
-    if least > 0:
-        def items(side: DataFrame) -> DataFrame:
-            return side.select("id", F.transform("edges", lambda e: F.concat(e["src"], F.lit("\x1f"), e["dst"])).alias("items"))
-
-        pairs = _pruned_pairs(items(left), items(right), "edge", least)
-    else:  # a common node may be enough
-        node = left.select(F.col("id").alias("left_id"), F.explode("nodes").alias("node"))
-        other = right.select(F.col("id").alias("right_id"), F.explode("nodes").alias("node"))
-        pairs = node.join(other, "node").select("left_id", "right_id").distinct()
+    size = F.size("edges")
+    rarest = F.slice("edges", F.lit(1), (size - F.ceil(size * F.lit(least) - ROUNDING) + 1).cast("int"))
+    shared = F.explode(rarest if least > 0 else F.col("nodes"))  # without a bound on edges a common node may be enough
+
+    def probes(side: DataFrame, name: str) -> DataFrame:
+        values = [F.col("id").alias(f"{name}_id")]
+        for kind in ("edge", "node"):
+            values += [F.size(f"{kind}s").alias(f"{name}_{kind}s"), F.col(f"{kind}_bits").alias(f"{name}_{kind}_bits")]
+        return side.select(shared.alias("item"), *values)
+
+    def similar_at_most(kind: str) -> Column:
+        a, b = F.col(f"left_{kind}_bits"), F.col(f"right_{kind}_bits")
+        a_size, b_size = F.col(f"left_{kind}s"), F.col(f"right_{kind}s")
+        common = F.least(
+            a_size - F.bit_count(a.bitwiseAND(F.bitwise_not(b))), b_size - F.bit_count(b.bitwiseAND(F.bitwise_not(a)))
+        )
+        return common / (a_size + b_size - common)
+
+    dealt = probes(left, "left").withColumn("group", F.pmod(F.xxhash64("left_id"), F.lit(DEALT)).cast("int"))
+    repeated = probes(right, "right").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    at_most = NODE_WEIGHT * similar_at_most("node") + EDGE_WEIGHT * similar_at_most("edge")
+    met = dealt.join(repeated.hint("merge"), ["item", "group"]).filter(at_most >= threshold - ROUNDING)
+    return met.select("left_id", "right_id").distinct()
+
+
+def _alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, similarity) of the graphs of two numbered tables whose weighted similarity reaches the threshold."""
     a = left.select(F.col("id").alias("left_id"), F.col("nodes").alias("_na"), F.col("edges").alias("_ea"))
     b = right.select(F.col("id").alias("right_id"), F.col("nodes").alias("_nb"), F.col("edges").alias("_eb"))
     similarity = NODE_WEIGHT * jaccard(F.col("_na"), F.col("_nb")) + EDGE_WEIGHT * jaccard(F.col("_ea"), F.col("_eb"))
     return (
-        pairs.join(a, "left_id").join(b, "right_id")
+        _near(left, right, threshold).join(a, "left_id").join(b, "right_id")
         .select("left_id", "right_id", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold - 1e-12)
     )
@@ -365,7 +405,12 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
 
 def similar_workflows(sets: DataFrame, threshold: float = MERGE_SIMILARITY) -> DataFrame:
     """All pairs (a, b), a < b, of distinct graphs whose similarity reaches the threshold. Merging needs none of them stored."""
-    return _alike(sets, sets, threshold).filter(F.col("left_id") < F.col("right_id")).withColumnsRenamed({"left_id": "a", "right_id": "b"})
+    return _similar_pairs(numbered_sets(sets), threshold)
+
+
+def _similar_pairs(numbered: DataFrame, threshold: float) -> DataFrame:
+    pairs = _alike(numbered, numbered, threshold).filter(F.col("left_id") < F.col("right_id"))
+    return pairs.withColumnsRenamed({"left_id": "a", "right_id": "b"})
 
 
 def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -406,7 +451,7 @@ def greedy_leaders(sets: DataFrame, threshold: float = MERGE_SIMILARITY, first_b
     small again where they don't. Its first graphs probe it beforehand: a block that they claim most of is cut to them, so the
     pairs inside a block stay few even where thousands of graphs in a row are alike. Stored rows grow as the graphs do.
     """
-    waiting, decided, size = sets.select("id", "nodes", "edges"), [], first_block
+    waiting, decided, size = numbered_sets(sets), [], first_block
 
     def up_to(rows: DataFrame, count: int) -> DataFrame:
         last = rows.select("id").orderBy("id").limit(count).agg(F.max("id").alias("_last"))
@@ -423,11 +468,11 @@ def greedy_leaders(sets: DataFrame, threshold: float = MERGE_SIMILARITY, first_b
             break
         if taken > first_block:
             front = materialize(up_to(block, first_block), "block")
-            alone = leaders(front, similar_workflows(front, threshold)).filter("id = leader").select("id")
+            alone = leaders(front, _similar_pairs(front, threshold)).filter("id = leader").select("id")
             rest = block.join(front.select("id"), "id", "left_anti")
             if 2 * claimed_by(rest, front.join(alone, "id", "left_semi")).count() > taken - first_block:
                 block, taken = front, first_block
-        inside = materialize(leaders(block, similar_workflows(block, threshold)), "block-leaders")
+        inside = materialize(leaders(block, _similar_pairs(block, threshold)), "block-leaders")
         lead = materialize(block.join(inside.filter("id = leader").select("id"), "id", "left_semi"), "new-leaders")
         behind = waiting.join(block.select("id"), "id", "left_anti")
         claimed = claimed_by(behind, lead)

@@ -138,6 +138,27 @@ def test_similar_workflows_equal_all_pairs(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("letters, length", [("abcde", 8), ("abcdefghijklmnop", 14)])
+def test_hardly_more_pairs_are_compared_than_are_similar(spark, letters, length):
+    rng = random.Random(13)
+    walks = {f"w{w:03d}": [rng.choice(letters) for _ in range(length)] for w in range(150)}
+    walks |= {f"x{w}": [*walks[f"w{w:03d}"][:-2], *rng.sample(letters, 2)] for w in range(100, 150)}
+    rows = [(w, a, b) for w, steps in walks.items() for a, b in sorted(set(zip(steps, steps[1:])))]
+    edges = spark.createDataFrame(rows, "workflow_id string, src string, dst string")
+    sets = workflow.graph_sets(edges).cache()
+    want = {}
+    shapes = sorted((r.id, {tuple(e) for e in r.edges}, set(r.nodes)) for r in sets.collect())
+    for i, (a, ea, na) in enumerate(shapes):
+        for b, eb, nb in shapes[i + 1:]:
+            s = 0.4 * len(na & nb) / len(na | nb) + 0.6 * len(ea & eb) / len(ea | eb)
+            if s >= 0.7 - 1e-12:
+                want[a, b] = round(s, 9)
+    assert {(r.a, r.b): round(r.similarity, 9) for r in workflow.similar_workflows(sets).collect()} == want and want
+    numbered = workflow.numbered_sets(sets)
+    tried = workflow._near(numbered, numbered, 0.7).filter("left_id < right_id").count()
+    assert tried <= 1.1 * len(want) if letters == "abcde" else tried <= 3 * len(want), (tried, len(want))
+
+
 def test_loops_and_paths(spark):
     edges = workflow.transitions(sequence(spark, list("abcbd"), list("xyz")))
     loops = {(r.workflow_id, r.log_key) for r in workflow.loop_nodes(edges).collect()}

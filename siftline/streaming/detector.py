@@ -2,7 +2,7 @@
 
 Two streaming queries follow each other. The first keeps, per stream, the last w templates, the last number and the last time
 (``applyInPandasWithState``), gives every line its history and decides on its template by joins with the stored model. The
-second keeps, per stream and template, the number of vectors and the last one, and scores the parameters. Each writes to a
+second keeps, per stream, the number of vectors and the last one of each template, and scores the parameters. Each writes to a
 file sink; states, offsets and sinks belong to Spark, so a restart goes on where the last batch ended and repeats nothing.
 Lines are parsed before the keyed step and looked up after it, so the task of a busy stream only slides its window.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from ..operators import keys, params
 from ..operators.joins import lookup
 
 KEY_STATE = "n bigint, last_seq bigint, last_at bigint, tail array<bigint>, since bigint"
-VECTOR_STATE = "since bigint, nth bigint, last_seq bigint, params array<double>"
+VECTOR_STATE = "since bigint, log_keys array<string>, nth array<bigint>, params array<array<double>>"
 LINES = "stream_id string, seq bigint, at bigint, event_time timestamp, log_key string, key_id bigint, params array<double>"
 SEEN = f"{LINES}, hist array<bigint>, since bigint, late boolean"
 KEYED = "stream_id string, seq bigint, event_time timestamp, log_key string, params array<double>, since bigint, late boolean, key_anomaly boolean"
@@ -32,14 +31,20 @@ RESULTS = "stream_id string, seq bigint, log_key string, anomaly_type string, ke
 MICROS = 1_000_000
 
 
-def tail_and_windows(tail: list[int], ids: np.ndarray, window: int) -> tuple[list[list[int] | None], list[int]]:
+def one_frame(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one group; most groups are one batch, and copies cost more than their few rows."""
+    frames = list(batches)
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
+def tail_and_windows(tail: list[int], ids: list[int], window: int) -> tuple[list[list[int] | None], list[int]]:
     """The full history before each of the new ids, null until there is one, and the ids to remember."""
-    known = [*tail, *ids.tolist()]
+    known = [*tail, *ids]
     first = len(tail)
     return [known[i - window : i] if i >= window else None for i in range(first, len(known))], known[-window:] if window else []
 
 
-def with_deltas(vectors: list, at: np.ndarray, last_at: int | None) -> tuple[list, int | None]:
+def with_deltas(vectors: list, at: list[int | None], last_at: int | None) -> tuple[list, int | None]:
     """The seconds since the last line that has a time, where there are any, in front of the values."""
     out = []
     for values, now in zip(vectors, at):
@@ -117,38 +122,47 @@ class StreamDetector:
                 return
             n, last_seq, last_at, tail, since = state.get if state.exists else (0, None, None, [], None)
             tail = list(tail)
-            rows = pd.concat(list(batches), ignore_index=True)
-            rows = rows.sort_values(["seq", "reset"], ascending=[True, False], kind="stable", ignore_index=True)
-            is_reset = rows["reset"].to_numpy(bool)
-            repeated = rows["seq"].duplicated().to_numpy() & ~is_reset & ~np.append(False, is_reset[:-1])
-            late = repeated | ((rows["seq"] <= last_seq).to_numpy() if last_seq is not None else False)
-            fresh = rows[~late].reset_index(drop=True)
-            at = [None if pd.isna(x) else int(x) for x in fresh["at"]]
-            out = []
-            for begin, end, anew in segments(at, fresh["reset"].tolist(), last_at, gap):
+            rows = one_frame(batches)
+            seq, resets, ids, vectors = (rows[c].tolist() for c in ("seq", "reset", "key_id", "params"))
+            known = rows["at"].notna().tolist()
+            at = [int(x) if there else None for x, there in zip(rows["at"].tolist(), known)]
+            fresh, old, before = [], [], None
+            for i in sorted(range(len(seq)), key=lambda i: (seq[i], not resets[i])):
+                repeated = before is not None and seq[before] == seq[i] and not resets[i] and not resets[before]
+                before = i
+                if not repeated and (last_seq is None or seq[i] > last_seq):
+                    fresh.append(i)
+                elif not resets[i]:
+                    old.append(i)
+            order, hists, values, sinces = [], [], [], []
+            for begin, end, anew in segments([at[i] for i in fresh], [resets[i] for i in fresh], last_at, gap):
                 if anew:
                     n, tail, last_at, since = 0, [], None, None
-                part = fresh.iloc[begin:end]
-                times = [t for t, r in zip(at[begin:end], part["reset"]) if not r]
-                part = part[~part["reset"]].copy()
-                if not len(part):
+                part = [i for i in fresh[begin:end] if not resets[i]]
+                if not part:
                     continue
-                since = int(part["seq"].iloc[0]) if since is None else since
-                part["hist"], tail = tail_and_windows(tail, part["key_id"].to_numpy(np.int64), window)
-                part["params"], last_at = with_deltas(part["params"].tolist(), times, last_at)
+                since = int(seq[part[0]]) if since is None else since
+                found, tail = tail_and_windows(tail, [ids[i] for i in part], window)
+                hists += found
+                found, last_at = with_deltas([vectors[i] for i in part], [at[i] for i in part], last_at)
+                values += found
+                sinces += [since] * len(part)
                 n += len(part)
-                last_seq = int(part["seq"].iloc[-1])
-                out.append(part.assign(since=since, late=False))
-            old = rows[late & ~is_reset]
-            if len(old):
-                out.append(old.assign(hist=None, since=None, late=True))
+                last_seq = int(seq[part[-1]])
+                order += part
             state.update((n, last_seq, last_at, tail, since))
             if gap is not None:
                 newest = max(last_at or 0, 0) // 1000
                 state.setTimeoutTimestamp(max(int(newest + gap * 1000), state.getCurrentWatermarkMs()) + 1)
-            if out:
-                found = pd.concat([p[columns] for p in out], ignore_index=True)
-                yield found.astype({"since": "Int64", "at": "Int64", "late": bool})
+            if order or old:
+                late = [False] * len(order) + [True] * len(old)
+                kept = rows.take(order + old)
+                none = [None] * len(old)
+                kept = kept.assign(
+                    at=kept["at"].astype("Int64"), params=values + [vectors[i] for i in old], hist=hists + none,
+                    since=pd.array(sinces + none, dtype="Int64"), late=late,
+                )
+                yield kept[columns]
 
         return remember
 
@@ -189,7 +203,8 @@ class StreamDetector:
         """Results of a streaming DataFrame of template decisions."""
         if self.forget_after is not None:
             keyed = keyed.withWatermark("event_time", self.late)
-        followed = keyed.groupBy("stream_id", "log_key").applyInPandasWithState(
+        keyed = keyed.withColumn("counts", ~(F.col("late") | F.coalesce("key_anomaly", F.lit(False))))
+        followed = keyed.groupBy("stream_id").applyInPandasWithState(
             self._previous(), FOLLOWED, VECTOR_STATE, "append",
             GroupStateTimeout.EventTimeTimeout if self.forget_after is not None else GroupStateTimeout.NoTimeout,
         )
@@ -212,27 +227,25 @@ class StreamDetector:
             if state.hasTimedOut:
                 state.remove()
                 return
-            since, nth, last_seq, prev = state.get if state.exists else (None, 0, None, None)
-            rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
-            numbers, before = [], []
-            counts = ~(rows["late"].to_numpy(bool) | rows["key_anomaly"].to_numpy(bool))
-            for good, begun, seq, values in zip(counts, rows["since"], rows["seq"], rows["params"]):
-                if not good or values is None or not len(values):
-                    numbers.append(0)
-                    before.append(None)
+            since, names, nths, vectors = state.get if state.exists else (None, [], [], [])
+            known = {name: (nth, list(prev)) for name, nth, prev in zip(names, nths, vectors)}
+            rows = one_frame(batches)
+            seq, counts, begun, keys_of, values = (rows[c].tolist() for c in ("seq", "counts", "since", "log_key", "params"))
+            numbers, before = [0] * len(seq), [None] * len(seq)
+            for i in sorted(range(len(seq)), key=seq.__getitem__):
+                if not counts[i] or values[i] is None or not len(values[i]):
                     continue
-                if since != begun:
-                    since, nth, prev = int(begun), 0, None
-                nth += 1
-                numbers.append(nth)
-                before.append(prev)
-                prev, last_seq = [float(v) for v in values], int(seq)
-            state.update((since, nth, last_seq, prev))
+                if since != begun[i]:
+                    since, known = int(begun[i]), {}
+                nth, before[i] = known.get(keys_of[i], (0, None))
+                numbers[i] = nth + 1
+                known[keys_of[i]] = (nth + 1, [float(v) for v in values[i]])
+            state.update((since, list(known), [nth for nth, _ in known.values()], [prev for _, prev in known.values()]))
             if gap is not None:
                 newest = rows["event_time"].max()
                 newest = 0 if pd.isna(newest) else int(newest.timestamp() * 1000)
                 state.setTimeoutTimestamp(max(int(newest + gap * 1000), state.getCurrentWatermarkMs()) + 1)
-            yield rows.assign(nth=numbers, prev=before).astype({"since": "Int64"})[columns]
+            yield rows.assign(since=rows["since"].astype("Int64"), nth=numbers, prev=before)[columns]
 
         return follow
 

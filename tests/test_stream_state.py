@@ -89,3 +89,11 @@ def test_segments():
     assert list(segments([0, None, 5_000_000], [False] * 3, None, 3.0)) == [(0, 2, False), (2, 3, True)]
     assert list(segments([1, 2, 3], [False, True, False], 0, None)) == [(0, 1, False), (1, 3, True)]
     assert list(segments([], [], 0, 1.0)) == []
+
+
+def test_a_stream_has_one_state_however_many_templates_it_has(spark, tmp_path, models):
+    data = text_lines(40, 1, "a") + text_lines(40, 2, "b")
+    rows = run(spark, tmp_path, models, [data[:20] + data[40:60], data[20:40] + data[60:]])
+    assert len({r.log_key for r in rows}) > 1 and named(rows) == batch(spark, models, data)
+    state = spark.read.format("statestore").load(str(tmp_path / "d" / "results-offsets"))
+    assert sorted(r.s for r in state.select(F.col("key.stream_id").alias("s")).collect()) == ["a", "b"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
+from ..functions.evaluate import let, once
 from ..operators.joins import lookup
 from ..operators.sequences import chunk_of, dense_position
 from ..session import materialize
@@ -161,13 +162,16 @@ def positional_split(lines: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def in_dates(lines: DataFrame, ts: Column, start: date | None, end: date | None) -> DataFrame:
-    """Lines from ``start`` to ``end``, both days included; lines without a time are kept."""
-    keep = F.lit(True)
+    """Lines from ``start`` to ``end``, both days included; lines without a time are kept.
+
+    The time is read once per line, where the lines were dealt to: as a filter it would be copied to the scan, once per comparison.
+    """
+    keep, time = F.lit(True), F.col("_time")
     if start:
-        keep = keep & (ts >= F.lit(start.isoformat()).cast("timestamp_ntz"))
+        keep = keep & (time >= F.lit(start.isoformat()).cast("timestamp_ntz"))
     if end:
-        keep = keep & (ts < F.lit((end + timedelta(days=1)).isoformat()).cast("timestamp_ntz"))
-    return lines.filter(ts.isNull() | keep)
+        keep = keep & (time < F.lit((end + timedelta(days=1)).isoformat()).cast("timestamp_ntz"))
+    return once(lines, "_time", ts).filter(time.isNull() | keep).drop("_time")
 
 
 def linux_line_time(raw: Column, year: Column | int) -> Column:
@@ -179,8 +183,8 @@ def linux_line_time(raw: Column, year: Column | int) -> Column:
 
 def access_line_day(raw: Column) -> Column:
     """The day of an access line, from the text between the bracket and the first colon."""
-    day = F.regexp_extract(raw, r"\[([^:]+):", 1)
-    return formats.access_time(F.concat(day, F.lit(":00:00:00")))
+    day = F.concat(F.regexp_extract(raw, r"\[([^:]+):", 1), F.lit(":00:00:00"))
+    return let(day, formats.access_time)
 
 
 def with_type(lines: DataFrame, unified: bool = False) -> DataFrame:

@@ -70,6 +70,15 @@ def test_dates_keep_lines_without_time(spark, lines):
     assert [r.seq for r in src.in_dates(access, src.access_line_day(F.col("raw")), None, day(2024, 1, 5)).collect()] == [1]
 
 
+def test_the_time_of_a_line_is_read_once_and_after_dealing(lines):
+    access = lines('1.1.1.1 - - [05/Jan/2024:23:59:59 +0000] "x"', '1.1.1.1 - - [09/Jan/2024:00:00:00 +0000] "x"', "no time")
+    dealt = access.withColumn("raw", F.concat("raw", F.lit(" "))).repartition(3).withColumn("raw", F.upper("raw"))
+    found = src.in_dates(dealt, src.access_line_day(F.col("raw")), datetime.date(2024, 1, 9), datetime.date(2024, 1, 9))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and plan.index("regexp_extract") < plan.index("Repartition")
+    assert found.columns == ["stream_id", "seq", "raw"] and {r.seq for r in found.collect()} >= {3}
+
+
 def test_pasted_text(spark):
     df = spark.createDataFrame([("d", "a\n\n b \r\nc")], "id string, body string")
     assert [(r.seq, r.raw) for r in src.pasted(df, "body", "id").orderBy("seq").collect()] == [(1, "a"), (3, "b"), (4, "c")]

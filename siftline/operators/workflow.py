@@ -31,6 +31,8 @@ LINK_SHARE = 0.9
 NAME_LENGTH = 50
 #: Groups that the graphs of one edge are dealt to when they are compared.
 DEALT = 16
+#: Edges up to which the loops of a graph are found in one row.
+SMALL_GRAPH = 64
 #: Graphs of the first round of merging.
 FIRST_BLOCK = 64
 
@@ -65,28 +67,61 @@ def node_table(edges: DataFrame) -> DataFrame:
 def loop_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that can reach themselves: those of strongly connected components with an edge inside.
 
+    A graph of at most ``SMALL_GRAPH`` edges is one row and is solved where it lies. Only larger ones take the joins of ``_large_loops``;
+    these are merge joins, as a table that is small when stored can be large when it is sent through the driver.
+    """
+    keys = ["workflow_id", "src", "dst"]
+    edges = materialize(edges.select(*keys).dropna(subset=keys).distinct(), "loop-edges")
+    large = edges.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SMALL_GRAPH)
+    large = materialize(large.select("workflow_id"), "large-graphs").hint("merge")
+
+    def on_loops(src: pd.Series, dst: pd.Series) -> pd.Series:
+        """The nodes of each graph that can reach themselves; what a node reaches are the bits of one number."""
+        found = []
+        for a, b in zip(src, dst):
+            bit = {node: i for i, node in enumerate(dict.fromkeys([*a, *b]))}
+            reach = [0] * len(bit)
+            for x, y in zip(a, b):
+                reach[bit[x]] |= 1 << bit[y]
+            for via in range(len(reach)):
+                reach = [r | reach[via] if r >> via & 1 else r for r in reach]
+            found.append([node for node, i in bit.items() if reach[i] >> i & 1])
+        return pd.Series(found, dtype=object)
+
+    kind = edges.schema["src"].dataType.simpleString()
+    edge = F.collect_list(F.struct("src", "dst")).alias("_e")
+    graphs = edges.join(large, "workflow_id", "left_anti").groupBy("workflow_id").agg(edge)
+    small = graphs.select("workflow_id", F.explode(F.pandas_udf(on_loops, f"array<{kind}>")("_e.src", "_e.dst")).alias("log_key"))
+    if large.isEmpty():
+        return small
+    return small.unionByName(_large_loops(edges.join(large, "workflow_id", "left_semi")))
+
+
+def _large_loops(edges: DataFrame) -> DataFrame:
+    """``loop_nodes`` of graphs of any size, by joins.
+
     Nodes that no edge enters or none leaves lie on no loop; they are peeled off round by round. Of what is left, nodes
     with one edge in and one out are passed over: pointers along such chains double in every round, so a chain costs the
     logarithm of its length, and a chain that ends nowhere is a loop. The components of the remaining crossings are found by colours.
     """
-    left = _peeled(materialize(edges.select("workflow_id", "src", "dst").distinct(), "loop-edges"))
+    left = _peeled(materialize(edges, "loop-edges"))
     if left.isEmpty():
         return left.select("workflow_id", F.col("src").alias("log_key"))
     ends = left.groupBy("workflow_id", F.col("src").alias("log_key")).agg(F.count(F.lit(1)).alias("_out"), F.min("dst").alias("next"))
     starts = left.groupBy("workflow_id", F.col("dst").alias("log_key")).agg(F.count(F.lit(1)).alias("_in"), F.min("src").alias("before"))
     single = materialize(
-        ends.join(starts, ["workflow_id", "log_key"]).filter("_in = 1 AND _out = 1").select("workflow_id", "log_key", "next", "before"), "chains"
+        ends.join(starts.hint("merge"), ["workflow_id", "log_key"]).filter("_in = 1 AND _out = 1").select("workflow_id", "log_key", "next", "before"), "chains"
     )
     after = _chain_ends(single, "next")
     ahead = _chain_ends(single, "before")
     chains = materialize(
-        after.join(ahead, ["workflow_id", "log_key"]).select("workflow_id", "log_key", F.col("before").alias("src"), F.col("next").alias("dst")), "chain-ends"
+        after.join(ahead.hint("merge"), ["workflow_id", "log_key"]).select("workflow_id", "log_key", F.col("before").alias("src"), F.col("next").alias("dst")), "chain-ends"
     )
     closed = chains.filter(F.col("src").isNull() | F.col("dst").isNull()).select("workflow_id", "log_key")
     passed = single.select("workflow_id", "log_key")
     crossings = (
-        left.join(passed.withColumnRenamed("log_key", "src"), ["workflow_id", "src"], "left_anti")
-        .join(passed.withColumnRenamed("log_key", "dst"), ["workflow_id", "dst"], "left_anti").select("workflow_id", "src", "dst")
+        left.join(passed.withColumnRenamed("log_key", "src").hint("merge"), ["workflow_id", "src"], "left_anti")
+        .join(passed.withColumnRenamed("log_key", "dst").hint("merge"), ["workflow_id", "dst"], "left_anti").select("workflow_id", "src", "dst")
     )
     over = chains.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     short = materialize(crossings.unionByName(over.select("workflow_id", "src", "dst")).distinct(), "crossings")
@@ -95,7 +130,7 @@ def loop_nodes(edges: DataFrame) -> DataFrame:
     target = parts.select("workflow_id", F.col("log_key").alias("dst"), F.col("component").alias("_b"))
 
     def inside(rows: DataFrame) -> DataFrame:
-        return rows.join(source, ["workflow_id", "src"]).join(target, ["workflow_id", "dst"]).filter(F.col("_a") == F.col("_b"))
+        return rows.join(source.hint("merge"), ["workflow_id", "src"]).join(target.hint("merge"), ["workflow_id", "dst"]).filter(F.col("_a") == F.col("_b"))
 
     crossed = inside(short).select("workflow_id", F.explode(F.array("src", "dst")).alias("log_key"))
     return closed.unionByName(inside(over).select("workflow_id", "log_key")).unionByName(crossed).distinct()
@@ -108,7 +143,7 @@ def _peeled(edges: DataFrame) -> DataFrame:
         entered = edges.select("workflow_id", F.col("dst").alias("src")).distinct()
         quitted = edges.select("workflow_id", F.col("src").alias("dst")).distinct()
         edges = materialize(
-            edges.join(entered, ["workflow_id", "src"], "left_semi").join(quitted, ["workflow_id", "dst"], "left_semi")
+            edges.join(entered.hint("merge"), ["workflow_id", "src"], "left_semi").join(quitted.hint("merge"), ["workflow_id", "dst"], "left_semi")
             .select("workflow_id", "src", "dst"), "loop-edges",
         )
         before, size = size, edges.count()
@@ -123,12 +158,12 @@ def _chain_ends(single: DataFrame, column: str) -> DataFrame:
     rounds = jumps.count().bit_length()
     for _ in range(rounds):
         ahead = jumps.select("workflow_id", F.col("log_key").alias(column), F.col(column).alias("_far"))
-        further = materialize(jumps.join(ahead, ["workflow_id", column], "left"), "jumps")
+        further = materialize(jumps.join(ahead.hint("merge"), ["workflow_id", column], "left"), "jumps")
         jumps = further.select("workflow_id", "log_key", F.coalesce("_far", column).alias(column))
         if further.filter(F.col("_far").isNotNull()).isEmpty():
             break
     inner = single.select("workflow_id", F.col("log_key").alias(column), F.lit(True).alias("_inner"))
-    return jumps.join(inner, ["workflow_id", column], "left").select(
+    return jumps.join(inner.hint("merge"), ["workflow_id", column], "left").select(
         "workflow_id", "log_key", F.when(F.col("_inner").isNull(), F.col(column)).alias(column)
     )
 
@@ -147,10 +182,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         nodes = edges.select("workflow_id", F.explode(F.array("src", "dst")).alias("log_key")).distinct()
         colours = materialize(nodes.withColumn("colour", F.col("log_key")), "colours")
         while True:
-            coming = edges.join(colours.withColumnRenamed("log_key", "src"), ["workflow_id", "src"]).groupBy(
+            coming = edges.join(colours.withColumnRenamed("log_key", "src").hint("merge"), ["workflow_id", "src"]).groupBy(
                 "workflow_id", F.col("dst").alias("log_key")).agg(F.max("colour").alias("_new"))
             step = materialize(
-                colours.join(coming, ["workflow_id", "log_key"], "left")
+                colours.join(coming.hint("merge"), ["workflow_id", "log_key"], "left")
                 .withColumn("_more", F.coalesce(F.col("_new") > F.col("colour"), F.lit(False)))
                 .withColumn("colour", F.greatest("colour", "_new")).drop("_new"), "colours",
             )
@@ -159,28 +194,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         tint = colours.withColumnRenamed("colour", "_c")
         same = materialize(
-            edges.join(colours.withColumnRenamed("log_key", "src"), ["workflow_id", "src"])
-            .join(tint.withColumnRenamed("log_key", "dst"), ["workflow_id", "dst"]).filter(F.col("colour") == F.col("_c"))
+            edges.join(colours.withColumnRenamed("log_key", "src").hint("merge"), ["workflow_id", "src"])
+            .join(tint.withColumnRenamed("log_key", "dst").hint("merge"), ["workflow_id", "dst"]).filter(F.col("colour") == F.col("_c"))
             .select("workflow_id", "src", "dst", "colour"), "same-colour",
         )
         found = materialize(colours.filter(F.col("log_key") == F.col("colour")), "members")
         fresh = found
         while not fresh.isEmpty():
-            reached = same.join(fresh.select("workflow_id", F.col("log_key").alias("dst")), ["workflow_id", "dst"], "left_semi").select(
+            reached = same.join(fresh.select("workflow_id", F.col("log_key").alias("dst")).hint("merge"), ["workflow_id", "dst"], "left_semi").select(
                 "workflow_id", F.col("src").alias("log_key"), "colour").distinct()
-            fresh = materialize(reached.join(found, ["workflow_id", "log_key"], "left_anti"), "members")
+            fresh = materialize(reached.join(found.hint("merge"), ["workflow_id", "log_key"], "left_anti"), "members")
             found = found.unionByName(fresh)
         found = materialize(found, "component")
         placed.append(found.withColumnRenamed("colour", "component"))
         gone = found.select("workflow_id", "log_key")
         edges = materialize(
-            same.join(gone.withColumnRenamed("log_key", "src"), ["workflow_id", "src"], "left_anti")
-            .join(gone.withColumnRenamed("log_key", "dst"), ["workflow_id", "dst"], "left_anti").select("workflow_id", "src", "dst"), "scc-edges",
+            same.join(gone.withColumnRenamed("log_key", "src").hint("merge"), ["workflow_id", "src"], "left_anti")
+            .join(gone.withColumnRenamed("log_key", "dst").hint("merge"), ["workflow_id", "dst"], "left_anti").select("workflow_id", "src", "dst"), "scc-edges",
         )
     out = names.limit(0).withColumn("component", F.col("log_key"))
     for part in placed:
         out = out.unionByName(part)
-    alone = names.join(out.select("workflow_id", "log_key"), ["workflow_id", "log_key"], "left_anti")
+    alone = names.join(out.select("workflow_id", "log_key").hint("merge"), ["workflow_id", "log_key"], "left_anti")
     return out.unionByName(alone.withColumn("component", F.col("log_key")))
 
 

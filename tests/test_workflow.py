@@ -283,6 +283,33 @@ def test_loop_nodes_and_components_equal_closure(spark):
     assert workflow.loop_nodes(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 3])
+def test_loop_nodes_send_no_table_through_the_driver(spark, monkeypatch, small):
+    rng = random.Random(31)
+    graphs = {n: {(rng.choice("abcdef"), rng.choice("abcdef")) for _ in range(rng.randrange(1, 9))} for n in range(12)}
+    rows = [(w, a, b) for w, es in graphs.items() for a, b in es] + [(None, "a", "a"), (1, None, "a"), (1, "a", None)]
+    edges = spark.createDataFrame(rows, "workflow_id bigint, src string, dst string")
+    plans, store = [], workflow.materialize
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(workflow, "materialize", stored)
+    monkeypatch.setattr(workflow, "SMALL_GRAPH", small)
+    got = sorted((r.workflow_id, r.log_key) for r in store(workflow.loop_nodes(edges), "found").collect())
+    assert got == sorted({(w, a) for w, es in graphs.items() for a, b in reach(es) if a == b})
+    assert len(plans) > 2 and not any("Broadcast" in plan for plan in plans)
+
+
+def test_loops_of_small_graphs_need_no_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([("w", "a", "b"), ("w", "b", "a"), ("w", "b", "c"), ("v", "a", "b")], "workflow_id string, src string, dst string")
+    stored, store = [], workflow.materialize
+    monkeypatch.setattr(workflow, "materialize", lambda df, name: stored.append(name) or store(df, name))
+    assert {(r.workflow_id, r.log_key) for r in workflow.loop_nodes(edges).collect()} == {("w", "a"), ("w", "b")}
+    assert len(stored) <= 2
+
+
 def test_leaders_by_rounds_equal_greedy_pass(spark):
     rng = random.Random(23)
     graphs = {}

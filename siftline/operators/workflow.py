@@ -580,56 +580,60 @@ def tasks_by_model(flagged: DataFrame, window: int, chunk_rows: int = CHUNK_ROWS
     After a start at position p, the history is full again at p + window, so the next start is the first
     divergence from there on. A chunk of lines only needs to know how many of its first rows are still
     blocked. For each of these few cases it says where it ends; chaining the answers of the chunks, one
-    small row each, gives every chunk its case, and the starts follow chunk by chunk.
+    small row each, gives every chunk its case, and the starts follow chunk by chunk. Each step passes over sorted
+    rows, as most streams are far too short to be a group of their own in Python.
     """
     flagged = flagged.withColumn("_chunk", chunk_of(F.col("seq"), chunk_rows))
-    marks = flagged.filter("diverges").select("stream_id", "_chunk", "seq")
+    marks = flagged.filter(F.col("diverges") & F.col("stream_id").isNotNull()).select("stream_id", "_chunk", "seq")
     marks = materialize(marks, "divergences")
-
-    def next_starts(positions: list[int], free_from: int) -> tuple[list[int], int]:
-        starts = []
-        for p in positions:
-            if p >= free_from:
-                starts.append(p)
-                free_from = p + window
-        return starts, free_from
-
-    def cases(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["_chunk"].iloc[0]) * chunk_rows + 1
-        positions = sorted(pdf["seq"].tolist())
-        ends = [next_starts(positions, first + blocked)[1] for blocked in range(window)]
-        return pd.DataFrame(
-            {"stream_id": [pdf["stream_id"].iloc[0]], "_chunk": [int(pdf["_chunk"].iloc[0])], "ends": [ends]}
-        )
-
     kind = flagged.schema["stream_id"].dataType.simpleString()
-    summary = marks.groupBy("stream_id", "_chunk").applyInPandas(
-        cases, f"stream_id {kind}, _chunk bigint, ends array<bigint>"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        free_from, out = 1, []
-        for chunk, ends in zip(pdf["_chunk"], pdf["ends"]):
-            out.append(free_from)
-            blocked = max(0, free_from - (int(chunk) * chunk_rows + 1))
-            free_from = int(ends[blocked]) if blocked < window else free_from
-        return pd.DataFrame({"stream_id": pdf["stream_id"], "_chunk": pdf["_chunk"], "free_from": out})
-
-    entries = summary.groupBy("stream_id").applyInPandas(
-        chain, f"stream_id {kind}, _chunk bigint, free_from bigint"
-    )
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _ = next_starts(sorted(pdf["seq"].tolist()), int(pdf["free_from"].iloc[0]))
-        return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]] * len(found), "seq": found})
+    keys = ["stream_id", "_chunk"]
 
-    begun = (
-        marks.join(entries, ["stream_id", "_chunk"])
-        .groupBy("stream_id", "_chunk")
-        .applyInPandas(starts, f"stream_id {kind}, seq bigint")
-        .withColumn("_start", F.lit(1))
-    )
+    def cases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, ends = None, []
+        for pdf in batches:
+            done = []
+            for sid, chunk, p in zip(pdf["stream_id"], pdf["_chunk"], pdf["seq"]):
+                if (sid, chunk) != group:
+                    if group:
+                        done.append((*group, ends))
+                    group, ends = (sid, chunk), [chunk * chunk_rows + 1 + blocked for blocked in range(window)]
+                ends = [p + window if p >= free_from else free_from for free_from in ends]
+            yield pd.DataFrame(done, columns=[*keys, "ends"])
+        if group:
+            yield pd.DataFrame([(*group, ends)], columns=[*keys, "ends"])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, free_from = None, 1
+        for pdf in batches:
+            out = []
+            for sid, chunk, ends in zip(pdf["stream_id"], pdf["_chunk"], pdf["ends"]):
+                if sid != stream:
+                    stream, free_from = sid, 1
+                out.append(free_from)
+                blocked = max(0, free_from - (chunk * chunk_rows + 1))
+                free_from = int(ends[blocked]) if blocked < window else free_from
+            yield pdf[keys].assign(free_from=out)
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, free_from = None, 1
+        for pdf in batches:
+            found = []
+            for sid, chunk, p, entry in zip(pdf["stream_id"], pdf["_chunk"], pdf["seq"], pdf["free_from"]):
+                if (sid, chunk) != group:
+                    group, free_from = (sid, chunk), entry
+                if p >= free_from:
+                    found.append((sid, p))
+                    free_from = p + window
+            yield pd.DataFrame(found, columns=["stream_id", "seq"])
+
+    def sorted_by(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+        return rows.repartition(*group).sortWithinPartitions(*dict.fromkeys([*group, order]))
+
+    summary = sorted_by(marks, keys, "seq").mapInPandas(cases, f"stream_id {kind}, _chunk bigint, ends array<bigint>")
+    entries = sorted_by(summary, ["stream_id"], "_chunk").mapInPandas(chain, f"stream_id {kind}, _chunk bigint, free_from bigint")
+    entered = marks.join(materialize(entries, "task-entries"), keys)
+    begun = sorted_by(entered, keys, "seq").mapInPandas(starts, f"stream_id {kind}, seq bigint").withColumn("_start", F.lit(1))
     begun = materialize(begun, "task-starts")
     rows = flagged.drop("_chunk").join(begun, ["stream_id", "seq"], "left")
     return running_sum(

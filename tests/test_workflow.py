@@ -93,6 +93,21 @@ def test_tasks_by_model_equal_sequential_pass(spark):
         assert got[f"s{n}"] == want
 
 
+def test_task_starts_make_no_python_group_per_stream(spark, monkeypatch):
+    rows = [(n, i, "k", i % 5 == 4) for n in range(40) for i in range(1, 12)] + [(None, 1, "k", True)]
+    flagged = spark.createDataFrame(rows, "stream_id bigint, seq bigint, log_key string, diverges boolean")
+    plans, store = [], workflow.materialize
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(workflow, "materialize", stored)
+    got = {(r.stream_id, r.seq): r.task_id for r in workflow.tasks_by_model(flagged, 6, chunk_rows=8).collect()}
+    assert got == {(n, i): int(i >= 4) for n in range(40) for i in range(1, 12)}
+    assert plans and not any("FlatMapGroups" in plan for plan in plans)
+
+
 def test_leaders_equal_greedy_pass(spark):
     rng = random.Random(5)
     ids = [f"w{i:03d}" for i in range(60)]

@@ -60,13 +60,15 @@ def with_delta_first(parsed: DataFrame) -> DataFrame:
     )
 
 
-def parse_streams(lines: DataFrame, given_ts: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Everything about a line: ts, time_delta, level, log_key, and params with the delta in front.
+def parse_streams(
+    lines: DataFrame, given_ts: str | None = None, chunk_rows: int = CHUNK_ROWS, parts: Sequence[str] = ("level", "log_key", "params")
+) -> DataFrame:
+    """Everything about a line: ts, time_delta, level, log_key, and params with the delta in front; ``parts`` may leave out the level.
 
     Times come first, as the deltas read the lines twice; templates and parameters are then computed once.
     """
     timed = with_time_delta(parse_lines(lines, given_ts, ["ts"]), chunk_rows)
-    return with_delta_first(parse_lines(timed, parts=["level", "log_key", "params"]))
+    return with_delta_first(parse_lines(timed, parts=parts))
 
 
 def by_identifier(

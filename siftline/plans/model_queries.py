@@ -74,7 +74,7 @@ def parsed_app(spark, sf_dir):
     """Parsed application lines with the time delta as first parameter and the train/test part; stored."""
     lines = materialize(views.app_lines(spark, sf_dir), "lines")  # numbered once, read several times below
     split = lines_source.positional_split(lines)
-    return materialize(keys.parse_streams(split).drop("raw", "level"), "parsed")
+    return materialize(keys.parse_streams(split, parts=["log_key", "params"]).drop("raw"), "parsed")
 
 
 def key_model(parsed):
@@ -86,13 +86,14 @@ def keyed_app(spark, sf_dir):
     return keys.detect_keys(parsed, key_model(parsed))
 
 
-def detected_app(spark, sf_dir):
-    """Key and parameter detection over all application lines; stored."""
+def detected_app(spark, sf_dir, stored=True):
+    """Key and parameter detection over all application lines; stored unless it is read once, so that only columns in use are joined."""
     parsed = parsed_app(spark, sf_dir)
     keyed = materialize(keys.detect_keys(parsed, key_model(parsed)), "keyed")
     model = params.train(parsed.filter("part = 'train'"), WINDOW)
     found = params.label_anomalies(params.detect_params(keyed, model))
-    return materialize(found.withColumn("actual", F.col("event_type") == "error"), "detected")
+    found = found.withColumn("actual", F.col("event_type") == "error")
+    return materialize(found, "detected") if stored else found
 
 
 def short(column):
@@ -297,7 +298,7 @@ def detection_by_label(spark, sf_dir):
 @query("evaluation_verdict", ["a_truth"], """SELECT stream_id, accuracy, CASE WHEN accuracy >= 80 THEN 'EXCELLENT' WHEN accuracy >= 70 THEN 'GOOD' WHEN accuracy >= 60 THEN 'FAIR' ELSE 'NEEDS_IMPROVEMENT' END AS verdict
     FROM (SELECT stream_id, round(100.0::DOUBLE * count_if(is_anomaly = actual) / count(*), 6) AS accuracy FROM a_truth GROUP BY 1)""")
 def evaluation_verdict(spark, sf_dir):
-    found = evaluate.metrics(evaluate.confusion(detected_app(spark, sf_dir), ["stream_id"]))
+    found = evaluate.metrics(evaluate.confusion(detected_app(spark, sf_dir, stored=False), ["stream_id"]))
     percent = F.round(F.col("accuracy") * 100, 6)
     return found.select("stream_id", percent.alias("accuracy"), evaluate.verdict(percent).alias("verdict"))
 
@@ -317,7 +318,7 @@ def anomaly_keys(spark, sf_dir):
 
 @query("context_signatures", ["a_path"], "SELECT context, count(*) AS n FROM a_path GROUP BY 1 ORDER BY n DESC, context LIMIT 30")
 def context_signatures(spark, sf_dir):
-    return evaluate.top_contexts(detected_app(spark, sf_dir))
+    return evaluate.top_contexts(detected_app(spark, sf_dir, stored=False))
 
 
 # Two values back, by the closed form of two unknowns; where both are the same values, each takes half of the slope.

@@ -179,3 +179,17 @@ def test_online_model_repeats_batches_safely(spark, tmp_path):
         online.learn(extra, batch)
     counts = online.version(1).named_counts().filter("label = 'c' AND length = 1").collect()
     assert [r.n for r in counts] == [2]
+
+
+def test_verdict_stores_no_table_that_is_read_once(spark, tmp_path, monkeypatch):
+    from siftline.plans import model_queries
+
+    rows = [(i, i % 2, "error" if i % 7 == 3 else "view", float(i % 5)) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double")
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, event_id)")
+    events.withColumn("ts", ts).write.parquet(str(tmp_path / "events.parquet"))
+    names, store = [], model_queries.materialize
+    monkeypatch.setattr(model_queries, "materialize", lambda df, name: names.append(name) or store(df, name))
+    found = model_queries.evaluation_verdict(spark, str(tmp_path)).collect()
+    assert {r.stream_id for r in found} == {0, 1} and all(0 <= r.accuracy <= 100 for r in found)
+    assert "detected" not in names

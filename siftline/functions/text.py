@@ -70,18 +70,18 @@ def _key_with_level(raw: Column, word: Column) -> Column:
     text = F.when(word == "", raw).otherwise(
         F.concat(F.substring(raw, F.lit(1), at - 1), mark, F.substring(raw, at + F.length(word), F.length(raw)))
     )
-    for pattern, replacement in (
-        (ISO_TIME, "* *:*:*"),
-        (r"\d+", "*"),
-        (r"\*\.\*\.\*\.\*", "*"),
-        (UUID, "*"),
-        (r"(?U)/\S+", "/*"),
-    ):
-        text = F.regexp_replace(text, pattern, replacement)
+    text = F.regexp_replace(F.regexp_replace(text, ISO_TIME, "* *:*:*"), r"\d+", "*")
+    text = F.replace(text, F.lit("*.*.*.*"), F.lit("*"))
+
+    def names(text: Column) -> Column:
+        return F.when(text.contains("-"), F.regexp_replace(text, UUID, "*")).otherwise(text)
+
+    def paths(text: Column) -> Column:
+        return F.when(text.contains("/"), F.regexp_replace(text, r"(?U)/\S+", "/*")).otherwise(text)
 
     def assignments(text: Column) -> Column:
         result = F.regexp_replace(text, r"(?U)\w+_id=\*", "*_id=*")
-        result = F.regexp_replace(result, r"(?U)\w+=\*", "*=*")
+        result = F.regexp_replace(result, r"(?U)\w++=\*", "*=*")
         return F.when(text.contains("=*"), result).otherwise(text)
 
     def restore(value: Column) -> Column:
@@ -101,7 +101,7 @@ def _key_with_level(raw: Column, word: Column) -> Column:
             .otherwise(restore(text))
         )
 
-    return let(let(text, assignments), finish)
+    return let(let(let(let(text, names), paths), assignments), finish)
 
 
 def parameters(raw: Column) -> Column:

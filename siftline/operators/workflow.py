@@ -39,13 +39,27 @@ FIRST_BLOCK = 64
 
 # --- building -------------------------------------------------------------------------------------------
 
+def with_previous_key(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``prev_key``, the template before each line of a stream."""
+    return windowed(
+        rows, ["stream_id"], "seq", {"prev_key": lambda spec: F.lag("log_key", 1).over(spec)}, back=1, chunk_rows=chunk_rows
+    )
+
+
 def transitions(parsed: DataFrame, group: str = "stream_id", position: str = "seq",
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Edges of each group's template sequence; a group of fewer than two templates has none."""
-    pairs = windowed(
-        parsed.select(group, position, "log_key"), [group], position,
-        {"src": lambda spec: F.lag("log_key", 1).over(spec)}, back=1, chunk_rows=chunk_rows,
-    ).filter(F.col("src").isNotNull())
+                chunk_rows: int = CHUNK_ROWS, previous_key: str | None = None) -> DataFrame:
+    """Edges of each group's template sequence; a group of fewer than two templates has none.
+
+    ``previous_key`` names a column that holds the template before each line already, so that the lines need no order.
+    """
+    if previous_key:
+        steps = parsed.select(group, position, "log_key", F.col(previous_key).alias("src"))
+    else:
+        steps = windowed(
+            parsed.select(group, position, "log_key"), [group], position,
+            {"src": lambda spec: F.lag("log_key", 1).over(spec)}, back=1, chunk_rows=chunk_rows,
+        )
+    pairs = steps.filter(F.col("src").isNotNull())
     return (
         pairs.groupBy(F.col(group).alias("workflow_id"), "src", F.col("log_key").alias("dst"))
         .agg((F.min(position) - 1).alias("first_seq"), F.count(F.lit(1)).alias("n"))
@@ -830,24 +844,28 @@ def diagnose(anomalies: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``anomalies`` holds stream_id, seq, log_key and prev_key. The workflow is the first one that knows the
     template, else the first one. The text names the problem, the steps expected there and the workflow.
+
+    Both tables should be stored, as they are read more than once. At most one workflow per distinct template and the first
+    one explain anything, so sizes, loops and successors are made of these.
     """
     nodes = materialize(node_table(edges), "nodes")
-    sizes = nodes.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("steps"), F.max(
+    home = materialize(nodes.groupBy("log_key").agg(F.min("workflow_id").alias("home")), "home")
+    first = materialize(nodes.agg(F.min("workflow_id").alias("first_id")), "first")
+    used = materialize(home.select(F.col("home").alias("workflow_id")).unionByName(first.withColumnRenamed("first_id", "workflow_id")).distinct(), "used")
+    edges = materialize(lookup(edges, used, ["workflow_id"], "left_semi"), "edges-used")
+    sizes = lookup(nodes, used, ["workflow_id"], "left_semi").groupBy("workflow_id").agg(F.count(F.lit(1)).alias("steps"), F.max(
         F.when(F.col("is_start"), F.col("log_key"))).alias("start"))
     sizes = materialize(sizes, "sizes")
-    home = materialize(nodes.groupBy("log_key").agg(F.min("workflow_id").alias("home")), "home")
-    first = sizes.agg(F.min("workflow_id").alias("first_id"))
     placed = (
         lookup(anomalies.select("stream_id", "seq", "log_key", "prev_key"), home, ["log_key"])
         .join(F.broadcast(first))
         .withColumn("workflow_id", F.coalesce("home", "first_id"))
     )
-    unknown = placed.filter(F.col("home").isNull()).select("log_key").distinct()
+    templates = materialize(anomalies.select("log_key").distinct(), "anomaly-templates")
+    unknown = lookup(templates, home.filter(F.col("home").isNotNull()), ["log_key"], "left_anti")
     in_first = nodes.join(F.broadcast(first), F.col("workflow_id") == F.col("first_id")).select("log_key")
     similar = materialize(similar_keys(unknown, in_first), "similar-keys").select("log_key", "similar_key")
-    valid = materialize(
-        edges.select("workflow_id", F.col("src").alias("prev_key"), F.col("dst").alias("log_key"),
-                     F.lit(True).alias("edge")), "valid")
+    valid = edges.select("workflow_id", F.col("src").alias("prev_key"), F.col("dst").alias("log_key"), F.lit(True).alias("edge"))
     loops = materialize(
         loop_nodes(edges).select("workflow_id", F.col("log_key").alias("prev_key"), F.lit(True).alias("loop")), "loops")
     nexts = materialize(successors(edges), "successors")

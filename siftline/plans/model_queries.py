@@ -86,10 +86,16 @@ def keyed_app(spark, sf_dir):
     return keys.detect_keys(parsed, key_model(parsed))
 
 
-def detected_app(spark, sf_dir, stored=True):
-    """Key and parameter detection over all application lines; stored unless it is read once, so that only columns in use are joined."""
+def detected_app(spark, sf_dir, stored=True, columns=None):
+    """Key and parameter detection over all application lines; stored unless it is read once, so that only columns in use are joined.
+
+    ``columns`` names what a caller reads besides the keys of a line and the columns that detection adds to it last; the others are not kept.
+    """
     parsed = parsed_app(spark, sf_dir)
-    keyed = materialize(keys.detect_keys(parsed, key_model(parsed)), "keyed")
+    keyed = keys.detect_keys(parsed, key_model(parsed))
+    if columns is not None:
+        keyed = keyed.select(*dict.fromkeys(["stream_id", "seq", "log_key", "params", "key_anomaly", "event_type", *columns]))
+    keyed = materialize(keyed, "keyed")
     model = params.train(parsed.filter("part = 'train'"), WINDOW)
     found = params.label_anomalies(params.detect_params(keyed, model))
     found = found.withColumn("actual", F.col("event_type") == "error")

@@ -294,13 +294,11 @@ define("g_found", ("g_step", "g_home", "g_edges", "g_loop"), """SELECT s.stream_
     LEFT JOIN g_succ c ON c.wf = f.wf AND c.src = z.start""")
 def diagnosis(spark, sf_dir):
     """Anomalies explained by the workflows of the users' training lines."""
-    found = model_queries.detected_app(spark, sf_dir)
-    edges = materialize(workflow.transitions(found.filter("part = 'train'")), "edges")
-    with_prev = workflow.windowed(
-        found.select("stream_id", "seq", "log_key", "is_anomaly"), ["stream_id"], "seq",
-        {"prev_key": lambda spec: F.lag("log_key", 1).over(spec)}, back=1,
-    )
-    return workflow.diagnose(with_prev.filter("is_anomaly"), edges)
+    found = model_queries.detected_app(spark, sf_dir, stored=False, columns=["log_key", "part"])
+    steps = materialize(workflow.with_previous_key(found.select("stream_id", "seq", "log_key", "is_anomaly", "part")), "steps")
+    # the training lines are the first ones of a stream, so the line before a training line is one
+    edges = materialize(workflow.transitions(steps.filter("part = 'train'"), previous_key="prev_key"), "edges")
+    return workflow.diagnose(steps.filter("is_anomaly"), edges)
 
 
 @query("run_positions", ["w_keys"], "SELECT workflow_id, seq, pos FROM w_keys")

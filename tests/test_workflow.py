@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import keys, workflow
+from siftline.plans import views
 
 SCHEMA = "stream_id string, seq bigint, log_key string"
 
@@ -243,6 +244,43 @@ def test_diagnosis_names_problem_and_expected_steps(spark):
     assert got[7] == (None, "expected next: INFO stop | workflow with 3 steps")
 
 
+def test_diagnosis_takes_only_the_workflows_that_explain(spark, monkeypatch):
+    edges = workflow.transitions(sequence(spark, list("abc"), list("abca"), list("bcxb"), list("cab")))
+    anomalies = spark.createDataFrame(
+        [("t", 1, "x", "b"), ("t", 2, "a", None), ("t", 3, "zz", "a"), ("t", 4, None, "a"), ("t", 5, "x", "x")],
+        "stream_id string, seq bigint, log_key string, prev_key string",
+    )
+    asked, real = [], workflow.loop_nodes
+    monkeypatch.setattr(workflow, "loop_nodes", lambda e: asked.extend(r.workflow_id for r in e.collect()) or real(e))
+    got = {r.seq: (r.workflow_id, r.problem, r.diagnosis) for r in workflow.diagnose(anomalies, edges).collect()}
+    assert set(asked) == {"s0", "s2"}
+    assert got == {
+        1: ("s2", None, "expected next: b | workflow with 3 steps"),  # b lies on a loop of s2
+        2: ("s0", None, "expected next: b | workflow with 3 steps"),
+        3: ("s0", "unknown_key", "unknown template: zz | expected next: b | workflow with 3 steps"),
+        4: ("s0", "unknown_key", "expected next: b | workflow with 3 steps"),
+        5: ("s2", None, "expected next: b | workflow with 3 steps"),
+    }
+
+
+def test_transitions_of_lines_that_know_the_one_before(spark):
+    rows = sequence(spark, list("abcab"), list("x"), list("aab"))
+    known = workflow.transitions(workflow.with_previous_key(rows, chunk_rows=2), previous_key="prev_key")
+    assert sorted(known.collect()) == sorted(workflow.transitions(rows).collect())
+
+
+def test_app_lines_number_long_and_short_users_alike(spark, tmp_path, monkeypatch):
+    times = ["10:00:05", "10:00:05", "10:25:00", "10:01:00", "11:59:59", "23:00:00"]
+    rows = [(i, f"2024-01-02 {t}", user) for i, t in enumerate(times) for user in (1, 2)][:-2] + [(90, None, 1), (91, "2024-01-02 00:00:00", None), (92, "2024-01-01 00:00:00", 3)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint").selectExpr(
+        "event_id", "ts::timestamp_ntz AS ts", "user_id", "'view' AS event_type", "1.5D AS value")
+    events.filter("event_id <> 4 OR user_id = 1").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(views, "CHUNK_ROWS", 4)
+    got = sorted((r.stream_id, r.seq, r.raw[11:19]) for r in views.app_lines(spark, str(tmp_path)).collect())
+    short = ["10:00:05", "10:00:05", "10:01:00", "10:25:00"]
+    assert got == [(1, i + 1, t) for i, t in enumerate([*short, "11:59:59"])] + [(2, i + 1, t) for i, t in enumerate(short)] + [(3, 1, "00:00:00")]
+
+
 def test_merge_keeps_distinct_edges_under_the_leader(spark):
     edges = workflow.transitions(sequence(spark, list("abcd"), list("abcd"), list("abcde"), list("xyz")))
     merged, mapping = workflow.merge_workflows(edges)

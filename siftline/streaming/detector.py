@@ -9,51 +9,110 @@ Lines are parsed before the keyed step and looked up after it, so the task of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.evaluate import once
 from ..operators import keys, params
 from ..operators.joins import lookup
 
 KEY_STATE = "n bigint, last_seq bigint, last_at bigint, tail array<bigint>, since bigint"
-VECTOR_STATE = "since bigint, log_keys array<string>, nth array<bigint>, params array<array<double>>"
-LINES = "stream_id string, seq bigint, at bigint, event_time timestamp, log_key string, key_id bigint, params array<double>"
-SEEN = f"{LINES}, hist array<bigint>, since bigint, late boolean"
+VECTOR_STATE = "since bigint, log_keys array<string>, nth array<bigint>, params array<string>"
+PARSED = "seq bigint, at bigint, key_id bigint, reset boolean, params array<double>, log_key string"
+SEEN = "seq bigint, at bigint, key_id bigint, delta double, hist array<bigint>, since bigint, late boolean, params array<double>, log_key string"
 KEYED = "stream_id string, seq bigint, event_time timestamp, log_key string, params array<double>, since bigint, late boolean, key_anomaly boolean"
-FOLLOWED = f"{KEYED}, nth bigint, prev array<double>"
+COUNTED = "seq bigint, counts boolean, since bigint, late boolean, key_anomaly boolean, params array<double>, log_key string"
+FOLLOWED = "nth bigint, prev array<double>, seq bigint, late boolean, key_anomaly boolean, params array<double>, log_key string"
 RESULTS = "stream_id string, seq bigint, log_key string, anomaly_type string, key_anomaly boolean, param_anomaly boolean, mse double, late boolean"
+LINES = "stream_id string, line string"
 MICROS = 1_000_000
 
 
-def one_frame(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one group; most groups are one batch, and copies cost more than their few rows."""
-    frames = list(batches)
-    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+def columns(schema: str) -> list[list[str]]:
+    """The names and types of a schema of flat columns and arrays."""
+    return [c.split() for c in schema.split(", ")]
 
 
-def tail_and_windows(tail: list[int], ids: list[int], window: int) -> tuple[list[list[int] | None], list[int]]:
+def names(schema: str) -> list[str]:
+    return [name for name, _ in columns(schema)]
+
+
+def as_line(schema: str) -> Column:
+    """The columns of a schema, of which the last may be a string, as one text with tabs between them; nulls are empty.
+
+    Most groups are a few rows, and each column of a group costs more than its rows, so a row is one text on its way to and from
+    a state. A string that is not null begins with ``+``, and only it may hold tabs; an array stands in brackets.
+    """
+    parts = []
+    for name, kind in columns(schema):
+        value = F.col(name).cast("string")
+        if kind.startswith("array"):
+            value = F.concat(F.lit("["), F.array_join(F.col(name).cast("array<string>"), ",", "null"), F.lit("]"))
+        elif kind == "string":
+            value = F.concat(F.lit("+"), value)
+        parts.append(F.coalesce(value, F.lit("")))
+    return F.concat_ws("\t", *parts)
+
+
+def from_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """stream_id and the columns of a schema from rows (stream_id, line)."""
+    kinds = columns(schema)
+    split = once(lines, "_parts", F.split("line", "\t", len(kinds)))
+    found = []
+    for i, (name, kind) in enumerate(kinds):
+        value = F.col("_parts")[i]
+        if kind.startswith("array"):
+            items = F.split(F.substring(value, F.lit(2), F.length(value) - 2), ",")
+            empty = F.array().cast(kind)
+            found.append(F.when(value == "[]", empty).when(value != "", items.try_cast(kind)).alias(name))
+        elif kind == "string":
+            found.append(F.when(value != "", F.substring(value, F.lit(2), F.length(value))).alias(name))
+        else:
+            found.append(value.try_cast(kind).alias(name))
+    return split.select("stream_id", *found)
+
+
+def rows_of(batches: Iterable[pd.DataFrame], schema: str) -> list[list[str]]:
+    """The texts of the columns of every row of one group."""
+    tabs = len(columns(schema)) - 1
+    return [line.split("\t", tabs) for rows in batches for line in rows["line"].tolist()]
+
+
+def frame_of(stream_id: str | None, lines: list[str]) -> pd.DataFrame:
+    """One stream's rows (stream_id, line) as one block, which is made and put together faster than columns."""
+    cells = np.empty((len(lines), 2), dtype=object)
+    cells[:, 0], cells[:, 1] = stream_id, lines
+    return pd.DataFrame(cells, columns=["stream_id", "line"], copy=False)
+
+
+def text(value: float | None) -> str:
+    return "" if value is None else str(value)
+
+
+def array_text(values: list[int] | None) -> str:
+    return "" if values is None else f"[{','.join(map(str, values))}]"
+
+
+def histories(tail: list[int], ids: list[int], window: int) -> tuple[list[list[int] | None], list[int]]:
     """The full history before each of the new ids, null until there is one, and the ids to remember."""
     known = [*tail, *ids]
     first = len(tail)
     return [known[i - window : i] if i >= window else None for i in range(first, len(known))], known[-window:] if window else []
 
 
-def with_deltas(vectors: list, at: list[int | None], last_at: int | None) -> tuple[list, int | None]:
-    """The seconds since the last line that has a time, where there are any, in front of the values."""
+def deltas(at: list[int | None], last_at: int | None) -> tuple[list[float | None], int | None]:
+    """The seconds since the last line that has a time, where there are any, and the last time."""
     out = []
-    for values, now in zip(vectors, at):
-        values = [] if values is None else list(values)
-        if now is not None:
-            if last_at is not None:
-                values = [(now - last_at) / MICROS, *values]
-            last_at = now
-        out.append(values)
+    for now in at:
+        out.append(None if now is None or last_at is None else (now - last_at) / MICROS)
+        last_at = last_at if now is None else now
     return out, last_at
 
 
@@ -103,18 +162,25 @@ class StreamDetector:
         parsed = keys.encode(keys.parse_lines(named, parts=["ts", "log_key", "params"]), self.key_model.vocab)
         time = F.col("ts").cast("timestamp")
         rows = parsed.withColumns({"event_time": time, "at": F.unix_micros(time)})
-        rows = rows.select("stream_id", "seq", "at", "event_time", "log_key", "key_id", "params", "reset")
+        line = as_line(PARSED).alias("line")
         if self.forget_after is not None:
-            rows = rows.withWatermark("event_time", self.late)
-        seen = rows.groupBy("stream_id").applyInPandasWithState(
-            self._history(), SEEN, KEY_STATE, "append",
+            rows = rows.select("stream_id", "event_time", line).withWatermark("event_time", self.late)
+        else:
+            rows = rows.select("stream_id", line)
+        lines = rows.groupBy("stream_id").applyInPandasWithState(
+            self._history(), LINES, KEY_STATE, "append",
             GroupStateTimeout.EventTimeTimeout if self.forget_after is not None else GroupStateTimeout.NoTimeout,
         )
-        return self._decided(seen).select(*[c.split()[0] for c in KEYED.split(", ")])
+        seen = from_lines(lines, SEEN)
+        delta = F.when(F.col("delta").isNotNull(), F.array("delta")).otherwise(F.array().cast("array<double>"))
+        values = F.concat(delta, F.coalesce("params", F.array().cast("array<double>")))
+        seen = seen.withColumns({
+            "event_time": F.timestamp_micros("at"), "params": F.when(F.col("late"), F.col("params")).otherwise(values),
+        })
+        return self._decided(seen).select(*names(KEYED))
 
     def _history(self):
         window, gap = self.key_model.window, self.forget_after
-        columns = [c.split()[0] for c in SEEN.split(", ")]
 
         def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             if state.hasTimedOut:
@@ -122,47 +188,42 @@ class StreamDetector:
                 return
             n, last_seq, last_at, tail, since = state.get if state.exists else (0, None, None, [], None)
             tail = list(tail)
-            rows = one_frame(batches)
-            seq, resets, ids, vectors = (rows[c].tolist() for c in ("seq", "reset", "key_id", "params"))
-            known = rows["at"].notna().tolist()
-            at = [int(x) if there else None for x, there in zip(rows["at"].tolist(), known)]
+            rows = [
+                (int(seq), int(at) if at else None, int(key_id), reset == "true", values, log_key)
+                for seq, at, key_id, reset, values, log_key in rows_of(batches, PARSED)
+            ]
+            rows.sort(key=lambda row: (row[0], not row[3]))
             fresh, old, before = [], [], None
-            for i in sorted(range(len(seq)), key=lambda i: (seq[i], not resets[i])):
-                repeated = before is not None and seq[before] == seq[i] and not resets[i] and not resets[before]
-                before = i
-                if not repeated and (last_seq is None or seq[i] > last_seq):
-                    fresh.append(i)
-                elif not resets[i]:
-                    old.append(i)
-            order, hists, values, sinces = [], [], [], []
-            for begin, end, anew in segments([at[i] for i in fresh], [resets[i] for i in fresh], last_at, gap):
+            for row in rows:
+                repeated = before is not None and before[0] == row[0] and not row[3] and not before[3]
+                before = row
+                if not repeated and (last_seq is None or row[0] > last_seq):
+                    fresh.append(row)
+                elif not row[3]:
+                    old.append(row)
+            out = []
+            for begin, end, anew in segments([row[1] for row in fresh], [row[3] for row in fresh], last_at, gap):
                 if anew:
                     n, tail, last_at, since = 0, [], None, None
-                part = [i for i in fresh[begin:end] if not resets[i]]
+                part = [row for row in fresh[begin:end] if not row[3]]
                 if not part:
                     continue
-                since = int(seq[part[0]]) if since is None else since
-                found, tail = tail_and_windows(tail, [ids[i] for i in part], window)
-                hists += found
-                found, last_at = with_deltas([vectors[i] for i in part], [at[i] for i in part], last_at)
-                values += found
-                sinces += [since] * len(part)
+                since = part[0][0] if since is None else since
+                hists, tail = histories(tail, [row[2] for row in part], window)
+                passed, last_at = deltas([row[1] for row in part], last_at)
                 n += len(part)
-                last_seq = int(seq[part[-1]])
-                order += part
+                last_seq = part[-1][0]
+                out += [
+                    f"{seq}\t{text(now)}\t{key_id}\t{text(delta)}\t{array_text(hist)}\t{since}\tfalse\t{values}\t{log_key}"
+                    for (seq, now, key_id, _, values, log_key), delta, hist in zip(part, passed, hists)
+                ]
             state.update((n, last_seq, last_at, tail, since))
             if gap is not None:
                 newest = max(last_at or 0, 0) // 1000
                 state.setTimeoutTimestamp(max(int(newest + gap * 1000), state.getCurrentWatermarkMs()) + 1)
-            if order or old:
-                late = [False] * len(order) + [True] * len(old)
-                kept = rows.take(order + old)
-                none = [None] * len(old)
-                kept = kept.assign(
-                    at=kept["at"].astype("Int64"), params=values + [vectors[i] for i in old], hist=hists + none,
-                    since=pd.array(sinces + none, dtype="Int64"), late=late,
-                )
-                yield kept[columns]
+            out += [f"{seq}\t{text(now)}\t{key_id}\t\t\t\ttrue\t{values}\t{log_key}" for seq, now, key_id, _, values, log_key in old]
+            if out:
+                yield frame_of(key[0], out)
 
         return remember
 
@@ -201,13 +262,18 @@ class StreamDetector:
 
     def scored(self, keyed: DataFrame) -> DataFrame:
         """Results of a streaming DataFrame of template decisions."""
+        counts = ~(F.col("late") | F.coalesce("key_anomaly", F.lit(False))) & (F.coalesce(F.size("params"), F.lit(0)) > 0)
+        keyed = keyed.withColumn("counts", counts)
+        line = as_line(COUNTED).alias("line")
         if self.forget_after is not None:
-            keyed = keyed.withWatermark("event_time", self.late)
-        keyed = keyed.withColumn("counts", ~(F.col("late") | F.coalesce("key_anomaly", F.lit(False))))
-        followed = keyed.groupBy("stream_id").applyInPandasWithState(
-            self._previous(), FOLLOWED, VECTOR_STATE, "append",
+            rows = keyed.select("stream_id", "event_time", line).withWatermark("event_time", self.late)
+        else:
+            rows = keyed.select("stream_id", line)
+        lines = rows.groupBy("stream_id").applyInPandasWithState(
+            self._previous(), LINES, VECTOR_STATE, "append",
             GroupStateTimeout.EventTimeTimeout if self.forget_after is not None else GroupStateTimeout.NoTimeout,
         )
+        followed = from_lines(lines, FOLLOWED)
         table = self.param_model.table.withColumn("_fitted", F.lit(True))
         fitted = lookup(followed, table, ["log_key"])
         ready = F.col("_fitted").isNotNull() & (F.col("nth") > self.param_model.window)
@@ -217,35 +283,34 @@ class StreamDetector:
         values = fitted.withColumns({"now": params.scale_vector("params"), "before": params.scale_vector("prev")})
         values = values.withColumn("mse", F.when(ready, params.predicted_error()))
         values = values.withColumn("param_anomaly", F.coalesce(F.col("mse") > F.col("mse_threshold"), F.lit(False)))
-        return params.label_anomalies(values).select(*[c.split()[0] for c in RESULTS.split(", ")])
+        return params.label_anomalies(values).select(*names(RESULTS))
 
     def _previous(self):
         gap = self.forget_after
-        columns = [c.split()[0] for c in FOLLOWED.split(", ")]
 
         def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             if state.hasTimedOut:
                 state.remove()
                 return
-            since, names, nths, vectors = state.get if state.exists else (None, [], [], [])
-            known = {name: (nth, list(prev)) for name, nth, prev in zip(names, nths, vectors)}
-            rows = one_frame(batches)
-            seq, counts, begun, keys_of, values = (rows[c].tolist() for c in ("seq", "counts", "since", "log_key", "params"))
-            numbers, before = [0] * len(seq), [None] * len(seq)
-            for i in sorted(range(len(seq)), key=seq.__getitem__):
-                if not counts[i] or values[i] is None or not len(values[i]):
-                    continue
-                if since != begun[i]:
-                    since, known = int(begun[i]), {}
-                nth, before[i] = known.get(keys_of[i], (0, None))
-                numbers[i] = nth + 1
-                known[keys_of[i]] = (nth + 1, [float(v) for v in values[i]])
-            state.update((since, list(known), [nth for nth, _ in known.values()], [prev for _, prev in known.values()]))
+            since, log_keys, nths, vectors = state.get if state.exists else (None, [], [], [])
+            known = dict(zip(log_keys, zip(nths, vectors)))  # templates and vectors stay the texts that they come as
+            frames = list(batches)
+            out = []
+            for seq, counts, begun, late, anomaly, values, log_key in sorted(rows_of(frames, COUNTED), key=lambda row: int(row[0])):
+                nth, prev = 0, ""
+                if counts == "true":
+                    if since != int(begun):
+                        since, known = int(begun), {}
+                    nth, prev = known.get(log_key, (0, ""))
+                    nth += 1
+                    known[log_key] = (nth, values)
+                out.append(f"{nth}\t{prev}\t{seq}\t{late}\t{anomaly}\t{values}\t{log_key}")
+            state.update((since, list(known), [nth for nth, _ in known.values()], [values for _, values in known.values()]))
             if gap is not None:
-                newest = rows["event_time"].max()
+                newest = pd.concat([rows["event_time"] for rows in frames]).max()
                 newest = 0 if pd.isna(newest) else int(newest.timestamp() * 1000)
                 state.setTimeoutTimestamp(max(int(newest + gap * 1000), state.getCurrentWatermarkMs()) + 1)
-            yield rows.assign(since=rows["since"].astype("Int64"), nth=numbers, prev=before)[columns]
+            yield frame_of(key[0], out)
 
         return follow
 

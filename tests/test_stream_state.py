@@ -1,10 +1,11 @@
 """The stream detector against the batch detector: pieces, late lines, restarts, resets, quiet times."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import keys, params
-from siftline.streaming.detector import StreamDetector, segments
+from siftline.streaming.detector import StreamDetector, as_line, from_lines, segments
 
 from .test_models import text_lines
 
@@ -97,3 +98,51 @@ def test_a_stream_has_one_state_however_many_templates_it_has(spark, tmp_path, m
     assert len({r.log_key for r in rows}) > 1 and named(rows) == batch(spark, models, data)
     state = spark.read.format("statestore").load(str(tmp_path / "d" / "results-offsets"))
     assert sorted(r.s for r in state.select(F.col("key.stream_id").alias("s")).collect()) == ["a", "b"]
+
+
+class Held:
+    """A group's state outside a stream."""
+
+    exists, hasTimedOut, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_a_group_comes_and_goes_as_two_columns(models, tmp_path):
+    detector = StreamDetector(*models, str(tmp_path))
+    remember, held = detector._history(), Held()
+    first = pd.DataFrame({"stream_id": "a", "line": ["2\t3000000\t1\tfalse\t[7.0]\t+b\tc", "1\t1000000\t0\tfalse\t[]\t+a", "2\t\t5\tfalse\t\t"]})
+    then = pd.DataFrame({"stream_id": "a", "line": ["3\t\t2\tfalse\t[1.5]\t+a", "4\t4000000\t3\tfalse\t[]\t+a", "1\t5\t0\tfalse\t[]\t+a"]})
+    (got,) = remember(("a",), iter([first]), held)
+    assert list(got.columns) == ["stream_id", "line"] and set(got["stream_id"]) == {"a"}
+    assert got["line"].tolist() == [
+        "1\t1000000\t0\t\t\t1\tfalse\t[]\t+a", "2\t3000000\t1\t2.0\t\t1\tfalse\t[7.0]\t+b\tc", "2\t\t5\t\t\t\ttrue\t\t",
+    ]
+    (got,) = remember(("a",), iter([then]), held)
+    assert got["line"].tolist() == [
+        "3\t\t2\t\t\t1\tfalse\t[1.5]\t+a", "4\t4000000\t3\t1.0\t[0,1,2]\t1\tfalse\t[]\t+a", "1\t5\t0\t\t\t\ttrue\t[]\t+a",
+    ]
+    follow, held = detector._previous(), Held()
+    rows = pd.DataFrame({"stream_id": None, "line": ["9\ttrue\t1\tfalse\tfalse\t[2.5]\t+a", "8\ttrue\t1\tfalse\tfalse\t[1.5]\t+a", "7\tfalse\t\ttrue\tfalse\t\t"]})
+    (got,) = follow((None,), iter([rows]), held)
+    assert got["line"].tolist() == ["0\t\t7\ttrue\tfalse\t\t", "1\t\t8\tfalse\tfalse\t[1.5]\t+a", "2\t[1.5]\t9\tfalse\tfalse\t[2.5]\t+a"]
+    assert list(got["stream_id"]) == [None] * 3
+
+
+def test_rows_as_lines_keep_every_value(spark):
+    schema = "n bigint, yes boolean, x double, ids array<bigint>, values array<double>, log_key string"
+    rows = [
+        (1, True, 1e-7, [3, 4], [0.1, float("inf"), 1e300, -0.0, None], "+a\tb\n\u20ac"), (None, None, None, None, None, None),
+        (-5, False, 123456789.123, [], [], ""), (2**62, None, float("nan"), [0], [1 / 3], "\t"),
+    ]
+    given = spark.createDataFrame([("s", *row) for row in rows], f"stream_id string, {schema}")
+    back = from_lines(given.select("stream_id", as_line(schema).alias("line")), schema)
+    assert [f.dataType for f in back.schema] == [f.dataType for f in given.schema]
+    assert sorted(map(str, back.collect())) == sorted(map(str, given.collect()))
+
+
+def test_lines_with_tabs_and_without_text(spark, tmp_path, models):
+    data = text_lines(30, 1, "a")
+    data[4:7] = [("a", 5, "2024-01-01 00:00:00\tINFO +one\ttwo\n3", ), ("a", 6, ""), ("a", 7, None)]
+    assert named(run(spark, tmp_path, models, [data[:6], data[6:]])) == batch(spark, models, data)

@@ -17,7 +17,7 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions.evaluate import once
 from ..functions.formats import security_fields, security_request
@@ -331,7 +331,8 @@ def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw", block
     """Multi-match against a rule table (rule_id, pattern, …) that is only known at run time: rule_id, the line, the rule's other columns.
 
     Texts that a pattern can't do without lead to it, the longest it has, blanks between words included (``needed_parts``): all such
-    texts are searched at once in every line, and a line is tested only against the rules whose texts it holds. Rules come to the driver in blocks of ``block_bytes`` of patterns, each one scan of the
+    texts are searched at once in every line, and a line is tested only against the rules whose texts it holds. A pattern of nothing but
+    letters, small sets, white space and one run of letters (``whole_parts``) is decided by this search, without a test. Rules come to the driver in blocks of ``block_bytes`` of patterns, each one scan of the
     lines; rules without such a text are tested on every line, ``RULE_SLICE`` to a scan. Each row of the table is a rule of its own;
     one without a pattern never hits.
     """
@@ -340,19 +341,24 @@ def match_dynamic(lines: DataFrame, patterns: DataFrame, raw: str = "raw", block
     schema = StructType([
         StructField("_ord", IntegerType()), StructField("_pattern", StringType()), StructField("_rule", patterns.schema),
     ])
+    tested = StructType([*schema, StructField("_whole", BooleanType())])
     parts = []
     for block in _rule_blocks(patterns, block_bytes):
         rules = [(i, ignoring_case(r["pattern"]), r) for i, r in enumerate(block)]
-        needed = [needed_parts(r["pattern"]) for r in block]
-        indexed = [rules[i] for i, parts_of in enumerate(needed) if parts_of]
-        if indexed:
+        whole = [whole_parts(r["pattern"]) for r in block]
+        needed = [parts_of or needed_parts(r["pattern"]) for r, parts_of in zip(block, whole)]
+        found = []
+        for text, decided in ((F.col(raw), True), (F.col("_low"), False)):
             index: dict[tuple, list[int]] = {}
             for i, parts_of in enumerate(needed):
-                for part in parts_of or ():
+                for part in parts_of or () if bool(whole[i]) is decided else ():
                     index.setdefault(part, []).append(i)
-            found = low.withColumn("_ord", F.explode(_candidates(spark.sparkContext.broadcast(index))(F.col("_low"))))
-            table = F.broadcast(spark.createDataFrame(indexed, schema))
-            parts.append(found.join(table, "_ord").filter(F.rlike(F.col(raw), F.col("_pattern"))))
+            if index:
+                found.append(_candidates(spark.sparkContext.broadcast(index), decided)(text))
+        if found:
+            indexed = [(*rules[i], bool(whole[i])) for i, parts_of in enumerate(needed) if parts_of]
+            hit = low.withColumn("_ord", F.explode(F.concat(*found))).join(F.broadcast(spark.createDataFrame(indexed, tested)), "_ord")
+            parts.append(hit if all(r[-1] for r in indexed) else hit.filter(F.col("_whole") | F.rlike(F.col(raw), F.col("_pattern"))))
         plain = [rules[i] for i, parts_of in enumerate(needed) if not parts_of]
         for first in range(0, len(plain), RULE_SLICE):
             part = plain[first : first + RULE_SLICE]
@@ -403,6 +409,52 @@ def needed_parts(pattern: str) -> list[tuple[str, str, str]] | None:
     return max(found, key=lambda parts: min(len(a) + len(b) for a, _, b in parts), default=None)
 
 
+def whole_parts(pattern: str) -> list[tuple[str, str, str]] | None:
+    """Parts as ``needed_parts`` has them, of which a line holds one if and only if it matches the pattern; none for other patterns.
+
+    Such a pattern is a sequence of ASCII letters and signs, small sets of them, ``\\s+`` and at most one run of a set, between texts. It stands
+    for its parts in the line with ASCII letters in lower case and one blank for each white space that the JVM knows (``held_whole``).
+    """
+    if not PLAIN.fullmatch(pattern) or r"\w" in pattern:
+        return None
+    try:
+        parsed = rp.parse(pattern)
+    except re.error:
+        return None
+    before, letters, texts = None, "", [""]
+    for op, arg in parsed:
+        run = _letter_run(op, arg)
+        if _white_space(op, arg):
+            if texts[0].endswith(" "):  # at least two characters of white space
+                return None
+            texts = [t + " " for t in texts]
+        elif run:
+            if before is not None or texts == [""]:
+                return None
+            before, letters, texts = texts, run, [""]
+        else:
+            kept = _small_set(op, arg)
+            if not kept or len(texts) * len(kept) > MAX_GUARDS:
+                return None
+            texts = [t + c for t in texts for c in kept]
+    if before is None:
+        parts = [(t, "", "") for t in texts]
+    elif all(t and t[0] not in letters for t in texts) and len(before) * len(texts) <= MAX_GUARDS:
+        parts = [(b, letters, t) for b in before for t in texts]
+    else:
+        return None
+    return parts if all(len(a) + len(b) >= MIN_GUARD and a != " " for a, _, b in parts) else None
+
+
+def _small_set(op, arg) -> list[str] | None:
+    """The lower-case ASCII characters of which an operation takes one, if it lists them."""
+    if op is rc.LITERAL and arg < 128:
+        return [chr(arg).lower()]
+    if op is rc.IN and all(kind is rc.LITERAL and value < 128 for kind, value in arg):
+        return sorted({chr(value).lower() for _, value in arg})
+    return None
+
+
 def _runs(parsed) -> list[list[tuple[str, str, str]]]:
     """All parts of a sequence of letters, small sets, white space and runs of letters; other operations end a part."""
     found: list[list[tuple[str, str, str]]] = []
@@ -415,14 +467,10 @@ def _runs(parsed) -> list[list[tuple[str, str, str]]]:
             found.append([(b, letters, t) for b in before for t in texts])
 
     for op, arg in parsed:
-        space, kept = _white_space(op, arg), None
-        if space:
+        if _white_space(op, arg):
             texts = [t if t.endswith(" ") else t + " " for t in texts]
             continue
-        if op is rc.LITERAL and arg < 128:
-            kept = [chr(arg).lower()]
-        elif op is rc.IN and all(kind is rc.LITERAL and value < 128 for kind, value in arg):
-            kept = sorted({chr(value).lower() for _, value in arg})
+        kept = _small_set(op, arg)
         if kept and not any(c.isspace() for c in kept) and len(texts) * len(kept) <= MAX_GUARDS:
             texts = [t + c for t in texts for c in kept]
             continue
@@ -462,12 +510,24 @@ def _letter_run(op, arg) -> str | None:
 
 #: White space of any script; a set inside a set; letters beyond ASCII that match one of ASCII where case is ignored in all scripts.
 BLANKS = re.compile(r"\s+")
+JVM_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+#: Patterns that both dialects read alike: ASCII letters and signs without a meaning, escaped signs, ``\s+``, sets of such and of ranges, runs of sets.
+PLAIN = re.compile(r"(?:[0-9A-Za-z!\"#%',/:;<=>@_`~-]|\\[!-/:-@\[-`{-~]|\\s\+|\[(?:[0-9A-Za-z]-[0-9A-Za-z]|[0-9A-Za-z!\"#%',./:;<=>@_`~]|\\[!-/:-@\[-`{-~])+\]\+?)+")
 NESTED = re.compile(r"(?<!\\)\[[^\]]*(?<!\\)\[")
 FOLDED = (("ſ", "s"), ("ı", "i"), ("i\u0307", "i"))
 
 
-def _candidates(index):
-    """The numbers of the rules, each once, that a lower-case line holds a part of; ``index`` is a broadcast part → numbers."""
+def held_whole(line: str) -> str:
+    """A line as the parts of whole patterns stand for it: ASCII letters in lower case, white space of the JVM as single blanks."""
+    lower = line.lower() if line.isascii() else line.encode().lower().decode()
+    return JVM_BLANKS.sub(" ", lower)
+
+
+def _candidates(index, whole: bool = False):
+    """The numbers of the rules, each once, that a lower-case line holds a part of; ``index`` is a broadcast part → numbers.
+
+    With ``whole`` the parts are those of ``whole_parts``, and the numbers those of the rules that the line, as it stands, matches.
+    """
 
     @F.pandas_udf("array<int>")
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -484,13 +544,17 @@ def _candidates(index):
         for text in {*alone, *first, *second}:
             automaton.add_word(text, (text, alone.get(text), tuple(sorted(first.get(text, ()))), text in second))
         automaton.make_automaton()
-        runs = {letters: re.compile(f"[{re.escape(letters)}]*") for sets in first.values() for letters in sets}
+        least = "+" if whole else "*"
+        runs = {letters: re.compile(f"[{re.escape(letters)}]{least}") for sets in first.values() for letters in sets}
         pairs = index.value
 
         def held(line: str | None) -> list[int]:
-            line = BLANKS.sub(" ", line or "")
-            for letter, folded in () if line.isascii() else FOLDED:
-                line = line.replace(letter, folded)
+            if whole:
+                line = held_whole(line or "")
+            else:
+                line = BLANKS.sub(" ", line or "")
+                for letter, folded in () if line.isascii() else FOLDED:
+                    line = line.replace(letter, folded)
             found: set[int] = set()
             texts: set[str] = set()
             waiting: dict[int, set[tuple[str, str]]] = {}
@@ -500,7 +564,9 @@ def _candidates(index):
                     texts.add(text)
                     found.update(numbers)
                 for letters in followed:
-                    waiting.setdefault(runs[letters].match(line, at + 1).end(), set()).add((text, letters))
+                    run = runs[letters].match(line, at + 1)
+                    if run:
+                        waiting.setdefault(run.end(), set()).add((text, letters))
                 if follows:
                     begins.append((at + 1 - len(text), text))
             for at, text in begins:

@@ -277,3 +277,32 @@ def test_dynamic_rules_lead_only_to_lines_that_hold_all_neighbouring_words(spark
     found = lines.select("seq", F.explode(match._candidates(spark.sparkContext.broadcast(index))(F.lower("raw"))).alias("rule")).collect()
     hits = {x for x in want if x[0] in ("r0", "r1", "r2")}
     assert {(f"r{r.rule}", r.seq) for r in found} == hits | {("r2", 4)}  # a blank beyond ASCII is no hit of this pattern
+
+
+def test_patterns_that_the_search_decides_are_not_tested(spark):
+    patterns = [
+        r"the\s+cat", r"cat[,.]\s+dog", r"the\s+[a-z]+\s+of", r"ab[0-9]+cd", r"[Kk]ey\.[x_]", r"\s+is", r"it\s+", r"sea[A-Z]+!", r"[aA][bB]-1", r"to[Z_a]+\s+be",
+    ]
+    others = [r"the\s+\s+cat", r"ab[a-z]+cd", r"\\w+\s+is", r"ab[0-9]{1,}cd", r"a\1b", r"it\vis", r"x[a&&b]y", r"[^a]bc", "caf\u00e9", r"to +be", "(?x)a b", r"it\s+?is", "ab?"]
+    texts = [
+        "The \t\r\n\x0b\x0ccat", "the\x1ccat", "the\u00a0cat", "the\u2028cat", "thecat", "The cat \u00f1", "the \u00a0 cat", "CAT,\ndog", "cat. Dog", "cat;dog", "cat.dog",
+        "the one of", "the  ONE\tOF", "the on1 of", "the  of", "the one two of", "the \u017fea of", "the oNe\u0130 of", "breathe a often the b of \u00f1", "ab12cd", "abcd", "AB1CD", "ab1 cd",
+        "\u212aey.x", "KEY._ \u00f1", "keyax", " \u0130s", " is", "\u0085is", "\x1eis", "it", "it ", "it\x0c", "it\u3000", "seab!", "sea!", "SEA\u017f!", "sea\u212a!", "sea1!", "Ab-1", "\u00e4ab-1",
+        "toZ be", "to_A\nbe", "tob be", "abab9cd", "\\w+ is", "", None,
+    ]
+    assert all(match.whole_parts(p) for p in patterns) and not any(match.whole_parts(p) for p in others)
+    rules = spark.createDataFrame([(f"r{i}", p) for i, p in enumerate(patterns)], "rule_id string, pattern string")
+    lines = spark.createDataFrame(list(enumerate(texts)), "seq int, raw string")
+    want = set()
+    for i, pattern in enumerate(patterns):
+        hits = {(f"r{i}", r.seq) for r in lines.filter(F.col("raw").rlike(match.ignoring_case(pattern))).collect()}
+        assert hits
+        want |= hits
+    found = match.match_dynamic(lines, rules)
+    assert "rlike" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    rows = [(r.rule_id, r.seq) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    tested = spark.createDataFrame([("t0", r"the\s+(cat|dog)"), ("t1", "the .* of")], "rule_id string, pattern string")
+    both = match.match_dynamic(lines, rules.unionByName(tested)).collect()
+    more = {(f"t{i}", r.seq) for i, p in enumerate((r"the\s+(cat|dog)", "the .* of")) for r in lines.filter(F.col("raw").rlike(match.ignoring_case(p))).collect()}
+    assert {(r.rule_id, r.seq) for r in both} == want | more and len(both) == len(want | more)

@@ -70,9 +70,9 @@ define("a_truth", ("a_done",), "SELECT *, anomaly_type <> 'normal' AS is_anomaly
 
 # --- shared parts ---------------------------------------------------------------------------------------
 
-def parsed_app(spark, sf_dir):
-    """Parsed application lines with the time delta as first parameter and the train/test part; stored."""
-    lines = materialize(views.app_lines(spark, sf_dir), "lines")  # numbered once, read several times below
+def parsed_app(spark, sf_dir, lines=None):
+    """Parsed application lines with the time delta as first parameter and the train/test part; stored. ``lines`` are those already stored."""
+    lines = materialize(views.app_lines(spark, sf_dir), "lines") if lines is None else lines  # numbered once, read several times below
     split = lines_source.positional_split(lines)
     return materialize(keys.parse_streams(split, parts=["log_key", "params"]).drop("raw"), "parsed")
 

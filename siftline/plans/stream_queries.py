@@ -55,16 +55,16 @@ define("s_lines", ("s_seen",), "SELECT * FROM s_seen WHERE NOT late")
 detection_steps("s", "s_lines")
 
 
-def _detector(spark, sf_dir):
-    """A detector whose models know the first four fifths of every stream."""
-    parsed = model_queries.parsed_app(spark, sf_dir)
+def _detector(spark, sf_dir, lines):
+    """A detector whose models know the first four fifths of every stream of the stored application lines."""
+    parsed = model_queries.parsed_app(spark, sf_dir, lines)
     train = params.train(parsed.filter("part = 'train'"), model_queries.WINDOW)
     return StreamDetector(model_queries.key_model(parsed), train, _folder(spark, "detector"))
 
 
-def _app_pieces(spark, sf_dir):
+def _app_pieces(lines):
     """Application lines in equal pieces of each stream: (stream_id, seq, raw, piece, last)."""
-    lines = materialize(views.app_lines(spark, sf_dir).select("stream_id", "seq", "raw"), "lines")
+    lines = lines.select("stream_id", "seq", "raw")
     ends = lines.groupBy("stream_id").agg(F.max("seq").alias("last"))
     piece = F.floor((F.col("seq") - 1) * PIECES / F.col("last")).cast("int")
     return lines.join(ends, "stream_id").withColumn("piece", piece)
@@ -83,10 +83,11 @@ def _by_restarts(spark, detector, pieces):
     UNION ALL SELECT stream_id::VARCHAR, seq, 'normal', true FROM s_seen WHERE late""")
 def stream_detect(spark, sf_dir):
     """Detection over application lines that arrive in five pieces, some of them late, with a restart before every piece."""
-    pieces = _app_pieces(spark, sf_dir)
+    lines = materialize(views.app_lines(spark, sf_dir), "lines")
+    pieces = _app_pieces(lines)
     delayed = (F.col("seq") % DELAYED_EACH == 0) & (F.col("piece") < PIECES - 1)
     pieces = materialize(pieces.select("stream_id", "seq", "raw", (F.col("piece") + delayed.cast("int")).alias("piece")), "pieces")
-    return _by_restarts(spark, _detector(spark, sf_dir), pieces).select("stream_id", "seq", "anomaly_type", "late")
+    return _by_restarts(spark, _detector(spark, sf_dir, lines), pieces).select("stream_id", "seq", "anomaly_type", "late")
 
 
 define("t_lines", ("a_lines",), f"""SELECT *, CASE WHEN stream_id % {RESET_EACH} = 0 AND seq > max(seq) OVER (PARTITION BY stream_id) // 2 THEN 1 ELSE 0 END AS grp FROM a_lines""")
@@ -96,11 +97,12 @@ detection_steps("t", "t_lines")
 @query("stream_reset", ["t_done"], "SELECT stream_id::VARCHAR AS stream_id, seq, anomaly_type, false AS late FROM t_done")
 def stream_reset(spark, sf_dir):
     """Detection in five pieces, where every third stream is told in its middle to forget what it has seen."""
-    pieces = _app_pieces(spark, sf_dir)
+    lines = materialize(views.app_lines(spark, sf_dir), "lines")
+    pieces = _app_pieces(lines)
     middle = (F.col("stream_id") % RESET_EACH == 0) & (F.col("seq") == F.floor(F.col("last") / 2) + 1)
     resets = pieces.filter(middle).select("stream_id", "seq", F.lit(None).cast("string").alias("raw"), "piece", F.lit(True).alias("reset"))
     rows = pieces.drop("last").withColumn("reset", F.lit(False)).unionByName(resets)
-    found = _by_restarts(spark, _detector(spark, sf_dir), materialize(rows, "pieces"))
+    found = _by_restarts(spark, _detector(spark, sf_dir, lines), materialize(rows, "pieces"))
     return found.select("stream_id", "seq", "anomaly_type", "late")
 
 

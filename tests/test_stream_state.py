@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import keys, params
+from siftline.plans import stream_queries
 from siftline.streaming.detector import StreamDetector, as_line, from_lines, segments
 
 from .test_models import text_lines
@@ -146,3 +147,10 @@ def test_lines_with_tabs_and_without_text(spark, tmp_path, models):
     data = text_lines(30, 1, "a")
     data[4:7] = [("a", 5, "2024-01-01 00:00:00\tINFO +one\ttwo\n3", ), ("a", 6, ""), ("a", 7, None)]
     assert named(run(spark, tmp_path, models, [data[:6], data[6:]])) == batch(spark, models, data)
+
+
+def test_a_detector_is_trained_on_the_lines_already_numbered(spark, monkeypatch):
+    lines = spark.createDataFrame(text_lines(40, 1, "a"), "stream_id string, seq bigint, raw string").withColumn("event_type", F.lit("x"))
+    monkeypatch.setattr(stream_queries.views, "app_lines", None)  # not numbered again
+    assert stream_queries._detector(spark, "nowhere", lines).key_model.vocab.count() > 1
+    assert stream_queries._app_pieces(lines).select("piece").distinct().count() == stream_queries.PIECES
